@@ -55,7 +55,7 @@ def _rows(kind: int, part: np.ndarray, doc: np.ndarray, sub: np.ndarray, start:
     out: dict[str, list] = {c: [] for c in _SCHEMA.names}
     for a, b in zip(cuts, np.append(cuts[1:], len(part))):
         d, s, t = doc[a:b], sub[a:b], start[a:b]
-        run = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])))
+        run = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (t[1:] < t[:-1])))
         step = np.diff(t, prepend=0)
         step[run] = t[run]
         for c, v in zip(_SCHEMA.names, (int(part[a]), kind, None, None, None if body is None else common.pack_rows(body[a:b]), common.pack(np.diff(d[run], prepend=0)), common.pack(s[run].astype(np.int32)), common.pack(np.diff(np.append(run, b - a)).astype(np.uint32)), common.pack(step.astype(np.uint32)))):
@@ -84,7 +84,10 @@ def _later(h: np.ndarray, check: np.ndarray, doc: np.ndarray, sub: np.ndarray, s
     at = order[twin]  # only those with a twin need the full order
     at = at[np.lexsort((start[at], sub[at], doc[at], check[at], h[at]))]
     later = np.zeros(len(h), bool)
-    later[at[1:]] = (h[at[1:]] == h[at[:-1]]) & (check[at[1:]] == check[at[:-1]])
+    if len(at):
+        begins = np.append(True, (h[at[1:]] != h[at[:-1]]) | (check[at[1:]] != check[at[:-1]]))
+        first = at[np.flatnonzero(begins)][np.cumsum(begins) - 1]
+        later[at] = (doc[at] != doc[first]) | (sub[at] != sub[first]) | (start[at] != start[first])
     return later
 
 
