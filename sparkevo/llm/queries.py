@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
+from .html_text import extract_pages
 from .secrets import digest, scan_secrets
+from .sentence_pieces import encode, round_trip
 from .sharding import interleaved_shards
 from .substring_dedup import substring_dedup
+from .token_files import checksums, offsets, read_tokens, write_tokens
+
+#: Folder of the public vocabulary files, the same on every executor.
+TOKENIZERS = os.environ.get("SPARKEVO_TOKENIZERS", "/opt/tokenizers")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,13 +30,28 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang")))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")
+    return offsets(checksums(read_tokens(spark, path)), "ids_crc32")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = interleaved_shards(table(spark, sf_dir, "documents"))
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    return round_trip(encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_secret_scan, op8_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_secret_scan, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
