@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 from .html_text import extract_pages
+from .media import measure, read_media, write_media
 from .secrets import digest, scan_secrets
 from .sentence_pieces import encode, round_trip
 from .sharding import interleaved_shards
@@ -25,6 +26,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "media")
+    write_media(table(spark, sf_dir, "documents"), folder)
+    return measure(read_media(spark, folder))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return digest(scan_secrets(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang")))
@@ -51,7 +58,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_secret_scan, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_media_columns, op4_secret_scan, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
