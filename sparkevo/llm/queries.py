@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import scratch, table
 from .html_text import extract_pages
 from .media import measure, read_media, write_media
+from .quality import THRESHOLD, held_out, score, train
 from .secrets import digest, scan_secrets
 from .sentence_pieces import encode, round_trip
 from .sharding import interleaved_shards
@@ -37,6 +38,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang")))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fitted = train(docs, table(spark, sf_dir, "labels"), use=~held_out())
+    scored = score(docs, fitted)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")
@@ -58,7 +66,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_media_columns, op4_secret_scan, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_media_columns, op4_secret_scan, op5_quality_classifier, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
