@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, table
+from .decontaminate import find_contamination
 from .html_text import extract_pages
 from .media import measure, read_media, write_media
 from .quality import THRESHOLD, held_out, score, train
@@ -27,6 +28,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "media")
     write_media(table(spark, sf_dir, "documents"), folder)
@@ -66,7 +71,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_media_columns, op4_secret_scan, op5_quality_classifier, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_media_columns, op4_secret_scan, op5_quality_classifier, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
