@@ -12,6 +12,7 @@ from .common import scratch, table
 from .decontaminate import find_contamination
 from .html_text import extract_pages
 from .media import measure, read_media, write_media
+from .near_duplicates import near_duplicates
 from .quality import THRESHOLD, held_out, score, train
 from .secrets import digest, scan_secrets
 from .sentence_pieces import encode, round_trip
@@ -50,6 +51,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")
@@ -71,7 +76,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_media_columns, op4_secret_scan, op5_quality_classifier, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_media_columns, op4_secret_scan, op5_quality_classifier, op6_jaccard_join, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
