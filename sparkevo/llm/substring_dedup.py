@@ -96,7 +96,7 @@ def _hash_windows(width: int, buckets: int, parts: int):
         h, check, doc, sub, start = (np.concatenate(x) for x in zip(*chunk))
         later = _later(h, check, doc, sub, start)
         if later.any():
-            yield _rows(_STARTS, _home(doc[later], sub[later], parts), doc[later], sub[later], start[later])
+            yield _starts([(doc[later], sub[later], start[later])], parts)
         h, check, doc, sub, start = (x[~later] for x in (h, check, doc, sub, start))
         body = np.empty((len(h), 9), np.uint8)
         body[:, :8] = h.view(np.uint8).reshape(-1, 8)
@@ -138,6 +138,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[d
 
 def _count_buckets(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for _, rows in _groups(batches):
             bodies, places = [], []
             for row in rows:
@@ -151,12 +152,23 @@ def _count_buckets(parts: int):
             body = np.concatenate(bodies)
             doc, sub, start = (np.concatenate(x) for x in zip(*places))
             later = _later(np.ascontiguousarray(body[:, :8]).view(np.uint64).ravel(), body[:, 8], doc, sub, start)
-            if later.any():
-                yield _rows(_STARTS, _home(doc[later], sub[later], parts), doc[later], sub[later], start[later])
+            found.append((doc[later], sub[later], start[later]))
+            held += int(later.sum())
+            if held >= CHUNK:
+                yield _starts(found, parts)
+                found, held = [], 0
+        if held:
+            yield _starts(found, parts)
 
     return run
 
 
+def _starts(found: list[tuple[np.ndarray, ...]], parts: int) -> pa.RecordBatch:
+    """Rows for the home of each document with the starts of its later windows."""
+    doc, sub, start = (np.concatenate(x) for x in zip(*found))
+    return _rows(_STARTS, _home(doc, sub, parts), doc, sub, start)
+
+
 def _send_texts(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pressed = zstandard.ZstdCompressor(level=1)
@@ -233,14 +245,15 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     docs = docs.select("doc_id", "text", sub.cast("int").alias("sub"))
     n = common.shuffle_partitions(spark)
     buckets = common.power_of_two(max(4 * n, size / 6 / BUCKET))
+    homes = max(n, buckets // 16)
     found = (
-        docs.mapInArrow(_hash_windows(width, buckets, buckets), _PACKED)
+        docs.mapInArrow(_hash_windows(width, buckets, homes), _PACKED)
         .repartition(n, "part")
         .sortWithinPartitions("part")
-        .mapInArrow(_count_buckets(buckets), _PACKED)
+        .mapInArrow(_count_buckets(homes), _PACKED)
     )
     kept = (
-        docs.mapInArrow(_send_texts(buckets), _PACKED)
+        docs.mapInArrow(_send_texts(homes), _PACKED)
         .unionByName(found)
         .repartition(n, "part")
         .sortWithinPartitions("part", "kind")
