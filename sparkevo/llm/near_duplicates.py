@@ -271,12 +271,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: float = TH
     return sketched.select("doc_id", "cls").join(info, "cls").select("doc_id", "class_id", "n_links", "n_copies")
 
 
-def _with_class(width: int):
+def _with_class(width: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in common.text_slices(batch):
                 cls = pa.array([class_key(s) for s in shingle_sets(data, offsets, width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*rows.columns, cls], names=[*rows.schema.names, "_cls"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, cls], names=[*rows.schema.names, name])
 
     return run
 
@@ -285,9 +285,10 @@ def deduplicate(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
     """docs, all columns, with one row of each near-duplicate class: one with the least doc_id."""
     _, info = _classified(docs, width, threshold, trees, recall, seed)
     lowest = F.lit(-(2**63))
-    heads = info.filter(F.col("cls") == F.col("head")).select(F.col("cls").alias("_cls"), F.coalesce("class_id", lowest).alias("_id"))
-    marked = docs.mapInArrow(_with_class(width), StructType([*docs.schema.fields, StructField("_cls", BinaryType())]))
-    kept = marked.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), lowest)).join(heads, ["_cls", "_id"])
+    cls, own, number = (common.free(docs, c) for c in ("cls_", "own_", "number_"))
+    heads = info.filter(F.col("cls") == F.col("head")).select(F.col("cls").alias(cls), F.coalesce("class_id", lowest).alias(own))
+    marked = docs.mapInArrow(_with_class(width, cls), StructType([*docs.schema.fields, StructField(cls, BinaryType())]))
+    kept = marked.withColumn(own, F.coalesce(F.col("doc_id").cast("bigint"), lowest)).join(heads, [cls, own])
     # Repeated rows are rows of the same class and doc_id; the join has brought them together.
-    one = Window.partitionBy("_cls", "_id").orderBy("text")
-    return kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
+    one = Window.partitionBy(cls, own).orderBy("text")
+    return kept.withColumn(number, F.row_number().over(one)).filter(F.col(number) == 1).select(*docs.columns)

@@ -180,24 +180,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", use: Colum
     return Model(w[:-1] * ratio, float(w[-1]), a, b)
 
 
-def _score(held):
+def _score(held, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
             for rows, data, offsets in common.text_slices(batch):
                 score = own.score(data, offsets)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score)], names=[*rows.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score)], names=[*rows.schema.names, name])
 
     return run
 
 
-def score(docs: DataFrame, fitted: Model) -> DataFrame:
-    """docs with score, the probability of label 1; its other columns stay, one named score gives way."""
+def score(docs: DataFrame, fitted: Model, name: str = "score") -> DataFrame:
+    """docs with name, the probability of label 1; its other columns stay, one of that name gives way."""
     common.prepare(docs.sparkSession)
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     held = docs.sparkSession.sparkContext.broadcast(fitted)  # BUCKETS weights
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(_score(held), schema)
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(_score(held, name), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -207,5 +207,5 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def filter_quality(docs: DataFrame, fitted: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs whose score is at least threshold."""
-    names = docs.columns
-    return score(docs, fitted).filter(F.col("score") >= threshold).select(*names)
+    name = common.free(docs, "score")
+    return score(docs, fitted, name).filter(F.col(name) >= threshold).drop(name)

@@ -89,7 +89,8 @@ _NO_SPANS = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
 def _keyed(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
-    keyed = candidates(docs.withColumns({"_owner": owner.cast("string"), "_repo": repo.cast("string")}))
+    """doc_id, text, row (all columns of docs, so that no name can clash), the spans and the keys."""
+    keyed = candidates(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"), owner.cast("string").alias("_owner"), repo.cast("string").alias("_repo")))
     return keyed.withColumn("text_key", F.xxhash64("text", F.octet_length("text")))
 
 
@@ -123,7 +124,7 @@ def scan_secrets(docs: DataFrame, owner: Column, repo: Column, max_owners: int =
 
     One row per row of docs. spans holds the base spans and the candidates with a live-looking value.
     """
-    df = _keyed(docs.select("doc_id", "text", owner.cast("string").alias("_o"), repo.cast("string").alias("_r")), F.col("_o"), F.col("_r"))
+    df = _keyed(docs, owner, repo).drop("row")
     rows, judged = df.select("doc_id", "text_key", "base").alias("a"), _judged(df, max_owners).alias("b")
     zero = F.lit(0).cast("bigint")
     return rows.join(judged, _same_row("a", "b"), "left").select(
@@ -159,9 +160,8 @@ def redact(docs: DataFrame, owner: Column, repo: Column, mark: str = "[SECRET]",
 
     Only texts with a bare candidate are shuffled, to meet its owner count; the others are rewritten in place.
     """
-    names = docs.columns
     df = _keyed(docs, owner, repo)
-    done = lambda d, spans: d.withColumn("text", _without(F.col("text"), spans, mark)).select(*names)
+    done = lambda d, spans: d.select(F.col("row").withField("text", _without(F.col("text"), spans, mark)).alias("row")).select("row.*")
     plain = done(df.filter(F.size("bare") == 0), F.col("base"))
     judged = _judged(df, max_owners).filter(F.size("added") > 0).select("doc_id", "text_key", "added")
     waiting = df.filter(F.size("bare") > 0).alias("a").join(judged.alias("b"), _same_row("a", "b"), "left")
