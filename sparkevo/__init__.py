@@ -1,0 +1 @@
+"""Spark-native data preparation, profiling, evaluation and evolutionary search over DataFrames."""
