@@ -20,7 +20,7 @@ from ..functions.hashing import uniform
 QUERIES = 4096
 
 
-def _best(held, k: int, same_class: bool, missing: bool):
+def _best(held, k: int, same_class: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors, labels = held.value
         top_d = np.full((len(ids), k), np.inf)
@@ -52,14 +52,14 @@ def _best(held, k: int, same_class: bool, missing: bool):
     return run
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int, same_class: bool = False) -> DataFrame:
-    """id, nb, nb_label, distance (squared Euclidean), place 1..k of the nearest other rows of every query row.
+def nearest(rows: DataFrame, is_query: Column, k: int, same_class: bool = False, donors: Column | None = None) -> DataFrame:
+    """id, nb, nb_label, distance (squared Euclidean), place 1..k of the nearest other rows (donors) of every query row.
 
     rows has id (whole), label (whole) and features (array of numbers, all of one length); ties go to the least id.
     """
     spark = rows.sparkSession
-    rows = rows.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("label").cast("bigint"), F.lit(-1)).alias("label"), F.col("features").cast("array<double>").alias("features"))
-    queries = rows.filter(is_query)
+    shaped = lambda d: d.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("label").cast("bigint"), F.lit(-1)).alias("label"), F.col("features").cast("array<double>").alias("features"))
+    queries, rows = shaped(rows.filter(is_query)), shaped(rows if donors is None else rows.filter(donors))
     blocks = max(1, -(-queries.count() // QUERIES))
     found = None
     for b in range(blocks):
@@ -68,7 +68,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int, same_class: bool = False)
         if not len(own):
             continue
         held = spark.sparkContext.broadcast((own["id"].to_numpy(), vectors, own["label"].to_numpy()))
-        part = rows.mapInPandas(_best(held, k, same_class, False), "id bigint, nb bigint, nb_label bigint, distance double")
+        part = rows.mapInPandas(_best(held, k, same_class), "id bigint, nb bigint, nb_label bigint, distance double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "id bigint, nb bigint, nb_label bigint, distance double, place int")

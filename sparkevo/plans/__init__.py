@@ -1,6 +1,6 @@
 """Registered queries over the standard tables, each with its SQL where SQL can express it."""
 
-from . import evolution_queries, profile_queries, score_queries  # noqa: F401
+from . import evolution_queries, profile_queries, score_queries, search_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
