@@ -6,8 +6,8 @@ score each piece, from the end, begins as early as it can. This reads a model as
 was trained as, so for a BPE model ids differ from the merges of the library while decoding gives the same
 text. All scores of the public models are whole numbers, so sums are exact at any length.
 
-Most texts are cut at words, which no piece spans, and words are cached (the library itself solves those of
-known characters). Giant texts are split into chunks of fixed length, in parallel: (1) every chunk yields its
+Most texts are cut at words, which no piece spans, and the best cuts of words are remembered. (The library's own
+search is not used: read as unigram, it misses the best cut of about one word in 200.) Giant texts are split into chunks of fixed length, in parallel: (1) every chunk yields its
 transfer matrix, best score by entry and exit state, where a state is how far a piece reaches over the
 boundary; (2) per text, vectors and matrices combine in max-plus algebra to the scores at each boundary;
 (3) every chunk keeps its back steps and its map of exit to entry states; (4) per text, the maps compose from
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,52 +35,23 @@ from . import common
 
 #: Characters beyond which a text is giant, and of a chunk of one.
 GIANT, CHUNK = 49_152, 8_192
-CACHE = 300_000
+#: Words that a worker remembers at most.
+CACHE = 500_000
 _NONE = -(1 << 62)
 _MODELS: dict[str, Model] = {}
 
 
-def _fields(b: bytes) -> Iterator[tuple[int, int, int, bytes | int]]:
-    """(field, place, wire type, value) of a protocol buffer message."""
-    at = 0
-
-    def varint() -> int:
-        nonlocal at
-        n = shift = 0
-        while True:
-            c = b[at]
-            at += 1
-            n |= (c & 127) << shift
-            shift += 7
-            if c < 128:
-                return n
-
-    while at < len(b):
-        key = varint()
-        place = at
-        if key & 7 == 2:
-            size = varint()
-            place = at
-            yield key >> 3, place, 2, b[at : at + size]
-            at += size
-        elif key & 7 == 0:
-            yield key >> 3, place, 0, varint()
-        else:
-            size = 4 if key & 7 == 5 else 8
-            yield key >> 3, place, key & 7, b[at : at + size]
-            at += size
-
-
-def as_unigram(model: bytes) -> bytes:
-    """The model with its kind set to unigram and no dummy prefix: the library then finds the best-scored cut."""
-    out = bytearray(model)
-    for field, place, _, value in _fields(model):
-        wanted = {2: (3, 1), 3: (3, 0)}.get(field)  # trainer: model_type; normalizer: add_dummy_prefix
-        if wanted:
-            for own, inner, _, _ in _fields(value):
-                if own == wanted[0]:
-                    out[place + inner] = wanted[1]
-    return bytes(out)
+class _Cuts(dict):
+    """Best cuts of words, as bytes of 32-bit ids, remembered up to CACHE words."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("i", self.model.cut(word)).tobytes()
+        if len(self) < CACHE and len(word) < 100:
+            self[word] = ids
+        return ids
 
 
 class Model:
@@ -91,7 +63,7 @@ class Model:
 
         with open(path, "rb") as f:
             raw = f.read()
-        self.lib = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(raw))
+        self.lib = sentencepiece.SentencePieceProcessor(model_proto=raw)
         n = self.lib.vocab_size()
         plain = [i for i in range(n) if not (self.lib.is_control(i) or self.lib.is_unknown(i) or self.lib.is_byte(i) or self.lib.is_unused(i))]
         text = {i: self.lib.id_to_piece(i).replace("▁", " ") for i in plain}
@@ -108,17 +80,21 @@ class Model:
             self.bytes[i] = bytes([b])
         self.find = ahocorasick.Automaton()
         for t in self.ids:
-            self.find.add_word(t, (len(t), self.score[t]))
+            self.find.add_word(t, (len(t), self.score[t], self.ids[t]))
         self.find.make_automaton()
-        # The library sums scores as 32-bit floats: exact for words of known characters and moderate scores.
-        self.exact = re.compile("[" + "".join(re.escape(c) for c in self.single) + "]{1,200}\\Z")
-        self.cache: dict[str, tuple[int, ...]] = {}
-        # Words begin at a space after anything else; characters of no piece stand alone.
-        self.words = re.compile(" +[^ \n]*|\n|[^ \n]+") if all(" " not in t.lstrip(" ") and "\n" not in t for t in self.ids) else re.compile("(?s:.+)")
+        # No piece has a space after another character, or a line end beside one: texts may be cut there.
+        assert not any(" " in t.lstrip(" ") or ("\n" in t and len(t) > 1) for t in self.ids), "pieces span words"
+        letter = "[a-z\u00df-\u00f6\u00f8-\u00ff]"
+        stops = any(re.search(f"{letter}[.,]", t) for t in self.ids)  # else texts may be cut before such a mark too
+        self.words = re.compile(" +[^ \n]*|\n|[^ \n]+" if stops else f" *(?:[^ \n.,]*{letter}(?=[.,])|[^ \n]+)|\n| +")
+        self.known = _Cuts(self)
+        self.size = np.array([len(b) for b in self.bytes])
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def matches(self, s: str, own: int) -> list[tuple[int, int, int]]:
         """(end, begin, score) of pieces and unknown characters in s that begin before own, by end, then begin."""
-        found = [(end + 1, end + 1 - n, score) for end, (n, score) in self.find.iter(s) if end + 1 - n < own]
+        found = [(end + 1, end + 1 - n, score) for end, (n, score, _) in self.find.iter(s) if end + 1 - n < own]
         lone = [(i + 1, i, self.unknown) for i, c in enumerate(s[:own]) if c not in self.single]
         found += lone
         found.sort()
@@ -186,24 +162,46 @@ class Model:
 
     def cut(self, s: str) -> list[int]:
         """Ids of the best cut of s, alone."""
-        _, back = self.best(s, len(s), [0])
-        return self.trace(s, back, len(s))[1]
+        if not self.single.issuperset(s):
+            return self.trace(s, self.best(s, len(s), [0])[1], len(s))[1]
+        score: list[int | None] = [None] * (len(s) + 1)
+        back: list[tuple[int, int, int] | None] = [None] * (len(s) + 1)
+        score[0] = 0
+        for last, piece in self.find.iter(s):  # by end, the longest first
+            had = score[last + 1 - piece[0]]
+            if had is not None:
+                had += piece[1]
+                if score[last + 1] is None or had > score[last + 1]:
+                    score[last + 1] = had
+                    back[last + 1] = piece
+        ids, end = [], len(s)
+        while end:
+            n, _, i = back[end]
+            ids.append(i)
+            end -= n
+        ids.reverse()
+        return ids
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of text as 32-bit integers."""
+        return b"".join(map(self.known.__getitem__, self.words.findall(" " + text))) if text else b""
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the offsets of each."""
+        parts = [self.encode_bytes(t) for t in texts]
+        return np.frombuffer(b"".join(parts), np.int32), np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int64)
 
     def encode(self, text: str) -> list[int]:
-        words = self.words.findall(" " + text) if text else []
-        new = list({w for w in words if w not in self.cache})
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(set(words))
-        easy = [w for w in new if self.exact.match(w) and "  " not in w]
-        self.cache.update(zip(easy, map(tuple, self.lib.encode(easy, num_threads=1) if easy else [])))
-        for w in new:
-            if w not in self.cache:
-                self.cache[w] = tuple(self.cut(w))
-        return list(chain.from_iterable(map(self.cache.__getitem__, words)))
+        return self.encode_all([text])[0].tolist()
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of the text that ids stand for."""
+        n = self.size[ids]
+        at = np.repeat(self.start[ids] - (np.cumsum(n) - n), n)
+        return self.flat[at + np.arange(len(at))].tobytes()[1:]
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids))[1:].decode()
+        return self.decode_bytes(np.asarray(ids, np.int64)).decode()
 
 
 def model(path: str) -> Model:
@@ -235,11 +233,21 @@ _EXIT_SCHEMA = pa.schema([("sha", pa.string()), ("no", pa.int64()), ("exit", pa.
 _PART_SCHEMA = pa.schema([("sha", pa.string()), ("no", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
+def _lists(flat: np.ndarray, offsets: np.ndarray, null: list[bool]) -> pa.ListArray:
+    """A list column; lists are null where told so."""
+    marked = pa.array([None if gone else int(o) for o, gone in zip(offsets, [*null, False])], pa.int32())
+    return pa.ListArray.from_arrays(marked, pa.array(flat, pa.int32()))
+
+
 def _encode_short(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        rows = ((d, s, 0, None if t is None else own.encode(t)) for b in batches for d, s, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "sha", "text"))))
-        yield from _batches(rows, _IDS_SCHEMA, lambda r: 100 + 4 * len(r[3] or ()))
+        for batch in batches:
+            for rows, _, _ in common.text_slices(batch):
+                texts = rows.column("text").to_pylist()
+                flat, offsets = own.encode_all([t or "" for t in texts])
+                ids = _lists(flat, offsets, [t is None for t in texts])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("sha"), pa.array([0] * len(texts), pa.int64()), ids], schema=_IDS_SCHEMA)
 
     return run
 
@@ -367,7 +375,7 @@ def _decode(path: str):
         own = model(path)
         for b in batches:
             rest = b.drop_columns(["ids"])
-            text = pa.array([None if x is None else own.decode(x) for x in b.column("ids").to_pylist()], pa.string())
+            text = pa.array([None if x is None else own.decode_bytes(x).decode() for x in _id_arrays(b.column("ids"))], pa.string())
             yield pa.RecordBatch.from_arrays([*rest.columns, text], names=[*rest.schema.names, "text"])
 
     return run
@@ -382,17 +390,22 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return order.mapInArrow(_decode(path), schema)
 
 
+def _id_arrays(column: pa.ListArray) -> list[np.ndarray | None]:
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] if v else None for a, b, v in zip(at, at[1:], column.is_valid().to_pylist())]
+
+
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for b in batches:
-            ids = b.column("ids").to_pylist()
-            crc = [None if x is None else zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
-            sha = [None if x is None else hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids]
+            ids = _id_arrays(b.column("ids"))
+            crc = [None if x is None else zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+            sha = [None if x is None else hashlib.sha256(own.decode_bytes(x)).hexdigest() for x in ids]
             n = [None if x is None else len(x) for x in ids]
             same = [a == c for a, c in zip(sha, b.column("sha").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_chunks"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same)],
+                [b.column("doc_id"), b.column("n_chunks"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())],
                 names=["doc_id", "n_chunks", "n_pieces", "ids_crc32", "decoded_sha256", "exact"],
             )
 
