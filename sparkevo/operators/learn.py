@@ -28,12 +28,12 @@ def make_model(kind: str, p: dict, classes: int, width: int, seed: int = 42):
     if kind == "random_forest":
         return RandomForestClassifier(numTrees=int(p.get("trees", 50)), maxDepth=int(p.get("max_depth", 10)), minInstancesPerNode=int(p.get("min_leaf", 1)), featureSubsetStrategy=p.get("features", "sqrt"), seed=seed)
     if kind == "logistic":
-        return LogisticRegression(regParam=1 / float(p.get("C", 1.0)) / 1000, elasticNetParam=1.0 if p.get("penalty") == "l1" else 0.0, maxIter=50)
+        return LogisticRegression(regParam=1 / float(p.get("C", 1.0)) / 1000, elasticNetParam=1.0 if p.get("penalty") == "l1" else 0.0, maxIter=20)
     if kind == "mlp":
         hidden = [int(p[k]) for k in ("layer1", "layer2", "layer3") if int(p.get(k, 0) or 0) > 0] or [100]
         return MultilayerPerceptronClassifier(layers=[width, *hidden, classes], maxIter=int(p.get("max_iter", 100)), seed=seed)
     if kind == "svm":
-        one = LinearSVC(regParam=1 / float(p.get("C", 1.0)) / 1000, maxIter=50)
+        one = LinearSVC(regParam=1 / float(p.get("C", 1.0)) / 1000, maxIter=20)
     elif kind == "gbt":
         one = GBTClassifier(maxIter=int(p.get("trees", 20)), maxDepth=int(p.get("max_depth", 5)), stepSize=float(p.get("rate", 0.1)), subsamplingRate=float(p.get("subsample", 1.0)), seed=seed)
     else:
@@ -97,7 +97,7 @@ class SearchTask:
             self.memo[known] = float(np.mean(scores))
         return self.memo[known]
 
-    def search(self, size: int = 4, generations: int = 2) -> list[tuple[int, int, dict, float]]:
+    def search(self, size: int = 2, generations: int = 2) -> list[tuple[int, int, dict, float]]:
         """(generation, individual, values, fitness) of a small evolution: keep the best half, mutate it for the rest."""
         names = gene_names(self.space)
         spark = self.frame.sparkSession

@@ -245,30 +245,33 @@ def labelled(t):
     return vectors(t).withColumnRenamed("id", "row_id").withColumn("label", F.col("label").cast("int"))
 
 
-def _model(kind: str, **parameters):
+def binary(t):
+    return labelled(t).withColumn("label", (F.col("label") >= 5).cast("int"))
+
+
+def _model(kind: str, frame=labelled, classes: int = 10, **parameters):
     def run(t):
         """A fifth of the rows, stratified, is held out; one row of its metrics."""
-        split = prepare.stratified_split(labelled(t), "label", "row_id")
+        split = prepare.stratified_split(frame(t), "label", "row_id").persist()
         train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
-        said = learn.predictions(kind, parameters, train, test, 10, 64)
+        said = learn.predictions(kind, parameters, train, test, classes, 64)
         return metrics.accuracy(said).join(F.broadcast(metrics.balanced_accuracy(said)))
 
     query(None, f"model_{kind}")(run)
 
 
-_model("random_forest", trees=20, max_depth=8)
+_model("random_forest", trees=10, max_depth=6)
 _model("logistic", C=1.0)
-_model("mlp", layer1=32, max_iter=60)
-_model("svm", C=1.0)
-_model("gbt", trees=5, max_depth=3)
+_model("mlp", layer1=16, max_iter=20)
+_model("svm", binary, 2, C=1.0)
+_model("gbt", binary, 2, trees=3, max_depth=3)
 _model("knn", k=5, weights="distance")
 
 
 @query()
 def model_search(t):
-    """A small search over forests: generation, individual, fitness and values."""
-    binary = labelled(t).withColumn("label", (F.col("label") >= 5).cast("int"))
-    return learn.tune(binary, ["logistic"], folds=2)
+    """A small search over linear models: generation, individual, fitness and values."""
+    return learn.tune(binary(t), ["logistic"], folds=2)
 
 
 @query()
@@ -276,7 +279,7 @@ def ga_run(t):
     """Best and mean fitness per generation of a search for genes near one half."""
     start = t("supplier").select(F.col(K).alias("ind_id"), F.array(*[u(1, i) for i in range(4)]).alias("genes"))
     fit = lambda d: d.withColumn("fitness", -F.aggregate("genes", F.lit(0.0), lambda s, x: s + (x - 0.5) * (x - 0.5)))
-    _, history = evolve.run(start, fit, evolve.Settings(generations=4, mutation=0.5, shared=shared(t)))
+    _, history = evolve.run(start, fit, evolve.Settings(generations=2, mutation=0.5, shared=shared(t)))
     return start.sparkSession.createDataFrame(history, "gen int, best double, mean double")
 
 
@@ -284,7 +287,7 @@ def ga_run(t):
 def nsga2_run(t):
     """Survivors of two opposed aims after two generations."""
     start = t("supplier").select(F.col(K).alias("ind_id"), F.array(*[F.floor(u(2, i) * 4) / 4 for i in range(4)]).alias("genes"))
-    aims = lambda d: d.withColumns({"obj_0": F.floor(4 * (F.col("genes")[0] + F.col("genes")[1])).cast("double"), "obj_1": -F.floor(4 * (F.col("genes")[0] + F.col("genes")[2])).cast("double")})
+    aims = lambda d: d.withColumns({"obj_0": F.floor(F.col("genes")[0] + F.col("genes")[1]).cast("double"), "obj_1": -F.floor(F.col("genes")[0] + F.col("genes")[2]).cast("double")})
     return evolve.nsga2(start, aims, 2, evolve.Settings(generations=1, shared=shared(t))).select("ind_id", "obj_0", "obj_1", "pareto_rank", "crowding")
 
 
