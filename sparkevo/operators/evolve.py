@@ -21,6 +21,7 @@ from . import pareto, select, vary
 class Settings:
     """Sizes and rates of a run (defaults: fixed values users know)."""
 
+    shared: str  # a folder that all executors share
     genes: int = 4
     crossover: float = 0.8
     mutation: float = 0.1
@@ -28,7 +29,6 @@ class Settings:
     generations: int = 10
     patience: int = 10
     seed: int = 42
-    shared: str = "/tmp/checkpoints"
 
 
 def _kept(df: DataFrame, s: Settings, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
+from ..functions.shared import scratch
 from ..operators import evolve, learn, metrics, neighbours, niche, pareto, prepare, profile
 from ..operators.components import PCA, moments
 from ..operators.frame import onehot_class
@@ -17,9 +18,7 @@ from .registry import query
 
 
 def shared(t) -> str:
-    """The folder that all executors share."""
-    spark = t("region").sparkSession
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints").rstrip("/")
+    return scratch(t("region").sparkSession)
 
 
 # --- Pareto ----------------------------------------------------------------------------------------
