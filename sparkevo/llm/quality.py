@@ -154,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", use: Colum
     if use is not None:
         marks, docs = marks.filter(use), docs.filter(use)
     marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"))
-    known = docs.select("doc_id", "text").join(marks, "doc_id").select("text", "label")
+    # A sort-merge join at every size: labels grow with the corpus, so their broadcast would end somewhere.
+    known = docs.select("doc_id", "text").join(marks.hint("shuffle_merge"), "doc_id").select("text", "label")
     counted = known.mapInArrow(_count, "block int, label int, body binary").groupBy("block", "label").applyInArrow(_add, "block int, label int, body binary")
     counts = np.zeros((2, BUCKETS))
     for r in counted.collect():  # BUCKETS numbers a class, whatever the input
