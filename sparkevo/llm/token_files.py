@@ -16,7 +16,9 @@ first; rows that share a doc_id follow each other in the order of their texts.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,8 @@ from . import common
 
 END_ID = 2
 ROW_GROUP, PAGE_ROWS = 16 << 20, 1000
-#: Words that a worker remembers at most before it forgets them all.
-CACHE = 400_000
+#: Words beyond which a worker remembers no more.
+CACHE = 500_000
 
 _TOKENIZERS: dict[str, tuple] = {}
 
@@ -44,30 +46,45 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Token ids of each text, without special tokens."""
+def _units(text: str) -> list[bytes]:
+    """Parts of a text whose ids follow each other: words, their closing marks apart, in lower case where it is ASCII.
+
+    White space is dropped and letters are lowered by the tokenizer anyway, and marks after a letter or digit are
+    tokens of their own; a text that may hold a special token keeps its case.
+    """
+    raw = text.encode()
+    if b"<|" not in raw:
+        raw = raw.lower()
+    return _CLOSING.sub(b" ", raw).split()
+
+
+_CLOSING = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?]+(?:[\t-\r ]|\Z))")
+
+
+def encode_texts(texts: list[str], path: str) -> list[bytes]:
+    """Token ids of each text, without special tokens added, as little-endian 32-bit integers."""
     tokenizer, known = _tokenizer(path)
-    split = [t.encode().split() for t in texts]  # at ASCII white space
-    new = {w for words in split for w in words}.difference(known)
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = {w for words in split for w in words}
-    new = list(new)
-    for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-        known[w] = np.array(e.ids, np.int32)
-    nothing = np.zeros(0, np.int32)
-    return [np.concatenate([known[w] for w in words]) if words else nothing for words in split]
+    split = [_units(t) for t in texts]
+    new = list({u for units in split for u in units if u not in known})
+    found = tokenizer.encode_batch_fast([u.decode() for u in new], add_special_tokens=False)
+    fresh = {u: array("i", e.ids).tobytes() for u, e in zip(new, found)}
+    if len(known) < CACHE:  # frequent words come early, so a full cache is kept
+        known.update(fresh)
+        fresh = {}
+    if not fresh:
+        return [b"".join(map(known.__getitem__, units)) for units in split]
+    return [b"".join([known.get(u) or fresh.get(u, b"") for u in units]) for units in split]
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, end = 0, np.array([end_id], np.int32)
+        row, end = 0, array("i", [end_id]).tobytes()
         for batch in batches:
             for rows, data, offsets in common.text_slices(batch):
                 texts = [bytes(data[a:b]).decode() for a, b in zip(offsets, offsets[1:])]
-                ids = [np.concatenate((x, end)) for x in encode_texts(texts, path)]
-                n = np.array([len(x) for x in ids], np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(ids)))
+                ids = [x + end for x in encode_texts(texts, path)]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.arange(row, row + len(n)), pa.int64()), pa.array(n), flat], names=["doc_id", "row", "n_tokens", "ids"])
                 row += len(n)
 
