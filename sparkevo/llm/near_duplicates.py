@@ -33,7 +33,7 @@ from . import common
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, LONGEST, RECALL = 16, 8, 0.9995
-BLOCK, SEED = 256, 42
+BLOCK, SEED, SALTS = 256, 42, 16
 
 
 def depth(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, longest: int = LONGEST) -> int:
@@ -235,7 +235,9 @@ def components(edges: DataFrame) -> DataFrame:
             # large star: greater neighbours of a node move to the least of its neighbourhood; small star: the others
             sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
             least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-            met = sides.join(least, "u")
+            # The centre of a large star is one key with many edges: edges are dealt out by a salt as well.
+            salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            met = sides.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
             if large:
                 moved = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             else:
