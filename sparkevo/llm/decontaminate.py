@@ -7,8 +7,9 @@ The CGK embedding walks a sequence: output j is the word at the pointer, which t
 that depends on j and the word. Two sequences that an edit separates fall into step again soon, so a small
 edit distance becomes a small Hamming distance. Each of ``ROUNDS`` independent walks is sampled at ``SAMPLES``
 output places; a window and an item that agree at all places of any walk are candidates, and the edit distance
-is then computed exactly. Copies always agree; near the limit of RATE a walk agrees about one time in three,
-so ROUNDS of them miss about one window in a thousand.
+is then computed exactly. Copies always agree. The chance that a walk agrees falls with the number of edits
+allowed, so ``plan`` tries the walks on made pairs at the limit and takes, for each length, fewer places and then
+more sets of them until ``TARGET`` of the pairs of each kind of edit agree; where none does, every window is verified.
 
 Only windows near a shared run of words are embedded: n words with k edits keep a run of (n - k) / (k + 1)
 words, so this leaves out no window within the limit.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from . import common
 
 RATE, LEAST = 0.15, 5
 ROUNDS, SAMPLES, SEED = 16, 3, 42
+#: Share of windows exactly at the limit that must become candidates, and the made pairs of each kind that it is measured on.
+TARGET, TRIALS = 0.995, 300
 BLOCK = 8 << 20
 _OTHER = re.compile(r"\W+")
 
@@ -49,27 +53,69 @@ def limit(n: int, rate: float = RATE) -> int:
     return int(rate * n + 1e-9)
 
 
-def cgk_keys(windows: np.ndarray, rounds: int = ROUNDS, samples: int = SAMPLES, seed: int = SEED) -> np.ndarray:
-    """A key for each row of words and each round: the hash of the sampled outputs of the round's walk."""
+def cgk_keys(windows: np.ndarray, rounds: int = ROUNDS, samples: int = SAMPLES, seed: int = SEED, sets: int = 1) -> np.ndarray:
+    """A key for each row of words, each round and each of its sets of samples: the hash of the outputs there of the round's walk."""
     rows, n = windows.shape
-    out = np.zeros((rows, rounds), np.uint64)
+    out = np.zeros((rows, rounds * sets), np.uint64)
     padded = np.concatenate((windows, np.zeros((rows, 1), np.uint64)), axis=1)
     every = np.arange(rows)
     for r in range(rounds):
-        random = np.random.default_rng((seed, n, r))
-        taken = np.sort(random.integers(0, max(1, 2 * n), samples))  # a walk is past its n-th word after about 2n steps
+        random = np.random.default_rng((seed, r))  # the same walks at every length, so that a plan holds for those near it
+        taken = (random.random((sets, samples)) * 2 * n).astype(np.int64)  # a walk is past its n-th word after about 2n steps
         bits = random.integers(0, 2**63, 2 * n + 1, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         at = np.zeros(rows, np.int64)
         step = 0
-        for t in taken:
-            while step < t:
+        for place in np.argsort(taken, axis=None, kind="stable"):
+            while step < taken.flat[place]:
                 word = padded[every, at]
                 at = np.minimum(at + (common.mix(word * bits[step]) >> np.uint64(63)).astype(np.int64), n)
                 step += 1
-            out[:, r] = common.mix(out[:, r] * np.uint64(31) + padded[every, at], int(r))
+            own = r * sets + place // samples
+            out[:, own] = common.mix(out[:, own] * np.uint64(31) + padded[every, at], int(own))
     return out
 
 
+def made_pairs(n: int, k: int, trials: int = TRIALS, seed: int = SEED) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Items of n different words, and for each kind of edit (substituted, deleted, inserted, mixed) windows k edits away."""
+    random = np.random.default_rng((seed, n, k))
+    items = random.integers(1, 2**63, (trials, n), dtype=np.int64).astype(np.uint64)
+    kinds = []
+    for weights in ((1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 1)):
+        windows = random.integers(1, 2**63, (trials, n), dtype=np.int64).astype(np.uint64)  # what follows is other text
+        for row, item in zip(windows, items):
+            kind = np.zeros(n, np.int64)
+            kind[random.choice(n, k, replace=False)] = 1 + random.choice(3, k, p=np.array(weights) / sum(weights))
+            new = np.repeat(item, np.array([1, 1, 0, 2])[kind])
+            first = np.cumsum(np.array([1, 1, 0, 2])[kind]) - np.array([1, 1, 0, 2])[kind]
+            changed = first[(kind == 1) | (kind == 3)]
+            new[changed] = random.integers(1, 2**63, len(changed), dtype=np.int64).astype(np.uint64)
+            row[: len(new)] = new[:n]
+        kinds.append(windows)
+    return items, kinds
+
+
+@lru_cache(maxsize=4096)
+def _planned(n: int, k: int, rounds: int, samples: int, seed: int) -> tuple[int, int]:
+    items, kinds = made_pairs(n, k, seed=seed)
+    for places, sets in [(p, 1) for p in range(samples, 0, -1)] + [(1, 1 << i) for i in range(1, 8)]:
+        keys = cgk_keys(np.concatenate([items, *kinds]), rounds, places, seed, sets).reshape(len(kinds) + 1, len(items), -1)
+        if ((keys[1:] == keys[0]).any(axis=2).mean(axis=1) >= TARGET).all():
+            return places, sets
+    return 0, 0
+
+
+def plan(n: int, rate: float = RATE, rounds: int = ROUNDS, samples: int = SAMPLES, seed: int = SEED) -> tuple[int, int]:
+    """Places (at most samples) and sets of them a walk with which TARGET of windows at the limit agree; (0, 0) if none do.
+
+    Tried at the next of a few lengths, which allows at least as many edits.
+    """
+    if not limit(n, rate):
+        return samples, 1
+    step = 20 * common.power_of_two(n / 160)
+    up = -(-n // step) * step
+    return _planned(up, max(limit(up, rate), limit(n, rate)), rounds, samples, seed)
+
+
 def edit_distance(a: list[int], b: list[int], most: int) -> int:
     """Edit distance of two sequences, or most + 1 if it is larger."""
     if abs(len(a) - len(b)) > most:
@@ -93,7 +139,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]], rate: float, rounds: int, samples: int, seed: int) -> None:
         words, first = _texts([t for _, t in items])
-        self.rounds, self.samples, self.seed = rounds, samples, seed
+        self.rounds, self.plans, self.seed = rounds, {}, seed
         self.ids = [i for i, _ in items]
         self.words = [words[a:b] for a, b in zip(first, first[1:])]
         self.most = np.array([limit(len(w), rate) for w in self.words], np.int64)
@@ -115,7 +161,9 @@ class Index:
         self.keys = {}
         for n in sorted({int(s) for s in size if s >= LEAST}):
             own = np.flatnonzero(size == n)
-            self.keys[n] = own, cgk_keys(np.stack([self.words[k] for k in own]), rounds, samples, seed)
+            self.plans[n] = plan(n, rate, rounds, samples, seed)
+            places, sets = self.plans[n]
+            self.keys[n] = own, cgk_keys(np.stack([self.words[k] for k in own]), rounds, places, seed, sets)
 
     def near(self, words: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
         """By size: places in words where windows begin whose text shares a seed with an item of that size there."""
@@ -150,9 +198,10 @@ class Index:
                 row = np.searchsorted(first, begin, "right") - 1
                 at = begin[:, None] + np.arange(n)
                 windows = np.where(at < first[row + 1][:, None], words[np.minimum(at, len(words) - 1)], np.uint64(0))
-                got = cgk_keys(windows, self.rounds, self.samples, self.seed)
-                alike = np.zeros((len(begin), len(own)), bool)
-                for r in range(self.rounds):
+                places, sets = self.plans[n]
+                got = cgk_keys(windows, self.rounds, places, self.seed, sets)
+                alike = np.full((len(begin), len(own)), not sets)
+                for r in range(got.shape[1]):
                     alike |= got[:, r, None] == keys[None, :, r]
                 for w, i in zip(*np.nonzero(alike)):
                     k = int(own[i])

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,6 +73,21 @@ def test_recall_of_edited_items():
     assert due > 100 and met >= 0.97 * due
 
 
+@pytest.mark.parametrize("n", [20, 60, 100, 200])
+def test_recall_of_substitutions_at_the_limit(n):
+    random = np.random.default_rng(n)
+    items = [(i, " ".join(f"w{random.integers(10**6)}" for _ in range(n))) for i in range(60)]
+    index = D.Index(items, D.RATE, D.ROUNDS, D.SAMPLES, D.SEED)
+    docs = []
+    for _, text in items:
+        new = text.split()
+        for at in random.choice(n, D.limit(n), replace=False):
+            new[at] = f"other{at}"
+        docs.append(" ".join(["x"] * 30 + new + ["y"] * 30))
+    found = index.matches(*D._texts(docs))
+    assert sum((i, i) in found for i in range(60)) >= 59
+
+
 def test_odd(spark, odd_docs, no_docs):
     item = " ".join(f"common{i}" for i in range(45))
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "and"), (None, "also an item with six words")], "item_id bigint, text string")
