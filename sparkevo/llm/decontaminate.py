@@ -1,7 +1,8 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
 Texts and items become sequences of words (runs of letters, digits and _, in lower case). A window of as many
-words as an item has contaminates a text if their edit distance in words is at most ``RATE`` of the item's.
+words as an item has, or up to k more or fewer, contaminates a text if their edit distance in words is at most k,
+which is ``RATE`` of the item's words.
 
 The CGK embedding walks a sequence: output j is the word at the pointer, which then advances by a random bit
 that depends on j and the word. Two sequences that an edit separates fall into step again soon, so a small
@@ -11,13 +12,14 @@ is then computed exactly. Copies always agree. The chance that a walk agrees fal
 allowed, so ``plan`` tries the walks on made pairs at the limit and takes, for each length, fewer places and then
 more sets of them until ``TARGET`` of the pairs of each kind of edit agree; where none does, every window is verified.
 
+Candidates are windows of the item's length; from where they begin, the distance is the least over all ends.
+
 Only windows near a shared run of words are embedded: n words with k edits keep a run of (n - k) / (k + 1)
 words, so this leaves out no window within the limit.
 
 Items are broadcast in blocks of at most ``BLOCK`` bytes; a larger benchmark takes more passes. Texts are not
-shuffled. Defined cases: null and empty texts and items have no words; items of under ``LEAST`` words are
-passed over, as such phrases occur in clean texts; repeated rows give a row each; windows may end up to k words
-after the text does.
+shuffled. Defined cases: null and empty texts and items have no words and match nothing; items too short for an
+edit match exactly, so an item of one word meets every text that has it; repeated rows give a row each.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RATE, LEAST = 0.15, 5
+RATE, LEAST = 0.15, 1
 ROUNDS, SAMPLES, SEED = 16, 3, 42
 #: Share of windows exactly at the limit that must become candidates, and the made pairs of each kind that it is measured on.
 TARGET, TRIALS = 0.995, 300
@@ -134,12 +136,38 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
     return row[len(b)]
 
 
+def free_end_distances(windows: np.ndarray, items: np.ndarray, most: int, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of items: its least edit distance to a beginning of the row of windows, and that beginning's words.
+
+    Rows of windows have most more words than those of items; only beginnings of at most room words, and of at most
+    most words more or fewer than the item, count. A distance over most may be any number over it. Ties go to the
+    length nearest to the item's, then to the shorter.
+    """
+    rows, n = items.shape
+    shift = np.arange(-most, most + 1)
+    far = np.int32(n + 2 * most + 2)
+    padded = np.concatenate((np.zeros((rows, most + 1), np.uint64), windows), axis=1)
+    d = np.broadcast_to(np.where(shift >= 0, shift, far).astype(np.int32), (rows, len(shift))).copy()
+    end = np.full((rows, 1), far)
+    for i in range(1, n + 1):
+        at = i + shift  # words of the window so far
+        through = d + (padded[:, i : i + len(shift)] != items[:, i - 1 : i])
+        through[:, at <= 0] = far
+        d = np.minimum(through, np.concatenate((d[:, 1:], end), axis=1) + 1)
+        d[:, at < 0] = far
+        d = (np.minimum.accumulate(d - shift, axis=1) + shift).astype(np.int32)
+    d[n + shift > room[:, None]] = far
+    order = np.argsort(np.abs(shift), kind="stable")
+    best = order[np.argmin(d[:, order], axis=1)]
+    return d[np.arange(rows), best], n + shift[best]
+
+
 class Index:
     """Items' words, seeds (runs of words with their places) and keys; bounded by the block of items it is made of."""
 
     def __init__(self, items: list[tuple[int, str | None]], rate: float, rounds: int, samples: int, seed: int) -> None:
         words, first = _texts([t for _, t in items])
-        self.rounds, self.plans, self.seed = rounds, {}, seed
+        self.rate, self.rounds, self.plans, self.seed = rate, rounds, {}, seed
         self.ids = [i for i, _ in items]
         self.words = [words[a:b] for a, b in zip(first, first[1:])]
         self.most = np.array([limit(len(w), rate) for w in self.words], np.int64)
@@ -158,15 +186,16 @@ class Index:
             quick = np.zeros(1 << 20, bool)
             quick[h >> np.uint64(44)] = True
             self.seeds[run] = h[order], item[order], place[order], quick
-        self.keys = {}
+        self.keys, self.matrix = {}, {}
         for n in sorted({int(s) for s in size if s >= LEAST}):
             own = np.flatnonzero(size == n)
             self.plans[n] = plan(n, rate, rounds, samples, seed)
             places, sets = self.plans[n]
-            self.keys[n] = own, cgk_keys(np.stack([self.words[k] for k in own]), rounds, places, seed, sets)
+            self.matrix[n] = np.stack([self.words[k] for k in own])
+            self.keys[n] = own, cgk_keys(self.matrix[n], rounds, places, seed, sets)
 
-    def near(self, words: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
-        """By size: places in words where windows begin whose text shares a seed with an item of that size there."""
+    def near(self, words: np.ndarray, first: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By size: places in words where windows begin that share a seed with an item of that size, and the item."""
         found: dict[int, list[np.ndarray]] = {}
         for run, (seeds, item, place, quick) in self.seeds.items():
             h = common.rolling(words, run, "window")
@@ -181,35 +210,47 @@ class Index:
             whole = at + run <= first[row + 1]
             at, which, row = at[whole], which[whole], row[whole]
             base, k = at - place[which], item[which]
-            for d in range(-int(self.most.max(initial=0)), int(self.most.max(initial=0)) + 1):
+            for d in range(-int(self.most[k].max(initial=0)), int(self.most[k].max(initial=0)) + 1):
                 begin = base + d
                 good = (abs(d) <= self.most[k]) & (begin >= first[row]) & (begin + self.size[k] - self.most[k] <= first[row + 1])
                 for s in np.unique(self.size[k[good]]):
-                    found.setdefault(int(s), []).append(begin[good & (self.size[k] == s)])
-        return {s: np.unique(np.concatenate(b)) for s, b in found.items()}
-
-    def matches(self, words: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
-        """(text, item) -> (distance, first word) of its best window within the limit."""
-        out: dict[tuple[int, int], tuple[int, int]] = {}
-        for n, begins in self.near(words, first).items():
+                    own = good & (self.size[k] == s)
+                    found.setdefault(int(s), []).append(begin[own] * len(self.ids) + k[own])
+        return {s: np.divmod(np.unique(np.concatenate(b)), len(self.ids)) for s, b in found.items()}
+
+    def matches(self, words: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(text, item) -> (distance, first word, words) of its best window within the limit."""
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for n, (begins, items) in self.near(words, first).items():
+            most = limit(n, self.rate)
             own, keys = self.keys[n]
-            for a in range(0, len(begins), 4096):
-                begin = begins[a : a + 4096]
+            places, sets = self.plans[n]
+            step = max(1, (1 << 21) // (n + most))
+            for a in range(0, len(begins), step):
+                begin, item = begins[a : a + step], items[a : a + step]
                 row = np.searchsorted(first, begin, "right") - 1
-                at = begin[:, None] + np.arange(n)
-                windows = np.where(at < first[row + 1][:, None], words[np.minimum(at, len(words) - 1)], np.uint64(0))
-                places, sets = self.plans[n]
-                got = cgk_keys(windows, self.rounds, places, self.seed, sets)
-                alike = np.full((len(begin), len(own)), not sets)
-                for r in range(got.shape[1]):
-                    alike |= got[:, r, None] == keys[None, :, r]
-                for w, i in zip(*np.nonzero(alike)):
-                    k = int(own[i])
-                    window = windows[w][windows[w] != 0]
-                    d = edit_distance(window.tolist(), self.words[k].tolist(), int(self.most[k]))
-                    if d <= self.most[k]:
-                        key = int(row[w]), k
-                        out[key] = min(out.get(key, (d, int(begin[w] - first[row[w]]))), (d, int(begin[w] - first[row[w]])))
+                room = first[row + 1] - begin
+                ahead = np.arange(n + most)
+                windows = np.where(ahead < room[:, None], words[np.minimum(begin[:, None] + ahead, len(words) - 1)], np.uint64(0))
+                if most and sets:
+                    once, back = np.unique(begin, return_index=True, return_inverse=True)[1:]
+                    got = cgk_keys(windows[once, :n], self.rounds, places, self.seed, sets)
+                    held = np.searchsorted(own, item)
+                    alike = np.zeros(len(begin), bool)
+                    for r in range(got.shape[1]):
+                        alike |= got[back, r] == keys[held, r]
+                    windows, begin, item, row, room = (x[alike] for x in (windows, begin, item, row, room))
+                for b in range(0, len(begin), 2048):
+                    part = slice(b, b + 2048)
+                    d, length = free_end_distances(windows[part], self.matrix[n][np.searchsorted(own, item[part])], most, room[part])
+                    good = np.flatnonzero(d <= most)
+                    r, k, start = row[part][good], item[part][good], begin[part][good] - first[row[part][good]]
+                    order = np.lexsort((start, d[good], k, r))
+                    new = np.ones(len(order), bool)
+                    new[1:] = (np.diff(r[order]) != 0) | (np.diff(k[order]) != 0)
+                    for i in order[new]:
+                        key, value = (int(r[i]), int(k[i])), (int(d[good[i]]), int(start[i]), int(length[good[i]]))
+                        out[key] = min(out.get(key, value), value)
         return out
 
 
@@ -224,8 +265,8 @@ def _find(held):
             out = []
             for rows, lo in _portions(batch.column("text").to_pylist()):
                 words, first = _texts(rows)
-                for (row, k), (d, at) in sorted(index.matches(words, first).items()):
-                    out.append((doc[lo + row], index.ids[k], at, int(index.size[k]), d))
+                for (row, k), (d, at, length) in sorted(index.matches(words, first).items()):
+                    out.append((doc[lo + row], index.ids[k], at, length, d))
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(_FOUND.names, map(list, zip(*out)))), schema=_FOUND)
 

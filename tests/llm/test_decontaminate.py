@@ -73,7 +73,51 @@ def test_recall_of_edited_items():
     assert due > 100 and met >= 0.97 * due
 
 
-@pytest.mark.parametrize("n", [20, 60, 100, 200])
+def free_end(text, item, k):
+    """Least distance over all windows of n - k to n + k words."""
+    n = len(item)
+    return min((plain_distance(text[s : s + m], item) for s in range(len(text)) for m in range(n - k, n + k + 1) if s + m <= len(text)), default=k + 1)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=8), st.lists(st.integers(1, 3), max_size=12), st.integers(0, 3))
+def test_free_end_distances(item, text, most):
+    most, n = min(most, len(item) - 1), len(item)
+    window = np.array((text + [0] * 20)[: n + most], np.uint64)[None]
+    due = [(plain_distance(text[:m], item), abs(m - n), m) for m in range(n - most, min(len(text), n + most) + 1)]
+    d, length = D.free_end_distances(window, np.array([item], np.uint64), most, np.array([len(text)]))
+    if due and min(due)[0] <= most:
+        assert (d[0], length[0]) == (min(due)[0], min(due)[2])
+    else:
+        assert d[0] > most
+
+
+@pytest.mark.parametrize("kind", ["deleted", "inserted"])
+@pytest.mark.parametrize("n", [20, 40, 100])
+def test_recall_of_drift_at_the_limit(n, kind):
+    random = np.random.default_rng(n)
+    items = [(i, " ".join(f"w{random.integers(10**6)}" for _ in range(n))) for i in range(30)]
+    index = D.Index(items, D.RATE, D.ROUNDS, D.SAMPLES, D.SEED)
+    docs, k = [], D.limit(n)
+    for _, text in items:
+        new = text.split()
+        for at in sorted(random.choice(np.arange(1, n - 1), k, replace=False))[::-1]:
+            new[at : at + (kind == "deleted")] = [] if kind == "deleted" else [f"other{at}"]
+        docs.append(" ".join(["x"] * 30 + new + ["y"] * 30))
+    found = index.matches(*D._texts(docs))
+    assert sum((i, i) in found for i in range(30)) >= 29
+    if n == 20:
+        for i, text in items:
+            assert found[i, i][0] == free_end(docs[i].split(), text.split(), k)
+
+
+def test_short_items_match_exactly():
+    index = D.Index([(1, "red fox"), (2, "four words are here"), (3, "fox")], D.RATE, D.ROUNDS, D.SAMPLES, D.SEED)
+    found = index.matches(*D._texts(["a red fox", "red", "Four words are here", "four words were here", "fox"]))
+    assert found == {(0, 0): (0, 1, 2), (0, 2): (0, 2, 1), (2, 1): (0, 0, 4), (4, 2): (0, 0, 1)}
+
+
+@pytest.mark.parametrize("n", [20, 60, 100, 200, 300])
 def test_recall_of_substitutions_at_the_limit(n):
     random = np.random.default_rng(n)
     items = [(i, " ".join(f"w{random.integers(10**6)}" for _ in range(n))) for i in range(60)]
