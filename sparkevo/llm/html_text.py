@@ -1,8 +1,10 @@
 """Main text of HTML pages by two passes of block rules.
 
 Pass one splits a page into blocks and classifies each by stop-word density, length and link density; elements
-that never hold main text (menus, forms, scripts, reader comments and the like, by tag or by class and id) are
-left out, and blocks outside an ``article`` or ``main`` element are boilerplate where the page has one.
+that never hold main text (menus, forms, scripts, reader comments and the like, by tag or by a whole class or id)
+are left out, but for an article or main element in one with such a class or id (other than of comments and related
+pages, which hold articles of their own); blocks outside an ``article`` or ``main`` element are boilerplate where the
+page has one.
 Pass two gives ambiguous blocks (short ones, and text without stop words) the label of the nearest decided
 neighbours; where those differ, a block follows the nearer, and boilerplate in a tie outside an article.
 
@@ -28,42 +30,55 @@ STOP_WORDS = frozenset(
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NEVER = frozenset("nav aside footer form head title button select option dialog menu object audio video canvas label".split())
+_REPLIES = r"comments?|commentlist|disqus|related|recommend\w*|replies|respond"
+#: A whole class or id: a hint, at most with a word for its place before it and one for a container after it. Other
+#: compounds (has-sidebar, with-comments, page-with-ads) tell of a page's layout.
+_NAME = r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|reader|user|post|article|entry)[_-])?(?:{0})(?:[_-](?:{0}|bar|box|list|item|section|area|block|buttons?|links?|container|wrapper|body|form|\d+))*"
 _HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    _NAME.format(
+        rf"{_REPLIES}|ads?|advert\w*|banner|breadcrumbs?|consent|cookies?|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget"
+    ),
     re.I,
 )
+#: Hints of elements that hold articles of their own, which are no main text either.
+_REPLY = re.compile(_NAME.format(_REPLIES), re.I)
+_ARTICLE = re.compile(_NAME.format("comments?|related|promo"), re.I)
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|\b(hidden)\b""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _ROLE = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 
 LONG, STOPS, LINKS = 70, 0.2, 0.5
 
 
-def _left_out(name: str, attributes: str, in_article: bool) -> bool:
+def _left_out(name: str, attributes: str, in_article: bool) -> int:
+    """0 not left out, 1 left out but for an article or main element in it, 2 left out with all in it."""
     if name in _NEVER or (name == "header" and not in_article):
-        return True
+        return 2
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-        if m[5]:
-            return True
         what, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if what in ("class", "id") and name not in ("html", "body", "article", "main") and _HINT.search(value):
-            return True
-        if what == "class" and name == "article" and re.search(r"(?:^|[\s_-])(?:comments?|related|promo)(?:$|[\s_-])", value, re.I):
-            return True
+        if what == "hidden":
+            return 2
+        if what in ("class", "id") and name not in ("html", "body", "article", "main"):
+            for token in value.split():
+                if _HINT.fullmatch(token):
+                    found = max(found, 2 if _REPLY.fullmatch(token) else 1)
+        if what == "class" and name == "article" and any(_ARTICLE.fullmatch(token) for token in value.split()):
+            return 2
         if what == "role" and value.lower() in _ROLE:
-            return True
+            return 2
         if what == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return 2
+    return found
 
 
 def blocks(html: str) -> list[tuple[str, int, bool]]:
     """(text, characters in links, whether in an article) of every block that is not left out."""
     out: list[tuple[str, int, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, left out, in an article
+    open_: list[tuple[str, int, bool]] = []  # name, left out (see _left_out), in an article
     parts: list[str] = []
     linked, anchor, at = 0, 0, 0
 
@@ -109,9 +124,12 @@ def blocks(html: str) -> list[tuple[str, int, bool]]:
                 if name not in _BLOCK and open_[i][0] in _BLOCK:
                     break
         elif name not in _VOID and not (m[4] and m[4].rstrip().endswith("/")):
-            _, gone, inside = open_[-1] if open_ else ("", False, False)
+            _, gone, inside = open_[-1] if open_ else ("", 0, False)
             if name in _BLOCK or name in _NEVER or (m[4] and _left_out(name, m[4], inside)):
-                gone = gone or _left_out(name, m[4], inside)
+                own = _left_out(name, m[4], inside)
+                if gone == 1 and name in ("article", "main") and not any(n == "article" for n, _, _ in open_):
+                    gone = 0
+                gone = max(gone, own)
                 if gone and name not in _BLOCK:
                     flush() if name in _NEVER else None
                 open_.append((name, gone, inside or name in ("article", "main")))

@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from sparkevo.llm import queries as q
 from sparkevo.llm.html_text import extract_pages, main_text
 
@@ -38,6 +40,32 @@ def test_inside_article():
     assert got[0] == "Head" and got[1].startswith("no stop") and got[2:] == [LONG.strip(), "item one", "item two"]
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-comments", "page-with-ads", "sidebar"])
+def test_layout_class_around_an_article(name):
+    assert main_text(f'<body><div class="{name}"><article class="post has-comments"><p>{LONG}</p></article></div>') == LONG.strip()
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-comments", "page-with-ads"])
+def test_layout_class_without_article(name):
+    assert main_text(f'<body><div class="{name}"><p>{LONG}</p></div>') == LONG.strip()
+
+
+@pytest.mark.parametrize("attribute", ['title="hidden gems"', 'aria-hidden="false"', 'data-id="share-3"', 'data-x="a hidden class=ads"'])
+def test_attributes_by_name(attribute):
+    assert main_text(f"<body><p {attribute}>{LONG}</p>") == LONG.strip()
+    assert main_text(f'<body><p>{LONG}<a href="/hidden-falls" {attribute}>falls</a></p>') == f"{LONG}falls"
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'hidden=""', "class='reader comments'", 'class="x share-bar"', 'id="main-menu"', "class=ad", 'role="navigation"'])
+def test_left_out(attribute):
+    assert main_text(f"<body><div {attribute}><p>{LONG}</p></div><p>{LONG}</p>") == LONG.strip()
+
+
+def test_articles_of_comments():
+    page = f'<main><p>{LONG}</p><section id="comments"><article><p>{LONG}</p></article></section></main>'
+    assert main_text(page) == LONG.strip()
+
+
 def test_odd(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p", "x"), (3, "u", "<<>></p></div>" + "<div>" * 3000 + LONG, "x"), (3, "u", "<p>" + LONG * 3000 + "</p>", "x"), (4, "u", '<a href="unclosed>' + LONG, None)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
