@@ -4,8 +4,9 @@ Features of a text are indicators, hashed to ``BUCKETS``, of its byte 4-grams, i
 n-grams that repeat a word. Over *all* labelled
 training rows Spark counts, per class, the texts with each feature; r = log of the ratio of the two smoothed
 and normalised counts. Texts become r times their indicators, scaled to unit length by the number of indicators,
-and a hinge-loss model is fitted by dual coordinate descent on at most ``FIT_ROWS`` of the training rows, the
-first in the order of a seeded hash. A logistic curve through the margins of a fifth of these, which the model
+and a hinge-loss model is fitted by dual coordinate descent on at most ``FIT_ROWS`` of the labelled rows that have
+a document, half of them of each class (one with fewer leaves room for the other), the first in the order of a
+seeded hash. A logistic curve, with weights that restore the shares of the classes, through the margins of a fifth of these, which the model
 for it has not seen, turns margins into probabilities.
 
 Scoring is one pass over the texts with one weight a feature; nothing is shuffled for it. The counts are
@@ -117,15 +118,16 @@ def _margins(rows: list[np.ndarray], w: np.ndarray, r: np.ndarray) -> np.ndarray
     return np.array([(w[x] * r[x]).sum() / np.sqrt(max(1, len(x))) + w[-1] for x in rows])
 
 
-def logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """a and b of 1 / (1 + exp(-(a m + b))), by Newton steps with targets drawn in as Platt does."""
+def logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """a and b of 1 / (1 + exp(-(a m + b))) for weighted rows, by Newton steps with targets drawn in as Platt does."""
     pos, neg = (y > 0).sum(), (y < 0).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        g = np.array([((p - t) * m).sum() + 1e-6 * a, (p - t).sum()])
-        h = p * (1 - p)
+        e = weight * (p - t)
+        g = np.array([(e * m).sum() + 1e-6 * a, e.sum()])
+        h = weight * p * (1 - p)
         hess = np.array([[(h * m * m).sum() + 1e-6, (h * m).sum()], [(h * m).sum(), h.sum() + 1e-9]])
         step = np.linalg.solve(hess, g)
         a, b = a - step[0], b - step[1]
@@ -160,21 +162,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", use: Colum
     counts = np.zeros((2, BUCKETS))
     for r in counted.collect():  # BUCKETS numbers a class, whatever the input
         counts[r.label, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.body, np.int64)
-    turn = F.xxhash64("doc_id", F.lit(SEED))
-    chosen = marks.withColumn("turn", turn).orderBy("turn", "doc_id").limit(fit_rows)
+    met = common.saved(marks.join(docs.select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi"), "labelled")
+    n = [0, 0]
+    for r in met.groupBy("label").count().collect():
+        n[r.label] = r["count"]
+    if not all(n):
+        share = n[1] / sum(n) if sum(n) else 0.5
+        return Model(np.zeros(BUCKETS), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    half = max(1, fit_rows // 2)
+    take = [min(n[k], max(half, fit_rows - n[1 - k])) for k in (0, 1)]
+    turned = met.withColumn("turn", F.xxhash64("doc_id", F.lit(SEED)))
+    first = [turned.filter(F.col("label") == k).orderBy("turn", "doc_id").limit(take[k]) for k in (0, 1)]
+    chosen = first[0].unionByName(first[1])
     # At most fit_rows rows of three numbers: broadcasting them is bounded by the parameter.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sample, "turn bigint, label int, own binary").toArrow().sort_by("turn")
     y = np.where(rows.column("label").to_numpy() == 1, 1.0, -1.0)
     own = [np.frombuffer(b.as_py(), np.int32) for b in rows.column("own")]
-    if len(set(y)) < 2:
-        share = 0.5 if not len(y) else float(y[0] > 0)
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     p, q = counts[1] + SMOOTH, counts[0] + SMOOTH
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    held = np.arange(len(y)) % 5 == 4
+    weight = np.where(y > 0, n[1] / take[1], n[0] / take[0])
+    held = np.zeros(len(y), bool)
+    for k in (1, -1):
+        held[np.flatnonzero(y == k)[4::5]] = True
     if len(set(y[held])) == 2 and len(set(y[~held])) == 2:
         part = descend([x for x, h in zip(own, held) if not h], y[~held], ratio)
-        a, b = logistic(_margins([x for x, h in zip(own, held) if h], part, ratio), y[held])
+        a, b = logistic(_margins([x for x, h in zip(own, held) if h], part, ratio), y[held], weight[held])
     else:
         a, b = 2.0, 0.0
     w = descend(own, y, ratio)

@@ -60,3 +60,12 @@ def test_odd(spark, odd_docs, no_docs, kind):
         assert len({r.score for r in got}) == 1
     assert Q.filter_quality(odd_docs, fitted).columns == odd_docs.columns
     assert Q.score(no_docs, Q.train(no_docs, labels)).count() == 0
+
+
+def test_unequal_labels_and_labels_without_a_document(spark):
+    rows = [(i, "good words in a fine long text" if i % 40 == 0 else f"bad stuff number {i % 7} spam") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 40 == 0)) for i in range(800)] + [(10**6 + i, 0) for i in range(3000)], "doc_id bigint, quality int")
+    fitted = Q.train(docs, labels, fit_rows=8)
+    got = {r.doc_id: r.score for r in Q.score(docs, fitted).collect()}
+    assert min(got[i] for i in range(0, 800, 40)) > max(got[i] for i in range(800) if i % 40)
