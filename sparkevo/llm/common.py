@@ -56,6 +56,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def vocabulary(name: str) -> str:
+    """The file of a public vocabulary by its name, where this runs; a path is taken as it is."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def free(df: DataFrame, name: str) -> str:
     """name, or name with as many underscores added as make it no column of df."""
     taken = {c.lower() for c in df.columns}
@@ -131,8 +140,21 @@ def rolling(z: np.ndarray, width: int, base: str) -> np.ndarray:
     return (sums[width:] - sums[:n]) * down[:n]
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of whole rows of about SLICE_BYTES: (rows, bytes of their texts, offsets of each row); null is empty."""
+def joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches in a row made one, up to about size bytes each."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of whole rows of about size bytes: (rows, bytes of their texts, offsets of each row); null is empty."""
     texts = batch.column(column)
     if texts.null_count:
         texts = texts.fill_null("")
@@ -141,7 +163,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[p
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         own = offsets[at : to + 1]
         yield batch.slice(at, to - at), data[own[0] : own[-1]], own - own[0]
         at = to

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +19,8 @@ from .sharding import interleaved_shards
 from .substring_dedup import substring_dedup
 from .token_files import checksums, offsets, read_tokens, write_tokens
 
-#: Folder of the public vocabulary files, the same on every executor.
-TOKENIZERS = os.environ.get("SPARKEVO_TOKENIZERS", "/opt/tokenizers")
+#: Public vocabularies, found through their package where a task runs.
+WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")
+    write_tokens(table(spark, sf_dir, "documents"), path, WORDS)
     return offsets(checksums(read_tokens(spark, path)), "ids_crc32")
 
 
@@ -71,8 +70,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
-    return round_trip(encode(table(spark, sf_dir, "documents"), model), model)
+    return round_trip(encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

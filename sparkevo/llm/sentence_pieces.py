@@ -61,7 +61,7 @@ class Model:
         import ahocorasick
         import sentencepiece
 
-        with open(path, "rb") as f:
+        with open(common.vocabulary(path), "rb") as f:
             raw = f.read()
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=raw)
         n = self.lib.vocab_size()
@@ -361,7 +361,7 @@ def _encode_giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
 def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, sha (of the text), n_chunks (0 where a text was not split) and ids of every row of docs.
 
-    docs needs doc_id and text; path is a model file that every executor has.
+    docs needs doc_id and text; path is a name of the public vocabularies, or a model file that every executor has.
     """
     common.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.sha2(F.col("text"), 256).alias("sha"))
