@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkevo.llm import common, decontaminate, near_duplicates, quality, secrets, sentence_pieces
-from sparkevo.llm.queries import TOKENIZERS
+from sparkevo.llm.queries import PIECES
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces and ids of every document that is left."""
-    encoded = sentence_pieces.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    encoded = sentence_pieces.encode(docs, PIECES)
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids")
 
 
