@@ -1,15 +1,22 @@
 """Main text of HTML pages by two passes of block rules.
 
-Pass one splits a page into blocks and classifies each by stop-word density, length and link density; elements
-that never hold main text (menus, forms, scripts, reader comments and the like, by tag or by a whole class or id)
-are left out, but for an article or main element in one with such a class or id (other than of comments and related
-pages, which hold articles of their own); blocks outside an ``article`` or ``main`` element are boilerplate where the
-page has one.
-Pass two gives ambiguous blocks (short ones, and text without stop words) the label of the nearest decided
-neighbours; where those differ, a block follows the nearer, and boilerplate in a tie outside an article.
+A page is cut into blocks. Elements that never hold main text (menus, forms, scripts, reader comments and the
+like, by tag or by a whole class or id) are left out, but for an article or main element in one with such a class or
+id (other than of comments and related pages, which hold articles of their own).
+
+Pass one classifies each block by stop-word density, length and link density as main text, boilerplate or, where it
+is short or has few stop words, ambiguous. Where a fair share of the main text that it found stands in the page's
+``article`` (else ``main``) elements, these are the main text's section and what is outside them is boilerplate; teasers beside a
+longer text elsewhere are no section.
+
+Pass two gives ambiguous blocks the label of their nearest decided neighbours in the same section: a heading that of
+the text under it, other blocks that of the nearer neighbour. Elements left out count as boilerplate neighbours of
+blocks that are no paragraphs, list items or the like. Where neighbours at one distance differ, such blocks are
+boilerplate outside a section, and all others are main text; blocks without decided neighbours are kept.
 
 Work is per page and Spark spreads the pages; nothing is shuffled. Defined cases: null and empty pages have
-the empty text; unclosed elements end with their parent; a page may be nested and long at will.
+the empty text; unclosed elements end with their parent; a page may be nested and long at will; tags are read as HTML
+reads them (a quote begins a value only after an equals sign).
 """
 
 from __future__ import annotations
@@ -17,9 +24,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -43,14 +52,22 @@ _HINT = re.compile(
 #: Hints of elements that hold articles of their own, which are no main text either.
 _REPLY = re.compile(_NAME.format(_REPLIES), re.I)
 _ARTICLE = re.compile(_NAME.format("comments?|related|promo"), re.I)
+#: A name and its value; as in HTML, a quote that does not follow an equals sign is part of a name.
+_PAIR = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+|(?=>)))?+"""
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""",
+    rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:svg|math)\b[^>]*/>|<(script|style|noscript|template|svg|iframe|textarea|math)\b[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]|{_PAIR})*+)>|<[!?/][^>]*>""",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*+)))?+""")
 _ROLE = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 
+#: Elements whose short text is likelier a part of its surroundings than a bare one's.
+_TEXTUAL = frozenset("p li dd dt blockquote pre figcaption td th address summary".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 LONG, STOPS, LINKS = 70, 0.2, 0.5
+#: A section holds at least one part in so many of the main text that the first pass found.
+SHARE = 4
 
 
 def _left_out(name: str, attributes: str, in_article: bool) -> int:
@@ -75,24 +92,47 @@ def _left_out(name: str, attributes: str, in_article: bool) -> int:
     return found
 
 
-def blocks(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, whether in an article) of every block that is not left out."""
-    out: list[tuple[str, int, bool]] = []
-    open_: list[tuple[str, int, bool]] = []  # name, left out (see _left_out), in an article
+class Block(NamedTuple):
+    """text (None: elements left out here), characters in links, innermost element, and whether in an article or in main."""
+
+    text: str | None
+    linked: int
+    name: str
+    in_article: bool
+    in_main: bool
+
+
+class _Open(NamedTuple):
+    name: str
+    gone: int  # see _left_out
+    in_article: bool
+    in_main: bool
+
+
+def blocks(html: str) -> list[Block]:
+    """Blocks of text in page order, and one without text for elements left out between them."""
+    out: list[Block] = []
+    top = _Open("", 0, False, False)
+    open_: list[_Open] = [top]
     parts: list[str] = []
-    linked, anchor, at = 0, 0, 0
+    linked, anchor, skipped, at = 0, 0, False, 0  # anchor: depth at which a link was opened, 0 for none
 
     def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(parts).split())
+        nonlocal linked, skipped
+        text, own = " ".join("".join(parts).split()), open_[-1]
         if text:
-            out.append((text, linked, bool(open_) and open_[-1][2]))
+            out.append(Block(text, linked, own.name, own.in_article, own.in_main))
+        if skipped:
+            out.append(Block(None, 0, own.name, own.in_article, own.in_main))
         parts.clear()
-        linked = 0
+        linked, skipped = 0, False
 
     def add(text: str) -> None:
-        nonlocal linked
-        if text and not (open_ and open_[-1][1]):
+        nonlocal linked, skipped
+        own = open_[-1]
+        if own.gone:
+            skipped = skipped or (own.name not in ("head", "title") and own.name in _BLOCK | _NEVER and not text.isspace() and text != "")
+        elif text:
             text = unescape(text)
             parts.append(text)
             if anchor:
@@ -109,72 +149,120 @@ def blocks(html: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
             continue
         if name == "a":
-            anchor = 0 if m[2] else 1
+            anchor = 0 if m[2] or not m[4] or not any(p[1].lower() == "href" for p in _ATTRIBUTE.finditer(m[4])) else len(open_)
         if name in _BLOCK:
             flush()
-            anchor = 0
-            if not m[2] and open_ and open_[-1][0] == "p":
+            if not m[2] and open_[-1].name == "p":
                 open_.pop()
         if m[2]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i].name == name:
                     del open_[i:]
                     break
                 # an inline end tag closes nothing beyond its block
-                if name not in _BLOCK and open_[i][0] in _BLOCK:
+                if name not in _BLOCK and open_[i].name in _BLOCK:
                     break
         elif name not in _VOID and not (m[4] and m[4].rstrip().endswith("/")):
-            _, gone, inside = open_[-1] if open_ else ("", 0, False)
-            if name in _BLOCK or name in _NEVER or (m[4] and _left_out(name, m[4], inside)):
-                own = _left_out(name, m[4], inside)
-                if gone == 1 and name in ("article", "main") and not any(n == "article" for n, _, _ in open_):
+            up = open_[-1]
+            if name in _BLOCK or name in _NEVER or (m[4] and _left_out(name, m[4], up.in_article or up.in_main)):
+                own, gone = _left_out(name, m[4], up.in_article or up.in_main), up.gone
+                if gone == 1 and name in ("article", "main") and not any(o.name == "article" for o in open_):
                     gone = 0
-                gone = max(gone, own)
-                if gone and name not in _BLOCK:
-                    flush() if name in _NEVER else None
-                open_.append((name, gone, inside or name in ("article", "main")))
+                open_.append(_Open(name, max(gone, own), up.in_article or name == "article", up.in_main or name == "main"))
+        if len(open_) < anchor:  # a link ends with the element that it was opened in
+            anchor = 0
     add(html[at:])
     flush()
     return out
 
 
-def _first_pass(text: str, linked: int, in_article: bool) -> int:
+def first_pass(block: Block, in_section: bool) -> int:
     """1 main text, -1 boilerplate, 0 ambiguous."""
-    solid = len(text.replace(" ", "")) or 1
-    if linked / solid > LINKS:
+    if block.text is None:
+        return 0
+    solid = len(block.text.replace(" ", "")) or 1
+    if block.linked / solid > LINKS:
         return -1
-    words = re.findall(r"[^\W\d_]+", text.lower())
+    words = re.findall(r"[^\W\d_]+", block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if len(text) >= LONG and stops >= STOPS:
+    if len(block.text) >= LONG and stops >= STOPS:
         return 1
-    if len(text) >= LONG and not in_article and stops < STOPS / 2:
+    if len(block.text) >= LONG and not in_section and stops < STOPS / 2:
         return -1
     return 0
 
 
-def main_text(html: str | None) -> str:
-    """Blocks of the main text, in page order, joined by an empty line."""
-    found = blocks(html or "")
-    if any(inside for _, _, inside in found):
-        found = [b for b in found if b[2]]
-    labels = [_first_pass(*b) for b in found]
+def section(found: list[Block], labels: list[int]) -> list[bool]:
+    """Whether each block is in the elements, articles or else main, that hold a share of the main text found; nowhere if none does."""
+    weigh = lambda keep: sum(len(b.text or "") for b, label in zip(found, labels) if label > 0 and keep(b))
+    article, main, every = weigh(lambda b: b.in_article), weigh(lambda b: b.in_article or b.in_main), weigh(lambda b: True)
+    if SHARE * main >= every and any(b.text and (b.in_article or b.in_main) for b in found):
+        if SHARE * article >= main and any(b.text and b.in_article for b in found):
+            return [b.in_article for b in found]
+        return [b.in_article or b.in_main for b in found]
+    return [False] * len(found)
+
+
+def _nearest(labels: list[int]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """Distance and label of the nearest decided neighbour before and after each block; label 0 if there is none."""
     n = len(labels)
-    before, after = [(n, 0)] * n, [(n, 0)] * n  # distance and label of the nearest decided neighbour
-    for step, near in ((range(n), before), (range(n - 1, -1, -1), after)):
-        far, label = n + 1, 0
+    out = []
+    for step in (range(n), range(n - 1, -1, -1)):
+        near, far, label = [(n, 0)] * n, n + 1, 0
         for i in step:
             far += 1
             near[i] = (far, label)
             if labels[i]:
                 far, label = 0, labels[i]
-    kept = []
-    for (text, _, inside), own, (d, a), (e, b) in zip(found, labels, before, after):
-        if not own:
-            own = a if not b or (a and d < e) else b if not a or e < d else a if a == b else (1 if inside else -1)
-            own = own or (1 if inside else -1)
-        if own > 0:
-            kept.append(text)
-    return "\n\n".join(kept)
+        out.append(near)
+    return list(zip(*out))
+
+
+def second_pass(found: list[Block], labels: list[int], in_section: bool) -> list[int]:
+    """labels of the blocks of one section with those of decided neighbours for 0."""
+    out = list(labels)
+    with_gaps = _nearest([label if b.text is not None else -1 for b, label in zip(found, labels)])
+    without = _nearest(labels)
+    for i, b in enumerate(found):
+        if labels[i] or b.text is None or b.name in _HEADING:
+            continue
+        textual = b.name in _TEXTUAL
+        (d, x), (e, y) = (without if textual or in_section else with_gaps)[i]
+        nearer = x if not y or (x and d < e) else y if not x or e < d else x if x == y else (1 if textual or in_section else -1)
+        out[i] = nearer or 1
+    below: dict[int, int] = {}  # of each rank, the label of the text under a heading of it
+    near = _nearest(out)
+    for i in range(len(found) - 1, -1, -1):
+        b = found[i]
+        if b.text is not None and b.name in _HEADING:
+            rank = int(b.name[1])
+            if not out[i]:
+                (_, x), (_, y) = near[i]
+                out[i] = below.get(rank) or y or x or 1
+            for r in range(rank, 7):
+                below[r] = 0
+            for r in range(1, rank):
+                below[r] = max(below.get(r, 0) or -2, out[i])
+        else:
+            own = out[i] if b.text is not None else -1
+            for r in range(1, 7):
+                below[r] = max(below.get(r, 0) or -2, own)
+    return out
+
+
+def main_text(html: str | None) -> str:
+    """Blocks of the main text, in page order, joined by an empty line."""
+    found = blocks(html or "")
+    inside = section(found, [first_pass(b, b.in_article or b.in_main) for b in found])
+    label = [0] * len(found)
+    for own in (True, False):
+        at = [i for i, here in enumerate(inside) if here == own]
+        part = [found[i] for i in at]
+        if not own and any(inside):
+            break
+        for i, x in zip(at, second_pass(part, [first_pass(b, own) for b in part], own)):
+            label[i] = x
+    return "\n\n".join(b.text for b, x in zip(found, label) if b.text is not None and x > 0)
 
 
 _RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -189,4 +277,4 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row; pages needs page_id bigint, url and html."""
     common.prepare(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from sparkevo.llm import html_text as H
 from sparkevo.llm import queries as q
 from sparkevo.llm.html_text import extract_pages, main_text
 
@@ -66,6 +67,60 @@ def test_articles_of_comments():
     assert main_text(page) == LONG.strip()
 
 
+NO_STOPS = "zzz qqq kkk www rrr ttt ppp sss ddd fff ggg hhh jjj lll xxx ccc vvv bbb nnn mmm zzz qqq kkk"
+#: No article, no hints: what stays is decided by the densities (long blocks) and by neighbours (short ones).
+BARE = f"""<body><div class="x1"><a href=a>One of the links that are here</a> <a href=b>and another one</a></div><div class="x2">Special offer today</div>
+<div class="x3"><h1>Title</h1><p>Short lead.</p><p>{LONG}</p><div>{NO_STOPS}</div><p>{LONG}</p><p>Tail.</p></div>
+<div class="x4"><h3>More pages</h3><ul><li><a href=1>first</a></li><li><a href=2>second</a></li></ul></div><div class="x5">{NO_STOPS}</div></body>"""
+BARE_TEXT = ["Title", "Short lead.", LONG.strip(), LONG.strip(), "Tail."]
+
+
+def test_densities_and_neighbours_decide():
+    assert main_text(BARE).split("\n\n") == BARE_TEXT
+
+
+def test_each_pass_is_needed(monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(H, "first_pass", lambda block, in_section: 0)
+        assert main_text(BARE).split("\n\n") != BARE_TEXT
+    with monkeypatch.context() as m:
+        m.setattr(H, "second_pass", lambda found, labels, in_section: labels)
+        assert main_text(BARE).split("\n\n") == [LONG.strip()] * 2
+
+
+@pytest.mark.parametrize("tag", ['a title="5" tall" href=x', 'a href=x title=\'it"s\' "', "a href=x data-a=a>b"])
+def test_stray_quotes(tag):
+    page = f'<body><p class="a"">{LONG}<{tag}>k</a> end of it.</p><p class=b x"hidden>{LONG}</p>'
+    got = main_text(page)
+    assert got == f"{LONG}{'b>' if tag.endswith('b') else ''}k end of it.\n\n{LONG.strip()}" and "<" not in got
+
+
+def test_teaser_beside_the_text():
+    page = f'<body><div><p>{LONG}</p><p>{LONG}</p></div><article class="teaser"><a href=x>Read the next of them</a></article></body>'
+    assert main_text(page) == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_several_articles():
+    page = f"<body><p>{LONG}</p><article><h2>A</h2><p>{LONG}</p></article><div>{LONG}</div><article><h2>B</h2><p>{LONG}x</p></article></body>"
+    assert main_text(page).split("\n\n") == ["A", LONG.strip(), "B", f"{LONG}x"]
+
+
+def test_block_links():
+    page = f'<body><p>{LONG}</p><a href="x"><div>{LONG}</div></a><p><a href=y>{LONG}</p><p>{LONG}y</p><a name=z><div>{LONG}z</div></a></body>'
+    assert main_text(page).split("\n\n") == [LONG.strip(), f"{LONG}y", f"{LONG}z"]
+
+
+def test_headings_go_with_the_text_under_them():
+    page = f"""<article><h1>T</h1><div class="share-bar">share</div><h2>S</h2><p>{LONG}</p><h2>Read on</h2><ul><li><a href=1>first</a><li><a href=2>second</a></ul>
+    <h2>Comments</h2><div class="comments"><p>{LONG}</p></div></article>"""
+    assert main_text(page).split("\n\n") == ["T", "S", LONG.strip()]
+
+
+def test_pages_without_evidence_are_kept():
+    assert main_text("<p>Hello world.</p>") == "Hello world." and main_text("Hello") == "Hello"
+    assert main_text("<svg/><p>Hello</p><!--><p>you</p>") == "Hello\n\nyou"
+
+
 def test_odd(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p", "x"), (3, "u", "<<>></p></div>" + "<div>" * 3000 + LONG, "x"), (3, "u", "<p>" + LONG * 3000 + "</p>", "x"), (4, "u", '<a href="unclosed>' + LONG, None)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")

@@ -107,7 +107,7 @@ def test_selective_reads(spark, sf):
     """A range of documents reads some pages only, and lengths alone read no ids."""
     out = scratch(spark, "tokens")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    docs = docs.select((F.col("doc_id").cast("int") + F.explode(F.sequence(F.lit(0), F.lit(4))) * 1000).alias("doc_id"), F.substring("text", 1, 500).alias("text"))
+    docs = docs.withColumn("more", F.explode(F.sequence(F.lit(0), F.lit(4)))).select((F.col("doc_id") + F.col("more") * 1000).cast("int").alias("doc_id"), F.substring("text", 1, 500).alias("text"))
     write_tokens(docs, out, PATH, page_rows=100)
     n = docs.count()
     some = spark.read.parquet(out).filter(F.col("doc_id").between(40, 55))
