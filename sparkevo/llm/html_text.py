@@ -187,7 +187,7 @@ def first_pass(block: Block, in_section: bool) -> int:
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if len(block.text) >= LONG and stops >= STOPS:
         return 1
-    if len(block.text) >= LONG and not in_section and stops < STOPS / 2:
+    if len(block.text) >= LONG and not in_section and block.name not in _TEXTUAL and stops < STOPS / 2:
         return -1
     return 0
 
