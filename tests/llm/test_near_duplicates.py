@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkevo.llm import near_duplicates as N
 from sparkevo.llm import queries as q
@@ -50,14 +51,14 @@ def brute(docs, threshold=0.8):
     return out
 
 
-def rows(df):
+def rows_of(df):
     return Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in df.collect())
 
 
 def test_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    got = rows(q.op6_jaccard_join(spark, sf))
+    got = rows_of(q.op6_jaccard_join(spark, sf))
     assert got == brute(docs) and any(k[2] for k in got)
 
 
@@ -83,13 +84,47 @@ def crowd(spark):
 def test_blocks_and_chains(spark, crowd, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 16)
     docs = spark.createDataFrame(crowd, "doc_id bigint, text string")
-    assert rows(N.near_duplicates(docs)) == brute(crowd)
+    assert rows_of(N.near_duplicates(docs)) == brute(crowd)
     kept = N.deduplicate(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({k[1] for k in brute(crowd)})
 
 
+def test_crowds_part_by_longer_prefixes(spark, crowd, monkeypatch):
+    """Texts that share a boilerplate part but are no copies crowd at short prefixes; families in it are still found."""
+    random = np.random.default_rng(8)
+    plate = " ".join(f"b{i}" for i in range(90))
+    rows = [(2000 + i, f"{plate} " + " ".join(f"o{i}x{k}" for k in range(40))) for i in range(150)]
+    for i in range(0, 150, 3):  # a near copy of every third
+        w = rows[i][1].split()
+        w[int(random.integers(90, 130))] = "changed"
+        rows.append((3000 + i, " ".join(w)))
+    docs = spark.createDataFrame(crowd + rows, "doc_id bigint, text string")
+    monkeypatch.setattr(N, "CROWD", 12)
+    sketched = N.sketch(docs).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("signature").alias("signature"))
+    standing = N.forest(docs, sketched, N.SHINGLE, N.THRESHOLD, N.TREES, N.RECALL, N.SEED).collect()
+    assert {len(r["keys"]) for r in standing} == {N.TREES, N.TREES + N.FURTHER}
+    monkeypatch.setattr(N, "BLOCK", 16)
+    assert rows_of(N.near_duplicates(docs)) == brute(crowd + rows)
+
+
+def test_recall_of_prefixes():
+    """Pairs at the threshold meet as often as the formula says at every length, and far beyond 0.9 where prefixes stop."""
+    random = np.random.default_rng(3)
+    own, met, trials = N.Forest(N.TREES, N.SEED), np.zeros(N.LONGEST + 1), 400
+    for _ in range(trials):
+        x = random.integers(0, 2**63, 540).astype(np.uint64)
+        a, b = x[:486], x[54:]  # 432 of 540 in common: similarity 0.8
+        sa, sb = (own.signature(v).reshape(2, N.TREES).T for v in (a, b))
+        values = [np.ascontiguousarray(v).astype(">i8").view(">u2").reshape(N.TREES, N.LONGEST) for v in (sa, sb)]
+        same = np.logical_and.accumulate(values[0] == values[1], axis=1)
+        met[1:] += same.any(0)
+    for d in range(1, N.LONGEST + 1):
+        assert abs(met[d] / trials - (1 - (1 - 0.8**d) ** N.TREES)) < 0.05
+    assert met[N.depth()] / trials > 0.99 and 1 - (1 - 0.8**N.LONGEST) ** (N.TREES + N.FURTHER) > N.RECALL
+
+
 def test_odd(spark, odd_docs, no_docs):
-    assert rows(N.near_duplicates(odd_docs)) == brute([(r.doc_id, r.text) for r in odd_docs.collect()])
+    assert rows_of(N.near_duplicates(odd_docs)) == brute([(r.doc_id, r.text) for r in odd_docs.collect()])
     kept = N.deduplicate(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "5", "7", "8", "9"]  # the first text of 2 and the one without id are near copies of 1
