@@ -1,18 +1,21 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, packed arrays, word hashing."""
+"""Shared helpers: settings, vocabularies, packed arrays, word hashing."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.shared import discard, free, saved, scratch, shared_dir  # noqa: F401
+
 #: Rows in one Arrow batch; texts of a megabyte each still fit in a Python worker.
 ARROW_ROWS = 500
 #: Bytes of text that the vectorised helpers take at a time (one longer text is taken whole).
 SLICE_BYTES = 1 << 21
+#: Bytes of files that a shuffle partition is meant for, and the partitions that are asked for at most.
+PARTITION_BYTES, MOST_PARTITIONS = 64 << 20, 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,45 +29,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isEmpty():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkevo-"))
-            made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = made.get()
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the session ends."""
-    path = f"{shared_dir(spark)}/sparkevo-{uuid.uuid4().hex}-{name}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a saved table that nothing needs any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def vocabulary(name: str) -> str:
     """The file of a public vocabulary by its name, where this runs; a path is taken as it is."""
     if "/" in name:
@@ -74,16 +38,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def free(df: DataFrame, name: str) -> str:
-    """name, or name with as many underscores added as make it no column of df."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shuffle_partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """spark.sql.shuffle.partitions, or more where the files that df reads hold over PARTITION_BYTES for each of them."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if df is None:
+        return n
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    if any(leaf.getClass().getSimpleName() != "LogicalRelation" for leaf in leaves):  # sizes of other sources are guesses
+        return n
+    return max(n, min(MOST_PARTITIONS, -(-sum(int(str(leaf.stats().sizeInBytes())) for leaf in leaves) // PARTITION_BYTES)))
 
 
 def power_of_two(n: float) -> int:
