@@ -1,18 +1,19 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted by hash, merged into removal intervals.
 
-Every window of ``width`` consecutive words of a document gets a 64-bit rolling hash and eight bits of a
+Every window of ``width`` consecutive words of a document gets a 64-bit rolling hash and 24 bits of a
 second, independent one. Hashes are dealt by value to buckets; in a bucket each sequence keeps its first
-window (smallest doc_id, then row, then start) and the starts of all others go back to their documents,
+window (smallest doc_id, then text's hash, then start) and the starts of all others go back to their documents,
 where overlapping windows merge into maximal intervals and the words they cover are removed.
 
-Only hashes and starts are shuffled, packed by bucket (about ten bytes a window), and each task sends a
+Only hashes and starts are shuffled, packed by bucket (about eleven bytes a window; bytes that the bucket tells are
+left out, so fewer in large corpora), and each task sends a
 repeated sequence at most once per chunk, so a passage that a third of all rows share is no hot key.
 Texts are shuffled once, compressed. Two different windows of n are taken as equal with a chance of about
-n**2 / 2**73.
+n**2 / 2**89, which is one in a hundred thousand at 10 TB and 0.4 at 1.6e13 windows or 100 TB.
 
 Defined cases: a null or empty text has no words; texts shorter than a window lose nothing; rows with a null
 doc_id count as the smallest; rows that repeat a doc_id and text get the same result each, and windows of
-rows that share a doc_id but differ in text rank by doc_id, then text, then start.
+rows that share a doc_id but differ in text rank by doc_id, then the text's xxhash64, then start.
 """
 
 from __future__ import annotations
@@ -26,17 +27,18 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
 WIDTH = 20
 #: Windows that a task sorts and sends at a time, and windows that a bucket holds on average at most.
 CHUNK, BUCKET = 1 << 20, 1 << 19
+#: Bytes of a window's two hashes.
+BODY = 11
 
-_PACKED = "part int, kind tinyint, doc_id bigint, sub int, body binary, docs binary, subs binary, counts binary, starts binary"
+_PACKED = "part int, kind tinyint, doc_id bigint, sub bigint, body binary, docs binary, subs binary, counts binary, starts binary"
 _SCHEMA = pa.schema(
-    [("part", pa.int32()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("sub", pa.int32())]
+    [("part", pa.int32()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("sub", pa.int64())]
     + [(c, pa.binary()) for c in ("body", "docs", "subs", "counts", "starts")]
 )
 _HASHES, _STARTS, _TEXT = 0, 1, 2
@@ -58,7 +60,7 @@ def _rows(kind: int, part: np.ndarray, doc: np.ndarray, sub: np.ndarray, start:
         run = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (t[1:] < t[:-1])))
         step = np.diff(t, prepend=0)
         step[run] = t[run]
-        for c, v in zip(_SCHEMA.names, (int(part[a]), kind, None, None, None if body is None else common.pack_rows(body[a:b]), common.pack(np.diff(d[run], prepend=0)), common.pack(s[run].astype(np.int32)), common.pack(np.diff(np.append(run, b - a)).astype(np.uint32)), common.pack(step.astype(np.uint32)))):
+        for c, v in zip(_SCHEMA.names, (int(part[a]), kind, None, None, None if body is None else common.pack_rows(body[a:b]), common.pack(np.diff(d[run], prepend=0)), common.pack(s[run]), common.pack(np.diff(np.append(run, b - a)).astype(np.uint32)), common.pack(step.astype(np.uint32)))):
             out[c].append(v)
     return pa.RecordBatch.from_pydict(out, schema=_SCHEMA)
 
@@ -70,7 +72,7 @@ def _unrow(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total = np.cumsum(step)
     start = total - np.repeat(total[first] - step[first], counts)
     doc = np.cumsum(common.unpack(row["docs"], np.int64))
-    return np.repeat(doc, counts), np.repeat(common.unpack(row["subs"], np.int32), counts), start
+    return np.repeat(doc, counts), np.repeat(common.unpack(row["subs"], np.int64), counts), start
 
 
 def _later(h: np.ndarray, check: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -91,6 +93,12 @@ def _later(h: np.ndarray, check: np.ndarray, doc: np.ndarray, sub: np.ndarray, s
     return later
 
 
+def _shipped(buckets: int) -> list[int]:
+    """Bytes of a window's hashes that its bucket, bits 40 and up of the first, does not tell."""
+    told = buckets.bit_length() - 1 >> 3
+    return [i for i in range(BODY) if not 5 <= i < 5 + told]
+
+
 def _hash_windows(width: int, buckets: int, parts: int):
     def send(chunk: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, check, doc, sub, start = (np.concatenate(x) for x in zip(*chunk))
@@ -98,10 +106,10 @@ def _hash_windows(width: int, buckets: int, parts: int):
         if later.any():
             yield _starts([(doc[later], sub[later], start[later])], parts)
         h, check, doc, sub, start = (x[~later] for x in (h, check, doc, sub, start))
-        body = np.empty((len(h), 9), np.uint8)
+        body = np.empty((len(h), BODY), np.uint8)
         body[:, :8] = h.view(np.uint8).reshape(-1, 8)
-        body[:, 8] = check
-        yield _rows(_HASHES, (h >> np.uint64(40)).astype(np.int64) % buckets, doc, sub, start, body)
+        body[:, 8:] = check.view(np.uint8).reshape(-1, 4)[:, : BODY - 8]
+        yield _rows(_HASHES, ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), doc, sub, start, body[:, _shipped(buckets)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = [], 0
@@ -116,8 +124,8 @@ def _hash_windows(width: int, buckets: int, parts: int):
                 at = first[row] + start
                 doc, sub = rows.column("doc_id").to_numpy(zero_copy_only=False), rows.column("sub").to_numpy(zero_copy_only=False)
                 h = common.rolling(words, width, "window")[at]
-                check = (common.rolling(common.mix(words, 0x5DEECE66D), width, "check")[at] >> np.uint64(56)).astype(np.uint8)
-                chunk.append((common.mix(h), check, doc[row], sub[row].astype(np.int32), start))
+                check = (common.rolling(common.mix(words, 0x5DEECE66D), width, "check")[at] >> np.uint64(40)).astype(np.uint32)
+                chunk.append((common.mix(h), check, doc[row], sub[row], start))
                 held += len(at)
                 if held >= CHUNK:
                     yield from send(chunk)
@@ -136,7 +144,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[d
     return ((part, own) for part, own in groupby(rows, lambda r: r["part"]))
 
 
-def _count_buckets(parts: int):
+def _count_buckets(parts: int, buckets: int):
+    shipped = _shipped(buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for _, rows in _groups(batches):
@@ -145,13 +155,15 @@ def _count_buckets(parts: int):
                 if row["kind"] == _STARTS:
                     yield pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
                 else:
-                    bodies.append(common.unpack_rows(row["body"], 9))
+                    bodies.append(common.unpack_rows(row["body"], len(shipped)))
                     places.append(_unrow(row))
             if not bodies:
                 continue
-            body = np.concatenate(bodies)
+            body = np.zeros((sum(map(len, bodies)), 12), np.uint8)
+            body[:, shipped] = np.concatenate(bodies)
+            bodies.clear()
             doc, sub, start = (np.concatenate(x) for x in zip(*places))
-            later = _later(np.ascontiguousarray(body[:, :8]).view(np.uint64).ravel(), body[:, 8], doc, sub, start)
+            later = _later(np.ascontiguousarray(body[:, :8]).view(np.uint64).ravel(), np.ascontiguousarray(body[:, 8:]).view(np.uint32).ravel(), doc, sub, start)
             found.append((doc[later], sub[later], start[later]))
             held += int(later.sum())
             if held >= CHUNK:
@@ -177,7 +189,7 @@ def _send_texts(parts: int):
             sub = batch.column("sub").to_numpy(zero_copy_only=False)
             body = [pressed.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
             nothing = pa.nulls(len(doc), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(_home(doc, sub, parts), pa.int32()), pa.array([_TEXT] * len(doc), pa.int8()), pa.array(doc), pa.array(sub, pa.int32()), pa.array(body, pa.binary()), nothing, nothing, nothing, nothing], schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(_home(doc, sub, parts), pa.int32()), pa.array([_TEXT] * len(doc), pa.int8()), pa.array(doc), pa.array(sub, pa.int64()), pa.array(body, pa.binary()), nothing, nothing, nothing, nothing], schema=_SCHEMA)
 
     return run
 
@@ -241,16 +253,16 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     # Only where doc_ids repeat do rows need a number of their own; finding out shuffles ids alone.
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     repeats = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    sub = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text")) if repeats else F.lit(0)
-    docs = docs.select("doc_id", "text", sub.cast("int").alias("sub"))
-    n = common.shuffle_partitions(spark)
-    buckets = common.power_of_two(max(4 * n, size / 6 / BUCKET))
+    sub = F.xxhash64(F.coalesce("text", F.lit(""))) if repeats else F.lit(0).cast("bigint")
+    docs = docs.select("doc_id", "text", sub.alias("sub"))
+    n = max(common.shuffle_partitions(spark), size // common.PARTITION_BYTES)
+    buckets = common.power_of_two(max(256, 4 * n, size / 6 / BUCKET))
     homes = max(n, buckets // 16)
     found = (
         docs.mapInArrow(_hash_windows(width, buckets, homes), _PACKED)
         .repartition(n, "part")
         .sortWithinPartitions("part")
-        .mapInArrow(_count_buckets(homes), _PACKED)
+        .mapInArrow(_count_buckets(homes, buckets), _PACKED)
     )
     kept = (
         docs.mapInArrow(_send_texts(homes), _PACKED)

@@ -2,15 +2,20 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 
 from sparkevo.llm import queries as q
+from sparkevo.llm import substring_dedup as S
 from sparkevo.llm.substring_dedup import substring_dedup
 
 
 def brute(docs, width=20):
     words = [re.findall(rb"[^\x20\x09-\x0D]+", (d["text"] or "").encode()) for d in docs]
-    key = [(-(2**63) if d["doc_id"] is None else d["doc_id"], d["text"] or "") for d in docs]
+    # texts that share a doc_id rank by Spark's xxhash64
+    rank = lambda t: (xxhash.xxh64_intdigest(t.encode(), seed=42) + 2**63) % 2**64 - 2**63
+    key = [(-(2**63) if d["doc_id"] is None else d["doc_id"], rank(d["text"] or "")) for d in docs]
     first = {}
     for k, w in sorted(zip(key, words), key=lambda x: x[0]):
         for i in range(len(w) - width + 1):
@@ -52,3 +57,18 @@ def test_intervals_and_text(odd_docs):
 
 def test_empty(no_docs):
     assert substring_dedup(no_docs).count() == 0
+
+
+def test_bytes_that_the_bucket_tells():
+    h = np.random.default_rng(0).integers(0, 2**63, 10_000).astype(np.uint64)
+    for buckets, left in ((128, 11), (256, 10), (1 << 16, 9), (1 << 24, 8)):
+        shipped = S._shipped(buckets)
+        assert len(shipped) == left
+        bucket = (h >> np.uint64(40)) % np.uint64(buckets)
+        body = h.view(np.uint8).reshape(-1, 8)[:, [i for i in shipped if i < 8]]
+        assert len({(b, bytes(x)) for b, x in zip(bucket.tolist(), body)}) == len(set(h.tolist()))
+
+
+def test_many_buckets(odd_docs, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET", 4)
+    assert rows(substring_dedup(odd_docs)) == brute([r.asDict() for r in odd_docs.collect()])
