@@ -6,8 +6,9 @@ appears by a rename when it is complete, so a task that runs again puts the same
 
 Reading: the data source ``sparkevo_media`` plans partitions from the folder's list of files alone, as byte
 ranges of archives; a task reads the directory at the end of its archive, takes the members that begin in its
-range and streams their payloads as Arrow batches. A member that fails is read again by itself at its offset,
-through a new file handle, up to ``retries`` times.
+range, reads them through one handle in runs of about ``BATCH`` bytes and streams their payloads as Arrow batches. A
+member that fails is read again by itself at its offset, through a new file handle, up to ``retries`` times, and so is
+the directory; what fails then still fails the task, with the archive and offset in the error.
 
 Archives go through pyarrow's file systems, so the folder may be on any store that has one. Defined cases: a
 null text is the empty payload, padded like any other; a null doc_id is kept as null; equal rows are members each.
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import common
@@ -118,7 +120,7 @@ def write_media(docs: DataFrame, folder: str, archive: int = ARCHIVE) -> tuple[i
     common.prepare(docs.sparkSession)
     store, root = _filesystem(folder)
     store.create_dir(root)
-    done = docs.select("doc_id", "text").mapInArrow(_write(folder, archive), "members bigint, size bigint")
+    done = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_write(folder, archive), "members bigint, size bigint")
     n, size = done.groupBy().sum("members", "size").first()
     return n or 0, size or 0
 
@@ -142,32 +144,80 @@ class _Reader(DataSourceReader):
         found = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".zip"))
         return [_Range(p, a, min(a + self.range, n), n) for p, n in found for a in range(0, n, self.range)] or [_Range("", 0, 0, 0)]
 
-    def _member(self, store: fs.FileSystem, path: str, offset: int, size: int, crc: int) -> bytes:
-        """Bytes of a stored member, tried anew from its offset where reading or its checksum fails."""
+    def _again(self, what: str, read):
+        """read(), tried anew where it fails."""
         for left in range(self.retries, -1, -1):
             try:
-                with store.open_input_file(path) as f:
-                    f.seek(offset)
-                    head = f.read(30)
-                    names = sum(struct.unpack_from("<HH", head, 26))
-                    f.seek(offset + 30 + names)
-                    image = f.read(size)
-                if len(image) != size or zlib.crc32(image) != crc:
-                    raise OSError(f"{path}: member at {offset} is damaged")
-                return image
-            except (OSError, struct.error):
+                return read()
+            except (OSError, EOFError, ValueError, struct.error, zipfile.BadZipFile, zlib.error) as e:
                 if not left:
-                    raise
+                    raise OSError(f"{what}: {e}") from e
+
+    def _directory(self, store: fs.FileSystem, path: str) -> list[zipfile.ZipInfo]:
+        def read():
+            with store.open_input_file(path) as f:
+                zipped = zipfile.ZipFile(f)
+                members = sorted(zipped.infolist(), key=lambda m: m.header_offset)
+            end = max((m.header_offset + 30 + len(m.filename.encode()) + len(m.extra) + m.compress_size for m in members), default=0)
+            if not 0 <= zipped.start_dir - end <= 24:  # a shortened directory would lose members silently
+                raise OSError("does not follow the members")
+            return members
+
+        return self._again(f"{path}: directory", read)
+
+    @staticmethod
+    def _image(raw: bytes, m: zipfile.ZipInfo) -> bytes:
+        """The stored bytes of a member from those that begin with its header."""
+        begin = 30 + sum(struct.unpack_from("<HH", raw, 26))
+        image = raw[begin : begin + m.file_size]
+        if raw[:4] != b"PK\x03\x04" or len(image) != m.file_size or zlib.crc32(image) != m.CRC:
+            raise OSError("member is damaged")
+        return image
+
+    def _member(self, store: fs.FileSystem, path: str, m: zipfile.ZipInfo) -> bytes:
+        """A member by itself, tried anew from its offset where reading or its checksum fails."""
+
+        def read():
+            with store.open_input_file(path) as f:
+                f.seek(m.header_offset)
+                head = f.read(30)
+                return self._image(head + f.read(sum(struct.unpack_from("<HH", head, 26)) + m.file_size), m)
+
+        return self._again(f"{path}: member at {m.header_offset}", read)
+
+    def _members(self, store: fs.FileSystem, path: str, members: list[zipfile.ZipInfo], size: int) -> Iterator[tuple[zipfile.ZipInfo, bytes]]:
+        """Members with their bytes, read in runs through one handle."""
+        ends = [m.header_offset for m in members[1:]] + [min(size, members[-1].header_offset + 30 + 2**17 + members[-1].file_size)] if members else []
+        f, at = None, 0
+        try:
+            while at < len(members):
+                begin, to = members[at].header_offset, at + 1
+                while to < len(members) and ends[to] - begin <= BATCH:
+                    to += 1
+                try:
+                    f = f or store.open_input_file(path)
+                    f.seek(begin)
+                    run = f.read(ends[to - 1] - begin)
+                except OSError:  # the members of this run are read by themselves
+                    f, run = None, b""
+                for m in members[at:to]:
+                    try:
+                        image = self._image(run[m.header_offset - begin : m.header_offset - begin + 30 + 2**17 + m.file_size], m)
+                    except (OSError, struct.error):
+                        image = self._member(store, path, m)
+                    yield m, image
+                at = to
+        finally:
+            if f is not None:
+                f.close()
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.size:
             return
         store, _ = _filesystem(self.folder)
-        with store.open_input_file(partition.path) as f:
-            members = [m for m in zipfile.ZipFile(f).infolist() if partition.begin <= m.header_offset < partition.end]
+        members = [m for m in self._directory(store, partition.path) if partition.begin <= m.header_offset < partition.end]
         rows, held = [], 0
-        for m in members:
-            image = self._member(store, partition.path, m.header_offset, m.file_size, m.CRC)
+        for m, image in self._members(store, partition.path, members, partition.size):
             doc = m.filename.split("/")[0]
             rows.append((None if doc == "null" else int(doc), partition.path, m.header_offset, image, from_png(image)))
             held += len(image) + len(rows[-1][4])
