@@ -2,7 +2,10 @@
 
 Base patterns mark assignments, access keys and long hex strings. The method adds bare high-entropy tokens:
 the hash of every candidate value is counted over the corpus by distinct repositories and owners, and a value
-that few owners hold is a live-looking credential of theirs, while one that many share is a copied example.
+that few owners hold, in few repositories, is a live-looking credential of theirs, while one that many owners share or
+that stands in many repositories is a copied example.
+
+Patterns run once over the texts; the spans that they find are written to the shared folder and read from there.
 
 Counting drops to one row per (value, owner, repository) in each task before it is shuffled, so a value that a
 third of all rows hold costs no more than any other; texts are never shuffled. Counts go back to the
@@ -17,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import saved
+
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
@@ -29,8 +34,8 @@ BASE = (
     ("hex", "[0-9a-f]{24}", HEX, 0, 24),
 )
 KINDS = ("assign", "access", "hex", "owned")
-#: Values held by more owners than this are copied examples.
-MAX_OWNERS = 2
+#: Values held by more owners, or in more repositories, than these are copied examples.
+MAX_OWNERS, MAX_REPOS = 2, 6
 
 
 def _found(kind: str, quick: str, pattern: str, group: int, least: int) -> Column:
@@ -94,13 +99,13 @@ def _keyed(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
     return keyed.withColumn("text_key", F.xxhash64("text", F.octet_length("text")))
 
 
-def _judged(df: DataFrame, max_owners: int) -> DataFrame:
+def _judged(df: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
     """doc_id, text_key, added (live bare spans), live and copied for rows that have any span."""
     df = df.select("doc_id", "text_key", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), "base", "bare")
     seen = df.filter((F.size("base") > 0) | (F.size("bare") > 0)).withColumn("span", F.explode(F.concat("base", "bare")))
     seen = seen.select("doc_id", "text_key", "owner", "repo", "span", F.sha2(F.col("span.value"), 256).alias("value_hash"))
     owned = seen.join(ownership(seen.select("value_hash", "owner", "repo")), "value_hash")
-    is_live = F.col("owners") <= max_owners
+    is_live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
     return (
         owned.groupBy("doc_id", "text_key")
         .agg(
@@ -119,13 +124,13 @@ def _same_row(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.text_key").eqNullSafe(F.col(f"{b}.text_key"))
 
 
-def scan_secrets(docs: DataFrame, owner: Column, repo: Column, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """doc_id, base and spans (arrays), live (values that at most max_owners owners hold) and copied.
+def scan_secrets(docs: DataFrame, owner: Column, repo: Column, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """doc_id, base and spans (arrays), live (values that few owners hold in few repositories) and copied.
 
     One row per row of docs. spans holds the base spans and the candidates with a live-looking value.
     """
-    df = _keyed(docs, owner, repo).drop("row")
-    rows, judged = df.select("doc_id", "text_key", "base").alias("a"), _judged(df, max_owners).alias("b")
+    df = saved(_keyed(docs, owner, repo).drop("row", "text"), "spans")
+    rows, judged = df.select("doc_id", "text_key", "base").alias("a"), _judged(df, max_owners, max_repos).alias("b")
     zero = F.lit(0).cast("bigint")
     return rows.join(judged, _same_row("a", "b"), "left").select(
         "a.doc_id", "base", F.concat("base", F.coalesce("added", F.array().cast(_NO_SPANS))).alias("spans"),
@@ -155,15 +160,15 @@ def _without(text: Column, spans: Column, mark: str) -> Column:
     return F.when(F.size(spans) > 0, F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))).otherwise(text)
 
 
-def redact(docs: DataFrame, owner: Column, repo: Column, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, owner: Column, repo: Column, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """docs with the values of base spans and live candidates in text replaced by mark; columns and rows stay.
 
     Only texts with a bare candidate are shuffled, to meet its owner count; the others are rewritten in place.
     """
-    df = _keyed(docs, owner, repo)
-    done = lambda d, spans: d.select(F.col("row").withField("text", _without(F.col("text"), spans, mark)).alias("row")).select("row.*")
+    df = saved(_keyed(docs, owner, repo).drop("text"), "spans")
+    done = lambda d, spans: d.select(F.col("row").withField("text", _without(F.col("row.text"), spans, mark)).alias("row")).select("row.*")
     plain = done(df.filter(F.size("bare") == 0), F.col("base"))
-    judged = _judged(df, max_owners).filter(F.size("added") > 0).select("doc_id", "text_key", "added")
+    judged = _judged(df, max_owners, max_repos).filter(F.size("added") > 0).select("doc_id", "text_key", "added")
     waiting = df.filter(F.size("bare") > 0).alias("a").join(judged.alias("b"), _same_row("a", "b"), "left")
     waiting = waiting.select("a.*", F.concat("base", F.coalesce("added", F.array().cast(_NO_SPANS))).alias("_spans"))
     return plain.unionByName(done(waiting, F.col("_spans")))

@@ -26,17 +26,18 @@ def joined(spans):
 
 def expected_secrets(docs):
     """The whole scan in plain Python: rows as sorted tuples."""
-    bare, owners = {}, {}
+    bare, owners, repos = {}, {}, {}
     for i, d in enumerate(docs):
         text, own = d["text"] or "", base_spans(d["text"])
         bare[i] = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(s < m.end() and m.start() < e for s, _, e in own)]
         for s, k, e in own + bare[i]:
             value = next(m[2] for m in ASSIGN.finditer(text) if m.start() == s) if k == 0 else text[s:e]
             owners.setdefault(value, set()).add(d["source"])
+            repos.setdefault(value, set()).add((d["source"], d["lang"]))
     out = []
     for i, d in enumerate(docs):
         own = base_spans(d["text"])
-        live = [x for x in bare[i] if len(owners[(d["text"])[x[0] : x[2]]]) <= 2]
+        live = [x for x in bare[i] if len(owners[(d["text"])[x[0] : x[2]]]) <= 2 and len(repos[(d["text"])[x[0] : x[2]]]) <= 6]
         n = Counter(k for _, k, _ in own)
         out.append((str(d["doc_id"]), n[0], n[1], n[2], hashlib.sha256(joined(own).encode()).hexdigest(), joined(sorted(own + live))))
     return sorted(out)
@@ -59,6 +60,14 @@ def test_secrets_odd(odd_docs, no_docs):
     assert scan(no_docs).count() == 0
 
 
+def test_many_repositories_of_one_owner_are_copies(spark):
+    token = "aZ3" + "q7" * 12
+    rows = [(i, f"bare {token} here", "one", f"r{i}") for i in range(8)] + [(20 + i, "bare bQ4" + "x9" * 12, "one", f"r{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, owner string, repo string")
+    got = {r.doc_id: (len(r.spans), r.live, r.copied) for r in scan_secrets(docs, F.col("owner"), F.col("repo")).collect()}
+    assert set(got.values()) == {(0, 0, 1), (1, 1, 0)} and got[0] == (0, 0, 1) and got[20] == (1, 1, 0)
+
+
 def test_redact(odd_docs):
     out = redact(odd_docs, F.col("source"), F.col("source"))
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
