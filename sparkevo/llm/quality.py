@@ -4,9 +4,9 @@ Features of a text are indicators, hashed to ``BUCKETS``, of its byte 4-grams, i
 n-grams that repeat a word. Over *all* labelled
 training rows Spark counts, per class, the texts with each feature; r = log of the ratio of the two smoothed
 and normalised counts. Texts become r times their indicators, scaled to unit length by the number of indicators,
-and a hinge-loss model is fitted by dual coordinate descent on at most ``FIT_ROWS`` of the labelled rows that have
-a document, half of them of each class (one with fewer leaves room for the other), the first in the order of a
-seeded hash. A logistic curve, with weights that restore the shares of the classes, through the margins of a fifth of these, which the model
+and a hinge-loss model is fitted by dual coordinate descent on at most ``FIT_ROWS`` labelled documents, a text for
+each doc_id, half of them of each class (one with fewer leaves room for the other), the first in the order of a
+seeded hash; of each class, those whose features pass half of ``FIT_BYTES`` together are left out. A logistic curve, with weights that restore the shares of the classes, through the margins of a fifth of these, which the model
 for it has not seen, turns margins into probabilities.
 
 Scoring is one pass over the texts with one weight a feature; nothing is shuffled for it. The counts are
@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
 from . import common
 
 BUCKETS, BLOCK = 1 << 18, 1 << 12
-#: Bound of the rows that the driver fits on; about 1,200 features of four bytes each.
-FIT_ROWS = 6_000
+#: Bounds of what the driver fits on: rows (about 1,200 features of four bytes each), and bytes of features.
+FIT_ROWS, FIT_BYTES = 6_000, 128 << 20
 PENALTY, ROUNDS, SMOOTH, SEED = 1.0, 12, 1.0, 42
 THRESHOLD = 0.7
 
@@ -149,7 +150,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * (total + self.intercept) + self.b, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", use: Column | None = None, fit_rows: int = FIT_ROWS) -> Model:
+def class_counts(known: DataFrame) -> np.ndarray:
+    """For labels 0 and 1 and each bucket: the rows of known (text, label) with that feature."""
+    counted = known.mapInArrow(_count, "block int, label int, body binary").groupBy("block", "label").applyInArrow(_add, "block int, label int, body binary")
+    counts = np.zeros((2, BUCKETS))
+    for r in counted.collect():  # BUCKETS numbers a class, whatever the input
+        counts[r.label, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.body, np.int64)
+    return counts
+
+
+def log_ratios(counts: np.ndarray) -> np.ndarray:
+    """log of the ratio of the smoothed and normalised counts of label 1 and label 0."""
+    p, q = counts[1] + SMOOTH, counts[0] + SMOOTH
+    return np.log(p / p.sum()) - np.log(q / q.sum())
+
+
+def fit_sample(docs: DataFrame, met: DataFrame, take: list[int], fit_bytes: int) -> pa.Table:
+    """turn, label and own (features): at most take[k] rows of label k, and fit_bytes bytes, of the labelled ids met."""
+    turned = met.withColumn("turn", F.xxhash64("doc_id", F.lit(SEED)))
+    first = [turned.filter(F.col("label") == k).orderBy("turn", "doc_id").limit(take[k]) for k in (0, 1)]
+    # As many rows of three numbers as the parameter says: broadcasting them is bounded.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id")
+    one = chosen.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.first("turn").alias("turn"), F.first("label").alias("label"))
+    found = common.saved(one.select("text", "turn", "label").mapInArrow(_sample, "turn bigint, label int, own binary"), "sample")
+    # A window over these few rows' sizes, which decides which of them come to the driver.
+    before = F.sum(F.octet_length("own")).over(Window.partitionBy("label").orderBy("turn"))
+    small = found.select("turn", "label", before.alias("bytes")).filter(F.col("bytes") <= fit_bytes // 2).select("turn", "label")
+    return found.join(F.broadcast(small), ["turn", "label"]).toArrow().sort_by("turn")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", use: Column | None = None, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
     """Fit on rows of docs (doc_id, text) that labels (doc_id and the label column, 0 or 1) marks and use keeps."""
     common.prepare(docs.sparkSession)
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -157,11 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", use: Colum
         marks, docs = marks.filter(use), docs.filter(use)
     marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"))
     # A sort-merge join at every size: labels grow with the corpus, so their broadcast would end somewhere.
-    known = docs.select("doc_id", "text").join(marks.hint("shuffle_merge"), "doc_id").select("text", "label")
-    counted = known.mapInArrow(_count, "block int, label int, body binary").groupBy("block", "label").applyInArrow(_add, "block int, label int, body binary")
-    counts = np.zeros((2, BUCKETS))
-    for r in counted.collect():  # BUCKETS numbers a class, whatever the input
-        counts[r.label, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.body, np.int64)
+    counts = class_counts(docs.select("doc_id", "text").join(marks.hint("shuffle_merge"), "doc_id").select("text", "label"))
     met = common.saved(marks.join(docs.select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi"), "labelled")
     n = [0, 0]
     for r in met.groupBy("label").count().collect():
@@ -170,17 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", use: Colum
         share = n[1] / sum(n) if sum(n) else 0.5
         return Model(np.zeros(BUCKETS), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     half = max(1, fit_rows // 2)
-    take = [min(n[k], max(half, fit_rows - n[1 - k])) for k in (0, 1)]
-    turned = met.withColumn("turn", F.xxhash64("doc_id", F.lit(SEED)))
-    first = [turned.filter(F.col("label") == k).orderBy("turn", "doc_id").limit(take[k]) for k in (0, 1)]
-    chosen = first[0].unionByName(first[1])
-    # At most fit_rows rows of three numbers: broadcasting them is bounded by the parameter.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sample, "turn bigint, label int, own binary").toArrow().sort_by("turn")
+    rows = fit_sample(docs, met, [min(n[k], max(half, fit_rows - n[1 - k])) for k in (0, 1)], fit_bytes)
     y = np.where(rows.column("label").to_numpy() == 1, 1.0, -1.0)
     own = [np.frombuffer(b.as_py(), np.int32) for b in rows.column("own")]
-    p, q = counts[1] + SMOOTH, counts[0] + SMOOTH
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    weight = np.where(y > 0, n[1] / take[1], n[0] / take[0])
+    ratio = log_ratios(counts)
+    weight = np.where(y > 0, n[1] / max(1, (y > 0).sum()), n[0] / max(1, (y < 0).sum()))
     held = np.zeros(len(y), bool)
     for k in (1, -1):
         held[np.flatnonzero(y == k)[4::5]] = True

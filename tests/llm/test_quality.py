@@ -69,3 +69,30 @@ def test_unequal_labels_and_labels_without_a_document(spark):
     fitted = Q.train(docs, labels, fit_rows=8)
     got = {r.doc_id: r.score for r in Q.score(docs, fitted).collect()}
     assert min(got[i] for i in range(0, 800, 40)) > max(got[i] for i in range(800) if i % 40)
+
+
+def test_class_counts_and_log_ratios(spark, sf):
+    """Features of each text alone, from its bytes and words, counted by class."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.substring("text", 1, 3000).alias("text"))
+    known = [(r.text, r.label) for r in docs.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("text", F.col("quality").alias("label")).collect()]
+    want = np.zeros((2, Q.BUCKETS))
+    for text, label in known:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        grams = {bytes(raw[i : i + 4]) for i in range(len(raw) - 3)}
+        _, bucket = Q.features(raw, np.array([0, len(raw)]))
+        assert len(grams) * 0.9 <= len(bucket) <= len(grams) + len(set(text.split())) + 6
+        want[label, bucket] += 1
+    got = Q.class_counts(spark.createDataFrame(known, "text string, label int").repartition(5))
+    assert (got == want).all()
+    total = [want[k].sum() + Q.BUCKETS for k in (0, 1)]
+    for f in (0, 17, int(want.sum(0).argmax())):
+        assert abs(Q.log_ratios(want)[f] - np.log((want[1, f] + 1) / total[1]) + np.log((want[0, f] + 1) / total[0])) < 1e-12
+
+
+def test_fit_sample_is_bounded(spark):
+    rows = [(1, f"copy number {i} of one id") for i in range(3000)] + [(i, f"text {i} " * 20) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    met = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id bigint, label int")
+    assert Q.fit_sample(docs, met, [20, 10], 1 << 30).num_rows == 30
+    few = Q.fit_sample(docs, met, [20, 30], 1_500)
+    assert 1 < few.num_rows < 50 and sum(len(b.as_py()) for b in few.column("own")) <= 1_500
