@@ -7,11 +7,12 @@ was trained as, so for a BPE model ids differ from the merges of the library whi
 text. All scores of the public models are whole numbers, so sums are exact at any length.
 
 Most texts are cut at words, which no piece spans, and the best cuts of words are remembered. (The library's own
-search is not used: read as unigram, it misses the best cut of about one word in 200.) Giant texts are split into chunks of fixed length, in parallel: (1) every chunk yields its
-transfer matrix, best score by entry and exit state, where a state is how far a piece reaches over the
-boundary; (2) per text, vectors and matrices combine in max-plus algebra to the scores at each boundary;
-(3) every chunk keeps its back steps and its map of exit to entry states; (4) per text, the maps compose from
-the end; (5) every chunk is traced back on its own. Only boundary states are brought together per text.
+search is not used: read as unigram, it misses the best cut of about one word in 200.) Giant texts are split into
+chunks of fixed length, in parallel: (1) every chunk yields its transfer matrix, best score by entry and exit state,
+where a state is how far a piece reaches over the boundary; (2) a scan of the matrices in max-plus algebra gives the
+scores at each boundary: products of ``RADIX`` neighbours are formed level by level up, and states go level by level
+down, so no task holds more than RADIX items of a text; (3) every chunk keeps its back steps and its map of exit to
+entry states; (4) a scan of the maps from the end gives each chunk's exit; (5) every chunk is traced back on its own.
 
 Decoding is exact: spaces, U+2581, control characters and the empty text come back as they were. Defined
 cases: a null text has null ids; rows that repeat a doc_id and text give a row each.
@@ -35,6 +36,8 @@ from . import common
 
 #: Characters beyond which a text is giant, and of a chunk of one.
 GIANT, CHUNK = 49_152, 8_192
+#: Neighbours that a step of a scan brings together.
+RADIX = 8
 #: Words that a worker remembers at most.
 CACHE = 500_000
 _NONE = -(1 << 62)
@@ -227,9 +230,9 @@ _IDS = "doc_id bigint, sha string, n_chunks bigint, ids array<int>"
 _IDS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("n_chunks", pa.int64()), ("ids", pa.list_(pa.int32()))])
 _CHUNKS = "sha string, no bigint, own int, body string, matrix binary"
 _CHUNKS_SCHEMA = pa.schema([("sha", pa.string()), ("no", pa.int64()), ("own", pa.int32()), ("body", pa.string()), ("matrix", pa.binary())])
-_ENTRY_SCHEMA = pa.schema([("sha", pa.string()), ("no", pa.int64()), ("entry", pa.list_(pa.int64()))])
-_BACK_SCHEMA = pa.schema([("sha", pa.string()), ("no", pa.int64()), ("own", pa.int32()), ("body", pa.string()), ("back", pa.binary()), ("entries", pa.list_(pa.int32()))])
-_EXIT_SCHEMA = pa.schema([("sha", pa.string()), ("no", pa.int64()), ("exit", pa.int32())])
+_ITEM_SCHEMA = pa.schema([("sha", pa.string()), ("no", pa.int64()), ("item", pa.binary())])
+_STATE_SCHEMA = pa.schema([("sha", pa.string()), ("no", pa.int64()), ("state", pa.binary())])
+_BACK_SCHEMA = pa.schema([("sha", pa.string()), ("no", pa.int64()), ("own", pa.int32()), ("body", pa.string()), ("back", pa.binary()), ("item", pa.binary())])
 _PART_SCHEMA = pa.schema([("sha", pa.string()), ("no", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -283,26 +286,79 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[..., :, None] + b).max(-2), _NONE)
 
 
-def _boundaries(path: str):
+class Scores:
+    """Vectors of scores and transfer matrices, from the start of a text."""
+
+    def __init__(self, reach: int) -> None:
+        self.reach, self.backwards = reach, False
+        first = np.full(reach, _NONE, np.int64)
+        first[0] = 0
+        self.first = first.tobytes()
+
+    def combine(self, a: bytes, b: bytes) -> bytes:
+        """The state or the item that b makes of a."""
+        left, right = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64).reshape(self.reach, self.reach)
+        return times(left if len(left) == self.reach else left.reshape(self.reach, self.reach), right).tobytes()
+
+
+class Exits:
+    """Exit states and maps of exit to entry states (-1: none), from the end of a text."""
+
+    def __init__(self, reach: int) -> None:
+        self.backwards, self.first = True, np.zeros(1, np.int32).tobytes()
+
+    def combine(self, a: bytes, b: bytes) -> bytes:
+        at, entry = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
+        return np.where(at < 0, -1, entry[at]).astype(np.int32).tobytes()
+
+
+def _in_order(rows: pa.Table, backwards: bool) -> pa.Table:
+    return rows.sort_by([("no", "descending" if backwards else "ascending")])
+
+
+def _product(kind: type, path: str):
     def run(rows: pa.Table) -> pa.Table:
-        """Scores of the entry states of each chunk of one text."""
-        reach = model(path).reach
-        rows = rows.sort_by("no")
-        sha, no = rows.column("sha").to_pylist(), rows.column("no").to_pylist()
-        v = np.full(reach, _NONE, np.int64)
-        v[0] = 0
-        seen, out = set(), {"sha": [], "no": [], "entry": []}
-        for s, k, m in zip(sha, no, rows.column("matrix").to_pylist()):
-            if k not in seen:  # rows repeat where the text does
-                seen.add(k)
-                for c, x in zip(out, (s, k, v)):
-                    out[c].append(x)
-                v = times(v // 1, np.frombuffer(m, np.int64).reshape(reach, reach))
-        return pa.Table.from_pydict(out, schema=_ENTRY_SCHEMA)
+        """The item that the items of one block amount to."""
+        own, total = kind(model(path).reach), None
+        rows = _in_order(rows, own.backwards)
+        for item in rows.column("item").to_pylist():
+            total = item if total is None else own.combine(total, item)
+        return pa.Table.from_pydict({"sha": rows.column("sha")[:1], "no": rows.column("block")[:1], "item": [total]}, schema=_ITEM_SCHEMA)
+
+    return run
+
+
+def _states(kind: type, path: str):
+    def run(rows: pa.Table) -> pa.Table:
+        """The state before each item of one block, from the state before the block (null: a text's first)."""
+        own, out = kind(model(path).reach), []
+        rows = _in_order(rows, own.backwards)
+        state = rows.column("state")[0].as_py() or own.first
+        for item in rows.column("item").to_pylist():
+            out.append(state)
+            state = own.combine(state, item)
+        return pa.Table.from_pydict({"sha": rows.column("sha"), "no": rows.column("no"), "state": out}, schema=_STATE_SCHEMA)
 
     return run
 
 
+def scan(items: DataFrame, kind: type, path: str, radix: int | None = None) -> DataFrame:
+    """sha, no, state: what the items (sha, no, item) before each one in its text make of the first state."""
+    radix = radix or RADIX
+    block = F.floor(F.col("no") / radix)
+    levels, n = [items.select("sha", "no", "item")], (items.agg(F.max("no")).first()[0] or 0) + 1
+    while n > radix:
+        up = levels[-1].withColumn("block", block).groupBy("sha", "block").applyInArrow(_product(kind, path), "sha string, no bigint, item binary")
+        levels.append(common.saved(up, "scan"))
+        n = -(-n // radix)
+    states = None
+    for level in reversed(levels):
+        level = level.withColumn("block", block)
+        before = level.withColumn("state", F.lit(None).cast("binary")) if states is None else level.join(states.withColumnRenamed("no", "block"), ["sha", "block"])
+        states = before.groupBy("sha", "block").applyInArrow(_states(kind, path), "sha string, no bigint, state binary")
+    return states
+
+
 def _steps(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
@@ -310,32 +366,19 @@ def _steps(path: str):
         def rows():
             for b in batches:
                 for r in b.to_pylist():
-                    score, back = own.best(r["body"], r["own"], r["entry"])
+                    score, back = own.best(r["body"], r["own"], np.frombuffer(r["state"], np.int64))
                     ends = [own.trace(r["body"], back, r["own"] + x)[0] if r["own"] + x < len(score) and score[r["own"] + x] > _NONE // 2 else -1 for x in range(own.reach)]
-                    yield r["sha"], r["no"], r["own"], r["body"], bytes(back), ends
+                    yield r["sha"], r["no"], r["own"], r["body"], bytes(back), np.array(ends, np.int32).tobytes()
 
         yield from _batches(rows(), _BACK_SCHEMA, lambda r: 200 + 2 * len(r[3]))
 
     return run
 
 
-def _exits(rows: pa.Table) -> pa.Table:
-    """Exit state of each chunk of one text, from the last, which ends at its end."""
-    rows = rows.sort_by([("no", "descending")])
-    out, state, seen = {"sha": [], "no": [], "exit": []}, 0, set()
-    for s, k, entries in zip(*(rows.column(c).to_pylist() for c in ("sha", "no", "entries"))):
-        if k not in seen:
-            seen.add(k)
-            for c, x in zip(out, (s, k, state)):
-                out[c].append(x)
-            state = entries[state]
-    return pa.Table.from_pydict(out, schema=_EXIT_SCHEMA)
-
-
 def _traced(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        rows = ((r["sha"], r["no"], own.trace(r["body"], r["back"], r["own"] + r["exit"])[1]) for b in batches for r in b.to_pylist())
+        rows = ((r["sha"], r["no"], own.trace(r["body"], r["back"], r["own"] + int(np.frombuffer(r["state"], np.int32)[0]))[1]) for b in batches for r in b.to_pylist())
         yield from _batches(rows, _PART_SCHEMA, lambda r: 100 + 4 * len(r[2]))
 
     return run
@@ -345,15 +388,15 @@ def _encode_giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     texts = docs.select("sha", "text")
     pieces = texts.mapInArrow(_split(path, chunk), _CHUNKS).drop("matrix")
     # Chunks of one text go to different tasks; equal texts share chunks, which are kept once.
-    pieces = pieces.withColumn("matrix", F.lit(None).cast("binary")).repartition(common.shuffle_partitions(docs.sparkSession), "sha", "no").dropDuplicates(["sha", "no"])
+    pieces = pieces.withColumn("matrix", F.lit(None).cast("binary")).repartition(common.shuffle_partitions(docs.sparkSession, docs), "sha", "no").dropDuplicates(["sha", "no"])
     chunks = common.saved(pieces.mapInArrow(_transfer(path), _CHUNKS), "chunks")
-    entries = chunks.select("sha", "no", "matrix").groupBy("sha").applyInArrow(_boundaries(path), "sha string, no bigint, entry array<bigint>")
+    entries = scan(chunks.select("sha", "no", F.col("matrix").alias("item")), Scores, path)
     steps = common.saved(
-        chunks.drop("matrix").join(entries, ["sha", "no"]).select("sha", "no", "own", "body", "entry").mapInArrow(_steps(path), "sha string, no bigint, own int, body string, back binary, entries array<int>"),
+        chunks.drop("matrix").join(entries, ["sha", "no"]).select("sha", "no", "own", "body", "state").mapInArrow(_steps(path), "sha string, no bigint, own int, body string, back binary, item binary"),
         "steps",
     )
-    exits = steps.select("sha", "no", "entries").groupBy("sha").applyInArrow(_exits, "sha string, no bigint, exit int")
-    parts = steps.drop("entries").join(exits, ["sha", "no"]).mapInArrow(_traced(path), "sha string, no bigint, ids array<int>")
+    exits = scan(steps.select("sha", "no", "item"), Exits, path)
+    parts = steps.drop("item").join(exits, ["sha", "no"]).mapInArrow(_traced(path), "sha string, no bigint, ids array<int>")
     whole = parts.groupBy("sha").agg(F.count(F.lit(1)).alias("n_chunks"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda p: p["ids"])).alias("ids"))
     return docs.select("doc_id", "sha").join(whole, "sha").select("doc_id", "sha", "n_chunks", "ids")
 
