@@ -277,7 +277,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, standing: DataFrame, width: int, threshold: float) -> DataFrame:
     """cls, root and links of classes (of forest) that have any, some rows a class."""
-    n = common.shuffle_partitions(docs.sparkSession)
+    n = common.shuffle_partitions(docs.sparkSession, docs)
     entries = standing.select("cls", F.posexplode("keys").alias("tree", "key"))
     members = common.saved(entries.join(_nodes(entries), ["tree", "key"]), "members")
     wanted = standing.select("cls", "doc_id", "text_key", "keys").join(members.select("cls").distinct(), "cls", "left_semi")

@@ -205,7 +205,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
     common.prepare(spark)
     (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-        .repartitionByRange(common.shuffle_partitions(spark), "doc_id", "tie")
+        .repartitionByRange(common.shuffle_partitions(spark, docs), "doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie", "text")
         .select("doc_id", "text")
         .mapInArrow(_encode(tokenizer, end_id), "doc_id bigint, row bigint, n_tokens bigint, ids array<int>")
