@@ -1,15 +1,16 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted by hash, merged into removal intervals.
 
-Every window of ``width`` consecutive words of a document gets a 64-bit rolling hash and 24 bits of a
+Every window of ``width`` consecutive words of a document gets a 64-bit rolling hash and 16 bits or more of a
 second, independent one. Hashes are dealt by value to buckets; in a bucket each sequence keeps its first
 window (smallest doc_id, then text's hash, then start) and the starts of all others go back to their documents,
 where overlapping windows merge into maximal intervals and the words they cover are removed.
 
-Only hashes and starts are shuffled, packed by bucket (about eleven bytes a window; bytes that the bucket tells are
-left out, so fewer in large corpora), and each task sends a
+Only hashes and starts are shuffled, packed by bucket (about ten bytes a window), and each task sends a
 repeated sequence at most once per chunk, so a passage that a third of all rows share is no hot key.
-Texts are shuffled once, compressed. Two different windows of n are taken as equal with a chance of about
-n**2 / 2**89, which is one in a hundred thousand at 10 TB and 0.4 at 1.6e13 windows or 100 TB.
+Texts are shuffled once, compressed. For each byte of the first hash that the
+bucket tells, a byte more of the second is shipped: 80 bits up to 65,536 buckets, 88 and at last 96 beyond. Two
+different windows of n are taken as equal with a chance of about n**2 / 2**81, and n**2 / 2**97 from 1e13 windows on
+(50 TB; 0.002 at 100 TB).
 
 Defined cases: a null or empty text has no words; texts shorter than a window lose nothing; rows with a null
 doc_id count as the smallest; rows that repeat a doc_id and text get the same result each, and windows of
@@ -33,8 +34,6 @@ from . import common
 WIDTH = 20
 #: Windows that a task sorts and sends at a time, and windows that a bucket holds on average at most.
 CHUNK, BUCKET = 1 << 20, 1 << 19
-#: Bytes of a window's two hashes.
-BODY = 11
 
 _PACKED = "part int, kind tinyint, doc_id bigint, sub bigint, body binary, docs binary, subs binary, counts binary, starts binary"
 _SCHEMA = pa.schema(
@@ -94,9 +93,9 @@ def _later(h: np.ndarray, check: np.ndarray, doc: np.ndarray, sub: np.ndarray, s
 
 
 def _shipped(buckets: int) -> list[int]:
-    """Bytes of a window's hashes that its bucket, bits 40 and up of the first, does not tell."""
-    told = buckets.bit_length() - 1 >> 3
-    return [i for i in range(BODY) if not 5 <= i < 5 + told]
+    """Bytes of a window's two hashes, eight and four, that are sent: nine, without those that the bucket (bits 40 and up) tells."""
+    told = min(3, buckets.bit_length() - 1 >> 3)
+    return [i for i in range(9 + told) if not 5 <= i < 5 + told]
 
 
 def _hash_windows(width: int, buckets: int, parts: int):
@@ -106,9 +105,9 @@ def _hash_windows(width: int, buckets: int, parts: int):
         if later.any():
             yield _starts([(doc[later], sub[later], start[later])], parts)
         h, check, doc, sub, start = (x[~later] for x in (h, check, doc, sub, start))
-        body = np.empty((len(h), BODY), np.uint8)
+        body = np.empty((len(h), 12), np.uint8)
         body[:, :8] = h.view(np.uint8).reshape(-1, 8)
-        body[:, 8:] = check.view(np.uint8).reshape(-1, 4)[:, : BODY - 8]
+        body[:, 8:] = check.view(np.uint8).reshape(-1, 4)
         yield _rows(_HASHES, ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), doc, sub, start, body[:, _shipped(buckets)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +123,7 @@ def _hash_windows(width: int, buckets: int, parts: int):
                 at = first[row] + start
                 doc, sub = rows.column("doc_id").to_numpy(zero_copy_only=False), rows.column("sub").to_numpy(zero_copy_only=False)
                 h = common.rolling(words, width, "window")[at]
-                check = (common.rolling(common.mix(words, 0x5DEECE66D), width, "check")[at] >> np.uint64(40)).astype(np.uint32)
+                check = (common.rolling(common.mix(words, 0x5DEECE66D), width, "check")[at] >> np.uint64(32)).astype(np.uint32)
                 chunk.append((common.mix(h), check, doc[row], sub[row], start))
                 held += len(at)
                 if held >= CHUNK:
