@@ -1,9 +1,12 @@
 """Order statistics without a global sort in one task.
 
-``running`` gives running totals over distinct values: values fall into about sqrt(n) cells of equal width,
-cell totals are summed up in one small window, and only the values of one cell are ordered together.
-``ordinals`` numbers rows by value, then id; ``quantiles`` finds exact quantiles by narrowing intervals, one
-aggregation a round, and never holds more than ``LEAF`` values of an interval at once.
+``celled`` cuts a frame at sampled quantiles of a key into about sqrt(n) cells of nearly equal size, whatever the key's
+distribution. ``running`` gives running totals over distinct values: totals of cells are summed up in one small window,
+and only the values of one cell are ordered together. ``ordinals`` numbers rows by value, then id. ``quantiles``
+brackets each rank by approximate percentiles, counts what lies below and inside, and collects no more than ``LEAF``
+distinct values a rank.
+
+Null group keys are groups of their own; internal columns take names that the frame does not have.
 """
 
 from __future__ import annotations
@@ -11,93 +14,178 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEAF, SPLITS = 100_000, 512
+from .shared import free, saved
+
+LEAF, ACCURACY, WIDE = 20_000, 10_000, 40
+#: Cells of a frame at most; their bounds are all that comes to the driver.
+PROBE, CELLS = 1024, 1 << 16
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on keys in which nulls equal each other; keys come from left."""
+    names = [free(left, f"_right_{i}") for i in range(len(keys))]
+    right = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k, n in zip(keys, names):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return left.join(right, on, how).drop(*names)
+
+
+def _percentiles(df: DataFrame, key: str, n: int) -> tuple[list[float], int]:
+    shares = F.lit([i / n for i in range(1, n)])
+    got = df.agg(F.percentile_approx(F.col(key).cast("double"), shares, F.lit(4 * n)).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    return list(got.q or []), got.n
+
+
+def celled(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with name, a cell number that rises with key; null keys are in cell -1."""
+    found, n = _percentiles(df, key, PROBE)
+    cells = min(CELLS, max(1, math.isqrt(n)))
+    if cells > PROBE:
+        found, _ = _percentiles(df, key, cells)
+    elif found:
+        found = [found[i * len(found) // cells] for i in range(1, cells)]
+    bounds = sorted({b for b in found if math.isfinite(b)})
+    if not bounds:
+        return df.withColumn(name, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0)))
+    number, cell = free(df, "_number"), free(df, "_cell")
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=number, outputCol=cell, handleInvalid="keep")
+    placed = cut.transform(df.withColumn(number, F.col(key).cast("double")))
+    return placed.withColumn(name, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.col(cell).cast("int"))).drop(number, *({cell} - {name}))
 
 
 def running(df: DataFrame, value: str, totals: dict[str, Column], by: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """by, value, each of totals (per distinct value) and <name>_before, its sum over the values that come first."""
     by = list(by)
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(k) for k, c in totals.items()])
-    lo, hi, n = distinct.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
-    cells = max(1, math.isqrt(n or 0))
-    width = (float(hi) - float(lo)) if n else 0.0
-    place = (F.col(value).cast("double") - F.lit(float(lo or 0))) / F.lit(width or 1.0)
-    distinct = distinct.withColumn("_cell", F.least(F.floor(place * cells), F.lit(cells - 1)).cast("int"))
+    distinct = saved(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(k) for k, c in totals.items()]), "running")
+    cell = free(distinct, "_cell_of")
+    distinct = celled(distinct, value, cell)
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    sums = distinct.groupBy(*by, "_cell").agg(*[F.sum(k).alias(f"_{k}") for k in totals])
-    outer = Window.partitionBy(*by).orderBy(order("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*by, "_cell", *[F.coalesce(F.sum(f"_{k}").over(outer), F.lit(0)).alias(f"_{k}") for k in totals])
-    inner = Window.partitionBy(*by, "_cell").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
-    inside = distinct.select("*", *[F.coalesce(F.sum(k).over(inner), F.lit(0)).alias(f"{k}_in") for k in totals])
-    joined = inside.join(sums, [*by, "_cell"])
-    return joined.select(*by, value, *totals, *[(F.col(f"{k}_in") + F.col(f"_{k}")).alias(f"{k}_before") for k in totals])
+    up, own = ({k: free(distinct, f"{kind}_{k}") for k in totals} for kind in ("_up", "_in"))
+    sums = distinct.groupBy(*by, cell).agg(*[F.sum(k).alias(up[k]) for k in totals])
+    outer = Window.partitionBy(*by).orderBy(order(cell)).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, cell, *[F.coalesce(F.sum(up[k]).over(outer), F.lit(0)).alias(up[k]) for k in totals])
+    inner = Window.partitionBy(*by, cell).orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = distinct.select("*", *[F.coalesce(F.sum(k).over(inner), F.lit(0)).alias(own[k]) for k in totals])
+    joined = null_safe_join(inside, sums, [*by, cell])
+    return joined.select(*by, value, *totals, *[(F.col(own[k]) + F.col(up[k])).alias(f"{k}_before") for k in totals])
 
 
 def ordinals(df: DataFrame, value: str, id_: str, by: Sequence[str] = (), descending: bool = False, name: str = "ordinal") -> DataFrame:
     """df with its 1-based number by value, then id (a whole number), within by; rows without a value go."""
     by = list(by)
-    before = running(df, value, {"_n": F.count(F.lit(1))}, by, descending).select(*by, value, F.col("_n_before").alias("_before"))
-    lo, hi, n = df.agg(F.min(id_), F.max(id_), F.count(F.lit(1))).first()
-    bins = max(1, math.isqrt(n or 0))
-    step = max(1, ((hi or 0) - (lo or 0)) // bins + 1)
-    placed = df.filter(F.col(value).isNotNull()).withColumn("_bin", F.floor((F.col(id_) - F.lit(lo or 0)) / F.lit(step)))
-    cells = placed.groupBy(*by, value, "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    outer = Window.partitionBy(*by, value).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*by, value, "_bin", F.coalesce(F.sum("_c").over(outer), F.lit(0)).alias("_earlier"))
-    inner = Window.partitionBy(*by, value, "_bin").orderBy(id_)
-    numbered = placed.withColumn("_at", F.row_number().over(inner)).join(cells, [*by, value, "_bin"]).join(before, [*by, value])
-    return numbered.withColumn(name, F.col("_before") + F.col("_earlier") + F.col("_at")).drop("_before", "_earlier", "_at", "_bin")
+    n, before, earlier, at, place = (free(df, c) for c in ("_n", "_before", "_earlier", "_at", "_bin"))
+    values = running(df.select(*dict.fromkeys([*by, value])), value, {n: F.count(F.lit(1))}, by, descending).select(*by, value, F.col(f"{n}_before").alias(before))
+    placed = celled(df.filter(F.col(value).isNotNull()), id_, place)
+    cells = placed.groupBy(*by, value, place).agg(F.count(F.lit(1)).alias(n))
+    outer = Window.partitionBy(*by, value).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*by, value, place, F.coalesce(F.sum(n).over(outer), F.lit(0)).alias(earlier))
+    inner = Window.partitionBy(*by, value, place).orderBy(id_)
+    numbered = null_safe_join(placed.withColumn(at, F.row_number().over(inner)), cells, [*by, value, place])
+    numbered = null_safe_join(numbered, values, [*by, value])
+    return numbered.withColumn(name, F.col(before) + F.col(earlier) + F.col(at)).drop(before, earlier, at, place)
+
+
+def neighbours(df: DataFrame, value: str, id_: str, by: Sequence[str], before: str, after: str) -> DataFrame:
+    """df with the values next before and after each row's in the order of value, then id, within by; null at the ends."""
+    by = list(by)
+    cell, lo, hi = (free(df, c) for c in ("_cell_of", "_lo", "_hi"))
+    placed = celled(df, value, cell)
+    ends = placed.groupBy(*by, cell).agg(F.min(value).alias(lo), F.max(value).alias(hi))
+    outer = Window.partitionBy(*by).orderBy(cell)
+    ends = ends.select(*by, cell, F.lag(hi).over(outer).alias(hi), F.lead(lo).over(outer).alias(lo))
+    inner = Window.partitionBy(*by, cell).orderBy(value, id_)
+    own = placed.withColumns({before: F.lag(value).over(inner), after: F.lead(value).over(inner)})
+    out = null_safe_join(own, ends, [*by, cell])
+    return out.withColumns({before: F.coalesce(before, hi), after: F.coalesce(after, lo)}).drop(cell, lo, hi)
+
+
+class _Bracket:
+    """Ranks of a column that lie between two values, and what is known of these."""
+
+    def __init__(self, column: str, lo: float, hi: float, ranks: list[int], below: int | None, inside: int | None, slack: int = 1) -> None:
+        self.column, self.lo, self.hi, self.ranks, self.below, self.inside, self.slack = column, lo, hi, ranks, below, inside, slack
+
+    def holds(self) -> Column:
+        return (F.col(self.column) >= F.lit(self.lo)) & (F.col(self.column) <= F.lit(self.hi))
+
+
+def _first_brackets(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> tuple[list[_Bracket], dict[str, int], dict[str, tuple[float, float]]]:
+    """Brackets of all ranks, and the number and the ends of each column's values."""
+    margin = 2 / ACCURACY
+    shares = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-margin, margin)]
+    aggregates = [f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    aggregates += [F.percentile_approx(c, F.lit(shares), F.lit(ACCURACY)).alias(f"q{i}") for i, c in enumerate(columns)]
+    got, brackets, counts = df.agg(*aggregates).first(), [], {}
+    for i, c in enumerate(columns):
+        n = counts[c] = got[f"n{i}"]
+        if not n:
+            continue
+        ranks = [sorted({math.floor(p * (n - 1)), math.ceil(p * (n - 1))}) for p in probabilities]
+        if n <= LEAF:
+            brackets.append(_Bracket(c, got[f"lo{i}"], got[f"hi{i}"], sorted({r for own in ranks for r in own}), 0, n))
+        else:
+            brackets += [_Bracket(c, got[f"q{i}"][2 * k], got[f"q{i}"][2 * k + 1], own, None, None) for k, own in enumerate(ranks)]
+    return brackets, counts, {c: (got[f"lo{i}"], got[f"hi{i}"]) for i, c in enumerate(columns)}
+
+
+def _narrowed(df: DataFrame, brackets: list[_Bracket], ends: dict[str, tuple[float, float]]) -> list[_Bracket]:
+    """The brackets with counts; those that miss their ranks widened, those that hold too much narrowed."""
+    aggregates = []
+    for i, b in enumerate(brackets):
+        inside = F.when(b.holds(), F.col(b.column))
+        aggregates += [F.count_if(F.col(b.column) < F.lit(b.lo)).alias(f"b{i}"), F.count(inside).alias(f"n{i}")]
+        aggregates += [F.percentile_approx(inside, F.lit([j / 256 for j in range(257)]), F.lit(ACCURACY)).alias(f"q{i}")]
+    got, out = df.agg(*aggregates).first(), []
+    for i, b in enumerate(brackets):
+        below, inside, q = got[f"b{i}"], got[f"n{i}"], got[f"q{i}"]
+        missing = [r for r in b.ranks if not below <= r < below + inside]
+        if missing:
+            out.append(_Bracket(b.column, *ends[b.column], missing, None, None, 2 * b.slack))
+        ranks = [r for r in b.ranks if r not in missing]
+        if not ranks:
+            continue
+        if inside <= LEAF or b.lo == b.hi:
+            out.append(_Bracket(b.column, b.lo, b.hi, ranks, below, inside))
+            continue
+        for r in ranks:  # one part in 256, and its neighbours for the error of the approximation
+            at = (r - below) * 256 // inside
+            lo, hi = q[max(0, at - b.slack)], q[min(256, at + 1 + b.slack)]
+            out.append(_Bracket(b.column, lo, hi, [r], None, None, b.slack) if (lo, hi) != (b.lo, b.hi) else _Bracket(b.column, b.lo, b.hi, [r], below, inside))
+    return out
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation of numeric columns, nulls and NaN left out; None for no values."""
-    spark = df.sparkSession
-    clean = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns]
-    df = df.select(*clean)
-    first = df.agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    value: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, int], tuple[float, float, int, int]] = {}  # (column, rank) -> lo, hi, rank below, values inside
-    for c in columns:
-        n = first[f"n_{c}"]
-        for p in probabilities if n else ():
-            for r in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
-                open_[c, r] = (first[f"lo_{c}"], first[f"hi_{c}"], 0, n)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in columns])).alias("v")).select("v.*")
-    while open_:
-        spans = sorted({(c, lo, hi, below) for (c, _), (lo, hi, below, _) in open_.items()})
-        small = {(c, lo, hi) for (c, _), (lo, hi, _, inside) in open_.items() if inside <= LEAF or lo == hi or (hi - lo) / SPLITS == 0}
-        # One row a column and interval: as many as columns and probabilities.
-        frame = spark.createDataFrame([(c, lo, hi, (c, lo, hi) in small) for c, lo, hi, _ in spans], "c string, lo double, hi double, leaf boolean")
-        width = (F.col("hi") - F.col("lo")) / SPLITS
-        part = F.when(F.col("leaf"), F.col("x")).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(SPLITS - 1)).cast("double"))
-        inside = long.join(F.broadcast(frame), "c").filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-        counted = inside.groupBy("c", "lo", "hi", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
-        found: dict[tuple[str, float, float], list] = {}
-        for r in counted.collect():  # SPLITS rows an interval, or at most LEAF distinct values
-            found.setdefault((r.c, r.lo, r.hi), []).append((r.part, r.n, r.a, r.b))
-        for (c, rank), (lo, hi, below, _) in list(open_.items()):
-            for _, n, a, b in sorted(found[c, lo, hi]):
-                if rank < below + n:
-                    if a == b:
-                        value[c, rank] = a
-                        del open_[c, rank]
-                    else:
-                        open_[c, rank] = (a, b, below, n)
-                    break
-                below += n
+    df = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
     out: dict[str, list[float | None]] = {}
-    for c in columns:
-        n, own = first[f"n_{c}"], []
-        for p in probabilities:
-            if not n:
-                own.append(None)
-                continue
-            at = p * (n - 1)
-            a, b = value[c, math.floor(at)], value[c, math.ceil(at)]
-            own.append(a + (b - a) * (at - math.floor(at)))
-        out[c] = own
+    for a in range(0, len(columns), WIDE):  # so many columns an aggregation
+        part = list(columns[a : a + WIDE])
+        brackets, counts, ends = _first_brackets(df, part, probabilities)
+        value: dict[tuple[str, int], float] = {}
+        while any(b.below is None for b in brackets):
+            known = [b for b in brackets if b.below is not None]
+            brackets = known + _narrowed(df, [b for b in brackets if b.below is None], ends)
+        if brackets:
+            marked = F.array(*[F.when(b.holds(), F.struct(F.lit(i).alias("b"), F.col(b.column).alias("x"))) for i, b in enumerate(brackets)])
+            cells = df.select(F.explode(F.filter(marked, lambda m: m.isNotNull())).alias("m")).groupBy("m.b", "m.x").agg(F.count(F.lit(1)).alias("n"))
+            found: dict[int, list[tuple[float, int]]] = {}
+            for r in cells.collect():  # at most LEAF distinct values a rank
+                found.setdefault(r.b, []).append((r.x, r.n))
+            for i, b in enumerate(brackets):
+                below = b.below
+                for x, n in sorted(found[i]):
+                    value |= {(b.column, r): x for r in b.ranks if below <= r < below + n}
+                    below += n
+        for c in part:
+            n, own = counts[c], []
+            for p in probabilities:
+                at = p * (n - 1)
+                own.append(None if not n else value[c, math.floor(at)] + (value[c, math.ceil(at)] - value[c, math.floor(at)]) * (at - math.floor(at)))
+            out[c] = own
     return out

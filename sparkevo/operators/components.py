@@ -83,3 +83,9 @@ class PCA:
     def importance(self, components: int = 3, features: int = 5) -> list[tuple[int, int, int, float]]:
         """(component, place, feature, weight): the features of greatest absolute weight."""
         return [(c, j + 1, int(f), float(a[f])) for c, a in enumerate(self.axes[:components]) for j, f in enumerate(np.argsort(-np.abs(a), kind="stable")[:features])]
+
+
+def apply_pca(df: DataFrame, share: float = 0.95) -> tuple[DataFrame, PCA]:
+    """df with projected, and the projection fitted on it."""
+    pca = PCA(share).fit(df)
+    return pca.transform(df), pca

@@ -1,41 +1,59 @@
 """Model training on label and features, behind one search task: prepare, fit, score by folds, evolve.
 
-Models are Spark ML's; what they lack of other libraries' options is not offered. Preparation is fitted on the
-training rows of a fold only, and prepared folds are kept per preparation, for they depend on nothing else.
+Models are Spark ML's; what they lack of other libraries' options is not offered. Preparation (fill gaps, scale,
+rebalance, project) is fitted on the training rows of a fold only, only these are rebalanced, and prepared folds are
+kept per preparation, for they depend on nothing else, until ``release``. Searches run on :mod:`evolve`: the individuals
+of a generation are decoded in one job, and an individual that fails scores 0 with its error kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
-from . import metrics
+from . import evolve, metrics
 from .components import PCA
-from .neighbours import nearest, vote
-from .prepare import Scaler, stratified_folds
-from .space import SPACES, Space, gene_names
+from .neighbours import nearest, resample, vote
+from .prepare import Imputer, Scaler, stratified_folds
+from .space import SPACES, Space, decode
 
 
-def make_model(kind: str, p: dict, classes: int, width: int, seed: int = 42):
-    """An estimator of Spark ML with the parameters of a decoded individual."""
+def fourier(df: DataFrame, width: int, gamma: float | None = None, size: int = 128, seed: int = 42) -> DataFrame:
+    """df with features as random Fourier features, whose products approach the Gaussian kernel exp(-gamma |x - y|^2)."""
+    random = np.random.default_rng(seed)
+    w = random.normal(size=(width, size)) * math.sqrt(2 * (gamma or 1 / width))
+    b = random.uniform(0, 2 * math.pi, size)
+
+    @F.pandas_udf("array<double>")
+    def mapped(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.cos(np.stack(x.to_numpy()).astype(float) @ w + b) * math.sqrt(2 / size)))
+
+    return df.withColumn("features", mapped("features"))
+
+
+def make_model(kind: str, p: dict, classes: int, width: int, rows: int, seed: int = 42):
+    """An estimator of Spark ML with the parameters of a decoded individual, for so many training rows."""
     if kind == "random_forest":
         return RandomForestClassifier(numTrees=int(p.get("trees", 50)), maxDepth=int(p.get("max_depth", 10)), minInstancesPerNode=int(p.get("min_leaf", 1)), featureSubsetStrategy=p.get("features", "sqrt"), seed=seed)
     if kind == "logistic":
-        return LogisticRegression(regParam=1 / float(p.get("C", 1.0)) / 1000, elasticNetParam=1.0 if p.get("penalty") == "l1" else 0.0, maxIter=20)
+        return LogisticRegression(regParam=1 / (float(p.get("C", 1.0)) * max(1, rows)), elasticNetParam=1.0 if p.get("penalty") == "l1" else 0.0, maxIter=20)
     if kind == "mlp":
         hidden = [int(p[k]) for k in ("layer1", "layer2", "layer3") if int(p.get(k, 0) or 0) > 0] or [100]
         return MultilayerPerceptronClassifier(layers=[width, *hidden, classes], maxIter=int(p.get("max_iter", 100)), seed=seed)
     if kind == "svm":
-        one = LinearSVC(regParam=1 / float(p.get("C", 1.0)) / 1000, maxIter=20)
+        one = LinearSVC(regParam=1 / (float(p.get("C", 1.0)) * max(1, rows)), maxIter=20)
     elif kind == "gbt":
-        one = GBTClassifier(maxIter=int(p.get("trees", 20)), maxDepth=int(p.get("max_depth", 5)), stepSize=float(p.get("rate", 0.1)), subsamplingRate=float(p.get("subsample", 1.0)), seed=seed)
+        early = {"validationIndicatorCol": "held", "validationTol": 0.0} if p.get("early_stop") else {}
+        one = GBTClassifier(maxIter=int(p.get("trees", 50)), maxDepth=int(p.get("max_depth", 5)), stepSize=float(p.get("rate", 0.1)), subsamplingRate=float(p.get("subsample", 1.0)), seed=seed, **early)
     else:
         raise ValueError(f"unknown model {kind!r}")
     return one if classes == 2 else OneVsRest(classifier=one)
@@ -46,11 +64,14 @@ def predictions(kind: str, p: dict, train: DataFrame, test: DataFrame, classes:
     if kind == "knn":
         both = train.select("row_id", "label", "features", F.lit(False).alias("t")).unionByName(test.select("row_id", "label", "features", F.lit(True).alias("t")))
         rows = both.withColumnRenamed("row_id", "id")  # test rows are the stated queries, training rows the donors
-        near = nearest(rows, F.col("t"), int(p.get("k", 5)), donors=~F.col("t"))
+        near = nearest(rows, F.col("t"), int(p.get("k", 5)), donors=~F.col("t"), metric=p.get("metric", "euclidean"))
         said = test.select("row_id", "label").join(vote(near, p.get("weights") == "distance"), F.col("row_id") == F.col("id"), "left")
         return said.select("row_id", "label", F.coalesce("prediction", F.lit(0)).cast("int").alias("prediction"))
-    as_ml = lambda d: d.select("row_id", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
-    fitted = make_model(kind, p, classes, width).fit(as_ml(train))
+    if kind == "svm" and p.get("kernel") == "rbf":
+        train, test = (fourier(d, width, p.get("gamma")) for d in (train, test))
+    held = uniform(42, F.col("row_id"), F.lit("held")) < 0.1
+    as_ml = lambda d: d.select("row_id", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"), held.alias("held"))
+    fitted = make_model(kind, p, classes, width, train.count()).fit(as_ml(train))
     return fitted.transform(as_ml(test)).select("row_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
 
 
@@ -61,69 +82,105 @@ class SearchTask:
     frame: DataFrame
     kind: str
     folds: int = 3
-    metric: str = "balanced_accuracy"
+    metrics: tuple[str, ...] = ("balanced_accuracy",)
     seed: int = 42
     prepared: dict = field(default_factory=dict)
     memo: dict = field(default_factory=dict)
+    errors: dict = field(default_factory=dict)
 
     @property
     def space(self) -> Space:
         return SPACES[self.kind]
 
-    def _fold(self, key: tuple, fold: int) -> tuple[DataFrame, DataFrame, int]:
-        if (key, fold) not in self.prepared:
-            scaler, share = key
+    def fold(self, scaler: str, rebalance: str, share: float, fold: int) -> tuple[DataFrame, DataFrame, int]:
+        """Prepared training and test rows of a fold, and the number of their features."""
+        key = (scaler, rebalance, share, fold)
+        if key not in self.prepared:
             folded = stratified_folds(self.frame, "label", "row_id", self.folds, self.seed)
-            train, test = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
-            width = len(self.frame.select("features").first().features)
+            width = self.frame.agg(F.max(F.size("features"))).first()[0]
             names = [f"f_{i}" for i in range(width)]
-            wide = lambda d: d.select("row_id", "label", *[F.col("features")[i].cast("double").alias(n) for i, n in enumerate(names)])
-            s = Scaler(names, scaler).fit(wide(train))
-            narrow = lambda d: s.transform(wide(d)).select("row_id", "label", F.array(*names).alias("features"))
-            pca = PCA(share).fit(narrow(train))
-            apply = lambda d: pca.transform(narrow(d)).select("row_id", "label", F.col("projected").alias("features")).persist()
-            self.prepared[key, fold] = apply(train), apply(test), len(pca.axes)
-        return self.prepared[key, fold]
-
-    def evaluate(self, individual: dict) -> float:
-        """Mean metric over the folds; remembered by value."""
+            wide = lambda d: d.select("row_id", "label", *[F.get("features", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+            train, test = wide(folded.filter(F.col("fold") != fold)), wide(folded.filter(F.col("fold") == fold))
+            filler = Imputer(names, "mean").fit(train)
+            scale = Scaler(names, scaler).fit(filler.transform(train))
+            narrow = lambda d: scale.transform(filler.transform(d)).select("row_id", "label", F.array(*names).alias("features"))
+            even = resample(narrow(train).withColumnRenamed("row_id", "id"), rebalance, seed=self.seed).select(F.col("id").alias("row_id"), "label", "features").persist()
+            pca = PCA(share).fit(even)
+            apply = lambda d: pca.transform(d).select("row_id", "label", F.col("projected").alias("features")).persist()
+            self.prepared[key] = apply(even), apply(narrow(test)), len(pca.axes)
+            for d in self.prepared[key][:2]:
+                d.count()
+            even.unpersist()
+        return self.prepared[key]
+
+    def release(self) -> None:
+        """Drop the prepared folds."""
+        for train, test, _ in self.prepared.values():
+            train.unpersist()
+            test.unpersist()
+        self.prepared.clear()
+
+    def score(self, individual: dict) -> list[float]:
+        """Mean of each metric over the folds, remembered by value; zeros, and the error in errors, where a model fails."""
         known = tuple(sorted((k, str(v)) for k, v in individual.items()))
         if known not in self.memo:
-            classes, scores = self.frame.select("label").distinct().count(), []
-            for fold in range(self.folds):
-                train, test, width = self._fold((individual["scaler"], individual["pca"]), fold)
-                said = predictions(self.kind, individual, train, test, classes, width)
-                scores.append(metrics.METRICS[self.metric](said).select(F.col(self.metric)).first()[0])
-            self.memo[known] = float(np.mean(scores))
+            try:
+                classes, got = self.frame.agg(F.max("label")).first()[0] + 1, []
+                for fold in range(self.folds):
+                    train, test, width = self.fold(individual["scaler"], individual["rebalance"], individual["pca"], fold)
+                    said = predictions(self.kind, individual, train, test, classes, width).persist()
+                    got.append([metrics.METRICS[m](said).select(F.col(m)).first()[0] for m in self.metrics])
+                    said.unpersist()
+                self.memo[known] = np.mean(got, axis=0).tolist()
+            except Exception as e:  # the search goes on, and the failure can be seen
+                self.memo[known], self.errors[known] = [0.0] * len(self.metrics), str(e)
         return self.memo[known]
 
-    def search(self, size: int = 2, generations: int = 2) -> list[tuple[int, int, dict, float]]:
-        """(generation, individual, values, fitness) of a small evolution: keep the best half, mutate it for the rest."""
-        names = gene_names(self.space)
-        spark = self.frame.sparkSession
-
-        def draw(gen: int) -> list[list[float]]:
-            cols = [uniform(self.seed, F.col("id"), F.lit(gen), F.lit(i)).alias(n) for i, n in enumerate(names)]
-            return [list(r) for r in spark.range(size).select(*cols).orderBy("id").collect()]
-
-        def values(genes: list[float]) -> dict:
-            one = spark.range(1).select(*[self.space[n].decode(F.lit(g)).alias(n) for n, g in zip(names, genes)]).first()
-            return one.asDict()
-
-        pop, out = draw(0), []
-        for gen in range(generations):
-            scored = sorted(((self.evaluate(values(g)), g) for g in pop), key=lambda x: -x[0])
-            out += [(gen, i, values(g), f) for i, (f, g) in enumerate(scored)]
-            keep = [g for _, g in scored[: max(1, size // 2)]]
-            fresh = draw(gen + 1)
-            pop = keep + [[f if (i + j) % 2 else k for j, (k, f) in enumerate(zip(keep[i % len(keep)], fresh[i]))] for i in range(size - len(keep))]
-        return out
-
-
-def tune(frame: DataFrame, kinds: list[str], evaluate: Callable | None = None, **options) -> DataFrame:
-    """kind, gen, ind, fitness and values (as text) of a search per kind of model."""
+    def values(self, pop: DataFrame) -> dict[int, dict]:
+        """Decoded values of each individual: a candidate a row, in one job."""
+        rows = pop.select("ind_id", *[c.alias(n) for n, c in decode(self.space, F.col("genes")).items()]).collect()
+        return {r.ind_id: {n: r[n] for n in self.space} for r in rows}
+
+    def fitness(self, pop: DataFrame, names: tuple[str, ...] = ("fitness",)) -> DataFrame:
+        """pop with a column of each of names, the metrics of its individuals."""
+        scored = [(i, *map(float, self.score(v))) for i, v in sorted(self.values(pop).items())]
+        schema = "ind_id bigint, " + ", ".join(f"{n} double" for n in names)
+        return pop.join(F.broadcast(pop.sparkSession.createDataFrame(scored, schema)), "ind_id")
+
+    def search(self, size: int = 10, settings: evolve.Settings | None = None) -> tuple[DataFrame, list[evolve.Generation]]:
+        """The last population with fitness, or with several metrics their survivors with pareto_rank, and the history."""
+        s = settings or evolve.Settings(generations=5)
+        s.genes = len(self.space)
+        start = evolve.initial(self.frame.sparkSession, size, s)
+        try:
+            if len(self.metrics) == 1:
+                return evolve.run(start, self.fitness, s)
+            return evolve.nsga2(start, partial(self.fitness, names=tuple(f"obj_{i}" for i in range(len(self.metrics)))), len(self.metrics), s), []
+        finally:
+            self.release()
+
+
+def tune(frame: DataFrame, kinds: list[str], size: int = 10, settings: dict | None = None, **options) -> DataFrame:
+    """kind, ind_id, fitness and values (as text) of the last population of a search per kind of model."""
     rows = []
     for kind in kinds:
         task = SearchTask(frame, kind, **options)
-        rows += [(kind, g, i, f, str(sorted(v.items()))) for g, i, v, f in task.search()]
-    return frame.sparkSession.createDataFrame(rows, "kind string, gen int, ind int, fitness double, `values` string")
+        pop, _ = task.search(size, evolve.Settings(**({"generations": 5} | (settings or {}))))
+        values = task.values(pop)
+        rows += [(kind, r.ind_id, r.fitness, str(sorted(values[r.ind_id].items()))) for r in pop.select("ind_id", "fitness").collect()]
+    return frame.sparkSession.createDataFrame(rows, "kind string, ind_id bigint, fitness double, `values` string")
+
+
+def compare_metrics(frame: DataFrame, kind: str, first: str = "accuracy", second: str = "macro_f1", size: int = 10, settings: dict | None = None, **options) -> DataFrame:
+    """driver, metric and score: what searches driven by one metric and by another find, each judged by both; and the difference."""
+    both, rows = (first, second), []
+    found = {}
+    for driver in both:
+        pop, _ = SearchTask(frame, kind, metrics=(driver,), **options).search(size, evolve.Settings(**({"generations": 5} | (settings or {}))))
+        best = pop.orderBy(F.desc("fitness"), "ind_id").limit(1)
+        judge = SearchTask(frame, kind, metrics=both, **options)
+        found[driver] = judge.score(next(iter(judge.values(best).values())))
+        judge.release()
+        rows += [(driver, m, x) for m, x in zip(both, found[driver])]
+    rows += [("difference", m, b - a) for m, a, b in zip(both, found[first], found[second])]
+    return frame.sparkSession.createDataFrame(rows, "driver string, metric string, score double")

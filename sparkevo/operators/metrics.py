@@ -91,7 +91,7 @@ def roc_auc(df: DataFrame, score: str = "prob", positive: int = 1) -> DataFrame:
 
 def roc_auc_ovr(df: DataFrame, scores: str = "probs", label: str = "label") -> DataFrame:
     """One-versus-rest areas by class, weighted by support; scores is an array with one entry a class, in order."""
-    long = df.select(F.posexplode(scores).alias("c", "s"), (F.col(label) == F.col("pos")).alias("_is") if False else F.col(label).alias("_l"))
+    long = df.select(F.posexplode(scores).alias("c", "s"), F.col(label).alias("_l"))
     long = long.withColumn("_is", F.col("c") == F.col("_l"))
     steps = _by_score(long, "s", F.col("_is"), ["c"])
     below = F.col("pos_before") * F.col("neg") + F.col("pos") * F.col("neg") / 2
@@ -112,4 +112,8 @@ def summary(df: DataFrame, score: str = "prob") -> DataFrame:
     return accuracy(df).select("accuracy").join(F.broadcast(weighted)).join(F.broadcast(roc_auc(df, score)))
 
 
-METRICS = {"accuracy": accuracy, "balanced_accuracy": balanced_accuracy, "binary": binary, "averages": averages, "roc_auc": roc_auc, "average_precision": average_precision}
+def macro_f1(df: DataFrame) -> DataFrame:
+    return averages(df).filter("kind = 'macro'").select(F.col("f1").alias("macro_f1"))
+
+
+METRICS = {"macro_f1": macro_f1, "accuracy": accuracy, "balanced_accuracy": balanced_accuracy, "binary": binary, "averages": averages, "roc_auc": roc_auc, "average_precision": average_precision}

@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import uniform
+from ..functions.order import null_safe_join
+from ..functions.shared import saved
+from .prepare import shuffled_rank
+from .select import picked
 
-#: Queries in a block: their vectors stay under 16 MB up to 512 dimensions.
-QUERIES = 4096
+#: Bytes of the vectors of a block of queries.
+BLOCK = 16 << 20
 
 
-def _best(held, k: int, same_class: bool):
+def _best(held, k: int, same_class: bool, manhattan: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors, labels = held.value
         top_d = np.full((len(ids), k), np.inf)
@@ -30,7 +34,10 @@ def _best(held, k: int, same_class: bool):
             rows = np.stack(b["features"].to_numpy()).astype(float)
             for a in range(0, len(rows), 512):
                 part, own = rows[a : a + 512], b["id"].to_numpy()[a : a + 512]
-                d = np.maximum((vectors**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * vectors @ part.T, 0)
+                if manhattan:
+                    d = np.stack([np.abs(part - v).sum(1) for v in vectors])
+                else:
+                    d = np.maximum((vectors**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * vectors @ part.T, 0)
                 # Exact for the close ones: differences, not the expanded square, decide their order.
                 lab = b["label"].to_numpy()[a : a + 512]
                 d[ids[:, None] == own[None, :]] = np.inf
@@ -41,7 +48,7 @@ def _best(held, k: int, same_class: bool):
                     c = np.flatnonzero(near[q] & np.isfinite(d[q]))
                     if not len(c):
                         continue
-                    dd = np.concatenate((top_d[q], ((part[c] - vectors[q]) ** 2).sum(1)))
+                    dd = np.concatenate((top_d[q], d[q, c] if manhattan else ((part[c] - vectors[q]) ** 2).sum(1)))
                     ii = np.concatenate((top_i[q], own[c]))
                     ll = np.concatenate((top_l[q], lab[c]))
                     order = np.lexsort((ii, dd))[:k]
@@ -52,15 +59,18 @@ def _best(held, k: int, same_class: bool):
     return run
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int, same_class: bool = False, donors: Column | None = None) -> DataFrame:
-    """id, nb, nb_label, distance (squared Euclidean), place 1..k of the nearest other rows (donors) of every query row.
+def nearest(rows: DataFrame, is_query: Column, k: int, same_class: bool = False, donors: Column | None = None, metric: str = "euclidean") -> DataFrame:
+    """id, nb, nb_label, distance (squared Euclidean, or manhattan), place 1..k of the nearest other rows (donors) of every query row.
 
     rows has id (whole), label (whole) and features (array of numbers, all of one length); ties go to the least id.
     """
     spark = rows.sparkSession
     shaped = lambda d: d.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("label").cast("bigint"), F.lit(-1)).alias("label"), F.col("features").cast("array<double>").alias("features"))
     queries, rows = shaped(rows.filter(is_query)), shaped(rows if donors is None else rows.filter(donors))
-    blocks = max(1, -(-queries.count() // QUERIES))
+    if metric not in ("euclidean", "manhattan"):
+        raise ValueError(f"unknown metric {metric!r}")
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    blocks = max(1, -(-n * 8 * max(1, width or 1) // BLOCK))
     found = None
     for b in range(blocks):
         own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
@@ -68,7 +78,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int, same_class: bool = False,
         if not len(own):
             continue
         held = spark.sparkContext.broadcast((own["id"].to_numpy(), vectors, own["label"].to_numpy()))
-        part = rows.mapInPandas(_best(held, k, same_class), "id bigint, nb bigint, nb_label bigint, distance double")
+        part = rows.mapInPandas(_best(held, k, same_class, metric == "manhattan"), "id bigint, nb bigint, nb_label bigint, distance double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "id bigint, nb bigint, nb_label bigint, distance double, place int")
@@ -100,12 +110,123 @@ def targets(counts: DataFrame, ratio: float | dict | None = None) -> DataFrame:
     return counts.join(F.broadcast(most)).select("label", "n", needed.cast("bigint").alias("needed"))
 
 
+def interpolated(rows: DataFrame, near: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
+    """draws (id, draw) with label and features: a point between row id and a hash-drawn neighbour of its, or the row itself without one."""
+    k = near.groupBy("id").agg(F.max("place").alias("_k"))
+    place = (F.floor(uniform(seed, F.col("id"), F.col("draw"), F.lit("nb")) * F.col("_k")) + 1).cast("int")
+    ends = draws.join(k, "id", "left").withColumn("place", place).withColumn("gap", uniform(seed, F.col("id"), F.col("draw"), F.lit("gap")))
+    ends = ends.join(near.select("id", "place", "nb"), ["id", "place"], "left")
+    vec = rows.select("id", "label", F.col("features").cast("array<double>").alias("_x"))
+    made = ends.join(vec, "id").join(vec.select(F.col("id").alias("nb"), F.col("_x").alias("_y")), "nb", "left")
+    between = F.zip_with("_x", "_y", lambda x, y: x + F.col("gap") * (y - x))
+    return made.select("id", "draw", "label", F.when(F.col("_y").isNull(), F.col("_x")).otherwise(between).alias("features"))
+
+
 def synthetic(rows: DataFrame, near: DataFrame, copies: int, seed: int = 42) -> DataFrame:
     """id, draw, label, features: `copies` points between each query row and a hash-drawn neighbour of its class."""
-    draws = near.groupBy("id").agg(F.max("place").alias("_k")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    draws = draws.withColumn("place", (F.floor(uniform(seed, F.col("id"), F.col("draw"), F.lit("nb")) * F.col("_k")) + 1).cast("int")).withColumn("gap", uniform(seed, F.col("id"), F.col("draw"), F.lit("gap")))
-    ends = draws.join(near.select("id", "place", "nb"), ["id", "place"])
-    vec = rows.select("id", "label", F.col("features").cast("array<double>").alias("_x"))
-    other = vec.select(F.col("id").alias("nb"), F.col("_x").alias("_y"))
-    made = ends.join(vec, "id").join(other, "nb")
-    return made.select("id", "draw", "label", F.zip_with("_x", "_y", lambda x, y: x + F.col("gap") * (y - x)).alias("features"))
+    draws = near.select("id").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return interpolated(rows, near, draws, seed)
+
+
+def drawn(rows: DataFrame, needed: DataFrame, seed: int = 42) -> DataFrame:
+    """label, draw (1..needed) and id: rows of each class drawn with replacement by hash, needed (label, n, needed) of them."""
+    ranked = shuffled_rank(rows.select("id", "label"), "label", "id", seed, "rank", "size").drop("size")
+    draws = needed.filter("needed > 0").select("label", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), "needed")).alias("draw"))
+    draws = draws.select("label", "draw", (F.floor(uniform(seed, F.col("label"), F.col("draw")) * F.col("n")) + 1).alias("rank"))
+    return null_safe_join(draws, ranked, ["label", "rank"]).select("label", "draw", "id")
+
+
+STRATEGIES = ("smote", "adasyn", "random_over", "random_under", "combined", "none")
+
+
+def resample(rows: DataFrame, strategy: str = "smote", ratio: float | dict | None = None, k: int = 5, seed: int = 42) -> DataFrame:
+    """id, label, features (array) and made: rows rebalanced by one of STRATEGIES; made rows have new ids above all others.
+
+    smote and adasyn make points between rows of a class and their k nearest of it, adasyn from rows with many neighbours
+    of the majority; random_over repeats rows; random_under keeps as many rows of each class as the smallest has (only
+    without a ratio); combined is smote, then random_under. Neighbours are exact, so the seeds drawn are queries in blocks.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    rows = rows.select(F.col("id").cast("bigint").alias("id"), "label", F.col("features").cast("array<double>").alias("features"), F.lit(False).alias("made"))
+    if strategy == "none":
+        return rows
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    if strategy == "random_under":
+        if ratio is not None:
+            return rows
+        least = counts.agg(F.min("n")).first()[0] or 0
+        return shuffled_rank(rows, "label", "id", seed, "_rank", "_size").filter(F.col("_rank") <= least).drop("_rank", "_size")
+    if strategy == "combined":
+        return resample(resample(rows, "smote", ratio, k, seed), "random_under", None, k, seed).join(rows.select("id", F.lit(False).alias("own")), "id", "left").select("id", "label", "features", F.col("own").isNull().alias("made"))
+    needed = saved(targets(counts, ratio), "needed")
+    seeds = drawn(rows, needed, seed)
+    if strategy == "adasyn":
+        seeds = _by_density(rows, counts, needed, k, seed)
+    # Numbers of the made rows follow each other from class to class: a window over one row a class.
+    before = needed.select("label", (F.sum("needed").over(Window.orderBy(F.col("label").asc_nulls_first())) - F.col("needed")).alias("_before"))
+    base = (rows.agg(F.max("id")).first()[0] or 0) + 1
+    seeds = saved(null_safe_join(seeds, before, ["label"]).select("id", (F.col("_before") + F.col("draw")).alias("draw")), "seeds")
+    if strategy == "random_over":
+        made = seeds.join(rows.select("id", "label", "features"), "id")
+    else:
+        marked = rows.join(seeds.select("id").distinct().withColumn("asked", F.lit(True)), "id", "left")
+        made = interpolated(rows, nearest(marked, F.col("asked"), k, same_class=True), seeds, seed)
+    return rows.unionByName(made.select((F.lit(base - 1) + F.col("draw")).alias("id"), "label", "features", F.lit(True).alias("made")))
+
+
+def _by_density(rows: DataFrame, counts: DataFrame, needed: DataFrame, k: int, seed: int) -> DataFrame:
+    """label, draw and id: rows of each class drawn in proportion to their neighbours of the majority, equally where there are none."""
+    majority = counts.orderBy(F.desc("n"), "label").first().label
+    found = None
+    for r in needed.filter("needed > 0").collect():  # a row a class
+        own = rows.filter(F.col("label").eqNullSafe(F.lit(r.label)))
+        near = nearest(rows, F.col("label").eqNullSafe(F.lit(r.label)), k)
+        weights = density(near, majority).select(F.col("id").alias("ind_id"), F.col("weight").alias("prob"))
+        draws = own.sparkSession.range(1, r.needed + 1).select(F.col("id").alias("draw_id"), uniform(seed, F.lit(r.label), F.col("id"), F.lit("seed")).alias("u"))
+        part = picked(weights, draws).select(F.lit(r.label).alias("label"), F.col("draw_id").alias("draw"), F.col("ind_id").alias("id"))
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else rows.select("label", F.lit(0).cast("bigint").alias("draw"), "id").limit(0)
+
+
+def _donors(held, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, asked = held.value
+        best: dict[tuple[int, int], list] = {}
+        for b in batches:
+            rows, own = np.stack(b["features"].to_numpy()).astype(float), b["id"].to_numpy()
+            for q, x in zip(ids, asked):
+                both = ~np.isnan(rows) & ~np.isnan(x)
+                seen = both.sum(1)
+                d = np.where(both, (rows - x) ** 2, 0.0).sum(1) * len(x) / np.maximum(seen, 1)
+                d[(seen == 0) | (own == q)] = np.inf
+                for f in np.flatnonzero(np.isnan(x)):
+                    at = np.flatnonzero(np.isfinite(d) & ~np.isnan(rows[:, f]))
+                    at = at[np.lexsort((own[at], d[at]))[:k]]
+                    best[q, f] = sorted(best.get((q, f), []) + list(zip(d[at].tolist(), own[at].tolist(), rows[at, f].tolist())))[:k]
+        out = [(q, int(f), *x) for (q, f), found in best.items() for x in found]
+        yield pd.DataFrame(out, columns=["id", "feature", "distance", "nb", "value"])
+
+    return run
+
+
+def fill_from_neighbours(rows: DataFrame, donors: DataFrame, k: int = 5) -> DataFrame:
+    """id and filled, a map of the missing places of features (null or NaN) and the mean of the k nearest donors' values there.
+
+    The distance is over the places that both have, scaled up to all. Rows with a gap are queries in blocks, donors stay.
+    """
+    shaped = lambda d: d.select(F.col("id").cast("bigint").alias("id"), F.transform("features", lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))).alias("features"))
+    asked, donors, found = shaped(rows).filter(F.exists("features", F.isnan)), shaped(donors), None
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    blocks = max(1, -(-n * 8 * max(1, width or 1) // BLOCK))
+    for b in range(blocks if n else 0):
+        own = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
+        if len(own):
+            held = rows.sparkSession.sparkContext.broadcast((own["id"].to_numpy(), np.stack(own["features"].to_numpy()).astype(float)))
+            part = donors.mapInPandas(_donors(held, k), "id bigint, feature int, distance double, nb bigint, value double")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "id bigint, filled map<int,double>")
+    place = F.row_number().over(Window.partitionBy("id", "feature").orderBy("distance", "nb"))
+    means = found.withColumn("place", place).filter(F.col("place") <= k).groupBy("id", "feature").agg(F.avg("value").alias("value"))
+    return means.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("filled"))

@@ -1,8 +1,7 @@
 """Diversity of populations of gene arrays, and niching.
 
 The mean distance of all pairs needs no pairs: per gene it follows from ranks, as the sum of (2 rank - n - 1) x
-over sorted values. Sharing compares a stated query set with all rows, in blocks. Speciation and clearing are
-greedy in a declared order; leaders, not members, are carried along.
+over sorted values. Sharing compares a stated query set with all rows, in blocks.
 """
 
 from __future__ import annotations

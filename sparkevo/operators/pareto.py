@@ -1,13 +1,14 @@
 """Non-dominated sorting, crowding and environmental selection for objectives that are all maximised.
 
-The front of a population is found by skylines: each task reduces its rows to the rows that none of its own
-dominate, and only these meet. With two objectives ranks follow from running maxima, range by range; with more,
-fronts are peeled one by one, each written to the shared folder.
+Fronts are found many at a time: each task reduces its distinct objective rows to those of the first ``AT_ONCE``
+fronts of its own (a row's rank among some rows is never greater than its rank among all), and these meet level by
+level, in a tree of stages, until one task holds the first fronts of all and nothing else. With two objectives a task
+ranks its rows by running maxima, with more by peeling. Further fronts take another round, written to the shared folder.
 """
 
 from __future__ import annotations
 
-import uuid
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,6 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.order import neighbours, ordinals
+from ..functions.shared import free, saved
+
+#: Fronts that one round finds, and partial results that meet in a task of a tree of stages.
+AT_ONCE, FAN_IN = 32, 16
+
 
 def signed(df: DataFrame, objectives: dict[str, bool]) -> DataFrame:
     """df with obj_0.. as doubles, the minimised ones (False) negated; rows with a missing objective go."""
@@ -36,60 +43,101 @@ def _skyline(values: np.ndarray) -> np.ndarray:
     return mask
 
 
-def front(df: DataFrame, n: int) -> DataFrame:
-    """Rows of df (with obj_0..obj_{n-1}) that no row dominates.
-
-    Distinct objective rows are reduced in every task, again in fewer, and at last together; what is left then is
-    the front itself, and rows join it by their objectives.
-    """
+def local_ranks(values: np.ndarray, most: int) -> np.ndarray:
+    """The front of each distinct row of values, most where it is beyond the first most."""
+    out = np.full(len(values), most, np.int64)
+    if values.shape[1] == 2:
+        # By falling first objective (then second), a row is dominated by those fronts whose greatest second objective
+        # so far is no less than its own; these maxima fall from front to front, so bisection finds its front.
+        tops: list[float] = []  # the maxima, negated
+        for i in np.lexsort((-values[:, 1], -values[:, 0])):
+            at = bisect_right(tops, -values[i, 1])
+            if at < most:
+                out[i] = at
+                tops[at : at + 1] = [-values[i, 1]]
+        return out
+    left = np.arange(len(values))
+    for k in range(most):
+        if not len(left):
+            break
+        own = _skyline(values[left])
+        out[left[own]] = k
+        left = left[~own]
+    return out
+
+
+def fronts(df: DataFrame, n: int, most: int) -> DataFrame:
+    """obj_0..obj_{n-1} and pareto_rank of the distinct objective rows of df in the first most fronts."""
     names = [f"obj_{i}" for i in range(n)]
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(columns=names, dtype=float)
+        held, rank = np.zeros((0, n)), np.zeros(0, np.int64)
         for b in batches:
-            held = pd.concat((held, b), ignore_index=True).drop_duplicates()
-            held = held[_skyline(held.to_numpy(float))]
-        yield held
+            held = np.unique(np.concatenate((held, b[names].to_numpy(float))), axis=0)
+            rank = local_ranks(held, most)
+            held, rank = held[rank < most], rank[rank < most]
+        yield pd.DataFrame(held, columns=names).assign(pareto_rank=rank)
 
-    schema = ", ".join(f"{c} double" for c in names)
-    best = df.select(*names).distinct()
-    best = best.mapInPandas(reduce, schema)
-    for parts in (16, 1):
-        best = best.coalesce(parts).mapInPandas(reduce, schema)
-    return df.join(best, names, "left_semi")
+    schema = ", ".join(f"{c} double" for c in names) + ", pareto_rank int"
+    best = df.select(*names).distinct().mapInPandas(reduce, schema)
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        best = best.repartition(parts).mapInPandas(reduce, schema)
+    return best
+
+
+def front(df: DataFrame, n: int) -> DataFrame:
+    """Rows of df (with obj_0..obj_{n-1}) that no row dominates."""
+    return df.join(fronts(df, n, 1), [f"obj_{i}" for i in range(n)], "left_semi")
 
 
-def ranks(df: DataFrame, n: int, shared: str, most: int | None = None) -> DataFrame:
-    """df with pareto_rank (0 first): fronts peeled until nothing is left, or most fronts are found."""
-    spark, rest, found, rank = df.sparkSession, df, None, 0
+def ranks(df: DataFrame, n: int, most: int | None = None, rows: int | None = None) -> DataFrame:
+    """df with pareto_rank (0 first), of all fronts, of the first most, or of as many as hold rows rows."""
     names = [f"obj_{i}" for i in range(n)]
-    base = f"{shared}/fronts-{uuid.uuid4().hex}"
-    while (most is None or rank < most) and not rest.isEmpty():
-        own = front(rest, n).withColumn("pareto_rank", F.lit(rank))
-        own.write.parquet(f"{base}/front-{rank}")
-        own = spark.read.schema(own.schema).parquet(f"{base}/front-{rank}")
-        rest.join(own.select(*names).distinct(), names, "left_anti").write.parquet(f"{base}/rest-{rank}")
-        rest = spark.read.schema(rest.schema).parquet(f"{base}/rest-{rank}")
-        found, rank = own if found is None else found.unionByName(own), rank + 1
-    return found if found is not None else df.withColumn("pareto_rank", F.lit(0)).limit(0)
+    rest, found, rank, held = df, None, 0, 0
+    while (most is None or rank < most) and (rows is None or held < rows):
+        step = AT_ONCE if most is None else min(AT_ONCE, most - rank)
+        own = saved(fronts(rest, n, step).withColumn("pareto_rank", F.col("pareto_rank") + rank), "fronts")
+        ranked = saved(rest.join(own, names), "ranked")
+        found, rank = ranked if found is None else found.unionByName(ranked), rank + step
+        at = ranked.agg(F.count(F.lit(1)).alias("n"), F.max("pareto_rank").alias("last")).first()
+        held += at.n
+        if at.last is None or at.last < rank - 1:
+            break  # the last fronts are not filled: nothing is left
+        rest = saved(rest.join(own.select(*names), names, "left_anti"), "rest")
+    return found
 
 
 def crowding(df: DataFrame, n: int, id_: str, by: Sequence[str] = ("pareto_rank",)) -> DataFrame:
     """df with crowding: per front and objective the gap of a row's neighbours over the range, summed; ends infinite."""
-    total, ends, drop = F.lit(0.0), F.lit(False), []
+    total, ends = F.lit(0.0), F.lit(False)
+    lo, hi = ([free(df, f"{k}_{i}") for i in range(n)] for k in ("_lo", "_hi"))
+    before, after = ([free(df, f"{k}_{i}") for i in range(n)] for k in ("_before", "_after"))
+    span = df.groupBy(*by).agg(*[f(f"obj_{i}").alias(c[i]) for i in range(n) for f, c in ((F.min, lo), (F.max, hi))])
     for i in range(n):
-        w = Window.partitionBy(*by).orderBy(f"obj_{i}", id_)
-        span = Window.partitionBy(*by)
-        df = df.withColumns({f"_p{i}": F.lag(f"obj_{i}").over(w), f"_n{i}": F.lead(f"obj_{i}").over(w), f"_r{i}": F.max(f"obj_{i}").over(span) - F.min(f"obj_{i}").over(span)})
-        drop += [f"_p{i}", f"_n{i}", f"_r{i}"]
-        ends = ends | F.col(f"_p{i}").isNull() | F.col(f"_n{i}").isNull()
-        total = total + F.coalesce(F.try_divide(F.col(f"_n{i}") - F.col(f"_p{i}"), F.col(f"_r{i}")), F.lit(0.0))
-    return df.withColumn("crowding", F.when(ends, F.lit(float("inf"))).otherwise(total)).drop(*drop)
+        df = neighbours(df, f"obj_{i}", id_, by, before[i], after[i])
+        ends = ends | F.col(before[i]).isNull() | F.col(after[i]).isNull()
+        total = total + F.coalesce(F.try_divide(F.col(after[i]) - F.col(before[i]), F.col(hi[i]) - F.col(lo[i])), F.lit(0.0))
+    df = df.join(span, list(by))  # a row a front
+    return df.withColumn("crowding", F.when(ends, F.lit(float("inf"))).otherwise(total)).drop(*lo, *hi, *before, *after)
 
 
 def survivors(df: DataFrame, n: int, id_: str) -> DataFrame:
     """The first n rows by rank, then greater crowding, then id: whole fronts, and the last one in part."""
-    return df.orderBy("pareto_rank", F.desc("crowding"), id_).limit(n)
+    sizes = df.groupBy("pareto_rank").agg(F.count(F.lit(1)).alias("n"))  # a row a front
+    sizes = sizes.withColumn("before", F.sum("n").over(Window.orderBy("pareto_rank")) - F.col("n")).filter(F.col("before") < n)
+    last = sizes.agg(F.max("pareto_rank").alias("last"), F.max("before").alias("before")).first()
+    if last.last is None:
+        return df.limit(0)
+    place = free(df, "_place")
+    part = ordinals(df.filter(F.col("pareto_rank") == last.last), "crowding", id_, descending=True, name=place).filter(F.col(place) <= n - last.before).drop(place)
+    return df.filter(F.col("pareto_rank") < last.last).unionByName(part)
+
+
+def crowding_select(front_: DataFrame, n_objectives: int, id_: str, k: int) -> DataFrame:
+    """The k rows of one front of greatest crowding, ties to the least id; all of them where there are no more than k."""
+    return survivors(crowding(front_.withColumn("pareto_rank", F.lit(0)), n_objectives, id_), k, id_)
 
 
 def best_of(entries: DataFrame, draw: str, id_: str) -> DataFrame:

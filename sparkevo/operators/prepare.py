@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import seeded_key
-from ..functions.order import quantiles
+from ..functions.order import celled, null_safe_join, quantiles
+from ..functions.shared import free
 from .frame import clean, present, unpivoted
 
 
@@ -25,18 +26,29 @@ class Unfitted(RuntimeError):
 
 @dataclass
 class Imputer:
-    """strategy mean, median, mode, constant or drop; values and dropped are what fit found."""
+    """strategy mean, median, mode, constant, drop or knn; values and dropped are what fit found.
+
+    knn takes the mean of the nearest rows of the frame it was fitted on, and needs id_, a whole number; what has no
+    such rows gets the column's mean.
+    """
 
     columns: Sequence[str]
     strategy: str = "mean"
     constant: float = 0.0
     max_missing: float = 0.5
+    neighbours: int = 5
+    id_: str | None = None
+    donors: DataFrame | None = None
     values: dict[str, float | None] | None = None
     dropped: list[str] = field(default_factory=list)
 
     def fit(self, df: DataFrame) -> Imputer:
         cleaned, columns = clean(df, self.columns), list(self.columns)
-        if self.strategy == "mean":
+        if self.strategy in ("mean", "knn"):
+            if self.strategy == "knn":
+                if not self.id_:
+                    raise ValueError("knn needs id_")
+                self.donors = cleaned.select(F.col(self.id_).alias("id"), F.array(*columns).alias("features"))
             self.values = cleaned.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
         elif self.strategy == "median":
             self.values = {c: q[0] for c, q in quantiles(cleaned, columns, (0.5,)).items()}
@@ -57,6 +69,14 @@ class Imputer:
         if self.values is None:
             raise Unfitted("fit comes before transform")
         cleaned = clean(df, self.columns)
+        if self.strategy == "knn":
+            from .neighbours import fill_from_neighbours
+
+            filled, key = free(df, "_filled"), free(df, "_of")
+            found = fill_from_neighbours(cleaned.select(F.col(self.id_).alias("id"), F.array(*self.columns).alias("features")), self.donors, self.neighbours)
+            joined = cleaned.join(found.select(F.col("id").alias(key), F.col("filled").alias(filled)), F.col(self.id_) == F.col(key), "left")
+            near = {c: F.coalesce(F.col(c), F.element_at(filled, F.lit(i))) for i, c in enumerate(self.columns)}
+            cleaned = joined.withColumns(near).drop(filled, key)
         if self.strategy == "drop":
             left = [c for c in self.columns if c not in self.dropped]
             return cleaned.drop(*self.dropped).dropna(how="any", subset=left) if left else cleaned.drop(*self.dropped)
@@ -75,23 +95,23 @@ def filled(df: DataFrame, column: str, order: str, by: Sequence[str], forward: b
 
 
 def filled_over_all(df: DataFrame, column: str, order: str, forward: bool = True) -> DataFrame:
-    """filled along one order over the whole frame: ranges of the order fill inside, and take a neighbour's end else."""
-    lo, hi, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    step = max(1, ((hi or 0) - (lo or 0)) // max(1, math.isqrt(n or 0)) + 1)
-    cells = df.withColumn("_cell", F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(step)))
+    """filled along one order over the whole frame: cells of the order fill inside, and take a neighbour's end else."""
+    cell, first, last, before, after = (free(df, c) for c in ("_cell_of", "_first", "_last", "_before", "_after"))
+    number = free(df, "_number_of")
+    cells = celled(df.withColumn(number, F.col(order).cast("double")), number, cell).drop(number)
     x = present(column)
-    ends = cells.groupBy("_cell").agg(F.max_by(x, F.when(x.isNotNull(), F.col(order))).alias("_last"), F.min_by(x, F.when(x.isNotNull(), F.col(order))).alias("_first"))
-    outer = Window.orderBy("_cell")
+    ends = cells.groupBy(cell).agg(F.max_by(x, F.when(x.isNotNull(), F.col(order))).alias(last), F.min_by(x, F.when(x.isNotNull(), F.col(order))).alias(first))
+    outer = Window.orderBy(cell)
     ends = ends.select(
-        "_cell",
-        F.last("_last", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        cell,
+        F.last(last, ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias(before),
+        F.first(first, ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing)).alias(after),
     )
-    inner = Window.partitionBy("_cell").orderBy(order)
-    last = F.coalesce(F.last(x, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
-    following = F.coalesce(F.first(x, ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing)), F.col("_after"))
-    out = cells.join(ends, "_cell").withColumn(column, F.coalesce(last, following) if forward else F.coalesce(following, last))
-    return out.drop("_cell", "_before", "_after")
+    inner = Window.partitionBy(cell).orderBy(order)
+    back = F.coalesce(F.last(x, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.col(before))
+    following = F.coalesce(F.first(x, ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing)), F.col(after))
+    out = cells.join(ends, cell).withColumn(column, F.coalesce(back, following) if forward else F.coalesce(following, back))
+    return out.drop(cell, before, after)
 
 
 @dataclass
@@ -149,32 +169,37 @@ def get_scaler(name: str, columns: Sequence[str], **options) -> Scaler:
     return Scaler(columns, name, **options)
 
 
-def shuffled_rank(df: DataFrame, label: str, id_: str, seed: int = 42, name: str = "rank") -> DataFrame:
-    """df with its 1-based place in a seeded shuffle of its class, and n, the size of the class.
+def shuffled_rank(df: DataFrame, label: str, id_: str, seed: int = 42, name: str = "rank", size: str = "n") -> DataFrame:
+    """df with its 1-based place in a seeded shuffle of its class, and size, the rows of the class; null is a class too.
 
-    Places are counted by ranges of the shuffle key, so a class may hold any share of the rows.
+    Places are counted by ranges of the shuffle key, which is uniform, so a class may hold any share of the rows. name
+    and size are columns that df does not have.
     """
-    key = F.md5(seeded_key(seed, F.col(id_)))
+    if {name.lower(), size.lower()} & {c.lower() for c in df.columns}:
+        raise ValueError(f"{name!r} or {size!r} is a column already")
+    key, place, count, before, at = (free(df, c) for c in ("_key", "_bin", "_count", "_before", "_at"))
     bins = max(1, math.isqrt(df.count()))
-    keyed = df.withColumn("_key", key).withColumn("_bin", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") * bins / F.lit(2**32)))
-    cells = keyed.groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    keyed = df.withColumn(key, F.md5(seeded_key(seed, F.col(id_)))).withColumn(place, F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") * bins / F.lit(2**32)))
+    cells = keyed.groupBy(label, place).agg(F.count(F.lit(1)).alias(count))
     by = Window.partitionBy(label)
-    cells = cells.select(label, "_bin", F.sum("_c").over(by).alias("n"), F.coalesce(F.sum("_c").over(by.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    at = F.row_number().over(Window.partitionBy(label, "_bin").orderBy("_key", id_))
-    return keyed.withColumn("_at", at).join(cells, [label, "_bin"]).withColumn(name, F.col("_before") + F.col("_at")).drop("_key", "_bin", "_before", "_at")
+    cells = cells.select(label, place, F.sum(count).over(by).alias(size), F.coalesce(F.sum(count).over(by.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    numbered = keyed.withColumn(at, F.row_number().over(Window.partitionBy(label, place).orderBy(key, id_)))
+    return null_safe_join(numbered, cells, [label, place]).withColumn(name, F.col(before) + F.col(at)).drop(key, place, before, at)
 
 
 def stratified_folds(df: DataFrame, label: str, id_: str, k: int = 5, seed: int = 42) -> DataFrame:
     """df with fold 0..k-1; every class differs by one row at most between folds."""
-    return shuffled_rank(df, label, id_, seed, "_rank").withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "n")
+    rank, size = free(df, "_rank"), free(df, "_size")
+    return shuffled_rank(df, label, id_, seed, rank, size).withColumn("fold", F.pmod(F.col(rank) - 1, F.lit(k)).cast("int")).drop(rank, size)
 
 
 def stratified_split(df: DataFrame, label: str, id_: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """df with is_test: the first round(test * n) rows of each class in a seeded shuffle."""
     if not 0 < test < 1:
         raise ValueError("test must lie between 0 and 1")
-    ranked = shuffled_rank(df, label, id_, seed, "_rank")
-    return ranked.withColumn("is_test", F.col("_rank") <= F.floor(F.col("n") * test + 0.5)).drop("_rank", "n")
+    rank, size = free(df, "_rank"), free(df, "_size")
+    ranked = shuffled_rank(df, label, id_, seed, rank, size)
+    return ranked.withColumn("is_test", F.col(rank) <= F.floor(F.col(size) * test + 0.5)).drop(rank, size)
 
 
 def scaled(c: Column, shift: float, scale: float) -> Column:

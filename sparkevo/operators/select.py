@@ -7,14 +7,14 @@ paired with all of the other.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.order import ordinals
+from ..functions.order import celled, ordinals
+from ..functions.shared import free
 
 
 def roulette(pop: DataFrame) -> DataFrame:
@@ -55,14 +55,13 @@ def truncated(pop: DataFrame, share: float = 0.5) -> DataFrame:
 
 def cumulative(pop: DataFrame) -> DataFrame:
     """pop (with prob) with lo and hi, its share of the unit interval in the order of ind_id."""
-    lo, hi, n = pop.agg(F.min("ind_id"), F.max("ind_id"), F.count(F.lit(1))).first()
-    step = max(1, ((hi or 0) - (lo or 0)) // max(1, math.isqrt(n or 0)) + 1)
-    cells = pop.withColumn("_cell", F.floor((F.col("ind_id") - F.lit(lo or 0)) / F.lit(step)))
-    sums = cells.groupBy("_cell").agg(F.sum("prob").alias("_p"))
-    sums = sums.select("_cell", F.coalesce(F.sum("_p").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
-    inner = Window.partitionBy("_cell").orderBy("ind_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = cells.withColumn("_in", F.sum("prob").over(inner)).join(sums, "_cell").withColumn("hi", F.col("_before") + F.col("_in"))
-    return placed.withColumn("lo", F.col("hi") - F.col("prob")).drop("_cell", "_in", "_before")
+    cell, total, own = (free(pop, c) for c in ("_cell_of", "_total", "_own"))
+    cells = celled(pop, "ind_id", cell)
+    sums = cells.groupBy(cell).agg(F.sum("prob").alias(total))
+    sums = sums.select(cell, F.coalesce(F.sum(total).over(Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(total))
+    inner = Window.partitionBy(cell).orderBy("ind_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cells.withColumn(own, F.sum("prob").over(inner)).join(sums, cell).withColumn("hi", F.col(total) + F.col(own))
+    return placed.withColumn("lo", F.col("hi") - F.col("prob")).drop(cell, own, total)
 
 
 def picked(pop: DataFrame, draws: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

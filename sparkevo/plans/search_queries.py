@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import uniform
+from ..functions.hashing import uniform_sql
 from ..functions.shared import scratch
 from ..operators import evolve, learn, metrics, neighbours, niche, pareto, prepare, profile
 from ..operators.components import PCA, moments
@@ -29,13 +29,13 @@ def pareto_front(t):
     return pareto.front(pareto.signed(t("part"), {"p_size": True, "p_retailprice": False}), 2).select("p_partkey")
 
 
-OBJ_SQL = "(select s_suppkey as ind_id, floor(s_acctbal / 2500) as obj_0, -floor(s_nationkey / 8) as obj_1 from supplier)"
+OBJ_SQL = "(select s_suppkey as ind_id, s_acctbal as obj_0, -s_nationkey::double as obj_1 from supplier)"
 RANKED_SQL = f"(with recursive p as {OBJ_SQL}, o as (select distinct obj_0, obj_1 from p), d as (select w.obj_0 as a, w.obj_1 as b, l.obj_0 as c, l.obj_1 as e from o w, o l where w.obj_0 >= l.obj_0 and w.obj_1 >= l.obj_1 and (w.obj_0 > l.obj_0 or w.obj_1 > l.obj_1)), r as (select obj_0, obj_1, 0 as k from o union select d.c, d.e, k + 1 from r join d on d.a = r.obj_0 and d.b = r.obj_1) select ind_id, p.obj_0, p.obj_1, cast(max(k) as integer) as pareto_rank from p join r using (obj_0, obj_1) group by all)"
 
 
 def ranked(t):
-    df = t("supplier").select(F.col(K).alias("ind_id"), F.floor(F.col("s_acctbal") / 2500).alias("a"), F.floor(F.col("s_nationkey") / 8).alias("b"))
-    return pareto.ranks(pareto.signed(df, {"a": True, "b": False}).drop("a", "b"), 2, shared(t))
+    df = t("supplier").select(F.col(K).alias("ind_id"), "s_acctbal", "s_nationkey")
+    return pareto.ranks(pareto.signed(df, {"s_acctbal": True, "s_nationkey": False}).drop("s_acctbal", "s_nationkey"), 2)
 
 
 @query(f"select ind_id, pareto_rank from {RANKED_SQL}")
@@ -190,12 +190,62 @@ def undersample(t):
 @query("select c_mktsegment, (select max(n) from " + _SEG + ") as n from customer group by 1")
 def oversample_counts(t):
     """Sizes after drawing, with replacement, as many rows of each class as it lacks to the largest."""
-    ranks = prepare.shuffled_rank(t("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey")
-    counts = neighbours.targets(t("customer").groupBy(F.col("c_mktsegment").alias("label")).agg(F.count(F.lit(1)).alias("n")))
-    draws = counts.filter("needed > 0").select("label", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), "needed")).alias("draw"))
-    draws = draws.select(F.col("label").alias("c_mktsegment"), (F.floor(uniform(42, F.col("label"), F.col("draw")) * F.col("n")) + 1).alias("rank"))
-    drawn = draws.join(ranks.select("c_mktsegment", "rank", "c_custkey"), ["c_mktsegment", "rank"]).select("c_mktsegment", "c_custkey")
-    return drawn.unionByName(t("customer").select("c_mktsegment", "c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    rows = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
+    drawn = neighbours.drawn(rows, neighbours.targets(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))))
+    return drawn.select("label").unionByName(rows.select("label")).groupBy(F.col("label").alias("c_mktsegment")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SEGMENTS = "(select c_custkey as id, c_mktsegment as label from customer)"
+
+
+def drawn_sql(rows: str) -> str:
+    """label, draw, id: as neighbours.drawn draws, of rows (id, label)."""
+    counts = f"(select label, count(*) as n from {rows} group by 1)"
+    draw = f"(select c.label, r.draw, 1 + cast(floor({uniform_sql(42, 'c.label', 'r.draw')} * c.n) as bigint) as rank from {counts} c, range(1, (select max(n) + 1 from {counts})) r(draw) where r.draw <= (select max(n) from {counts}) - c.n)"
+    ranked = f"(select id, label, row_number() over (partition by label order by md5('42:'||cast(id as varchar)), id) as rank from {rows})"
+    return f"(select d.label, d.draw, k.id from {draw} d join {ranked} k on k.label = d.label and k.rank = d.rank)"
+
+
+@query(f"select label, draw, id from {drawn_sql(_SEGMENTS)}")
+def oversample_rows(t):
+    """Rows of each segment drawn with replacement until it has as many as the largest."""
+    rows = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
+    return neighbours.drawn(rows, neighbours.targets(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))))
+
+
+@query(f"select c_mktsegment as label, c_custkey as id from customer union all select label, id from {drawn_sql(_SEGMENTS)}")
+def resample_random_over(t):
+    """All rows and those drawn; a made row shows the row that it repeats."""
+    rows = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), F.array(F.col("c_custkey")).alias("features"))
+    return neighbours.resample(rows, "random_over").select("label", F.col("features")[0].cast("bigint").alias("id"))
+
+
+@query("select c_mktsegment as label, c_custkey as id from (select *, row_number() over (partition by c_mktsegment order by md5('42:'||cast(c_custkey as varchar)), c_custkey) as k, (select min(n) from " + _SEG + ") as least from customer) where k <= least")
+def resample_random_under(t):
+    rows = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), F.array(F.col("c_custkey")).alias("features"))
+    return neighbours.resample(rows, "random_under").select("label", "id")
+
+
+_VECTOR_ROWS = f"(select id, label from {VEC})"
+_LACKS = f"(select label, (select max(n) from (select count(*) as n from {VEC} group by label)) - count(*) as needed from {VEC} group by label)"
+_MADE = f"(select d.id, d.draw + coalesce((select sum(c.needed) from {_LACKS} c where c.label < d.label), 0) as draw from {drawn_sql(_VECTOR_ROWS)} d)"
+_NEAR_ALL = f"(select id, nb, place from (select a.id, b.id as nb, row_number() over (partition by a.id order by d.distance, b.id) as place from (select v.* from {VEC} v where id in (select id from {_MADE})) a join {VEC} b on a.id <> b.id and a.label = b.label, lateral (select list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as distance) d) where place <= 5)"
+
+
+_MADE_GAP = uniform_sql(42, "d.id", "d.draw", "'gap'")
+_MADE_PLACE = f"cast(floor({uniform_sql(42, 'd.id', 'd.draw', chr(39) + 'nb' + chr(39))} * 5) as integer) + 1"
+
+
+@query(f"select (select max(vec_id) from embeddings) + d.draw as id, x.label, round(x.v[1] + {_MADE_GAP} * (y.v[1] - x.v[1]), 6) as f0, round(x.v[64] + {_MADE_GAP} * (y.v[64] - x.v[64]), 6) as f63 from {_MADE} d join {_NEAR_ALL} n on n.id = d.id and n.place = {_MADE_PLACE} join {VEC} x on x.id = d.id join {VEC} y on y.id = n.nb")
+def resample_smote(t):
+    """Points made between each drawn row of a smaller class and one of its five nearest of the class."""
+    made = neighbours.resample(vectors(t), "smote").filter("made")
+    return made.select("id", "label", F.round(F.col("features")[0], 6).alias("f0"), F.round(F.col("features")[63], 6).alias("f63"))
+
+
+@query()
+def resample_adasyn(t):
+    return neighbours.resample(vectors(t), "adasyn").select("id", "label", "made", F.round(F.col("features")[0], 6).alias("f0"))
 
 
 # --- components --------------------------------------------------------------------------------------
@@ -269,8 +319,14 @@ _model("knn", k=5, weights="distance")
 
 @query()
 def model_search(t):
-    """A small search over linear models: generation, individual, fitness and values."""
-    return learn.tune(binary(t), ["logistic"], folds=2)
+    """A search over linear models and neighbours: the last individuals, their fitness and values."""
+    return learn.tune(binary(t), ["logistic", "knn"], size=4, settings={"generations": 2}, folds=2)
+
+
+@query()
+def metric_delta(t):
+    """What a search by accuracy and one by macro f1 find, and the difference."""
+    return learn.compare_metrics(binary(t), "logistic", size=3, settings={"generations": 2}, folds=2)
 
 
 @query()
@@ -278,16 +334,22 @@ def ga_run(t):
     """Best and mean fitness per generation of a search for genes near one half."""
     start = t("supplier").select(F.col(K).alias("ind_id"), F.array(*[u(1, i) for i in range(4)]).alias("genes"))
     fit = lambda d: d.withColumn("fitness", -F.aggregate("genes", F.lit(0.0), lambda s, x: s + (x - 0.5) * (x - 0.5)))
-    _, history = evolve.run(start, fit, evolve.Settings(generations=2, mutation=0.5, shared=shared(t)))
-    return start.sparkSession.createDataFrame(history, "gen int, best double, mean double")
+    _, history = evolve.run(start, fit, evolve.Settings(generations=2, mutation=0.5))
+    return start.sparkSession.createDataFrame([h[:3] for h in history], "gen int, best double, mean double")
 
 
 @query()
 def nsga2_run(t):
     """Survivors of two opposed aims after two generations."""
-    start = t("supplier").select(F.col(K).alias("ind_id"), F.array(*[F.floor(u(2, i) * 4) / 4 for i in range(4)]).alias("genes"))
-    aims = lambda d: d.withColumns({"obj_0": F.floor(F.col("genes")[0] + F.col("genes")[1]).cast("double"), "obj_1": -F.floor(F.col("genes")[0] + F.col("genes")[2]).cast("double")})
-    return evolve.nsga2(start, aims, 2, evolve.Settings(generations=1, shared=shared(t))).select("ind_id", "obj_0", "obj_1", "pareto_rank", "crowding")
+    start = t("supplier").select(F.col(K).alias("ind_id"), F.array(*[u(2, i) for i in range(4)]).alias("genes"))
+    aims = lambda d: d.withColumns({"obj_0": F.col("genes")[0] + F.col("genes")[1], "obj_1": -F.col("genes")[0] - F.col("genes")[2]})
+    return evolve.nsga2(start, aims, 2, evolve.Settings(generations=2)).select("ind_id", "obj_0", "obj_1", "pareto_rank", "crowding")
+
+
+@query(f"select ind_id from (select ind_id, row_number() over (order by crowding desc, ind_id) as k from {CROWD_SQL} where pareto_rank = 1) where k <= 3")
+def crowding_select(t):
+    """The three least crowded of the second front."""
+    return pareto.crowding_select(ranked(t).filter("pareto_rank = 1"), 2, "ind_id", 3).select("ind_id")
 
 
 # --- sources, sinks and checks -------------------------------------------------------------------------
@@ -308,12 +370,12 @@ def result_json_sink(t):
     return t("customer").sparkSession.read.schema("label string, n bigint").json(path)
 
 
-@query("select event_id, case when event_type = (select min(event_type) from events) then 0 else -1 end as first_type from events")
+@query("select event_id, cast(dense_rank() over (order by event_type) - 1 as integer) as type from events")
 def onehot_to_class(t):
-    """Whether an event is of the first type, through flags and back."""
-    first = t("events").agg(F.min("event_type")).first()[0]
-    flagged = t("events").withColumn("f0", (F.col("event_type") == first).cast("int"))
-    return flagged.select("event_id", onehot_class(["f0"]).alias("first_type"))
+    """The type of each event, through a flag for every type and back."""
+    kinds = [r[0] for r in t("events").select("event_type").distinct().orderBy("event_type").collect()]  # a row a type
+    flagged = t("events").withColumns({f"f{i}": (F.col("event_type") == k).cast("int") for i, k in enumerate(kinds)})
+    return flagged.select("event_id", onehot_class([f"f{i}" for i in range(len(kinds))]).alias("type"))
 
 
 @query("select l_returnflag, count(*) filter (l_discount < 0 or l_discount > 0.05) as out_of_range, count(*) filter (l_linestatus not in ('O')) as bad_choice from lineitem group by 1")

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkevo.functions import order
 from sparkevo.functions.order import ordinals, quantiles, running
-from sparkevo.operators import components, evolve, neighbours, pareto, prepare, profile, space
+from sparkevo.operators import components, evolve, learn, neighbours, pareto, prepare, profile, space
 from sparkevo.operators import tests as paired
 from sparkevo.sources import readers
 
@@ -22,11 +23,10 @@ def column(df, c):
     return np.array([r[0] for r in df.select(c).collect() if r[0] is not None and math.isfinite(r[0])])
 
 
-def test_quantiles_are_exact(numbers, monkeypatch):
-    from sparkevo.functions import order
-
+@pytest.mark.parametrize("accuracy", [4, 50, 1000])
+def test_quantiles_are_exact(numbers, monkeypatch, accuracy):
     monkeypatch.setattr(order, "LEAF", 3)
-    monkeypatch.setattr(order, "SPLITS", 4)
+    monkeypatch.setattr(order, "ACCURACY", accuracy)
     clean = profile.clean(numbers, ["x", "y", "z"])
     got = quantiles(clean, ["x", "y", "z"], (0.0, 0.25, 0.37, 0.5, 1.0))
     for c in ("x", "y", "z"):
@@ -120,12 +120,14 @@ def test_components(spark):
     assert np.mean((np.array([r.restored for r in back]) - x) ** 2) < 0.1
 
 
-def test_best_never_falls(spark, tmp_path):
+def test_best_never_falls(spark):
     start = spark.range(12).select(F.col("id").alias("ind_id"), F.array(*[F.rand(i) for i in range(4)]).alias("genes"))
     fit = lambda d: d.withColumn("fitness", -F.aggregate("genes", F.lit(0.0), lambda s, x: s + x * x))
-    pop, history = evolve.run(start, fit, evolve.Settings(generations=3, mutation=0.5, shared=f"file:{tmp_path}"))
-    best = [b for _, b, _ in history]
+    pop, history = evolve.run(start, fit, evolve.Settings(generations=3, mutation=0.5))
+    best = [h.best for h in history]
     assert best == sorted(best) and pop.count() == 12
+    told = evolve.summary(history)
+    assert told["best"] == best[-1] and told["evaluations"] == 12 + 11 * (len(history) - 1) and best[told["found"]] == best[-1]
 
 
 def test_readers(spark, tmp_path):
@@ -149,3 +151,173 @@ def test_profile_of_odd_columns(numbers):
     assert stats["z"]["std"] == 0 and stats["x"]["missing"] == 2 and stats["y"]["missing"] == 62
     matrix = {(r.a, r.b): r.r for r in profile.correlations(numbers, ["x", "y", "z"]).collect()}
     assert matrix["x", "z"] == 0.0 and matrix["x", "x"] == 1.0
+
+
+def test_one_far_value_leaves_cells_even(spark):
+    df = spark.range(10_000).select("id", F.when(F.col("id") == 0, 1e15).otherwise(F.col("id").cast("double")).alias("x"))
+    sizes = [r["count"] for r in order.celled(df, "x", "_cell").groupBy("_cell").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 400
+    got = {r.id: r.ordinal for r in ordinals(df, "x", "id").collect()}
+    assert got[1] == 1 and got[0] == 10_000 and got[9_999] == 9_999
+
+
+def test_null_groups_and_clashing_names(spark):
+    rows = [(i, None if i % 4 == 0 else i % 3, float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, label bigint, x double").withColumns({c: F.lit(c) for c in ("n", "_bin", "_cell", "_cell_of", "_before", "_at", "_n", "_rank", "_size", "_key")})
+    for out in (prepare.stratified_folds(df, "label", "id", 3), prepare.stratified_split(df, "label", "id", 0.25)):
+        assert out.columns == [*df.columns, out.columns[-1]] and out.count() == 60
+        assert all(r.n == "n" and r._bin == "_bin" for r in out.collect())
+    folds = prepare.stratified_folds(df, "label", "id", 3).groupBy("label", "fold").count().collect()
+    assert {r["count"] for r in folds if r.label is None} == {5}
+    got = ordinals(df, "x", "id", ["label"])
+    assert got.columns == [*df.columns, "ordinal"] and got.count() == 60
+    want = {}
+    for label in {r[1] for r in rows}:
+        want |= {r[0]: k for k, r in enumerate(sorted((r for r in rows if r[1] == label), key=lambda r: (r[2], r[0])), 1)}
+    assert {r.id: r.ordinal for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        prepare.shuffled_rank(df, "label", "id")
+
+
+def test_fill_over_all_keeps_columns(spark):
+    df = spark.createDataFrame([(i, None if i % 3 else float(i), "c") for i in range(50)], "t bigint, x double, _cell_of string")
+    got = prepare.filled_over_all(df, "x", "t").orderBy("t").collect()
+    assert [r.x for r in got] == [float(i - i % 3) for i in range(50)] and got[0]["_cell_of"] == "c"
+
+
+def pareto_ranks(v):
+    left, out, k = set(range(len(v))), {}, 0
+    while left:
+        own = {i for i in left if not any((v[j] >= v[i]).all() and (v[j] > v[i]).any() for j in left)}
+        out |= {i: k for i in own}
+        left -= own
+        k += 1
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_pareto_by_hand(spark, monkeypatch, n):
+    monkeypatch.setattr(pareto, "AT_ONCE", 2)
+    monkeypatch.setattr(pareto, "FAN_IN", 2)
+    random = np.random.default_rng(n)
+    v = random.integers(0, 9, (120, n)).astype(float)
+    names = [f"obj_{i}" for i in range(n)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "ind_id bigint, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+    rank, found = pareto_ranks(v), pareto.crowding(pareto.ranks(df, n), n, "ind_id").cache()
+    assert {r.ind_id: r.pareto_rank for r in found.collect()} == rank
+    crowd = {}
+    for k in set(rank.values()):
+        own = [i for i in rank if rank[i] == k]
+        gap = dict.fromkeys(own, 0.0)
+        for o in range(n):
+            order_ = sorted(own, key=lambda i: (v[i, o], i))
+            span = v[order_[-1], o] - v[order_[0], o]
+            for a, b, c in zip(order_, order_[1:], order_[2:]):
+                gap[b] += (v[c, o] - v[a, o]) / span if span else 0.0
+            gap[order_[0]] = gap[order_[-1]] = float("inf")
+        crowd |= gap
+    assert all(abs(r.crowding - crowd[r.ind_id]) < 1e-9 or r.crowding == crowd[r.ind_id] for r in found.collect())
+    want = sorted(rank, key=lambda i: (rank[i], -crowd[i], i))[:50]
+    assert {r.ind_id for r in pareto.survivors(found, 50, "ind_id").collect()} == set(want)
+    assert {r.ind_id for r in pareto.ranks(df, n, most=1).collect()} == {i for i in rank if rank[i] == 0}
+    some = pareto.ranks(df, n, rows=30)
+    assert 30 <= some.count() and {r.ind_id: r.pareto_rank for r in some.collect()}.items() <= rank.items()
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    random = np.random.default_rng(6)
+    rows = [(i, int(i % 10 == 0), (random.normal(size=3) + 2 * (i % 10 == 0)).tolist()) for i in range(150)]
+    return spark.createDataFrame(rows, "id bigint, label bigint, features array<double>")
+
+
+@pytest.mark.parametrize("strategy", neighbours.STRATEGIES)
+def test_resample(uneven, strategy):
+    got = neighbours.resample(uneven, strategy).collect()
+    n = {k: sum(r.label == k for r in got) for k in (0, 1)}
+    assert n == {"none": {0: 135, 1: 15}, "random_under": {0: 15, 1: 15}}.get(strategy, {0: 135, 1: 135})
+    assert len({r.id for r in got}) == len(got)
+    old = {r.id: r.features for r in uneven.collect()}
+    assert all(old[r.id] == r.features for r in got if not r.made) and all(r.id > 149 and r.label == 1 for r in got if r.made)
+    minority = np.array([v for i, v in old.items() if i % 10 == 0])
+    for r in got:
+        if r.made and strategy == "random_over":
+            assert r.features in minority.tolist()
+        elif r.made:  # on a segment between two rows of the class
+            x = np.array(r.features)
+            a, b = minority[:, None], minority[None]
+            t = ((x - a) * (b - a)).sum(-1) / np.maximum(((b - a) ** 2).sum(-1), 1e-12)
+            assert np.abs(a + np.clip(t, 0, 1)[..., None] * (b - a) - x).max(-1).min() < 1e-9
+    with pytest.raises(ValueError):
+        neighbours.resample(uneven, "other")
+
+
+def test_resample_ratio_and_single_rows(spark):
+    df = spark.createDataFrame([(i, 0, [float(i)]) for i in range(20)] + [(50, 1, [9.0])], "id bigint, label bigint, features array<double>")
+    got = neighbours.resample(df, "smote", {1: 4.0}).filter("made").collect()
+    assert [r.features for r in got] == [[9.0]] * 4 and sorted(r.id for r in got) == [51, 52, 53, 54]
+
+
+def test_manhattan_neighbours(uneven):
+    got = {(r.id, r.place): r.nb for r in neighbours.nearest(uneven, F.col("id") % 50 == 0, 3, metric="manhattan").collect()}
+    v = {r.id: np.array(r.features) for r in uneven.collect()}
+    for q in (0, 50, 100):
+        want = sorted((float(np.abs(v[i] - v[q]).sum()), i) for i in v if i != q)[:3]
+        assert [got[q, k] for k in (1, 2, 3)] == [i for _, i in want]
+
+
+def test_knn_imputer(spark):
+    random = np.random.default_rng(3)
+    x = random.normal(size=(60, 4))
+    gaps = random.random((60, 4)) < 0.2
+    rows = [(i, *[None if g else float(v) for v, g in zip(r, m)]) for i, (r, m) in enumerate(zip(x, gaps))]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, c double, d double").repartition(3)
+    got = {r.id: r for r in prepare.Imputer(["a", "b", "c", "d"], "knn", id_="id").fit_transform(df).collect()}
+    x[gaps] = np.nan
+    for i in range(60):
+        for f, c in enumerate("abcd"):
+            if not gaps[i, f]:
+                assert got[i][c] == x[i, f]
+                continue
+            both = ~np.isnan(x) & ~np.isnan(x[i])
+            d = np.where(both, (x - x[i]) ** 2, 0).sum(1) * 4 / np.maximum(1, both.sum(1))
+            donors = sorted((d[j], j) for j in range(60) if j != i and both[j].any() and not np.isnan(x[j, f]))[:5]
+            assert abs(got[i][c] - np.mean([x[j, f] for _, j in donors])) < 1e-9
+
+
+@pytest.mark.parametrize("adapt", ["diversity", "schedule", "self"])
+def test_adaptive_runs(spark, adapt):
+    s = evolve.Settings(generations=3, adapt=adapt)
+    start = evolve.initial(spark, 10, s)
+    assert start.select(F.size("genes")).first()[0] == (6 if adapt == "self" else 4)
+    fit = lambda d: d.withColumn("fitness", -F.get("genes", F.lit(0)))
+    _, history = evolve.run(start, fit, s)
+    assert all(0.01 <= h.mutation <= 0.5 and 0.5 <= h.crossover <= 0.95 for h in history)
+    if adapt == "schedule":
+        assert history[0].mutation == 0.5 and history[0].mutation > history[-1].mutation
+
+
+def test_run_stops_without_diversity(spark):
+    same = spark.range(8).select(F.col("id").alias("ind_id"), F.array(*[F.lit(0.5)] * 4).alias("genes"))
+    fit = lambda d: d.withColumn("fitness", F.lit(1.0))
+    _, history = evolve.run(same, fit, evolve.Settings(generations=9, mutation=0.0, floor=0.01))
+    assert len(history) == 3
+
+
+def test_search_task(spark):
+    random = np.random.default_rng(1)
+    rows = [(i, i % 2, [float(v) if k or i % 9 else None for k, v in enumerate(random.normal(size=3) + 2 * (i % 2))]) for i in range(80)]
+    frame = spark.createDataFrame(rows, "row_id bigint, label int, features array<double>")
+    task = learn.SearchTask(frame, "logistic", folds=2, metrics=("accuracy", "macro_f1"))
+    pop, _ = task.search(3, evolve.Settings(generations=1))
+    assert pop.count() == 3 and not task.errors and not task.prepared and all(r.obj_0 > 0.8 for r in pop.collect())
+    bad = learn.SearchTask(frame, "logistic", folds=2, metrics=("accuracy",))
+    assert bad.score({"scaler": "standard", "rebalance": "none", "pca": 0.9, "C": "x", "penalty": "l1"}) == [0.0] and len(bad.errors) == 1
+    bad.release()
+    ring = [(i, int(i % 2), [math.cos(i) * (1 + i % 2), math.sin(i) * (1 + i % 2)]) for i in range(200)]
+    ring = spark.createDataFrame(ring, "row_id bigint, label int, features array<double>")
+    for kernel, least in (("linear", 0.0), ("rbf", 0.9)):
+        said = learn.predictions("svm", {"C": 100.0, "kernel": kernel, "gamma": 1.0}, ring.filter("row_id < 150"), ring.filter("row_id >= 150"), 2, 2)
+        assert said.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0] >= least
+    early = learn.predictions("gbt", {"trees": 5, "early_stop": True}, ring.filter("row_id < 150"), ring.filter("row_id >= 150"), 2, 2)
+    assert early.count() == 50
