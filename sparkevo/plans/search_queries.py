@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform_sql
 from ..functions.shared import scratch
-from ..operators import evolve, learn, metrics, neighbours, niche, pareto, prepare, profile
+from ..operators import checks, evolve, learn, metrics, neighbours, niche, pareto, prepare, profile
 from ..operators.components import PCA, moments
 from ..operators.frame import onehot_class
 from ..sources import readers
@@ -384,6 +384,16 @@ def dq_checks(t):
     return t("lineitem").groupBy("l_returnflag").agg(F.count_if((F.col("l_discount") < 0) | (F.col("l_discount") > 0.05)).alias("out_of_range"), F.count_if(~F.col("l_linestatus").isin("O")).alias("bad_choice"))
 
 
+_CHECKS = ("l_quantity between 1 and 50", "l_discount > 0", "l_quantity = round(l_quantity)", "l_returnflag in ('A', 'N')")
+
+
+@query(" union all ".join(f"select l_linestatus, '{n}' as \"check\", count(*) filter (not coalesce({c}, false)) as rows from lineitem group by 1" for n, c in zip(("range", "positive", "whole", "choice"), _CHECKS)))
+def dq_violations(t):
+    """Rows of each line status that miss an expectation."""
+    expected = {"range": checks.in_range("l_quantity", 1, 50), "positive": checks.positive("l_discount"), "whole": checks.whole("l_quantity"), "choice": checks.one_of("l_returnflag", ["A", "N"])}
+    return checks.violations(t("lineitem"), expected, ["l_linestatus"])
+
+
 @query("select event_id, case when s < 60 then printf('%.2fs', s) when s < 3600 then printf('%dm %ds', cast(floor(s / 60) as integer), cast(floor(s % 60) as integer)) else printf('%dh %dm', cast(floor(s / 3600) as integer), cast(floor((s % 3600) / 60) as integer)) end as shown from (select event_id, value * 60 as s from events)")
 def fmt_duration(t):
     s = F.col("value") * 60

@@ -1,3 +1,4 @@
+import datetime
 import math
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkevo.functions import order
 from sparkevo.functions.order import ordinals, quantiles, running
-from sparkevo.operators import components, evolve, learn, neighbours, pareto, prepare, profile, space
+from sparkevo.operators import checks, components, evolve, learn, neighbours, pareto, prepare, profile, space
 from sparkevo.operators import tests as paired
 from sparkevo.sources import readers
 
@@ -141,7 +142,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "b.csv").write_text("1,2\n")
     r.register("d", str(tmp_path / "none.csv"), 1)
     r.register("d", str(tmp_path / "b.csv"), 2)
-    assert r.load("d").count() == 1
+    assert r.load("d", header=False).count() == 1
     with pytest.raises(ValueError):
         r.load("other")
 
@@ -321,3 +322,44 @@ def test_search_task(spark):
         assert said.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0] >= least
     early = learn.predictions("gbt", {"trees": 5, "early_stop": True}, ring.filter("row_id < 150"), ring.filter("row_id >= 150"), 2, 2)
     assert early.count() == 50
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "x.data").write_text("".join(f"{i} {i * 2} {'NaN' if i % 3 == 0 else i}\n" for i in range(50)))
+    (tmp_path / "y.data").write_text("".join(f"{-1 if i % 2 else 1} \"19/07/2008\"\n" for i in range(50)))
+    pair = readers.read_pair(spark, str(tmp_path / "x.data"), str(tmp_path / "y.data"))
+    rows = pair.frame.orderBy("row").collect()
+    assert [(r.row, r.f_0, r.f_1, r.f_2, r.label) for r in rows] == [(i, i, 2 * i, None if i % 3 == 0 else i, 0 if i % 2 else 1) for i in range(50)]
+    assert pair.metadata["missing"] == 17
+    (tmp_path / "a.txt").write_text("1.5,2,1\n3,4,2\n")
+    (tmp_path / "b.txt").write_text("5,6,3\n")
+    union = readers.read_union(spark, [str(tmp_path / n) for n in ("a.txt", "b.txt")], shift=-1)
+    assert sorted((r.f_0, r.f_1, r.label) for r in union.frame.collect()) == [(1.5, 2, 0), (3, 4, 1), (5, 6, 2)] and dict(union.frame.dtypes)["label"] == "bigint"
+    assert dict(readers.read_numbers(spark, str(tmp_path / "a.txt"), 3, target=0).frame.dtypes)["label"] == "double"
+    (tmp_path / "f.nna").write_text("".join(" ".join(map(str, [i, 0.5] + [int(k == i) for k in range(3)])) + "\n" for i in range(4)))
+    got = readers.read_onehot(spark, str(tmp_path / "f.nna"), 2, 3).frame
+    assert {r.f_0: r.label for r in got.collect()} == {0: 0, 1: 1, 2: 2, 3: -1}
+    np.savez(tmp_path / "i.npz", X_train=np.arange(24).reshape(2, 3, 4), y_train=[0, 1], X_test=np.ones((1, 3, 4)), y_test=[2])
+    arrays = sorted((r.part, r.row, len(r.features), r.label) for r in readers.read(spark, str(tmp_path / "i.npz")).collect())
+    assert arrays == [("test", 0, 12, 2), ("train", 0, 12, 0), ("train", 1, 12, 1)]
+    assert readers.read(spark, str(tmp_path / "a.txt")).features == ["f_0", "f_1"]
+    (tmp_path / "c.txt").write_text("name,class\nu,1\n")
+    assert readers.read(spark, str(tmp_path / "c.txt")).features == ["name"]
+    r = readers.Registry(spark)
+    r.register("d", str(tmp_path / "none.csv"), 1)
+    r.register("d", str(tmp_path / "a.txt"), 2, about="two rows")
+    assert r.load("d").count() == 2 and r.available() == ["d"] and r.describe("d")["about"] == "two rows" and r.describe("e") == {}
+    spark.range(3).createOrReplaceTempView("in_session")
+    assert r.load("in_session").count() == 3
+    readers.write_metadata(spark, str(tmp_path / "meta"), {"a": [1]})
+    assert readers.read_metadata(spark, str(tmp_path / "meta")) == {"a": [1]} and readers.read_metadata(spark, str(tmp_path / "no")) == {}
+    assert readers.run_path("/x/", datetime.datetime(2020, 1, 2, 3, 4, 5)) == "/x/run_20200102_030405"
+
+
+def test_checks(spark):
+    df = spark.createDataFrame([(1.0, [1]), (2.5, []), (None, [1, 2])], "x double, a array<int>")
+    got = {r.check: r.rows for r in checks.violations(df, {"in": checks.in_range("x", 1, 2), "pos": checks.positive("x"), "whole": checks.whole("x"), "one": checks.one_of("x", [1.0]), "len": checks.length("a", 1, 1)}).collect()}
+    assert got == {"in": 2, "pos": 1, "whole": 2, "one": 2, "len": 2}
+    checks.ratios(0.6, 0.2, 0.2)
+    with pytest.raises(ValueError):
+        checks.ratios(0.6, 0.5)
