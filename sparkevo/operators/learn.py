@@ -87,6 +87,7 @@ class SearchTask:
     prepared: dict = field(default_factory=dict)
     memo: dict = field(default_factory=dict)
     errors: dict = field(default_factory=dict)
+    folded: DataFrame | None = None
 
     @property
     def space(self) -> Space:
@@ -96,7 +97,8 @@ class SearchTask:
         """Prepared training and test rows of a fold, and the number of their features."""
         key = (scaler, rebalance, share, fold)
         if key not in self.prepared:
-            folded = stratified_folds(self.frame, "label", "row_id", self.folds, self.seed)
+            self.folded = self.folded or stratified_folds(self.frame, "label", "row_id", self.folds, self.seed).persist()
+            folded = self.folded
             width = self.frame.agg(F.max(F.size("features"))).first()[0]
             names = [f"f_{i}" for i in range(width)]
             wide = lambda d: d.select("row_id", "label", *[F.get("features", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
@@ -119,6 +121,9 @@ class SearchTask:
             train.unpersist()
             test.unpersist()
         self.prepared.clear()
+        if self.folded is not None:
+            self.folded.unpersist()
+            self.folded = None
 
     def score(self, individual: dict) -> list[float]:
         """Mean of each metric over the folds, remembered by value; zeros, and the error in errors, where a model fails."""

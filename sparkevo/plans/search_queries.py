@@ -319,14 +319,14 @@ _model("knn", k=5, weights="distance")
 
 @query()
 def model_search(t):
-    """A search over linear models and neighbours: the last individuals, their fitness and values."""
-    return learn.tune(binary(t), ["logistic", "knn"], size=4, settings={"generations": 2}, folds=2)
+    """A search over linear models: the last individuals, their fitness and values."""
+    return learn.tune(binary(t), ["logistic"], size=3, settings={"generations": 2}, folds=2)
 
 
 @query()
 def metric_delta(t):
     """What a search by accuracy and one by macro f1 find, and the difference."""
-    return learn.compare_metrics(binary(t), "logistic", size=3, settings={"generations": 2}, folds=2)
+    return learn.compare_metrics(binary(t), "logistic", size=2, settings={"generations": 1}, folds=2)
 
 
 @query()
