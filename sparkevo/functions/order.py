@@ -136,14 +136,13 @@ def _first_brackets(df: DataFrame, columns: Sequence[str], probabilities: Sequen
 
 def _narrowed(df: DataFrame, brackets: list[_Bracket], ends: dict[str, tuple[float, float]]) -> list[_Bracket]:
     """The brackets with counts; those that miss their ranks widened, those that hold too much narrowed."""
-    aggregates = []
+    counts = [c for i, b in enumerate(brackets) for c in (F.count_if(F.col(b.column) < F.lit(b.lo)).alias(f"b{i}"), F.count_if(b.holds()).alias(f"n{i}"))]
+    got, out = df.agg(*counts).first(), []
+    large = [i for i, b in enumerate(brackets) if got[f"n{i}"] > LEAF and b.lo != b.hi]
+    parts = F.lit([j / 256 for j in range(257)])
+    cuts = df.agg(*[F.percentile_approx(F.when(brackets[i].holds(), F.col(brackets[i].column)), parts, F.lit(ACCURACY)).alias(f"q{i}") for i in large]).first() if large else {}
     for i, b in enumerate(brackets):
-        inside = F.when(b.holds(), F.col(b.column))
-        aggregates += [F.count_if(F.col(b.column) < F.lit(b.lo)).alias(f"b{i}"), F.count(inside).alias(f"n{i}")]
-        aggregates += [F.percentile_approx(inside, F.lit([j / 256 for j in range(257)]), F.lit(ACCURACY)).alias(f"q{i}")]
-    got, out = df.agg(*aggregates).first(), []
-    for i, b in enumerate(brackets):
-        below, inside, q = got[f"b{i}"], got[f"n{i}"], got[f"q{i}"]
+        below, inside = got[f"b{i}"], got[f"n{i}"]
         missing = [r for r in b.ranks if not below <= r < below + inside]
         if missing:
             out.append(_Bracket(b.column, *ends[b.column], missing, None, None, 2 * b.slack))
@@ -153,6 +152,7 @@ def _narrowed(df: DataFrame, brackets: list[_Bracket], ends: dict[str, tuple[flo
         if inside <= LEAF or b.lo == b.hi:
             out.append(_Bracket(b.column, b.lo, b.hi, ranks, below, inside))
             continue
+        q = cuts[f"q{i}"]
         for r in ranks:  # one part in 256, and its neighbours for the error of the approximation
             at = (r - below) * 256 // inside
             lo, hi = q[max(0, at - b.slack)], q[min(256, at + 1 + b.slack)]
