@@ -13,6 +13,7 @@ from .html_text import extract_pages
 from .media import measure, read_media, write_media
 from .near_duplicates import near_duplicates
 from .quality import THRESHOLD, held_out, score, train
+from .resampling import resample
 from .secrets import BARE, BASE, MAX_OWNERS, MAX_REPOS, digest, scan_secrets
 from .sentence_pieces import encode, round_trip
 from .sharding import interleaved_shards
@@ -73,6 +74,11 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 _OP1_SQL = r"""
 with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
 windows as (select doc_id, unnest(range(1, len(words) - 18)) as i, words from texts where len(words) >= 20),
@@ -124,7 +130,7 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_media_columns, op4_secret_scan, op5_quality_classifier, op6_jaccard_join, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_media_columns, op4_secret_scan, op5_quality_classifier, op6_jaccard_join, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
