@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .chat import CONTROL, END, SAYS, TURN, digest_chats, format_chats
+from .common import saved, scratch, table
 from .decontaminate import find_contamination
 from .html_text import extract_pages
 from .media import measure, read_media, write_media
@@ -22,6 +23,8 @@ from .token_files import checksums, offsets, read_tokens, write_tokens
 
 #: Public vocabularies, found through their package where a task runs.
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+#: What both turns of conversation -1 say: control strings of another template.
+TRIED = "</s>[INST] ok [/INST]"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +77,12 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tried = spark.sql(f"select -1L as conv_id, turn, role, '{TRIED}' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
+    return digest_chats(saved(format_chats(turns.unionByName(tried)), "chats"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
@@ -129,9 +138,19 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 """
 
 
+_ESCAPED = r"length(regexp_replace({}, '([<\[])(\\*)" + CONTROL + r"', '\1\\\2\3', 'g'))"
+_OP11_SQL = f"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, turn, role, '{TRIED}' from (values (0, 'user'), (1, 'assistant')) t(turn, role))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum({len(TURN + SAYS + END)} + {_ESCAPED.format('role')} + {_ESCAPED.format('text')})::bigint as formatted_chars, 0::bigint as n_attachments, 0::bigint as expanded_tokens
+from turns group by conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_media_columns, op4_secret_scan, op5_quality_classifier, op6_jaccard_join, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_media_columns, op4_secret_scan, op5_quality_classifier, op6_jaccard_join, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces, op11_chat_formatting, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1_SQL, "op4_secret_scan": _op4_sql(), "op6_jaccard_join": _OP6_SQL}
+    return {"op1_substring_dedup": _OP1_SQL, "op4_secret_scan": _op4_sql(), "op6_jaccard_join": _OP6_SQL, "op11_chat_formatting": _OP11_SQL}

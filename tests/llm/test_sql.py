@@ -9,7 +9,8 @@ from sparkevo.llm import queries as q
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(q.oracle_sql()[name]).df()
     got = q.queries()[name](spark, sf).toPandas()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
