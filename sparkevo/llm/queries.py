@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .chat import CONTROL, END, SAYS, TURN, digest_chats, format_chats
 from .common import saved, scratch, table
 from .decontaminate import find_contamination
@@ -22,7 +23,7 @@ from .substring_dedup import substring_dedup
 from .token_files import checksums, offsets, read_tokens, write_tokens
 
 #: Public vocabularies, found through their package where a task runs.
-WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORDS, PIECES, BYTES = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
 #: What both turns of conversation -1 say: control strings of another template.
 TRIED = "</s>[INST] ok [/INST]"
 
@@ -83,6 +84,10 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_chats(saved(format_chats(turns.unionByName(tried)), "chats"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), BYTES, PIECES)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
@@ -149,7 +154,7 @@ from turns group by conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_media_columns, op4_secret_scan, op5_quality_classifier, op6_jaccard_join, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces, op11_chat_formatting, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_media_columns, op4_secret_scan, op5_quality_classifier, op6_jaccard_join, op7_token_files, op8_sharding, op9_html_text, op10_sentence_pieces, op11_chat_formatting, op12_token_alignment, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
