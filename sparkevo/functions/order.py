@@ -4,7 +4,9 @@
 distribution. ``running`` gives running totals over distinct values: totals of cells are summed up in one small window,
 and only the values of one cell are ordered together. ``ordinals`` numbers rows by value, then id. ``quantiles``
 brackets each rank by approximate percentiles, counts what lies below and inside, and collects no more than ``LEAF``
-distinct values a rank.
+distinct values a rank. ``latest`` matches points with the last bound at or below them, by merging both in ranges of the
+joint order, so neither a bound of many points nor a point's place makes a hot task. Up to ``FEW`` rows, which a count
+that stops there tells, the same numbers come from one plain window.
 
 Null group keys are groups of their own; internal columns take names that the frame does not have.
 """
@@ -22,6 +24,8 @@ from pyspark.sql.window import Window
 from .shared import free, saved
 
 LEAF, ACCURACY, WIDE = 20_000, 10_000, 40
+#: Rows that one task may order.
+FEW = 20_000
 #: Cells of a frame at most; their bounds are all that comes to the driver.
 PROBE, CELLS = 1024, 1 << 16
 
@@ -36,6 +40,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right, on, how).drop(*names)
 
 
+def few(df: DataFrame) -> bool:
+    """Whether df has no more than FEW rows; counting stops there."""
+    return df.select(F.lit(1)).limit(FEW + 1).count() <= FEW
+
+
 def _percentiles(df: DataFrame, key: str, n: int) -> tuple[list[float], int]:
     shares = F.lit([i / n for i in range(1, n)])
     got = df.agg(F.percentile_approx(F.col(key).cast("double"), shares, F.lit(4 * n)).alias("q"), F.count(F.lit(1)).alias("n")).first()
@@ -62,10 +71,17 @@ def celled(df: DataFrame, key: str, name: str) -> DataFrame:
 def running(df: DataFrame, value: str, totals: dict[str, Column], by: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """by, value, each of totals (per distinct value) and <name>_before, its sum over the values that come first."""
     by = list(by)
-    distinct = saved(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(k) for k, c in totals.items()]), "running")
+    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    distinct = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(k) for k, c in totals.items()])
+    plain = few(df)
+    if not plain:
+        distinct = saved(distinct, "running")
+        plain = few(distinct)
+    if plain:
+        before = Window.partitionBy(*by).orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
+        return distinct.select(*by, value, *totals, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in totals])
     cell = free(distinct, "_cell_of")
     distinct = celled(distinct, value, cell)
-    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     up, own = ({k: free(distinct, f"{kind}_{k}") for k in totals} for kind in ("_up", "_in"))
     sums = distinct.groupBy(*by, cell).agg(*[F.sum(k).alias(up[k]) for k in totals])
     outer = Window.partitionBy(*by).orderBy(order(cell)).rowsBetween(Window.unboundedPreceding, -1)
@@ -80,6 +96,9 @@ def ordinals(df: DataFrame, value: str, id_: str, by: Sequence[str] = (), descen
     """df with its 1-based number by value, then id (a whole number), within by; rows without a value go."""
     by = list(by)
     n, before, earlier, at, place = (free(df, c) for c in ("_n", "_before", "_earlier", "_at", "_bin"))
+    if few(df):
+        order = F.desc(value) if descending else F.asc(value)
+        return df.filter(F.col(value).isNotNull()).withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(order, F.asc(id_))).cast("bigint"))
     values = running(df.select(*dict.fromkeys([*by, value])), value, {n: F.count(F.lit(1))}, by, descending).select(*by, value, F.col(f"{n}_before").alias(before))
     placed = celled(df.filter(F.col(value).isNotNull()), id_, place)
     cells = placed.groupBy(*by, value, place).agg(F.count(F.lit(1)).alias(n))
@@ -92,17 +111,43 @@ def ordinals(df: DataFrame, value: str, id_: str, by: Sequence[str] = (), descen
 
 
 def neighbours(df: DataFrame, value: str, id_: str, by: Sequence[str], before: str, after: str) -> DataFrame:
-    """df with the values next before and after each row's in the order of value, then id, within by; null at the ends."""
+    """df with the values next before and after each row's in the order of value, then id, within by; null at the ends.
+
+    Rows meet by their number in that order, so any number of them may share a value.
+    """
     by = list(by)
-    cell, lo, hi = (free(df, c) for c in ("_cell_of", "_lo", "_hi"))
-    placed = celled(df, value, cell)
-    ends = placed.groupBy(*by, cell).agg(F.min(value).alias(lo), F.max(value).alias(hi))
-    outer = Window.partitionBy(*by).orderBy(cell)
-    ends = ends.select(*by, cell, F.lag(hi).over(outer).alias(hi), F.lead(lo).over(outer).alias(lo))
-    inner = Window.partitionBy(*by, cell).orderBy(value, id_)
-    own = placed.withColumns({before: F.lag(value).over(inner), after: F.lead(value).over(inner)})
-    out = null_safe_join(own, ends, [*by, cell])
-    return out.withColumns({before: F.coalesce(before, hi), after: F.coalesce(after, lo)}).drop(cell, lo, hi)
+    if few(df):
+        window = Window.partitionBy(*by).orderBy(value, id_)
+        return df.withColumns({before: F.lag(value).over(window), after: F.lead(value).over(window)})
+    place = free(df, "_place")
+    numbered = saved(ordinals(df, value, id_, by, name=place), "numbered")
+    beside = lambda step, name: numbered.select(*by, (F.col(place) + step).alias(place), F.col(value).alias(name))
+    out = null_safe_join(numbered, beside(1, before), [*by, place], "left")
+    return null_safe_join(out, beside(-1, after), [*by, place], "left").drop(place)
+
+
+def latest(points: DataFrame, at: str, bounds: DataFrame, low: str, keep: Sequence[str]) -> DataFrame:
+    """points with the columns keep of the last of bounds (by low) whose low is no greater than at; null where none is.
+
+    Of bounds with the same low any may be taken. Both are merged by place, cut into cells, and a cell takes over the
+    last bound before it.
+    """
+    pos, own, held, mine, cell = "_pos", "_own", "_held", "_mine", "_cell_of"
+    bound, point = F.struct(*keep), F.struct(*points.columns)
+    left = bounds.select(F.col(low).cast("double").alias(pos), F.lit(0).alias(own), bound.alias(held), F.lit(None).cast(points.select(point.alias("p")).schema["p"].dataType).alias(mine))
+    right = points.select(F.col(at).cast("double").alias(pos), F.lit(1).alias(own), F.lit(None).cast(left.schema[held].dataType).alias(held), point.alias(mine))
+    both = left.unionByName(right)
+    inner = lambda *by: Window.partitionBy(*by).orderBy(pos, own).rowsBetween(Window.unboundedPreceding, 0)
+    if few(both):
+        both = both.withColumn(held, F.last(held, ignorenulls=True).over(inner()))
+    else:
+        both = celled(saved(both, "merged"), pos, cell)
+        ends = both.filter(F.col(own) == 0).groupBy(cell).agg(F.max_by(held, pos).alias("_end"))
+        cells = both.select(cell).distinct().join(ends, cell, "left")  # about sqrt(rows) of them
+        carried = F.last("_end", ignorenulls=True).over(Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1))
+        both = both.withColumn(held, F.last(held, ignorenulls=True).over(inner(cell))).join(cells.select(cell, carried.alias("_end")), cell)
+        both = both.withColumn(held, F.coalesce(held, "_end"))
+    return both.filter(F.col(own) == 1).select(f"{mine}.*", *[F.col(f"{held}.{c}").alias(c) for c in keep])
 
 
 class _Bracket:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import uniform
-from ..functions.order import null_safe_join
+from ..functions.order import latest, null_safe_join
 from ..functions.shared import saved
 from .prepare import shuffled_rank
 from .select import picked
@@ -131,7 +131,11 @@ def synthetic(rows: DataFrame, near: DataFrame, copies: int, seed: int = 42) ->
 def drawn(rows: DataFrame, needed: DataFrame, seed: int = 42) -> DataFrame:
     """label, draw (1..needed) and id: rows of each class drawn with replacement by hash, needed (label, n, needed) of them."""
     ranked = shuffled_rank(rows.select("id", "label"), "label", "id", seed, "rank", "size").drop("size")
-    draws = needed.filter("needed > 0").select("label", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), "needed")).alias("draw"))
+    before = F.sum("needed").over(Window.orderBy(F.col("label").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    starts = saved(needed.filter("needed > 0").select("label", "n", "needed", F.coalesce(before, F.lit(0)).alias("_start")), "starts")  # a row a class
+    total = starts.agg(F.sum("needed")).first()[0] or 0
+    draws = latest(rows.sparkSession.range(total).withColumnRenamed("id", "_at"), "_at", starts, "_start", ["label", "n", "_start"])
+    draws = draws.select("label", "n", (F.col("_at") - F.col("_start") + 1).alias("draw"))
     draws = draws.select("label", "draw", (F.floor(uniform(seed, F.col("label"), F.col("draw")) * F.col("n")) + 1).alias("rank"))
     return null_safe_join(draws, ranked, ["label", "rank"]).select("label", "draw", "id")
 

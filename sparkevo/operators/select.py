@@ -1,8 +1,8 @@
 """Selection of individuals: probabilities as columns, picks from given draws.
 
 A population has ind_id (a whole number) and fitness. Probabilities need totals and ranks only; picks match
-draws in [0, 1) with cumulative probabilities by cells of the unit interval, an equi-join, so neither side is
-paired with all of the other.
+draws in [0, 1) with cumulative probabilities in one merged order, cut into cells, so neither side is paired with all of
+the other, and an individual that takes nearly all draws is no hot key.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.order import celled, ordinals
+from ..functions.order import celled, few, latest, ordinals
 from ..functions.shared import free
 
 
@@ -54,32 +54,32 @@ def truncated(pop: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def cumulative(pop: DataFrame) -> DataFrame:
-    """pop (with prob) with lo and hi, its share of the unit interval in the order of ind_id."""
+    """pop (with prob) with lo and hi, its share of the unit interval in the order of ind_id; the first lo is 0."""
     cell, total, own = (free(pop, c) for c in ("_cell_of", "_total", "_own"))
+    if few(pop):
+        placed = pop.withColumn("lo", F.coalesce(F.sum("prob").over(Window.orderBy("ind_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+        return placed.withColumn("hi", F.col("lo") + F.col("prob"))
     cells = celled(pop, "ind_id", cell)
     sums = cells.groupBy(cell).agg(F.sum("prob").alias(total))
     sums = sums.select(cell, F.coalesce(F.sum(total).over(Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(total))
-    inner = Window.partitionBy(cell).orderBy("ind_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = cells.withColumn(own, F.sum("prob").over(inner)).join(sums, cell).withColumn("hi", F.col(total) + F.col(own))
-    return placed.withColumn("lo", F.col("hi") - F.col("prob")).drop(cell, own, total)
+    inner = Window.partitionBy(cell).orderBy("ind_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumn(own, F.coalesce(F.sum("prob").over(inner), F.lit(0.0))).join(sums, cell).withColumn("lo", F.col(total) + F.col(own))
+    return placed.withColumn("hi", F.col("lo") + F.col("prob")).drop(cell, own, total)
 
 
 def picked(pop: DataFrame, draws: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """draw_id, u, ind_id: the individual whose [lo, hi) holds the draw u.
+    """draw_id, u, ind_id: the individual whose share of the unit interval holds the draw u.
 
-    Both sides carry the cells of the unit interval (as many as individuals) that they touch, and join on them.
+    The last share is open above, so rounding of the sums loses no draw. Draws are merged with the shares' lower ends.
     """
-    n = max(1, pop.count())
-    spans = cumulative(pop).select("ind_id", "lo", "hi", *keep)
-    last = F.greatest(F.floor(F.col("lo") * n), F.least(F.floor(F.col("hi") * n), F.lit(n - 1)))
-    spans = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") * n), last)))
-    found = draws.withColumn("_cell", F.floor(F.col("u") * n)).join(spans, "_cell").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    return found.select("draw_id", "u", "ind_id", *keep)
+    spans = cumulative(pop.filter(F.col("prob") > 0)).select("ind_id", "lo", *keep)
+    return latest(draws, "u", spans, "lo", ["ind_id", *keep]).select("draw_id", "u", "ind_id", *keep)
 
 
 def pointers(start: DataFrame, n: int) -> DataFrame:
     """draw_id 0..n-1 and u = (start + draw_id) / n: the equally spaced pointers of one draw (column start)."""
-    return start.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw_id"), "start").select("draw_id", ((F.col("start") + F.col("draw_id")) / F.lit(n)).alias("u"))
+    draws = start.sparkSession.range(n).select(F.col("id").cast("int").alias("draw_id") if n < 1 << 31 else F.col("id").alias("draw_id"))
+    return draws.join(F.broadcast(start.select("start"))).select("draw_id", ((F.col("start") + F.col("draw_id")) / F.lit(n)).alias("u"))
 
 
 def tournaments(entries: DataFrame) -> DataFrame:
