@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of text in one run of the pipeline, and in a portion; words remembered, and new ones encoded together.
-SLICE, PORTION, CACHE, POOL, JOINED = 4 << 20, 64 << 20, 1 << 20, 16 << 20, 256
+SLICE, PORTION, CACHE, POOL, JOINED = 2 << 20, 32 << 20, 1 << 19, 4 << 20, 256
 #: Pairs in one row of the portions' counts, and pairs of a large group expanded at once.
 ROW_PAIRS, EXPANDED = 1 << 16, 1 << 22
 
@@ -277,10 +277,11 @@ class _Portion:
             said = hashlib.sha256(told[byte[i] : byte[i + 1] - 1]).hexdigest() if n_groups[i] else ""
             mine = slice(at[i], at[i + 1])
             totals = tokens[0][i + 1] - tokens[0][i], tokens[1][i + 1] - tokens[1][i], n_groups[i], sizes[per[i + 1]] - sizes[per[i]]
-            self.rows.append((len(self.keys), doc_id, *map(int, totals), said, number[mine], links[mine]))
+            self.rows.append((len(self.keys), doc_id, *map(int, totals), said, number[mine], _sparse(links[mine])))
         self.keys.append(key)
         self.counts.append(count)
         self.size += len(data)
+        pa.default_memory_pool().release_unused()
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         """The documents with their pairs by number in the portion, then the portion's pairs."""
@@ -293,7 +294,7 @@ class _Portion:
                 columns[name] = [r[c] for r in part]
             columns["pairs"] = [common.pack(np.diff(place[r[0]][r[7]], prepend=0).astype(np.int32)) if len(r[7]) else b"" for r in part]
             # how often a document links each of its pairs: mostly once, so only the others are listed
-            columns["links"] = [_sparse(r[8]) for r in part]
+            columns["links"] = [r[8] for r in part]
             yield self._batch(columns, len(part))
         for i in range(0, len(key), ROW_PAIRS):
             own = key[i : i + ROW_PAIRS]
