@@ -71,15 +71,19 @@ def celled(df: DataFrame, key: str, name: str) -> DataFrame:
 def running(df: DataFrame, value: str, totals: dict[str, Column], by: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """by, value, each of totals (per distinct value) and <name>_before, its sum over the values that come first."""
     by = list(by)
-    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     distinct = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(k) for k, c in totals.items()])
-    plain = few(df)
-    if not plain:
-        distinct = saved(distinct, "running")
-        plain = few(distinct)
-    if plain:
-        before = Window.partitionBy(*by).orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
-        return distinct.select(*by, value, *totals, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in totals])
+    if few(df):
+        return before(distinct, value, list(totals), by, descending, True)
+    return before(saved(distinct, "running"), value, list(totals), by, descending)
+
+
+def before(distinct: DataFrame, value: str, totals: Sequence[str], by: Sequence[str] = (), descending: bool = False, plain: bool | None = None) -> DataFrame:
+    """by, value, totals and <name>_before of a saved frame with one row a value of by; plain: it has few rows."""
+    by = list(by)
+    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    if few(distinct) if plain is None else plain:
+        earlier = Window.partitionBy(*by).orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
+        return distinct.select(*by, value, *totals, *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_before") for k in totals])
     cell = free(distinct, "_cell_of")
     distinct = celled(distinct, value, cell)
     up, own = ({k: free(distinct, f"{kind}_{k}") for k in totals} for kind in ("_up", "_in"))
@@ -95,11 +99,11 @@ def running(df: DataFrame, value: str, totals: dict[str, Column], by: Sequence[s
 def ordinals(df: DataFrame, value: str, id_: str, by: Sequence[str] = (), descending: bool = False, name: str = "ordinal") -> DataFrame:
     """df with its 1-based number by value, then id (a whole number), within by; rows without a value go."""
     by = list(by)
-    n, before, earlier, at, place = (free(df, c) for c in ("_n", "_before", "_earlier", "_at", "_bin"))
+    n, ahead, earlier, at, place = (free(df, c) for c in ("_n", "_before", "_earlier", "_at", "_bin"))
     if few(df):
         order = F.desc(value) if descending else F.asc(value)
         return df.filter(F.col(value).isNotNull()).withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(order, F.asc(id_))).cast("bigint"))
-    values = running(df.select(*dict.fromkeys([*by, value])), value, {n: F.count(F.lit(1))}, by, descending).select(*by, value, F.col(f"{n}_before").alias(before))
+    values = running(df.select(*dict.fromkeys([*by, value])), value, {n: F.count(F.lit(1))}, by, descending).select(*by, value, F.col(f"{n}_before").alias(ahead))
     placed = celled(df.filter(F.col(value).isNotNull()), id_, place)
     cells = placed.groupBy(*by, value, place).agg(F.count(F.lit(1)).alias(n))
     outer = Window.partitionBy(*by, value).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +111,7 @@ def ordinals(df: DataFrame, value: str, id_: str, by: Sequence[str] = (), descen
     inner = Window.partitionBy(*by, value, place).orderBy(id_)
     numbered = null_safe_join(placed.withColumn(at, F.row_number().over(inner)), cells, [*by, value, place])
     numbered = null_safe_join(numbered, values, [*by, value])
-    return numbered.withColumn(name, F.col(before) + F.col(earlier) + F.col(at)).drop(before, earlier, at, place)
+    return numbered.withColumn(name, F.col(ahead) + F.col(earlier) + F.col(at)).drop(ahead, earlier, at, place)
 
 
 def neighbours(df: DataFrame, value: str, id_: str, by: Sequence[str], before: str, after: str) -> DataFrame:

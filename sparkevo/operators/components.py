@@ -5,34 +5,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import gram
+
 
 def moments(df: DataFrame, features: str = "features") -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, mean and sample covariance of an array column: each task adds up its own rows' products."""
-    first = df.select(F.col(features).cast("array<double>").alias("x")).filter("x is not null")
-    shift_row = first.first()
+    rows = df.select(F.col(features).cast("array<double>").alias("x")).filter("x is not null")
+    shift_row = rows.first()
     if shift_row is None:
         return 0, np.zeros(0), np.zeros((0, 0))
     shift = np.array(shift_row.x)  # taken off first, so that large means cost no digits
-
-    def run(batches):
-        n, s, ss = 0, np.zeros(len(shift)), np.zeros((len(shift), len(shift)))
-        for b in batches:
-            x = np.stack(b["x"].to_numpy()).astype(float) - shift
-            n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
-        yield pd.DataFrame({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
-
-    parts = first.mapInPandas(run, "n bigint, s array<double>, ss array<double>")
-    p = len(shift)
-    summed = parts.groupBy().agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(p)]).first()
-    squares = parts.select(F.posexplode("ss").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()  # p * p numbers
-    n, s, ss = summed.n, np.array([summed[f"s{i}"] for i in range(p)]), np.zeros(p * p)
-    for r in squares:
-        ss[r["at"]] = r.v
-    return n, shift + s / n, (ss.reshape(p, p) - np.outer(s, s) / n) / max(1, n - 1)
+    n, s, ss = gram.moments(rows.select(F.zip_with("x", gram.literal(shift), lambda x, y: x - y).alias("x")), len(shift))
+    return n, shift + s / n, (ss - np.outer(s, s) / n) / max(1, n - 1)
 
 
 @dataclass

@@ -46,15 +46,15 @@ class Generation(NamedTuple):
     gen: int
     best: float
     mean: float
-    diversity: float
+    diversity: float | None  # only where the settings use it
     mutation: float
     crossover: float
     evaluations: int
 
 
-def rates(pop: DataFrame, gen: int, s: Settings) -> tuple[float, float, float]:
-    """Diversity of the population, and the mutation and crossover rates of a generation (of self, their means)."""
-    diversity = niche.genotypic(pop).first()[0] or 0.0
+def rates(pop: DataFrame, gen: int, s: Settings) -> tuple[float | None, float, float]:
+    """Diversity of the population (None where nothing uses it), and the mutation and crossover rates of a generation (of self, their means)."""
+    diversity = (niche.genotypic(pop).first()[0] or 0.0) if s.adapt == "diversity" or s.floor > 0 else None
     if s.adapt == "none":
         return diversity, s.mutation, s.crossover
     if s.adapt == "self":

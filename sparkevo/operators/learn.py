@@ -1,30 +1,42 @@
 """Model training on label and features, behind one search task: prepare, fit, score by folds, evolve.
 
 Models are Spark ML's; what they lack of other libraries' options is not offered. Preparation (fill gaps, scale,
-rebalance, project) is fitted on the training rows of a fold only, only these are rebalanced, and prepared folds are
-kept per preparation, for they depend on nothing else, until ``release``. Searches run on :mod:`evolve`: the individuals
-of a generation are decoded in one job, and an individual that fails scores 0 with its error kept.
+rebalance, project) is fitted on the training rows of a fold only, and only these are rebalanced. ``Folds`` makes each
+preparation once, for all individuals, kinds and searches that ask for it: a scaler and rebalancing of a fold are one
+pair of tables in the shared folder with all components, of which a share of variance is the first so many.
+
+Searches run on :mod:`evolve`. All individuals of a generation, by all folds, are fitted at the same time, from as many
+threads as the cluster has cores (``parallel`` at most), each in a scheduler pool of its own; searches of several kinds
+run beside each other. An individual is scored once, by value. One whose model cannot be fitted scores 0 with its error
+kept; a job that Spark lost is tried again, and stops the search if it fails each time.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+import threading
+from collections.abc import Callable, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from functools import partial
+from typing import Any
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JError, Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
-from . import evolve, metrics
+from ..functions.shared import discard, saved
+from . import evolve, gram, metrics
 from .components import PCA
 from .neighbours import nearest, resample, vote
-from .prepare import Imputer, Scaler, stratified_folds
-from .space import SPACES, Space, decode
+from .prepare import stratified_folds
+from .space import PRESETS, SPACES, Space, decode
 
 
 def fourier(df: DataFrame, width: int, gamma: float | None = None, size: int = 128, seed: int = 42) -> DataFrame:
@@ -59,87 +71,198 @@ def make_model(kind: str, p: dict, classes: int, width: int, rows: int, seed: in
     return one if classes == 2 else OneVsRest(classifier=one)
 
 
-def predictions(kind: str, p: dict, train: DataFrame, test: DataFrame, classes: int, width: int) -> DataFrame:
-    """row_id, label, prediction of the test rows."""
+def predictions(kind: str, p: dict, train: DataFrame, test: DataFrame, classes: int, width: int, rows: int | None = None) -> DataFrame:
+    """row_id, label, prediction of the test rows; rows is the number of training rows where it is known."""
     if kind == "knn":
         both = train.select("row_id", "label", "features", F.lit(False).alias("t")).unionByName(test.select("row_id", "label", "features", F.lit(True).alias("t")))
-        rows = both.withColumnRenamed("row_id", "id")  # test rows are the stated queries, training rows the donors
-        near = nearest(rows, F.col("t"), int(p.get("k", 5)), donors=~F.col("t"), metric=p.get("metric", "euclidean"))
+        near = nearest(both.withColumnRenamed("row_id", "id"), F.col("t"), int(p.get("k", 5)), donors=~F.col("t"), metric=p.get("metric", "euclidean"))
         said = test.select("row_id", "label").join(vote(near, p.get("weights") == "distance"), F.col("row_id") == F.col("id"), "left")
         return said.select("row_id", "label", F.coalesce("prediction", F.lit(0)).cast("int").alias("prediction"))
     if kind == "svm" and p.get("kernel") == "rbf":
         train, test = (fourier(d, width, p.get("gamma")) for d in (train, test))
     held = uniform(42, F.col("row_id"), F.lit("held")) < 0.1
     as_ml = lambda d: d.select("row_id", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"), held.alias("held"))
-    fitted = make_model(kind, p, classes, width, train.count()).fit(as_ml(train))
+    fitted = make_model(kind, p, classes, width, train.count() if rows is None else rows).fit(as_ml(train))
     return fitted.transform(as_ml(test)).select("row_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
 
 
+def together(spark: SparkSession, calls: Sequence[Callable[[], Any]], parallel: int = 16) -> list[Any]:
+    """Results of calls that submit Spark jobs, made at the same time from threads with scheduler pools of their own."""
+
+    def own(call: Callable[[], Any], at: int) -> Any:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"sparkevo-{at}")
+        return call()
+
+    if len(calls) < 2 or parallel < 2:
+        return [c() for c in calls]
+    width = max(1, min(len(calls), parallel, spark.sparkContext.defaultParallelism))
+    with ThreadPoolExecutor(width) as threads:
+        return [f.result() for f in [threads.submit(inheritable_thread_target(spark)(own), c, i % width) for i, c in enumerate(calls)]]
+
+
+def lost(error: BaseException) -> bool:
+    """Whether Spark failed, and not the model: executors or the job were lost, or the JVM did not answer."""
+    if isinstance(error, Py4JJavaError):
+        return "org.apache.spark.SparkException" in str(error.java_exception) and "ML" not in type(error).__name__
+    return isinstance(error, (Py4JError, ConnectionError, OSError))
+
+
+def retried(call: Callable[[], Any], times: int = 3) -> Any:
+    """What call returns; a call that Spark lost is made again, up to so many times."""
+    for left in range(times - 1, -1, -1):
+        try:
+            return call()
+        except Exception as e:
+            if not left or not lost(e):
+                raise
+
+
+class Once:
+    """Values made once a key, by the first thread that asks; others wait for it. A failure is forgotten."""
+
+    def __init__(self) -> None:
+        self.lock, self.held = threading.Lock(), {}
+
+    def get(self, key: Any, make: Callable[[], Any]) -> Any:
+        with self.lock:
+            own = key not in self.held
+            found = self.held.setdefault(key, Future())
+        if own:
+            try:
+                found.set_result(make())
+            except BaseException as e:
+                with self.lock:
+                    del self.held[key]
+                found.set_exception(e)
+        return found.result()
+
+    def values(self) -> list[Any]:
+        return [f.result() for f in self.held.values() if f.done() and not f.exception()]
+
+
+@dataclass
+class Folds:
+    """Stratified folds of frame (row_id, label 0.., features) with their preparations, each made once."""
+
+    frame: DataFrame
+    folds: int = 3
+    seed: int = 42
+    made: Once = field(default_factory=Once)
+
+    @property
+    def classes(self) -> int:
+        return self.made.get("shape", self._shape)[0]
+
+    def _shape(self) -> tuple[int, int]:
+        most = self.frame.agg(F.max("label"), F.max(F.size("features"))).first()
+        return (most[0] or 0) + 1, most[1] or 0
+
+    def _filled(self, fold: int) -> tuple[DataFrame, DataFrame, dict[int, tuple]]:
+        """Training and test rows of a fold, gaps filled with the means of the former, and the statistics of its places."""
+        folded = self.made.get("folded", lambda: saved(stratified_folds(self.frame, "label", "row_id", self.folds, self.seed), "folded"))
+        places = F.sequence(F.lit(0), F.lit(self.made.get("shape", self._shape)[1] - 1))
+        clean = lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+        known = folded.withColumn("x", F.transform(places, lambda i: clean(F.get("features", i).cast("double"))))
+        train, test = known.filter(F.col("fold") != fold), known.filter(F.col("fold") == fold)
+        means = gram.column_stats(train)
+        means = gram.literal([means[i][0] if i in means else 0.0 for i in range(self.made.get("shape", self._shape)[1])])
+        full = lambda d: d.select("row_id", "label", F.zip_with("x", means, lambda x, m: F.coalesce(x, m)).alias("x"))
+        return full(train), full(test), gram.column_stats(full(train))
+
+    def _scaled(self, scaler: str, train: DataFrame, stats: dict[int, tuple]) -> Callable[[DataFrame], DataFrame]:
+        """Shifts and scales x as Scaler does columns; what is constant is only shifted."""
+        if scaler == "robust":
+            q = gram.column_quantiles(train, (0.25, 0.5, 0.75))
+            pairs = [(q[i][1], q[i][2] - q[i][0]) for i in sorted(q)]
+        elif scaler in ("standard", "minmax", "maxabs"):
+            take = {"standard": lambda m, s, lo, hi: (m, s), "minmax": lambda m, s, lo, hi: (lo, hi - lo), "maxabs": lambda m, s, lo, hi: (0.0, max(abs(lo), abs(hi)))}[scaler]
+            pairs = [take(*stats[i]) for i in sorted(stats)]
+        else:
+            raise ValueError(f"unknown scaler {scaler!r}")
+        shift, scale = gram.literal([a for a, _ in pairs]), gram.literal([b or 1.0 for _, b in pairs])
+        return lambda d: d.select("row_id", "label", F.zip_with(F.zip_with("x", shift, lambda x, a: x - a), scale, lambda x, b: x / b).alias("features"))
+
+    def _prepared(self, scaler: str, rebalance: str, fold: int) -> tuple[DataFrame, DataFrame, list[float], int]:
+        train, test, stats = self.made.get(("filled", fold), lambda: self._filled(fold))
+        scaled = self.made.get(("scaled", scaler, fold), lambda: self._scaled(scaler, train, stats))
+        even = saved(resample(scaled(train).withColumnRenamed("row_id", "id"), rebalance, seed=self.seed).select(F.col("id").alias("row_id"), "label", "features"), "even")
+        pca = PCA().fit(even)
+        apply = lambda d: pca.transform(d).select("row_id", "label", F.col("projected").alias("features"))
+        # Models read these again and again: no more partitions than their bytes ask for.
+        out = saved(apply(even).hint("rebalance"), "train"), saved(apply(scaled(test)).hint("rebalance"), "test")
+        n = even.count()
+        discard(even)
+        return *out, np.cumsum(pca.ratio).tolist(), n
+
+    def get(self, scaler: str, rebalance: str, share: float, fold: int) -> tuple[DataFrame, DataFrame, int, int]:
+        """Prepared training and test rows of a fold, the number of their features, and of training rows."""
+        train, test, held, n = self.made.get((scaler, rebalance, fold), lambda: retried(lambda: self._prepared(scaler, rebalance, fold)))
+        width = min(len(held), int(np.searchsorted(held, share) + 1), max(1, n))
+        first = lambda d: d.select("row_id", "label", F.slice("features", 1, width).alias("features"))
+        return first(train), first(test), width, n
+
+    def release(self) -> None:
+        """Remove the tables made."""
+        for v in self.made.values():
+            for d in v if isinstance(v, tuple) else (v,):
+                if isinstance(d, DataFrame) and hasattr(d, "saved_at"):
+                    discard(d)
+        self.made = Once()
+
+
 @dataclass
 class SearchTask:
-    """Scores individuals of a search space on frames of row_id, label (0..), features (array of numbers)."""
+    """Scores individuals of a search space on frames of row_id, label (0..), features (array of numbers).
+
+    folds is a number, or Folds shared with other tasks; so may be the memo of scores, where kind, metrics and folds agree.
+    """
 
     frame: DataFrame
     kind: str
-    folds: int = 3
+    folds: int | Folds = 3
     metrics: tuple[str, ...] = ("balanced_accuracy",)
     seed: int = 42
-    prepared: dict = field(default_factory=dict)
-    memo: dict = field(default_factory=dict)
+    space: Space | None = None
+    parallel: int = 16
+    memo: Once = field(default_factory=Once)
     errors: dict = field(default_factory=dict)
-    folded: DataFrame | None = None
 
-    @property
-    def space(self) -> Space:
-        return SPACES[self.kind]
-
-    def fold(self, scaler: str, rebalance: str, share: float, fold: int) -> tuple[DataFrame, DataFrame, int]:
-        """Prepared training and test rows of a fold, and the number of their features."""
-        key = (scaler, rebalance, share, fold)
-        if key not in self.prepared:
-            self.folded = self.folded or stratified_folds(self.frame, "label", "row_id", self.folds, self.seed).persist()
-            folded = self.folded
-            width = self.frame.agg(F.max(F.size("features"))).first()[0]
-            names = [f"f_{i}" for i in range(width)]
-            wide = lambda d: d.select("row_id", "label", *[F.get("features", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
-            train, test = wide(folded.filter(F.col("fold") != fold)), wide(folded.filter(F.col("fold") == fold))
-            filler = Imputer(names, "mean").fit(train)
-            scale = Scaler(names, scaler).fit(filler.transform(train))
-            narrow = lambda d: scale.transform(filler.transform(d)).select("row_id", "label", F.array(*names).alias("features"))
-            even = resample(narrow(train).withColumnRenamed("row_id", "id"), rebalance, seed=self.seed).select(F.col("id").alias("row_id"), "label", "features").persist()
-            pca = PCA(share).fit(even)
-            apply = lambda d: pca.transform(d).select("row_id", "label", F.col("projected").alias("features")).persist()
-            self.prepared[key] = apply(even), apply(narrow(test)), len(pca.axes)
-            for d in self.prepared[key][:2]:
-                d.count()
-            even.unpersist()
-        return self.prepared[key]
+    def __post_init__(self) -> None:
+        self.space = self.space or SPACES[self.kind]
+        self.shared = isinstance(self.folds, Folds)
+        self.prepared = self.folds if self.shared else Folds(self.frame, self.folds, self.seed)
 
     def release(self) -> None:
-        """Drop the prepared folds."""
-        for train, test, _ in self.prepared.values():
-            train.unpersist()
-            test.unpersist()
-        self.prepared.clear()
-        if self.folded is not None:
-            self.folded.unpersist()
-            self.folded = None
+        """Remove the prepared folds, unless other tasks share them."""
+        if not self.shared:
+            self.prepared.release()
+
+    def on_fold(self, individual: dict, fold: int) -> list[float]:
+        """Each metric on one fold."""
+        train, test, width, rows = self.prepared.get(individual["scaler"], individual["rebalance"], individual["pca"], fold)
+        said = predictions(self.kind, individual, train, test, self.prepared.classes, width, rows)
+        if set(self.metrics) <= metrics.COUNTED:  # one job: a row a pair of classes
+            got = metrics.from_counts({(r.label, r.prediction): r["count"] for r in said.groupBy("label", "prediction").count().collect()})
+            return [got[m] for m in self.metrics]
+        said = saved(said, "said")
+        got = [metrics.METRICS[m](said).select(F.col(m)).first()[0] for m in self.metrics]
+        discard(said)
+        return [float(x or 0.0) for x in got]
+
+    def _mean(self, known: tuple, individual: dict) -> list[float]:
+        try:
+            calls = [partial(retried, partial(self.on_fold, individual, f)) for f in range(self.prepared.folds)]
+            return np.mean(together(self.frame.sparkSession, calls, self.parallel), axis=0).tolist()
+        except Exception as e:  # the search goes on, and the failure can be seen
+            if lost(e):
+                raise
+            self.errors[known] = str(e)
+            return [0.0] * len(self.metrics)
 
     def score(self, individual: dict) -> list[float]:
         """Mean of each metric over the folds, remembered by value; zeros, and the error in errors, where a model fails."""
         known = tuple(sorted((k, str(v)) for k, v in individual.items()))
-        if known not in self.memo:
-            try:
-                classes, got = self.frame.agg(F.max("label")).first()[0] + 1, []
-                for fold in range(self.folds):
-                    train, test, width = self.fold(individual["scaler"], individual["rebalance"], individual["pca"], fold)
-                    said = predictions(self.kind, individual, train, test, classes, width).persist()
-                    got.append([metrics.METRICS[m](said).select(F.col(m)).first()[0] for m in self.metrics])
-                    said.unpersist()
-                self.memo[known] = np.mean(got, axis=0).tolist()
-            except Exception as e:  # the search goes on, and the failure can be seen
-                self.memo[known], self.errors[known] = [0.0] * len(self.metrics), str(e)
-        return self.memo[known]
+        return self.memo.get(known, lambda: self._mean(known, individual))
 
     def values(self, pop: DataFrame) -> dict[int, dict]:
         """Decoded values of each individual: a candidate a row, in one job."""
@@ -147,14 +270,28 @@ class SearchTask:
         return {r.ind_id: {n: r[n] for n in self.space} for r in rows}
 
     def fitness(self, pop: DataFrame, names: tuple[str, ...] = ("fitness",)) -> DataFrame:
-        """pop with a column of each of names, the metrics of its individuals."""
-        scored = [(i, *map(float, self.score(v))) for i, v in sorted(self.values(pop).items())]
+        """pop with a column of each of names, the metrics of its individuals, which are scored at the same time.
+
+        Preparations that they need come first, so that no two threads wait for the same one.
+        """
+        spark, found = pop.sparkSession, self.values(pop)
+        needed = dict.fromkeys((v["scaler"], v["rebalance"], f) for v in found.values() for f in range(self.prepared.folds))
+        together(spark, [partial(self._ready, *key) for key in needed], self.parallel)
+        scores = together(spark, [partial(self.score, v) for v in found.values()], self.parallel)
+        scored = [(i, *map(float, own)) for i, own in zip(found, scores)]
         schema = "ind_id bigint, " + ", ".join(f"{n} double" for n in names)
-        return pop.join(F.broadcast(pop.sparkSession.createDataFrame(scored, schema)), "ind_id")
+        return pop.join(F.broadcast(spark.createDataFrame(scored, schema)), "ind_id")
+
+    def _ready(self, scaler: str, rebalance: str, fold: int) -> None:
+        try:
+            self.prepared.get(scaler, rebalance, 1.0, fold)
+        except Exception as e:  # the individuals that need it fail one by one
+            if lost(e):
+                raise
 
     def search(self, size: int = 10, settings: evolve.Settings | None = None) -> tuple[DataFrame, list[evolve.Generation]]:
         """The last population with fitness, or with several metrics their survivors with pareto_rank, and the history."""
-        s = settings or evolve.Settings(generations=5)
+        s = replace(settings) if settings else evolve.Settings(generations=5)
         s.genes = len(self.space)
         start = evolve.initial(self.frame.sparkSession, size, s)
         try:
@@ -165,27 +302,77 @@ class SearchTask:
             self.release()
 
 
-def tune(frame: DataFrame, kinds: list[str], size: int = 10, settings: dict | None = None, **options) -> DataFrame:
-    """kind, ind_id, fitness and values (as text) of the last population of a search per kind of model."""
-    rows = []
-    for kind in kinds:
-        task = SearchTask(frame, kind, **options)
-        pop, _ = task.search(size, evolve.Settings(**({"generations": 5} | (settings or {}))))
+def tune(frame: DataFrame, kinds: Sequence[str], size: int | None = None, settings: dict | None = None, preset: str = "quick", spaces: dict[str, Space] | None = None, folds: int = 3, seed: int = 42, **options) -> DataFrame:
+    """kind, ind_id, fitness and values (as text) of the last population of a search per kind of model.
+
+    Kinds are searched at the same time, on the same prepared folds. preset gives population and generations where size
+    or settings do not; spaces replaces the search space of kinds.
+    """
+    people, generations = PRESETS[preset]
+    shared, spark = Folds(frame, folds, seed), frame.sparkSession
+
+    def one(kind: str) -> list[tuple]:
+        task = SearchTask(frame, kind, folds=shared, seed=seed, space=(spaces or {}).get(kind), **options)
+        pop, _ = task.search(size or people, evolve.Settings(**({"generations": generations} | (settings or {}))))
         values = task.values(pop)
-        rows += [(kind, r.ind_id, r.fitness, str(sorted(values[r.ind_id].items()))) for r in pop.select("ind_id", "fitness").collect()]
-    return frame.sparkSession.createDataFrame(rows, "kind string, ind_id bigint, fitness double, `values` string")
+        return [(kind, r.ind_id, r.fitness, str(sorted(values[r.ind_id].items()))) for r in pop.select("ind_id", "fitness").collect()]
+
+    try:
+        rows = [r for own in together(spark, [partial(one, k) for k in kinds]) for r in own]
+    finally:
+        shared.release()
+    return spark.createDataFrame(rows, "kind string, ind_id bigint, fitness double, `values` string")
+
+
+def compare_kinds(frame: DataFrame, kinds: Sequence[str], judged: Sequence[str] = ("accuracy", "balanced_accuracy", "macro_f1"), folds: int = 3, **options) -> DataFrame:
+    """kind, place (1 the best, by the search's fitness), fitness, metric, score and values: the best individual of each kind's search, judged by several metrics."""
+    spark = frame.sparkSession
+    best: dict[str, Any] = {}
+    for r in tune(frame, kinds, folds=folds, **options).collect():  # an individual a row
+        if r.kind not in best or (-r.fitness, r.ind_id) < (-best[r.kind].fitness, best[r.kind].ind_id):
+            best[r.kind] = r
+    shared = Folds(frame, folds, options.get("seed", 42))
+    chosen = {k: dict(eval_values(best[k]["values"])) for k in kinds}
+    try:
+        scores = together(spark, [partial(SearchTask(frame, k, folds=shared, metrics=tuple(judged)).score, chosen[k]) for k in kinds])
+    finally:
+        shared.release()
+    order = {k: i for i, k in enumerate(sorted(kinds, key=lambda k: (-best[k].fitness, k)), 1)}
+    rows = [(k, order[k], best[k].fitness, m, float(x), best[k]["values"]) for k, own in zip(kinds, scores) for m, x in zip(judged, own)]
+    return spark.createDataFrame(rows, "kind string, place int, fitness double, metric string, score double, `values` string")
+
+
+def eval_values(text: str) -> list[tuple[str, Any]]:
+    """Names and values of an individual, from the text that tune gives."""
+    import ast
 
+    return ast.literal_eval(text)
 
-def compare_metrics(frame: DataFrame, kind: str, first: str = "accuracy", second: str = "macro_f1", size: int = 10, settings: dict | None = None, **options) -> DataFrame:
-    """driver, metric and score: what searches driven by one metric and by another find, each judged by both; and the difference."""
-    both, rows = (first, second), []
-    found = {}
-    for driver in both:
-        pop, _ = SearchTask(frame, kind, metrics=(driver,), **options).search(size, evolve.Settings(**({"generations": 5} | (settings or {}))))
+
+def compare_metrics(frame: DataFrame, kind: str, first: str = "accuracy", second: str = "macro_f1", size: int | None = None, settings: dict | None = None, preset: str = "quick", folds: int = 3, seed: int = 42, **options) -> DataFrame:
+    """driver, metric and score: what searches driven by one metric and by another find, each judged by both; and the difference.
+
+    Both searches run at the same time on the same folds, and an individual that both meet is scored once, by both metrics.
+    """
+    people, generations = PRESETS[preset]
+    both, shared, spark = (first, second), Folds(frame, folds, seed), frame.sparkSession
+    judge = SearchTask(frame, kind, folds=shared, metrics=both, seed=seed, **options)
+
+    def found(at: int) -> list[float]:
+        s = evolve.Settings(**({"generations": generations} | (settings or {})))
+        s.genes = len(judge.space)
+
+        def fitness(pop: DataFrame) -> DataFrame:
+            return judge.fitness(pop, ("_0", "_1")).withColumnRenamed(f"_{at}", "fitness").drop(f"_{1 - at}")
+
+        pop, _ = evolve.run(evolve.initial(spark, size or people, s), fitness, s)
         best = pop.orderBy(F.desc("fitness"), "ind_id").limit(1)
-        judge = SearchTask(frame, kind, metrics=both, **options)
-        found[driver] = judge.score(next(iter(judge.values(best).values())))
-        judge.release()
-        rows += [(driver, m, x) for m, x in zip(both, found[driver])]
-    rows += [("difference", m, b - a) for m, a, b in zip(both, found[first], found[second])]
-    return frame.sparkSession.createDataFrame(rows, "driver string, metric string, score double")
+        return judge.score(next(iter(judge.values(best).values())))
+
+    try:
+        scores = together(spark, [partial(found, 0), partial(found, 1)])
+    finally:
+        shared.release()
+    rows = [(driver, m, x) for driver, own in zip(both, scores) for m, x in zip(both, own)]
+    rows += [("difference", m, b - a) for m, a, b in zip(both, *scores)]
+    return spark.createDataFrame(rows, "driver string, metric string, score double")

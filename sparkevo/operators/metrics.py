@@ -117,3 +117,19 @@ def macro_f1(df: DataFrame) -> DataFrame:
 
 
 METRICS = {"macro_f1": macro_f1, "accuracy": accuracy, "balanced_accuracy": balanced_accuracy, "binary": binary, "averages": averages, "roc_auc": roc_auc, "average_precision": average_precision}
+
+
+#: What from_counts gives.
+COUNTED = {"accuracy", "balanced_accuracy", "macro_f1"}
+
+
+def from_counts(counts: dict[tuple[int, int], int]) -> dict[str, float]:
+    """accuracy, balanced_accuracy and macro_f1 from rows counted by label and prediction, as the frames above give them."""
+    classes = sorted({c for pair in counts for c in pair})
+    hit = {c: counts.get((c, c), 0) for c in classes}
+    true, said = ({c: sum(n for pair, n in counts.items() if pair[k] == c) for c in classes} for k in (0, 1))
+    part = lambda a, b: a / b if b else 0.0
+    recall, precision = ({c: part(hit[c], whole[c]) for c in classes} for whole in (true, said))
+    there, every = [c for c in classes if true[c]], sum(true.values())
+    f1 = [part(2 * precision[c] * recall[c], precision[c] + recall[c]) for c in classes]
+    return {"accuracy": part(sum(hit.values()), every), "balanced_accuracy": part(sum(recall[c] for c in there), len(there)), "macro_f1": part(sum(f1), len(classes))}

@@ -130,14 +130,23 @@ def synthetic(rows: DataFrame, near: DataFrame, copies: int, seed: int = 42) ->
 
 def drawn(rows: DataFrame, needed: DataFrame, seed: int = 42) -> DataFrame:
     """label, draw (1..needed) and id: rows of each class drawn with replacement by hash, needed (label, n, needed) of them."""
-    ranked = shuffled_rank(rows.select("id", "label"), "label", "id", seed, "rank", "size").drop("size")
+    return _drawn(rows, _numbered(needed), seed).select("label", "draw", "id")
+
+
+def _numbered(needed: DataFrame) -> DataFrame:
+    """needed, a row a class, with the number of rows made for the classes before it."""
     before = F.sum("needed").over(Window.orderBy(F.col("label").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    starts = saved(needed.filter("needed > 0").select("label", "n", "needed", F.coalesce(before, F.lit(0)).alias("_start")), "starts")  # a row a class
-    total = starts.agg(F.sum("needed")).first()[0] or 0
-    draws = latest(rows.sparkSession.range(total).withColumnRenamed("id", "_at"), "_at", starts, "_start", ["label", "n", "_start"])
-    draws = draws.select("label", "n", (F.col("_at") - F.col("_start") + 1).alias("draw"))
-    draws = draws.select("label", "draw", (F.floor(uniform(seed, F.col("label"), F.col("draw")) * F.col("n")) + 1).alias("rank"))
-    return null_safe_join(draws, ranked, ["label", "rank"]).select("label", "draw", "id")
+    return saved(needed.filter("needed > 0").select("label", "n", "needed", F.coalesce(before, F.lit(0)).cast("bigint").alias("_start")), "needed")
+
+
+def _drawn(rows: DataFrame, needed: DataFrame, seed: int) -> DataFrame:
+    """label, draw, id and number (from 1, over all classes): draws are numbers of one range, matched with their class."""
+    total = needed.agg(F.sum("needed")).first()[0] or 0
+    draws = latest(rows.sparkSession.range(total).withColumnRenamed("id", "_at"), "_at", needed, "_start", ["label", "n", "_start"])
+    draws = draws.select("label", "n", (F.col("_at") + 1).alias("number"), (F.col("_at") - F.col("_start") + 1).alias("draw"))
+    draws = draws.select("label", "number", "draw", (F.floor(uniform(seed, F.col("label"), F.col("draw")) * F.col("n")) + 1).alias("rank"))
+    ranked = shuffled_rank(rows.select("id", "label"), "label", "id", seed, "rank", "size").drop("size")
+    return null_safe_join(draws, ranked, ["label", "rank"]).select("label", "number", "draw", "id")
 
 
 STRATEGIES = ("smote", "adasyn", "random_over", "random_under", "combined", "none")
@@ -163,14 +172,11 @@ def resample(rows: DataFrame, strategy: str = "smote", ratio: float | dict | Non
         return shuffled_rank(rows, "label", "id", seed, "_rank", "_size").filter(F.col("_rank") <= least).drop("_rank", "_size")
     if strategy == "combined":
         return resample(resample(rows, "smote", ratio, k, seed), "random_under", None, k, seed).join(rows.select("id", F.lit(False).alias("own")), "id", "left").select("id", "label", "features", F.col("own").isNull().alias("made"))
-    needed = saved(targets(counts, ratio), "needed")
-    seeds = drawn(rows, needed, seed)
-    if strategy == "adasyn":
-        seeds = _by_density(rows, counts, needed, k, seed)
-    # Numbers of the made rows follow each other from class to class: a window over one row a class.
-    before = needed.select("label", (F.sum("needed").over(Window.orderBy(F.col("label").asc_nulls_first())) - F.col("needed")).alias("_before"))
+    needed = _numbered(targets(counts, ratio))
+    seeds = _by_density(rows, counts, needed, k, seed) if strategy == "adasyn" else _drawn(rows, needed, seed)
     base = (rows.agg(F.max("id")).first()[0] or 0) + 1
-    seeds = saved(null_safe_join(seeds, before, ["label"]).select("id", (F.col("_before") + F.col("draw")).alias("draw")), "seeds")
+    # Numbers of the made rows follow each other from class to class.
+    seeds = saved(seeds.select("id", F.col("number").alias("draw")), "seeds")
     if strategy == "random_over":
         made = seeds.join(rows.select("id", "label", "features"), "id")
     else:
@@ -180,17 +186,17 @@ def resample(rows: DataFrame, strategy: str = "smote", ratio: float | dict | Non
 
 
 def _by_density(rows: DataFrame, counts: DataFrame, needed: DataFrame, k: int, seed: int) -> DataFrame:
-    """label, draw and id: rows of each class drawn in proportion to their neighbours of the majority, equally where there are none."""
+    """label, number and id: rows of each class drawn in proportion to their neighbours of the majority, equally where there are none."""
     majority = counts.orderBy(F.desc("n"), "label").first().label
     found = None
-    for r in needed.filter("needed > 0").collect():  # a row a class
+    for r in needed.collect():  # a row a class
         own = rows.filter(F.col("label").eqNullSafe(F.lit(r.label)))
         near = nearest(rows, F.col("label").eqNullSafe(F.lit(r.label)), k)
         weights = density(near, majority).select(F.col("id").alias("ind_id"), F.col("weight").alias("prob"))
         draws = own.sparkSession.range(1, r.needed + 1).select(F.col("id").alias("draw_id"), uniform(seed, F.lit(r.label), F.col("id"), F.lit("seed")).alias("u"))
-        part = picked(weights, draws).select(F.lit(r.label).alias("label"), F.col("draw_id").alias("draw"), F.col("ind_id").alias("id"))
+        part = picked(weights, draws).select(F.lit(r.label).alias("label"), (F.col("draw_id") + r["_start"]).alias("number"), F.col("ind_id").alias("id"))
         found = part if found is None else found.unionByName(part)
-    return found if found is not None else rows.select("label", F.lit(0).cast("bigint").alias("draw"), "id").limit(0)
+    return found if found is not None else rows.select("label", F.lit(0).cast("bigint").alias("number"), "id").limit(0)
 
 
 def _donors(held, k: int):

@@ -6,14 +6,17 @@ Every statistic is an aggregate with partial sums in the tasks; quantiles come f
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.order import quantiles
+from ..functions.order import before, quantiles
+from ..functions.shared import saved
+from . import gram
 from .frame import clean, unpivoted
 
 
@@ -24,25 +27,37 @@ def quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """mean, population deviation, extremes, quartiles, missing, zeros and distinct values of each column."""
+    """mean, population deviation, extremes, quartiles, missing, zeros and distinct values of each column.
+
+    The source is read once, into rows of each distinct value; all else follows from their counts and running counts.
+    """
     cells = unpivoted(clean(df, columns), columns)
-    # Counting each distinct value once gives all moments and the distinct count in one shuffle.
-    by_value = cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    there = F.col("value").isNotNull()
-    n = F.sum(F.when(there, F.col("n")))
+    by_value = saved(cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), "values")
+    there, v, n = F.col("value").isNotNull(), F.col("value"), F.col("n")
     stats = by_value.groupBy("feature").agg(
-        n.alias("_n"),
-        F.sum(F.col("value") * F.col("n")).alias("_sum"),
+        F.coalesce(F.sum(F.when(there, n)), F.lit(0)).alias("_n"),
+        F.try_divide(F.sum(v * n), F.sum(F.when(there, n))).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        F.coalesce(F.sum(F.when(~there, F.col("n"))), F.lit(0)).alias("missing"),
-        F.coalesce(F.sum(F.when(F.col("value") == 0, F.col("n"))), F.lit(0)).alias("zeros"),
+        F.coalesce(F.sum(F.when(~there, n)), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zeros"),
         F.count("value").alias("unique"),
     )
-    moments = clean(df, columns).agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m_{c}").alias("mean"), F.col(f"s_{c}").alias("std")) for c in columns])
-    moments = moments.select(F.explode(pairs).alias("p")).select("p.*")
-    return stats.join(moments, "feature").join(quartiles(df, columns), "feature").select("feature", "mean", "std", "min", "max", "median", "q25", "q75", "missing", "zeros", "unique")
+    stats = saved(stats, "stats")  # a row a feature
+    ahead = F.col("n_before")
+    places = F.array(*[F.struct(F.lit(q).alias("q"), at(F.lit(q) * (F.col("_n") - 1)).cast("bigint").alias("rank")) for q in (0.25, 0.5, 0.75) for at in (F.floor, F.ceil)])
+    steps = before(by_value.filter(there), "value", ["n"], ["feature"]).join(F.broadcast(stats.select("feature", "mean", "_n", places.alias("places"))), "feature")
+    held = F.transform(F.filter("places", lambda p: (p["rank"] >= ahead) & (p["rank"] < ahead + n)), lambda p: F.struct(p["q"].alias("q"), p["rank"].alias("rank"), v.alias("v")))
+    spread = steps.groupBy("feature").agg(F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum(n)).alias("std"), F.flatten(F.collect_list(F.when(F.size(held) > 0, held))).alias("_held"), F.first("_n").alias("_n"))
+
+    def quartile(q: float):  # at most two ranks of a feature for each
+        own = F.array_sort(F.transform(F.filter("_held", lambda h: h["q"] == q), lambda h: F.struct(h["rank"], h["v"])))
+        lo, hi = F.get(own, F.lit(0))["v"], F.element_at(own, -1)["v"]
+        at = F.lit(q) * (F.col("_n") - 1)
+        return F.when(F.size(own) > 0, lo + (hi - lo) * (at - F.floor(at)))
+
+    spread = spread.select("feature", "std", quartile(0.25).alias("q25"), quartile(0.5).alias("median"), quartile(0.75).alias("q75"))
+    return stats.join(F.broadcast(spread), "feature", "left").select("feature", "mean", "std", "min", "max", "median", "q25", "q75", "missing", "zeros", "unique")
 
 
 def stats_overview(stats: DataFrame) -> DataFrame:
@@ -55,18 +70,55 @@ def top_variance(stats: DataFrame, n: int = 10) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """a, b, r for all ordered pairs: Pearson after filling with the mean; 0 where a column is constant."""
-    means = clean(df, columns).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns]).first()
-    full = clean(df, columns).select(*[F.coalesce(F.col(c), F.lit(means[c])).alias(c) for c in columns])
-    pairs = list(combinations(columns, 2))
-    sums = full.agg(*[F.covar_pop(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        scale = (sums[f"s_{a}"] or 0) * (sums[f"s_{b}"] or 0)
-        r = max(-1.0, min(1.0, sums[f"c{i}"] / scale)) if scale else 0.0
-        rows += [(a, b, r), (b, a, r)]
-    rows += [(c, c, 1.0 if sums[f"s_{c}"] else 0.0) for c in columns]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    """a, b, r for all ordered pairs: Pearson after filling with the mean; 0 where a column is constant.
+
+    Sums of products come in tiles of columns, from one pass, and pairs are written out where the tiles are; only
+    numbers of columns come to the driver.
+    """
+    names, p = list(columns), len(columns)
+    known = df.select(F.transform(F.array(*[F.col(c).cast("double") for c in names]), lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)).alias("x"))
+    stats = gram.column_stats(known)
+    means = gram.literal([stats[i][0] if i in stats else 0.0 for i in range(p)])
+    constant = np.array([i not in stats or stats[i][2] == stats[i][3] for i in range(p)])
+    tiles = saved(gram.tiles(known.select(F.zip_with("x", means, lambda x, m: F.coalesce(x - m, F.lit(0.0))).alias("x")), p), "tiles")
+    side = lambda a: min(gram.TILE, p + 1 - a)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of tiles of the first row, sums; of tiles on the diagonal, sums of squares."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                cells = np.array(r["cells"]).reshape(side(r["i"]), -1)
+                at, found = [], []
+                if not r["i"]:
+                    at, found = [*range(r["j"], r["j"] + side(r["j"]))], [(float(x), None) for x in cells[0]]
+                if r["i"] == r["j"]:
+                    at, found = [*at, *range(r["i"], r["i"] + side(r["i"]))], [*found, *[(None, float(x)) for x in np.diag(cells)]]
+                yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "s": pa.array([x for x, _ in found], pa.float64()), "ss": pa.array([x for _, x in found], pa.float64()), "n": pa.array([r["n"]] * len(at), pa.int64())})
+
+    rows = {r["at"]: r for r in tiles.mapInArrow(own, "at int, s double, ss double, n bigint").groupBy("at").agg(F.max("s").alias("s"), F.max("ss").alias("ss"), F.max("n").alias("n")).collect()}
+    n = max(1, rows[0].n if rows else 1)
+    mean, square = (np.array([(rows[i][k] or 0.0) / n if i in rows else 0.0 for i in range(1, p + 1)]) for k in ("s", "ss"))
+    scale = np.where(constant, 0.0, np.sqrt(np.maximum(square - mean**2, 0)))
+    told = df.sparkSession.sparkContext.broadcast((names, mean, scale))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, mean, scale = told.value
+        for batch in batches:
+            for r in batch.to_pylist():
+                i, j = (np.arange(r[k], r[k] + side(r[k])) - 1 for k in ("i", "j"))
+                both = scale[i][:, None] * scale[j][None, :]
+                cov = np.array(r["cells"]).reshape(len(i), -1) / r["n"] - mean[i][:, None] * mean[j][None, :]
+                got = np.where(both > 0, np.clip(cov / np.where(both > 0, both, 1), -1, 1), 0.0)
+                x, y = np.meshgrid(i, j, indexing="ij")
+                keep = (x >= 0) & (x < y)
+                a, b, v = x[keep], y[keep], got[keep]
+                own = i[(i >= 0)] if r["i"] == r["j"] else i[:0]
+                a, b, v = np.concatenate((a, b, own)), np.concatenate((b, a, own)), np.concatenate((v, v, (scale[own] > 0).astype(float)))
+                yield pa.RecordBatch.from_pydict({"a": [names[k] for k in a], "b": [names[k] for k in b], "r": v})
+
+    if not rows:  # no rows of df
+        return df.sparkSession.createDataFrame([(a, b, 0.0) for a in names for b in names], "a string, b string, r double")
+    return tiles.mapInArrow(pairs, "a string, b string, r double")
 
 
 def high_correlations(matrix: DataFrame, threshold: float = 0.9) -> DataFrame:

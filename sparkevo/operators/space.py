@@ -98,3 +98,20 @@ SPACES: dict[str, Space] = {
     "mlp": PREPARATION | {"layer1": Gene("categorical", values=(16, 32, 64, 128, 256)), "layer2": Gene("categorical", values=(0, 16, 32, 64, 128)), "layer3": Gene("categorical", values=(0, 16, 32, 64)), "max_iter": Gene("categorical", values=(200, 300, 500))},
     "logistic": PREPARATION | {"C": Gene("continuous", 0.001, 10.0, "log10"), "penalty": Gene("categorical", values=("l1", "l2"))},
 }
+#: Population and generations of the usual settings (fixed values that users know).
+PRESETS: dict[str, tuple[int, int]] = {"quick": (10, 5), "standard": (20, 15), "thorough": (50, 30)}
+
+
+def narrowed(space: Space, values: dict[str, tuple[Any, ...]]) -> Space:
+    """space with the choices of some genes replaced; names that it lacks are an error."""
+    if set(values) - set(space):
+        raise ValueError(f"no such genes: {sorted(set(values) - set(space))}")
+    return space | {n: Gene("categorical", values=tuple(v)) for n, v in values.items()}
+
+
+#: Smaller models for first looks: fewer trees, lower ones, fewer steps.
+QUICK: dict[str, Space] = SPACES | {
+    "random_forest": narrowed(SPACES["random_forest"], {"trees": (10, 20, 50), "max_depth": (5, 10)}),
+    "gbt": narrowed(SPACES["gbt"], {"trees": (5, 10, 20), "max_depth": (3, 5)}),
+    "mlp": narrowed(SPACES["mlp"], {"max_iter": (20, 50), "layer1": (16, 32), "layer2": (0, 16), "layer3": (0,)}),
+}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform_sql
 from ..functions.shared import scratch
-from ..operators import checks, evolve, learn, metrics, neighbours, niche, pareto, prepare, profile
+from ..operators import checks, evolve, learn, metrics, neighbours, niche, pareto, prepare, profile, space
 from ..operators.components import PCA, moments
 from ..operators.frame import onehot_class
 from ..sources import readers
@@ -319,14 +319,14 @@ _model("knn", k=5, weights="distance")
 
 @query()
 def model_search(t):
-    """A search over linear models: the last individuals, their fitness and values."""
-    return learn.tune(binary(t), ["logistic"], size=3, settings={"generations": 2}, folds=2)
+    """A search over every kind of model, in the smaller spaces: the last individuals, their fitness and values."""
+    return learn.tune(binary(t), list(space.QUICK), size=4, settings={"generations": 2}, spaces=space.QUICK)
 
 
 @query()
 def metric_delta(t):
-    """What a search by accuracy and one by macro f1 find, and the difference."""
-    return learn.compare_metrics(binary(t), "logistic", size=2, settings={"generations": 1}, folds=2)
+    """What a search by accuracy and one by macro f1 find, at the usual quick setting, and the difference."""
+    return learn.compare_metrics(binary(t), "logistic")
 
 
 @query()

@@ -312,7 +312,7 @@ def test_search_task(spark):
     frame = spark.createDataFrame(rows, "row_id bigint, label int, features array<double>")
     task = learn.SearchTask(frame, "logistic", folds=2, metrics=("accuracy", "macro_f1"))
     pop, _ = task.search(1, evolve.Settings(generations=0))
-    assert pop.count() == 1 and not task.errors and not task.prepared and all(r.obj_0 > 0.8 for r in pop.collect())
+    assert pop.count() == 1 and not task.errors and not task.prepared.made.held and all(r.obj_0 > 0.8 for r in pop.collect())
     bad = learn.SearchTask(frame, "logistic", folds=2, metrics=("accuracy",))
     assert bad.score({"scaler": "standard", "rebalance": "none", "pca": 0.9, "C": "x", "penalty": "l1"}) == [0.0] and len(bad.errors) == 1
     bad.release()
