@@ -81,7 +81,7 @@ def test_densities_and_neighbours_decide():
 
 def test_each_pass_is_needed(monkeypatch):
     with monkeypatch.context() as m:
-        m.setattr(H, "first_pass", lambda block, in_section: 0)
+        m.setattr(H, "first_pass", lambda block, in_section, known=True: 0)
         assert main_text(BARE).split("\n\n") != BARE_TEXT
     with monkeypatch.context() as m:
         m.setattr(H, "second_pass", lambda found, labels, in_section: labels)
@@ -128,3 +128,38 @@ def test_odd(spark):
     assert len(got) == 6 and [r.text for r in got][:2] == ["", ""]
     assert got[3].text == "<<>>\n\n" + LONG.strip() and got[4].n_chars == len(LONG) * 3000 - 1
     assert extract_pages(pages.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<svg ", "<a ", '<b x="', "</svg ", '<b x=">" ', "<div>", "</p>", "<!--x", "<script>", "<b x='\"", "<", "</", "<!", "<span class=ad>", "&amp", '<p class="' + "promo_" * 20 + '!">'])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    for tail in ("", ">", '">', "</svg><p>x</p>"):
+        main_text("<p>start " + unit * (1_000_000 // len(unit)) + tail)
+    assert time.process_time() - began < 40
+
+
+def test_elements_deep_and_many():
+    import time
+
+    began = time.process_time()
+    for page in ("<div>" * 100_000 + "</p>" * 100_000, "<b hidden>x<div>" + "<span hidden>" * 50_000 + "</b>" * 50_000, "<div class=ad>" * 50_000 + "<article>" * 50_000 + LONG):
+        main_text(page)
+    assert time.process_time() - began < 30
+
+
+def test_hints_inside_an_article_are_priors():
+    page = f'<article><p>{LONG}</p><section class="related work"><h2>Related work</h2><p>{LONG}a</p></section><section id="skip"><p>{LONG}b</p></section><div class="related"><ul><li><a href=1>first</a></li></ul><div>Short</div></div></article>'
+    assert main_text(page).split("\n\n") == [LONG.strip(), "Related work", f"{LONG}a", f"{LONG}b"]
+    assert main_text(f'<div><p>{LONG}</p></div><div class="related"><p>{LONG}</p></div>') == LONG.strip()
+
+
+JAPANESE = "これは本文の長い段落であり、読者のために多くの言葉を含んでいます。そして、この文章はもう少し続いて、十分な長さになります。さらに文を足して、七十字をこえるようにしてあります。"
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<article>{}</article>", "<div>{}</div>"])
+def test_scripts_without_stop_words(wrap):
+    body = wrap.format(f"<h1>題名</h1><p>{JAPANESE}</p><p>短い。</p><p>{JAPANESE}</p>")
+    page = f'<body><div><a href=1>一</a> <a href=2>二</a></div>{body}<div class=foot>© 2024 会社</div><div class="x">Copyright 2024 X</div></body>'
+    assert main_text(page).split("\n\n") == ["題名", JAPANESE, "短い。", JAPANESE]
