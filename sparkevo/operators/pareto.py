@@ -2,26 +2,35 @@
 
 Fronts are found many at a time: each task reduces its distinct objective rows to those of the first ``AT_ONCE``
 fronts of its own (a row's rank among some rows is never greater than its rank among all), and these meet level by
-level, in a tree of stages, until one task holds the first fronts of all and nothing else. With two objectives a task
-ranks its rows by running maxima, with more by peeling. Further fronts take another round, written to the shared folder.
+level, in a tree of stages, until one task holds the first fronts of all and nothing else. With more than two
+objectives further fronts take another round, written to the shared folder.
+
+All fronts of two objectives take a wave over a grid of cells instead, cut at quantiles of both: a row's front is one
+more than the greatest front of the rows that dominate it, and of these a cell needs one number for all cells that are
+better in both, and for those of its row and of its column a step function of the other objective. Cells of one diagonal
+are independent, so G x G cells take 2 G - 1 rounds, whatever the number of fronts; G grows with the square root of rows.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.order import neighbours, ordinals
-from ..functions.shared import free, saved
+from ..functions.shared import free, saved, scratch
 
 #: Fronts that one round finds, and partial results that meet in a task of a tree of stages.
 AT_ONCE, FAN_IN = 32, 16
+#: Rows of a cell of the grid, if rows were even over it, and cells a side at most.
+CELL, SIDES = 50_000, 256
 
 
 def signed(df: DataFrame, objectives: dict[str, bool]) -> DataFrame:
@@ -92,9 +101,109 @@ def front(df: DataFrame, n: int) -> DataFrame:
     return df.join(fronts(df, n, 1), [f"obj_{i}" for i in range(n)], "left_semi")
 
 
+def _steps(x: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of the greatest rank among all x that are no less: falling x, rising ranks."""
+    order = np.lexsort((-rank, -x))
+    x, rank = x[order], rank[order]
+    first = np.ones(len(x), bool)
+    first[1:] = rank[1:] > np.maximum.accumulate(rank)[:-1]
+    return x[first], rank[first]
+
+
+def _at(steps: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The greatest rank at x, -1 where there is none."""
+    place = np.searchsorted(-steps[0], -x, "right")
+    return np.append(steps[1], -1)[place - 1] if len(steps[0]) else np.full(len(x), -1, np.int64)
+
+
+def chained(values: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Fronts of distinct rows of two objectives, none below its least."""
+    out = np.empty(len(values), np.int64)
+    ys: list[float] = []  # of the rows so far: negated second objectives, rising, and the greatest front up to each
+    tops: list[int] = []
+    for i in np.lexsort((-values[:, 1], -values[:, 0])).tolist():
+        y = -values[i, 1]
+        at = bisect_right(ys, y)
+        rank = max(int(least[i]), tops[at - 1] + 1 if at else 0)
+        out[i] = rank
+        end = at
+        while end < len(tops) and tops[end] <= rank:
+            end += 1
+        ys[at:end], tops[at:end] = [y], [rank]
+    return out
+
+
+_WAVE = "i int, j int, kind int, obj_0 double, obj_1 double, pareto_rank int, xs array<double>, tops array<int>"
+
+
+def _cell(base: dict[tuple[int, int], int]):
+    """Fronts of the rows of one cell (kind 0), and the step functions that its row (1) and column (2) hand on."""
+
+    def run(key: tuple[pa.Scalar, ...], points: pa.Table, handed: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        v = np.column_stack([points.column(c).to_numpy() for c in ("obj_0", "obj_1")])
+        held = {1: (np.zeros(0), np.zeros(0, np.int64)), 2: (np.zeros(0), np.zeros(0, np.int64))}
+        for r in handed.select(["kind", "xs", "tops"]).to_pylist():
+            held[r["kind"]] = np.array(r["xs"], float), np.array(r["tops"], np.int64)
+        least = np.maximum(base.get((i, j), -1), np.maximum(_at(held[1], v[:, 0]), _at(held[2], v[:, 1]))) + 1
+        rank = chained(v, least)
+        out = {"i": [i] * len(v), "j": [j] * len(v), "kind": [0] * len(v), "obj_0": v[:, 0].tolist(), "obj_1": v[:, 1].tolist(), "pareto_rank": rank.tolist(), "xs": [None] * len(v), "tops": [None] * len(v)}
+        for kind, at, to in ((1, 0, (i, j + 1)), (2, 1, (i + 1, j))):
+            xs, tops = _steps(np.concatenate((held[kind][0], v[:, at])), np.concatenate((held[kind][1], rank)))
+            row = {"i": to[0], "j": to[1], "kind": kind, "obj_0": None, "obj_1": None, "pareto_rank": int(rank.max(initial=-1)), "xs": xs.tolist(), "tops": tops.tolist()}
+            for c, x in row.items():
+                out[c].append(x)
+        types = {"obj_0": pa.float64(), "obj_1": pa.float64(), "xs": pa.list_(pa.float64()), "tops": pa.list_(pa.int32())}
+        return pa.table({c: pa.array(x, types.get(c, pa.int32())) for c, x in out.items()})
+
+    return run
+
+
+def all_fronts(df: DataFrame) -> DataFrame:
+    """obj_0, obj_1 and pareto_rank of the distinct rows of two objectives, of all fronts."""
+    spark = df.sparkSession
+    distinct = saved(df.select("obj_0", "obj_1").distinct(), "distinct")
+    side = max(1, min(SIDES, math.ceil(math.sqrt(distinct.count() / CELL))))
+    cuts = {c: sorted(set(distinct.agg(F.percentile_approx(c, F.lit([k / side for k in range(1, side)]), F.lit(100 * side))).first()[0] or [])) if side > 1 else [] for c in ("obj_0", "obj_1")}
+
+    def placed(c: str) -> Column:  # 0 holds the best values
+        at = F.aggregate(F.array(*[F.lit(float(x)) for x in cuts[c]]).cast("array<double>"), F.lit(0), lambda n, x: n + (F.col(c) < x).cast("int"))
+        return at if cuts[c] else F.lit(0)
+
+    rows, columns = (len(cuts[c]) + 1 for c in ("obj_0", "obj_1"))
+    grid = distinct.withColumns({"i": placed("obj_0"), "j": placed("obj_1")}).withColumn("wave", F.col("i") + F.col("j"))
+    source, out = scratch(spark, "grid"), scratch(spark, "wave")
+    grid.write.partitionBy("wave").parquet(source)
+    grid = spark.read.schema("obj_0 double, obj_1 double, i int, j int, wave int").parquet(source)
+    handed = spark.createDataFrame([], _WAVE)
+    best: dict[tuple[int, int], int] = {}  # greatest front of all cells up to one, a number a cell
+    for wave in range(rows + columns - 1):
+        cells = [(i, wave - i) for i in range(rows) if 0 <= wave - i < columns]
+        base = {(i, j): best.get((i - 1, j - 1), -1) for i, j in cells}
+        points = grid.filter(F.col("wave") == wave).select("i", "j", "obj_0", "obj_1")
+        told = handed.filter(f"i < {rows} and j < {columns}").select(F.col("i").alias("to_i"), F.col("j").alias("to_j"), "kind", "xs", "tops")
+        points.groupBy("i", "j").cogroup(told.groupBy("to_i", "to_j")).applyInArrow(_cell(base), _WAVE).write.parquet(f"{out}/wave={wave}")
+        done = spark.read.schema(_WAVE).parquet(f"{out}/wave={wave}")
+        handed = done.filter("kind > 0")
+        top = {(r.i, r.j - 1): r.pareto_rank for r in handed.filter("kind = 1").select("i", "j", "pareto_rank").collect()}  # a number a cell
+        for i, j in cells:
+            best[i, j] = max(top.get((i, j), -1), best.get((i - 1, j), -1), best.get((i, j - 1), -1))
+    found = spark.read.schema(_WAVE + ", wave int").parquet(out)
+    return found.filter("kind = 0").select("obj_0", "obj_1", "pareto_rank")
+
+
 def ranks(df: DataFrame, n: int, most: int | None = None, rows: int | None = None) -> DataFrame:
     """df with pareto_rank (0 first), of all fronts, of the first most, or of as many as hold rows rows."""
     names = [f"obj_{i}" for i in range(n)]
+    if n == 2 and (most is None or most > AT_ONCE):
+        found = df.join(all_fronts(df), names)
+        if most is not None:
+            found = found.filter(F.col("pareto_rank") < most)
+        if rows is None:
+            return found
+        sizes = found.groupBy("pareto_rank").agg(F.count(F.lit(1)).alias("_n"))  # a row a front
+        before = sizes.select("pareto_rank", F.coalesce(F.sum("_n").over(Window.orderBy("pareto_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        return found.join(before.filter(F.col("_before") < rows).select("pareto_rank"), "pareto_rank", "left_semi").select(*found.columns)
     rest, found, rank, held = df, None, 0, 0
     while (most is None or rank < most) and (rows is None or held < rows):
         step = AT_ONCE if most is None else min(AT_ONCE, most - rank)

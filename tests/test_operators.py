@@ -225,6 +225,51 @@ def test_pareto_by_hand(spark, monkeypatch, n):
     assert 30 <= some.count() and {r.ind_id: r.pareto_rank for r in some.collect()}.items() <= rank.items()
 
 
+@pytest.mark.parametrize("cell", [40, 1_000_000])
+def test_all_fronts_of_two_objectives(spark, monkeypatch, cell):
+    monkeypatch.setattr(pareto, "CELL", cell)
+    random = np.random.default_rng(4)
+    for v in (random.integers(0, 12, (300, 2)), random.normal(size=(250, 2)), np.column_stack((np.arange(200), np.arange(200))), np.column_stack((np.arange(90), -np.arange(90))), np.zeros((5, 2)), np.zeros((0, 2))):
+        v = v.astype(float)
+        df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "ind_id bigint, obj_0 double, obj_1 double").repartition(3)
+        assert {r.ind_id: r.pareto_rank for r in pareto.ranks(df, 2).collect()} == (pareto_ranks(v) if len(v) else {})
+
+
+def test_a_long_chain(spark):
+    df = spark.range(100_000).select(F.col("id").alias("ind_id"), F.col("id").cast("double").alias("obj_0"), (F.col("id") * 2).cast("double").alias("obj_1"))
+    assert pareto.ranks(df, 2).filter(F.col("pareto_rank") != F.lit(99_999) - F.col("ind_id")).count() == 0
+
+
+def test_crowding_of_few_values(spark, monkeypatch):
+    monkeypatch.setattr(order, "FEW", 50)
+    df = spark.range(400).select(F.col("id").alias("ind_id"), (F.col("id") % 3).cast("double").alias("obj_0"), F.lit(0).alias("pareto_rank"), (F.col("id") % 7).cast("double").alias("obj_1"))
+    got = {r.ind_id: r.crowding for r in pareto.crowding(df, 2, "ind_id").collect()}
+    monkeypatch.setattr(order, "FEW", 20_000)
+    assert got == {r.ind_id: r.crowding for r in pareto.crowding(df, 2, "ind_id").collect()} and len(got) == 400
+
+
+def test_draws_of_one_dominant_individual(spark, monkeypatch):
+    from sparkevo.operators import select
+
+    pop = spark.range(3000).select(F.col("id").alias("ind_id"), F.when(F.col("id") == 7, 1.0 - 2999e-7).otherwise(1e-7).alias("prob"))
+    draws = spark.range(5000).select(F.col("id").alias("draw_id"), ((F.col("id") + 0.5) / 5000).alias("u")).unionByName(spark.createDataFrame([(5000, 1 - 1e-17), (5001, 0.0)], "draw_id bigint, u double"))
+    found = []
+    for few in (100, 20_000):
+        monkeypatch.setattr(order, "FEW", few)
+        found.append({r.draw_id: r.ind_id for r in select.picked(pop, draws).collect()})
+    assert found[0] == found[1] and len(found[0]) == 5002 and found[0][5000] == 2999 and found[0][5001] == 0
+    assert sum(i == 7 for i in found[0].values()) > 4990
+
+
+def test_draws_of_a_class_that_lacks_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(order, "FEW", 100)
+    rows = spark.range(30).select("id", F.when(F.col("id") < 3, 1).when(F.col("id") < 5, None).otherwise(0).alias("label"))
+    needed = spark.createDataFrame([(0, 25, 0), (1, 3, 4000), (None, 2, 7)], "label int, n bigint, needed bigint")
+    got = neighbours.drawn(rows, needed).collect()
+    assert sorted(r.draw for r in got if r.label == 1) == list(range(1, 4001)) and {r.id for r in got if r.label == 1} == {0, 1, 2}
+    assert sorted(r.draw for r in got if r.label is None) == list(range(1, 8)) and {r.id for r in got if r.label is None} <= {3, 4}
+
+
 @pytest.fixture(scope="module")
 def uneven(spark):
     random = np.random.default_rng(6)
