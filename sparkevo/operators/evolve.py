@@ -24,7 +24,7 @@ class Settings:
     """Sizes and rates of a run (defaults: fixed values users know).
 
     adapt: none (fixed rates), diversity, schedule, or self: the last two genes of each individual are its own mutation
-    and crossover rates. floor: a run also stops at a diversity under it after two generations without progress.
+    and crossover rates. per_gene: every gene mutates with the mutation rate, not one gene of the individual. floor: a run also stops at a diversity under it after two generations without progress.
     """
 
     genes: int = 4
@@ -35,6 +35,7 @@ class Settings:
     patience: int = 10
     floor: float = 0.0
     adapt: str = "none"
+    per_gene: bool = False
     seed: int = 42
 
 
@@ -93,6 +94,11 @@ def children(parents: DataFrame, ids: DataFrame, gen: int, s: Settings, mutation
     mutate, cross = (F.lit(s.mutation if mutation is None else mutation), F.lit(s.crossover if crossover is None else crossover)) if s.adapt != "self" else own_rates(F.col("g0"))
     crossed = F.when(u("cross") < cross, vary.uniform(F.col("g0"), F.col("g1"), gates)[0]).otherwise(F.col("g0"))
     pairs = pairs.withColumn("genes", crossed)
+    if s.per_gene:
+        drawn = lambda what: F.array(*[u(what, i) for i in range(width)])
+        changed = F.zip_with(F.zip_with("genes", drawn("m1"), lambda x, a: F.struct(x.alias("x"), a.alias("a"))), drawn("m2"), lambda p, b: vary.clip(p["x"] + vary.normal(p["a"], b) * 0.1, F.lit(0.0), F.lit(1.0)))
+        mutated = F.zip_with(F.arrays_zip(F.col("genes").alias("x"), changed.alias("y")), drawn("gate"), lambda p, g: F.when(g < mutate, p["y"]).otherwise(p["x"]))
+        return pairs.select(F.col("draw_id").alias("ind_id"), mutated.alias("genes"))
     mutated = vary.gaussian(F.col("genes"), F.floor(u("at") * F.lit(width)).cast("int"), low, high, u("m1"), u("m2"))
     return pairs.select(F.col("draw_id").alias("ind_id"), F.when(u("mutate") < mutate, mutated).otherwise(F.col("genes")).alias("genes"))
 

@@ -52,6 +52,43 @@ def fourier(df: DataFrame, width: int, gamma: float | None = None, size: int = 1
     return df.withColumn("features", mapped("features"))
 
 
+def tensor_sketch(df: DataFrame, width: int, degree: int = 3, gamma: float | None = None, coef: float = 1.0, size: int = 256, seed: int = 42) -> DataFrame:
+    """df with features sketched so that products approach the polynomial kernel (gamma x.y + coef)^degree.
+
+    Each of degree copies of the scaled row, with coef as one more entry, is count-sketched by hashes and signs of its
+    own; a product of their Fourier transforms is that of the sketch of the whole tensor.
+    """
+    random = np.random.default_rng(seed)
+    place, sign = random.integers(0, size, (degree, width + 1)), random.choice([-1.0, 1.0], (degree, width + 1))
+    scale = math.sqrt(gamma or 1 / width)
+
+    @F.pandas_udf("array<double>")
+    def mapped(x: pd.Series) -> pd.Series:
+        rows = np.stack(x.to_numpy()).astype(float) * scale
+        rows = np.hstack((rows, np.full((len(rows), 1), math.sqrt(coef))))
+        product = np.ones((len(rows), size // 2 + 1), complex)
+        for k in range(degree):
+            sketch = np.zeros((len(rows), size))
+            for i in range(width + 1):
+                sketch[:, place[k, i]] += sign[k, i] * rows[:, i]
+            product *= np.fft.rfft(sketch, axis=1)
+        return pd.Series(list(np.fft.irfft(product, size, axis=1)))
+
+    return df.withColumn("features", mapped("features"))
+
+
+def sigmoid_landmarks(train: DataFrame, width: int, gamma: float | None = None, coef: float = 0.0, size: int = 128) -> Callable[[DataFrame], DataFrame]:
+    """A map of features to tanh(gamma x.y + coef) for `size` landmark rows y of train, those of least hash: the kernel's columns."""
+    marks = train.orderBy(F.xxhash64("row_id"), "row_id").limit(size).select("features").collect()  # size rows at most
+    y = np.array([r.features for r in marks], float).reshape(len(marks), -1)
+
+    @F.pandas_udf("array<double>")
+    def mapped(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.tanh((gamma or 1 / width) * np.stack(x.to_numpy()).astype(float) @ y.T + coef)))
+
+    return lambda d: d.withColumn("features", mapped("features"))
+
+
 def make_model(kind: str, p: dict, classes: int, width: int, rows: int, seed: int = 42):
     """An estimator of Spark ML with the parameters of a decoded individual, for so many training rows."""
     if kind == "random_forest":
@@ -80,6 +117,11 @@ def predictions(kind: str, p: dict, train: DataFrame, test: DataFrame, classes:
         return said.select("row_id", "label", F.coalesce("prediction", F.lit(0)).cast("int").alias("prediction"))
     if kind == "svm" and p.get("kernel") == "rbf":
         train, test = (fourier(d, width, p.get("gamma")) for d in (train, test))
+    if kind == "svm" and p.get("kernel") == "poly":
+        train, test = (tensor_sketch(d, width, int(p.get("degree", 3)), p.get("gamma"), float(p.get("coef", 1.0))) for d in (train, test))
+    if kind == "svm" and p.get("kernel") == "sigmoid":
+        seen = sigmoid_landmarks(train, width, p.get("gamma"), float(p.get("coef", 0.0)))
+        train, test = seen(train), seen(test)
     held = uniform(42, F.col("row_id"), F.lit("held")) < 0.1
     as_ml = lambda d: d.select("row_id", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"), held.alias("held"))
     fitted = make_model(kind, p, classes, width, train.count() if rows is None else rows).fit(as_ml(train))

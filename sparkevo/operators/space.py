@@ -92,7 +92,7 @@ PREPARATION: Space = {
 }
 SPACES: dict[str, Space] = {
     "random_forest": PREPARATION | {"max_depth": Gene("categorical", values=(5, 10, 15, 20, 25, 30)), "min_leaf": Gene("categorical", values=(1, 2, 4, 8)), "trees": Gene("categorical", values=(50, 100, 200, 300, 500)), "features": Gene("categorical", values=("sqrt", "log2", "all"))},
-    "svm": PREPARATION | {"C": Gene("continuous", 0.1, 100.0), "kernel": Gene("categorical", values=("linear", "rbf"))},
+    "svm": PREPARATION | {"C": Gene("continuous", 0.1, 100.0), "degree": Gene("categorical", values=(2, 3, 4, 5)), "kernel": Gene("categorical", values=("linear", "rbf", "poly", "sigmoid"))},
     "knn": PREPARATION | {"k": Gene("categorical", values=(3, 5, 7, 9, 11, 15, 21)), "metric": Gene("categorical", values=("euclidean", "manhattan")), "weights": Gene("categorical", values=("uniform", "distance"))},
     "gbt": PREPARATION | {"max_depth": Gene("categorical", values=(3, 5, 7, 9, 11)), "rate": Gene("continuous", 0.01, 0.3), "subsample": Gene("continuous", 0.6, 1.0), "trees": Gene("categorical", values=(50, 100, 200, 300, 500))},
     "mlp": PREPARATION | {"layer1": Gene("categorical", values=(16, 32, 64, 128, 256)), "layer2": Gene("categorical", values=(0, 16, 32, 64, 128)), "layer3": Gene("categorical", values=(0, 16, 32, 64)), "max_iter": Gene("categorical", values=(200, 300, 500))},

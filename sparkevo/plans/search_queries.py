@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform_sql
-from ..functions.shared import scratch
+from ..functions.shared import saved, scratch
 from ..operators import checks, evolve, learn, metrics, neighbours, niche, pareto, prepare, profile, space
 from ..operators.components import PCA, moments
 from ..operators.frame import onehot_class
@@ -120,6 +120,28 @@ def fitness_sharing(t):
     return rounded(rounded(niche.shared_fitness(gene_population(t), F.col("ind_id") % 50 == 0, 0.2), ["niche"]), ["shared"], 5)
 
 
+def greedy_sql(order: str, threshold: float) -> str:
+    """ind_id, fitness and leader of the gene population, leaders taken one after another in the order given."""
+    near = f"list_sum(list_transform(list_zip({{0}}, {{1}}), lambda x: abs(x[1] - x[2]))) / 4 < {threshold}"
+    return f"""(with recursive p as (select *, row_number() over (order by {order}) as k from {POP_GENES}),
+s as (select 0::bigint as k, []::struct(k bigint, g double[])[] as led union all select s.k + 1, case when len(list_filter(s.led, lambda l: {near.format('l.g', 'p.genes')})) > 0 then s.led else list_append(s.led, {{'k': p.k, 'g': p.genes}}) end from s join p on p.k = s.k + 1),
+l as (select unnest(led, recursive := true) from s where k = (select max(k) from s)),
+m as (select p.ind_id, p.fitness, min(l.k) as k from p, l where l.k <= p.k and ({near.format('l.g', 'p.genes')} or l.k = p.k) group by all)
+select m.ind_id, m.fitness, p.ind_id as leader from m join p using (k))"""
+
+
+@query(f"select ind_id, leader, count(*) over (partition by leader) as size, round(fitness / count(*) over (partition by leader), 5) as shared from {greedy_sql('ind_id', 0.15)}")
+def speciation(t):
+    """Species of the genes, each led by its first member, and the fitness shared in them."""
+    return rounded(niche.speciation(gene_population(t), 0.15), ["shared"], 5)
+
+
+@query(f"select ind_id, leader, case when ind_id = leader then fitness else 0 end as cleared from {greedy_sql('fitness desc, ind_id', 0.1)}")
+def clearing(t):
+    """The best of each niche keep their fitness."""
+    return niche.clearing(gene_population(t), 0.1)
+
+
 # --- neighbours and rebalancing ----------------------------------------------------------------------
 
 VEC = "(select vec_id as id, label, embedding::double[] as v from embeddings)"
@@ -298,21 +320,22 @@ def binary(t):
     return labelled(t).withColumn("label", (F.col("label") >= 5).cast("int"))
 
 
-def _model(kind: str, frame=labelled, classes: int = 10, **parameters):
+def _model(name: str, frame=labelled, classes: int = 10, kind: str | None = None, **parameters):
     def run(t):
         """A fifth of the rows, stratified, is held out; one row of its metrics."""
-        split = prepare.stratified_split(frame(t), "label", "row_id").persist()
+        split = saved(prepare.stratified_split(frame(t), "label", "row_id"), "split")
         train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
-        said = learn.predictions(kind, parameters, train, test, classes, 64)
+        said = learn.predictions(kind or name, parameters, train, test, classes, 64)
         return metrics.accuracy(said).join(F.broadcast(metrics.balanced_accuracy(said)))
 
-    query(None, f"model_{kind}")(run)
+    query(None, f"model_{name}")(run)
 
 
 _model("random_forest", trees=10, max_depth=6)
 _model("logistic", C=1.0)
 _model("mlp", layer1=16, max_iter=20)
 _model("svm", binary, 2, C=1.0)
+_model("svm_poly", binary, 2, "svm", C=1.0, kernel="poly", degree=2)
 _model("gbt", binary, 2, trees=3, max_depth=3)
 _model("knn", k=5, weights="distance")
 
@@ -323,6 +346,12 @@ def model_search(t):
     return learn.tune(binary(t), list(space.QUICK), size=4, settings={"generations": 2}, spaces=space.QUICK)
 
 
+@query()
+def model_comparison(t):
+    """The best linear and neighbour models that short searches find, judged by three metrics."""
+    return learn.compare_kinds(binary(t), ["logistic", "knn"], size=3, settings={"generations": 1}, folds=2)
+
+
 @query()
 def metric_delta(t):
     """What a search by accuracy and one by macro f1 find, at the usual quick setting, and the difference."""
@@ -370,6 +399,15 @@ def result_json_sink(t):
     return t("customer").sparkSession.read.schema("label string, n bigint").json(path)
 
 
+@query("select event_id as f_0, value as f_1, case when event_id % 8 = 7 then -1 else cast(event_id % 8 as integer) end as label from events")
+def src_onehot_file(t):
+    """events through text lines of two numbers and seven flags, read as classes."""
+    path, spark = f"{shared(t)}/flags", t("events").sparkSession
+    flags = [(F.col("event_id") % 8 == k).cast("int").cast("string") for k in range(7)]
+    t("events").select(F.concat_ws(" ", F.col("event_id").cast("string"), F.col("value").cast("string"), *flags).alias("value")).write.text(path)
+    return readers.read_onehot(spark, path, 2, 7).frame.withColumn("f_0", F.col("f_0").cast("bigint"))
+
+
 @query("select event_id, cast(dense_rank() over (order by event_type) - 1 as integer) as type from events")
 def onehot_to_class(t):
     """The type of each event, through a flag for every type and back."""

@@ -95,15 +95,20 @@ def read_numbers(spark: SparkSession, path: str, width: int | None = None, targe
 def read_onehot(spark: SparkSession, path: str, features: int = 27, flags: int = 7) -> Dataset:
     """Numbers whose last flags columns mark the class: label is the first greatest flag, -1 without one.
 
-    Lines of another width have their last column as label.
+    The width that most lines have decides: where it is another, the last column of that width is the label. Longer lines
+    are read as far as the width, shorter ones left out; metadata counts both as odd_lines.
     """
     fields, width = _fields(spark, path, "auto"), features + flags
-    seen = fields.agg(F.max(F.size("p"))).first()[0] or width
+    sizes = fields.groupBy(F.size("p").alias("size")).agg(F.count(F.lit(1)).alias("n"))  # a row a width
+    usual = sizes.orderBy(F.desc("n"), F.desc(F.col("size") == width), F.desc("size")).first()
+    seen = usual["size"] if usual else width
+    odd = {"odd_lines": sizes.filter(F.col("size") != seen).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]}
     if seen != width:
-        return read_numbers(spark, path, seen)
+        found = read_numbers(spark, path, seen)
+        return replace(found, metadata=found.metadata | odd)
     numbers = fields.filter(F.size("p") >= width).select(*[F.col("p")[i].try_cast("double").alias(f"f_{i}") for i in range(width)]).dropna()
     names = [f"f_{i}" for i in range(width)]
-    return Dataset(numbers.select(*names[:features], onehot_class(names[features:]).alias("label")), names[:features], {"target": "one-hot", "n_features": features})
+    return Dataset(numbers.select(*names[:features], onehot_class(names[features:]).alias("label")), names[:features], {"target": "one-hot", "n_features": features} | odd)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -157,8 +162,17 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_arrays, "part string, row bigint, features array<double>, label bigint")
 
 
-def read(spark: SparkSession, path: str, kind: str | None = None, **options) -> Dataset | DataFrame:
-    """A file by its ending, or as kind: csv, text and data by the delimiter of their first line, nna, npz, and Spark's own."""
+def read(spark: SparkSession, path: str | Sequence[str], kind: str | None = None, **options) -> Dataset | DataFrame:
+    """A file by its ending, or as kind: csv, text and data by the delimiter of their first line, nna, npz, and Spark's own.
+
+    union and pair take several files: rows of all, or features and labels by line.
+    """
+    if kind == "union":
+        return read_union(spark, [path] if isinstance(path, str) else path, **options)
+    if kind == "pair":
+        return read_pair(spark, *path, **options)
+    if not isinstance(path, str):
+        raise ValueError(f"several files need the kind union or pair, not {kind!r}")
     kind = kind or detect_format(path)
     if kind == "csv":
         return read_csv(spark, path, **options)
@@ -210,8 +224,9 @@ class Registry:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.sources, self.info = spark, {}, {}
 
-    def register(self, name: str, path: str, priority: int = 0, kind: str | None = None, **metadata) -> None:
-        self.sources.setdefault(name, []).append((priority, path, kind))
+    def register(self, name: str, path: str | Sequence[str], priority: int = 0, kind: str | None = None, options: dict | None = None, **metadata) -> None:
+        """A source of a dataset: a file, or the files of a union or pair, with the options of its reader."""
+        self.sources.setdefault(name, []).append((priority, path, kind, options or {}))
         self.info.setdefault(name, {}).update(metadata)
 
     def names(self) -> list[str]:
@@ -219,24 +234,26 @@ class Registry:
 
     def describe(self, name: str) -> dict:
         """Metadata and sources of a dataset; {} for an unknown one."""
-        return self.info.get(name, {}) | {"sources": [p for _, p, _ in sorted(self.sources[name], key=lambda s: s[0])]} if name in self.sources else {}
+        return self.info.get(name, {}) | {"sources": [s[1] for s in sorted(self.sources[name], key=lambda s: s[0])]} if name in self.sources else {}
 
-    def exists(self, path: str) -> bool:
+    def exists(self, path: str | Sequence[str]) -> bool:
+        if not isinstance(path, str):
+            return all(self.exists(p) for p in path)
         jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
 
     def available(self) -> list[str]:
         """Datasets with a source that is there."""
-        return [n for n in self.names() if any(self.exists(p) for _, p, _ in self.sources[n])]
+        return [n for n in self.names() if any(self.exists(s[1]) for s in self.sources[n])]
 
     def load(self, name: str, **options) -> DataFrame:
         """A table of the session by that name, or the first source that can be read."""
         if name not in self.sources and self.spark.catalog.tableExists(name):
             return self.spark.table(name)
         errors = []
-        for _, path, kind in sorted(self.sources.get(name, []), key=lambda s: s[0]):
+        for _, path, kind, own in sorted(self.sources.get(name, []), key=lambda s: s[0]):
             try:
-                found = read(self.spark, path, kind, **options)
+                found = read(self.spark, path, kind, **(own | options))
                 return found.frame if isinstance(found, Dataset) else found
             except Exception as e:  # the next source may do
                 errors.append(f"{path}: {e}")

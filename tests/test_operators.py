@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkevo.functions import order
 from sparkevo.functions.order import ordinals, quantiles, running
-from sparkevo.operators import checks, components, evolve, learn, neighbours, pareto, prepare, profile, space
+from sparkevo.operators import checks, components, evolve, learn, neighbours, niche, pareto, prepare, profile, space
 from sparkevo.operators import tests as paired
 from sparkevo.sources import readers
 
@@ -270,6 +270,41 @@ def test_draws_of_a_class_that_lacks_many_rows(spark, monkeypatch):
     assert sorted(r.draw for r in got if r.label is None) == list(range(1, 8)) and {r.id for r in got if r.label is None} <= {3, 4}
 
 
+def greedy(genes, places, threshold):
+    led = {}
+    for i in sorted(genes, key=lambda i: places[i]):
+        near = [j for j in led.values() if sum(abs(a - b) for a, b in zip(genes[i], genes[j])) / len(genes[i]) < threshold]
+        led[i] = min(near, key=lambda j: places[j]) if near else i
+    return led
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_species_as_one_after_another(spark, monkeypatch, width):
+    random = np.random.default_rng(width)
+    for name, genes in {
+        "copies": np.repeat(random.random((40, width)), 3, 0),
+        "ties": random.integers(0, 5, (120, width)) / 8,
+        "chain": np.repeat(np.arange(40)[:, None] * 0.03, width, 1),
+    }.items():
+        fitness = random.integers(0, 20, len(genes)).astype(float)
+        rows = {i: list(map(float, g)) for i, g in enumerate(genes)}
+        pop = spark.createDataFrame([(i, g, float(fitness[i])) for i, g in rows.items()], "ind_id bigint, genes array<double>, fitness double").repartition(3)
+        for few, early in ((20_000, 512), (20, 3 if name == "copies" else 512))[: 1 if name == "ties" else 2]:
+            monkeypatch.setattr(order, "FEW", few)
+            monkeypatch.setattr(niche, "EARLIEST", early)
+            got = {r.ind_id: r.leader for r in niche.species(pop, 0.12).collect()}
+            assert got == greedy(rows, {i: i for i in rows}, 0.12), (name, few, early)
+        monkeypatch.setattr(order, "FEW", 20_000)
+        best = greedy(rows, {i: (-fitness[i], i) for i in rows}, 0.12)
+        assert {r.ind_id: (r.leader, r.cleared) for r in niche.clearing(pop, 0.12).collect()} == {i: (j, fitness[i] if i == j else 0) for i, j in best.items()}
+    assert {r.leader for r in niche.species(pop, 0.0).collect()} == set(rows)
+
+
+def test_sharing_without_queries(spark):
+    pop = spark.createDataFrame([(1, [0.5], 1.0)], "ind_id bigint, genes array<double>, fitness double")
+    assert niche.shared_fitness(pop, F.lit(False)).count() == 0 and niche.species(pop.filter("false"), 0.1).count() == 0
+
+
 @pytest.fixture(scope="module")
 def uneven(spark):
     random = np.random.default_rng(6)
@@ -366,10 +401,109 @@ def test_search_task(spark):
     for kernel, least in (("linear", 0.0), ("rbf", 0.9)):
         said = learn.predictions("svm", {"C": 100.0, "kernel": kernel, "gamma": 1.0}, ring.filter("row_id < 150"), ring.filter("row_id >= 150"), 2, 2)
         assert said.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0] >= least
+    task = learn.SearchTask(ring, "logistic", folds=2, metrics=("accuracy", "roc_auc"))
+    assert len(task.metrics) == 2
+    for kernel, least in (("poly", 0.9), ("sigmoid", 0.4)):
+        said = learn.predictions("svm", {"C": 100.0, "kernel": kernel, "gamma": 1.0, "degree": 2}, ring.filter("row_id < 150"), ring.filter("row_id >= 150"), 2, 2)
+        assert said.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0] >= least
     early = learn.predictions("gbt", {"trees": 5, "early_stop": True}, ring.filter("row_id < 150"), ring.filter("row_id >= 150"), 2, 2)
     assert early.count() == 50
 
 
+def test_sketched_products_are_near_the_kernel(spark):
+    random = np.random.default_rng(8)
+    x = random.normal(size=(40, 5)) / 3
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "row_id bigint, features array<double>")
+    got = {r.row_id: np.array(r.features) for r in learn.tensor_sketch(df, 5, degree=3, gamma=0.7, coef=1.0, size=2048).collect()}
+    z = np.stack([got[i] for i in range(40)])
+    want = (0.7 * x @ x.T + 1) ** 3
+    assert np.abs(z @ z.T - want).mean() < 0.05 * np.abs(want).mean()
+
+
+def test_a_generation_is_scored_at_once(spark):
+    """Individuals of a generation overlap in time, and each is fitted once, on folds that are made once."""
+    import threading
+
+    random = np.random.default_rng(1)
+    rows = [(i, i % 2, (random.normal(size=3) + i % 2).tolist()) for i in range(60)]
+    frame = spark.createDataFrame(rows, "row_id bigint, label int, features array<double>")
+    lock, running, most, made, asked = threading.Lock(), [0], [0], [], []
+
+    class Task(learn.SearchTask):
+        def on_fold(self, individual, fold):
+            with lock:
+                asked.append((str(sorted(individual.items())), fold))
+                running[0] += 1
+                most[0] = max(most[0], running[0])
+            try:
+                return super().on_fold(individual, fold)
+            finally:
+                with lock:
+                    running[0] -= 1
+
+    class Prepared(learn.Folds):
+        def _prepared(self, *key):
+            made.append(key)
+            return super()._prepared(*key)
+
+    shared = Prepared(frame, 2)
+    task = Task(frame, "logistic", folds=shared)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    pop, history = task.search(4, evolve.Settings(generations=2))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    assert pop.count() == 4 and len(history) == 2 and most[0] >= 3
+    assert len(asked) == len(set(asked)) and len(made) == len(set(made)) and not task.errors
+    assert jobs < 60 * len(made) + 120 * len(asked)
+    shared.release()
+
+
+def test_lost_jobs_are_tried_again():
+    calls = []
+
+    def once_lost():
+        calls.append(1)
+        if len(calls) == 1:
+            raise ConnectionError("executor lost")
+        return 5
+
+    assert learn.retried(once_lost) == 5 and len(calls) == 2
+    with pytest.raises(ValueError):
+        learn.retried(lambda: (_ for _ in ()).throw(ValueError("model")))
+
+
+def test_comparison_of_kinds(spark):
+    random = np.random.default_rng(2)
+    rows = [(i, i % 2, (random.normal(size=2) + 3 * (i % 2)).tolist()) for i in range(60)]
+    frame = spark.createDataFrame(rows, "row_id bigint, label int, features array<double>")
+    got = learn.compare_kinds(frame, ["logistic", "knn"], size=2, settings={"generations": 1}, folds=2).collect()
+    assert {(r.kind, r.metric) for r in got} == {(k, m) for k in ("logistic", "knn") for m in ("accuracy", "balanced_accuracy", "macro_f1")}
+    assert sorted({r.place for r in got}) == [1, 2] and all(r.score > 0.8 for r in got)
+
+
+def test_every_gene_may_mutate(spark):
+    s = evolve.Settings(per_gene=True, mutation=1.0, crossover=0.0, genes=3)
+    pop = spark.range(6).select(F.col("id").alias("ind_id"), F.array(*[F.lit(0.5)] * 3).alias("genes"), F.lit(1 / 6).alias("prob"))
+    got = evolve.children(pop, pop.select("ind_id"), 0, s).collect()
+    assert len(got) == 6 and all(g != 0.5 for r in got for g in r.genes)
+    s = evolve.Settings(per_gene=True, mutation=0.0, crossover=0.0, genes=3)
+    assert all(list(r.genes) == [0.5] * 3 for r in evolve.children(pop, pop.select("ind_id"), 0, s).collect())
+
+
+def test_apply_pca(numbers):
+    df = numbers.filter("id < 1000").select("id", F.array("x", F.col("x") * 2, F.coalesce("y", F.lit(0.0))).alias("features"))
+    out, pca = components.apply_pca(df, 0.99)
+    assert len(pca.axes) == 2 and out.select(F.max(F.size("projected"))).first()[0] == 2
+
+
+def test_spaces_from_specs():
+    spec = {"depth": {"type": "discrete", "min": 1, "max": 9}, "rate": {"type": "continuous", "min": 0.01, "max": 1.0, "scale": "log10"}, "kind": {"values": ["a", "b"]}, "empty": {}}
+    got = space.from_spec(spec, {"depth": {"max": 5}})
+    assert got == {"depth": space.Gene("discrete", 1, 5), "rate": space.Gene("continuous", 0.01, 1.0, "log10"), "kind": space.Gene("categorical", values=("a", "b"))}
+    with pytest.raises(ValueError):
+        space.narrowed(space.SPACES["knn"], {"trees": (1,)})
+    assert set(space.QUICK) == set(space.SPACES) and space.PRESETS["quick"] == (10, 5)
+
+
 def test_more_readers(spark, tmp_path):
     (tmp_path / "x.data").write_text("".join(f"{i} {i * 2} {'NaN' if i % 3 == 0 else i}\n" for i in range(50)))
     (tmp_path / "y.data").write_text("".join(f"{-1 if i % 2 else 1} \"19/07/2008\"\n" for i in range(50)))
@@ -385,6 +519,12 @@ def test_more_readers(spark, tmp_path):
     (tmp_path / "f.nna").write_text("".join(" ".join(map(str, [i, 0.5] + [int(k == i) for k in range(3)])) + "\n" for i in range(4)))
     got = readers.read_onehot(spark, str(tmp_path / "f.nna"), 2, 3).frame
     assert {r.f_0: r.label for r in got.collect()} == {0: 0, 1: 1, 2: 2, 3: -1}
+    lines = [" ".join(map(str, [i, 0.5] + [int(k == i) for k in range(3)])) for i in range(4)]
+    (tmp_path / "odd.nna").write_text("\n".join([*lines, lines[0] + " 9", "1 2"]) + "\n")
+    odd = readers.read_onehot(spark, str(tmp_path / "odd.nna"), 2, 3)
+    assert sorted((r.f_0, r.label) for r in odd.frame.collect()) == [(0, 0), (0, 0), (1, 1), (2, 2), (3, -1)] and odd.metadata["odd_lines"] == 2
+    (tmp_path / "plain.nna").write_text("1 2 3\n4 5 6\n7 8 9 10 11\n")
+    assert sorted(r.label for r in readers.read_onehot(spark, str(tmp_path / "plain.nna"), 2, 3).frame.collect()) == [3, 6, 9]
     np.savez(tmp_path / "i.npz", X_train=np.arange(24).reshape(2, 3, 4), y_train=[0, 1], X_test=np.ones((1, 3, 4)), y_test=[2])
     arrays = sorted((r.part, r.row, len(r.features), r.label) for r in readers.read(spark, str(tmp_path / "i.npz")).collect())
     assert arrays == [("test", 0, 12, 2), ("train", 0, 12, 0), ("train", 1, 12, 1)]
@@ -395,6 +535,11 @@ def test_more_readers(spark, tmp_path):
     r.register("d", str(tmp_path / "none.csv"), 1)
     r.register("d", str(tmp_path / "a.txt"), 2, about="two rows")
     assert r.load("d").count() == 2 and r.available() == ["d"] and r.describe("d")["about"] == "two rows" and r.describe("e") == {}
+    r.register("both", [str(tmp_path / n) for n in ("a.txt", "b.txt")], 1, kind="union", options={"shift": -1})
+    r.register("pair", [str(tmp_path / n) for n in ("x.data", "y.data")], 1, kind="pair")
+    r.register("arrays", str(tmp_path / "i.npz"), 1)
+    assert r.load("both").count() == 3 and r.load("pair").count() == 50 and r.load("arrays").count() == 3 and r.available() == ["arrays", "both", "d", "pair"]
+    assert sorted(x.label for x in r.load("both").collect()) == [0, 1, 2]
     spark.range(3).createOrReplaceTempView("in_session")
     assert r.load("in_session").count() == 3
     readers.write_metadata(spark, str(tmp_path / "meta"), {"a": [1]})
