@@ -1,12 +1,20 @@
 """Exact nearest neighbours of a stated query set against all rows, in blocks, and what builds on them.
 
 Queries are broadcast in blocks of bounded size; each task keeps the k best rows of its own for every query,
-and the candidates (k a query and task) meet by query. No pair of rows is written out.
+and the candidates (k a query and task) meet by query. No pair of rows is written out, and with several blocks each is
+freed before the next.
+
+Beyond ``FEW`` rows an index of pivots comes first: rows belong to their nearest pivot and lie sorted by cell and distance
+to it, blocks are queries of cells beside each other, and the triangle inequality rules out, for the queries of a cell,
+whole cells and all but a ring of others, from the k-th best distance so far (that to the pivots, which are rows, to begin
+with). Where rows form clusters most comparisons fall away; on evenly spread ones of many dimensions hardly any do.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import uniform
-from ..functions.order import latest, null_safe_join
+from ..functions.order import few, latest, null_safe_join
 from ..functions.shared import saved
 from .prepare import shuffled_rank
 from .select import picked
@@ -24,65 +32,178 @@ from .select import picked
 BLOCK = 16 << 20
 
 
-def _best(held, k: int, same_class: bool, manhattan: bool):
+#: Bytes of the pivots, and their number at most.
+PIVOT_BYTES, PIVOTS = 4 << 20, 512
+
+
+def distances(x: np.ndarray, y: np.ndarray, manhattan: bool) -> np.ndarray:
+    """Of each row of x to each of y."""
+    if manhattan:
+        return np.stack([np.abs(y - v).sum(1) for v in x]) if len(x) else np.zeros((0, len(y)))
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
+
+
+class _Top:
+    """The k best of the rows seen for each query, ties to the least id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int, same_class: bool, manhattan: bool) -> None:
+        self.ids, self.vectors, self.labels, self.k, self.same_class, self.manhattan = ids, vectors, labels, k, same_class, manhattan
+        self.d = np.full((len(ids), k), np.inf)
+        self.i = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.label = np.zeros((len(ids), k), np.int64)
+
+    def see(self, queries: slice, rows: np.ndarray, own: np.ndarray, labels: np.ndarray) -> None:
+        ids, vectors = self.ids[queries], self.vectors[queries]
+        d = distances(vectors, rows, True) if self.manhattan else np.maximum((vectors**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * vectors @ rows.T, 0)
+        # Exact for the close ones: differences, not the expanded square, decide their order.
+        d[ids[:, None] == own[None, :]] = np.inf
+        if self.same_class:
+            d[self.labels[queries][:, None] != labels[None, :]] = np.inf
+        near = d <= self.d[queries, -1:] * (1 + 1e-9) + 1e-9
+        for q in np.flatnonzero(near.any(1)):
+            c = np.flatnonzero(near[q] & np.isfinite(d[q]))
+            if not len(c):
+                continue
+            at = q + (queries.start or 0)
+            dd = np.concatenate((self.d[at], d[q, c] if self.manhattan else ((rows[c] - vectors[q]) ** 2).sum(1)))
+            ii = np.concatenate((self.i[at], own[c]))
+            ll = np.concatenate((self.label[at], labels[c]))
+            order = np.lexsort((ii, dd))[: self.k]
+            self.d[at], self.i[at], self.label[at] = dd[order], ii[order], ll[order]
+
+    def frame(self) -> pd.DataFrame:
+        q, j = np.nonzero(np.isfinite(self.d))
+        return pd.DataFrame({"id": self.ids[q], "nb": self.i[q, j], "nb_label": self.label[q, j], "distance": self.d[q, j]})
+
+
+def _best(held, k: int, same_class: bool, manhattan: bool, counter):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors, labels = held.value
-        top_d = np.full((len(ids), k), np.inf)
-        top_i = np.full((len(ids), k), np.iinfo(np.int64).max)
-        top_l = np.zeros((len(ids), k), np.int64)
+        top = _Top(*held.value[:3], k, same_class, manhattan)
         for b in batches:
             rows = np.stack(b["features"].to_numpy()).astype(float)
             for a in range(0, len(rows), 512):
-                part, own = rows[a : a + 512], b["id"].to_numpy()[a : a + 512]
-                if manhattan:
-                    d = np.stack([np.abs(part - v).sum(1) for v in vectors])
-                else:
-                    d = np.maximum((vectors**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * vectors @ part.T, 0)
-                # Exact for the close ones: differences, not the expanded square, decide their order.
-                lab = b["label"].to_numpy()[a : a + 512]
-                d[ids[:, None] == own[None, :]] = np.inf
-                if same_class:
-                    d[labels[:, None] != lab[None, :]] = np.inf
-                near = d <= top_d[:, -1:] * (1 + 1e-9) + 1e-9
-                for q in np.flatnonzero(near.any(1)):
-                    c = np.flatnonzero(near[q] & np.isfinite(d[q]))
-                    if not len(c):
-                        continue
-                    dd = np.concatenate((top_d[q], d[q, c] if manhattan else ((part[c] - vectors[q]) ** 2).sum(1)))
-                    ii = np.concatenate((top_i[q], own[c]))
-                    ll = np.concatenate((top_l[q], lab[c]))
-                    order = np.lexsort((ii, dd))[:k]
-                    top_d[q], top_i[q], top_l[q] = dd[order], ii[order], ll[order]
-        q, j = np.nonzero(np.isfinite(top_d))
-        yield pd.DataFrame({"id": ids[q], "nb": top_i[q, j], "nb_label": top_l[q, j], "distance": top_d[q, j]})
+                top.see(slice(0, len(top.ids)), rows[a : a + 512], b["id"].to_numpy()[a : a + 512], b["label"].to_numpy()[a : a + 512])
+            if counter is not None:
+                counter.add(len(rows) * len(top.ids))
+        yield top.frame()
+
+    return run
+
+
+def _best_of_cells(held, k: int, same_class: bool, manhattan: bool, counter):
+    """As _best, for rows sorted by cell and distance to its pivot, with bounds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors, labels, cells, to_pivot, most, between = held.value
+        top = _Top(ids, vectors, labels, k, same_class, manhattan)
+        cuts = np.flatnonzero(np.diff(cells, prepend=-1))
+        groups = [(slice(a, b), cells[a], to_pivot[a:b].max()) for a, b in zip(cuts, np.append(cuts[1:], len(cells)))]
+        compared = 0
+        for batch in batches:
+            rows, own, label = np.stack(batch["features"].to_numpy()).astype(float), batch["id"].to_numpy(), batch["label"].to_numpy()
+            cell, far = batch["cell"].to_numpy(), batch["far"].to_numpy()
+            ends = np.append(np.flatnonzero(np.diff(cell)) + 1, len(cell))
+            for a, b in zip(np.append(0, ends[:-1]), ends):
+                for queries, home, radius in groups:
+                    seen = top.d[queries, -1] if manhattan else np.sqrt(top.d[queries, -1])
+                    reach = radius + np.minimum(seen, most[queries]).max() * (1 + 1e-9) + 1e-9
+                    gap = between[home, cell[a]]
+                    lo, hi = a + np.searchsorted(far[a:b], gap - reach), a + np.searchsorted(far[a:b], gap + reach, "right")
+                    for c in range(lo, hi, 512):
+                        top.see(queries, rows[c : min(hi, c + 512)], own[c : min(hi, c + 512)], label[c : min(hi, c + 512)])
+                    compared += (hi - lo) * (queries.stop - queries.start)
+        if counter is not None:
+            counter.add(int(compared))
+        yield top.frame()
 
     return run
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int, same_class: bool = False, donors: Column | None = None, metric: str = "euclidean") -> DataFrame:
+def _celled(rows: DataFrame, pivots: np.ndarray, manhattan: bool) -> DataFrame:
+    """rows with cell, the number of the nearest pivot, and far, the distance to it."""
+    held = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            d = distances(np.stack(b["features"].to_numpy()).astype(float), held.value, manhattan)
+            cell = d.argmin(1)
+            yield b.assign(cell=cell.astype(np.int32), far=d[np.arange(len(d)), cell])
+
+    return rows.mapInPandas(run, "id bigint, label bigint, features array<double>, cell int, far double")
+
+
+def _indexed(queries: DataFrame, rows: DataFrame, k: int, same_class: bool, manhattan: bool, width: int):
+    """Rows by cell, and the blocks of queries, as broadcasts, with the frame of the rows that may matter for each."""
+    spark = rows.sparkSession
+    n = max(1, min(PIVOTS, PIVOT_BYTES // (8 * width), math.isqrt(rows.count())))
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(n).toPandas()  # n rows
+    pivots = np.stack(chosen["features"].to_numpy()).astype(float)
+    pivots = pivots[np.argsort((pivots - pivots.mean(0)) @ np.linalg.svd(pivots - pivots.mean(0), full_matrices=False)[2][0])]  # near pivots get near numbers
+    between = distances(pivots, pivots, manhattan)
+    stored = saved(_celled(rows, pivots, manhattan).repartitionByRange("cell", "far").sortWithinPartitions("cell", "far"), "cells")
+    asked = saved(_celled(queries, pivots, manhattan), "asked")
+    reach = {r.cell: (r.lo, r.hi) for r in stored.groupBy("cell").agg(F.min("far").alias("lo"), F.max("far").alias("hi")).collect()}  # a row a pivot
+    sizes = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()  # a row a pivot
+    room, blocks = max(1, BLOCK // (8 * width)), []  # first cell, last cell, part and parts, queries
+    for r in sizes:  # whole cells together as far as they fit, a larger one in parts
+        parts = -(-r.n // room)
+        if parts == 1 and blocks and blocks[-1][3] == 1 and blocks[-1][4] + r.n <= room:
+            blocks[-1] = (blocks[-1][0], r.cell, 0, 1, blocks[-1][4] + r.n)
+        else:
+            blocks += [(r.cell, r.cell, p, parts, r.n) for p in range(parts)]
+    for first, last, part, parts, _ in blocks:
+        chosen_rows = asked.filter(F.col("cell").between(first, last) & (F.pmod(F.xxhash64("id"), F.lit(parts)) == part))
+        own = chosen_rows.toPandas().sort_values(["cell", "id"])  # BLOCK bytes
+        if not len(own):
+            continue
+        ids, vectors, labels = own["id"].to_numpy(), np.stack(own["features"].to_numpy()).astype(float), own["label"].to_numpy()
+        d = distances(vectors, np.stack(chosen["features"].to_numpy()).astype(float), manhattan)
+        d[ids[:, None] == chosen["id"].to_numpy()[None, :]] = np.inf
+        if same_class:
+            d[labels[:, None] != chosen["label"].to_numpy()[None, :]] = np.inf
+        most = np.sort(d, 1)[:, k - 1] if d.shape[1] >= k else np.full(len(ids), np.inf)
+        cells, far = own["cell"].to_numpy(), own["far"].to_numpy()
+        needed = set()
+        for home in np.unique(cells):
+            mine = cells == home
+            bound = far[mine].max() + most[mine].max() * (1 + 1e-9) + 1e-9
+            needed |= {c for c, (lo, hi) in reach.items() if between[home, c] - hi <= bound and lo - between[home, c] <= bound}
+        yield spark.sparkContext.broadcast((ids, vectors, labels, cells, far, most, between)), stored.filter(F.col("cell").isin([int(c) for c in needed]))
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int, same_class: bool = False, donors: Column | None = None, metric: str = "euclidean", counter=None) -> DataFrame:
     """id, nb, nb_label, distance (squared Euclidean, or manhattan), place 1..k of the nearest other rows (donors) of every query row.
 
     rows has id (whole), label (whole) and features (array of numbers, all of one length); ties go to the least id.
+    counter, an accumulator, gets the number of comparisons.
     """
     spark = rows.sparkSession
     shaped = lambda d: d.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("label").cast("bigint"), F.lit(-1)).alias("label"), F.col("features").cast("array<double>").alias("features"))
     queries, rows = shaped(rows.filter(is_query)), shaped(rows if donors is None else rows.filter(donors))
     if metric not in ("euclidean", "manhattan"):
         raise ValueError(f"unknown metric {metric!r}")
+    manhattan, schema = metric == "manhattan", "id bigint, nb bigint, nb_label bigint, distance double"
     n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
-    blocks = max(1, -(-n * 8 * max(1, width or 1) // BLOCK))
-    found = None
-    for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
-        vectors = np.stack(own["features"].to_numpy()).astype(float) if len(own) else np.zeros((0, 1))
-        if not len(own):
-            continue
-        held = spark.sparkContext.broadcast((own["id"].to_numpy(), vectors, own["label"].to_numpy()))
-        part = rows.mapInPandas(_best(held, k, same_class, metric == "manhattan"), "id bigint, nb bigint, nb_label bigint, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "id bigint, nb bigint, nb_label bigint, distance double, place int")
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("distance", "nb"))).filter(F.col("place") <= k)
+    found = []
+    if n and width and not few(rows):
+        for held, own in _indexed(queries, rows, k, same_class, manhattan, width):
+            found.append(saved(own.mapInPandas(_best_of_cells(held, k, same_class, manhattan, counter), schema), "near"))
+            held.destroy()
+    else:
+        blocks = -(-n * 8 * max(1, width or 1) // BLOCK)
+        for b in range(blocks):
+            own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
+            if not len(own):
+                continue
+            held = spark.sparkContext.broadcast((own["id"].to_numpy(), np.stack(own["features"].to_numpy()).astype(float), own["label"].to_numpy()))
+            part = rows.mapInPandas(_best(held, k, same_class, manhattan, counter), schema)
+            found.append(saved(part, "near") if blocks > 1 else part)
+            if blocks > 1:
+                held.destroy()
+    if not found:
+        return spark.createDataFrame([], schema + ", place int")
+    every = reduce(DataFrame.unionByName, found)
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("distance", "nb"))).filter(F.col("place") <= k)
 
 
 def vote(near: DataFrame, weighted: bool = False) -> DataFrame:
@@ -234,6 +355,9 @@ def fill_from_neighbours(rows: DataFrame, donors: DataFrame, k: int = 5) -> Data
         if len(own):
             held = rows.sparkSession.sparkContext.broadcast((own["id"].to_numpy(), np.stack(own["features"].to_numpy()).astype(float)))
             part = donors.mapInPandas(_donors(held, k), "id bigint, feature int, distance double, nb bigint, value double")
+            if blocks > 1:
+                part = saved(part, "donors")
+                held.destroy()
             found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.sparkSession.createDataFrame([], "id bigint, filled map<int,double>")

@@ -347,6 +347,29 @@ def test_manhattan_neighbours(uneven):
         assert [got[q, k] for k in (1, 2, 3)] == [i for _, i in want]
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_index_of_pivots(spark, monkeypatch, metric):
+    """All rows are queries, in several blocks; the same as brute force, with a part of its comparisons."""
+    monkeypatch.setattr(order, "FEW", 50)
+    monkeypatch.setattr(neighbours, "BLOCK", 8 * 6 * 150)
+    random = np.random.default_rng(9)
+    x = np.round(random.normal(size=(12, 6))[random.integers(0, 12, 600)] * 20 + random.normal(size=(600, 6)), 3)
+    x[:200] = np.round(x[200] + random.normal(size=(200, 6)) * 0.5, 1)  # one cell is larger than a block
+    x[50:60] = x[50]
+    label = random.integers(0, 3, 600)
+    df = spark.createDataFrame([(i, int(label[i]), v.tolist()) for i, v in enumerate(x)], "id bigint, label bigint, features array<double>").repartition(3)
+    for same in (False, True):
+        counter = spark.sparkContext.accumulator(0)
+        got = {(r.id, r.place): r.nb for r in neighbours.nearest(df, F.lit(True), 4, same_class=same, metric=metric, counter=counter).collect()}
+        d = np.stack([(np.abs(x - v) if metric == "manhattan" else (x - v) ** 2).sum(1) for v in x])
+        np.fill_diagonal(d, np.inf)
+        if same:
+            d[label[:, None] != label[None]] = np.inf
+        want = {(i, p): int(j) for i in range(600) for p, j in enumerate(np.lexsort((np.arange(600), d[i]))[:4], 1)}
+        assert got == want
+        assert 0 < counter.value < 0.6 * 600 * 600
+
+
 def test_knn_imputer(spark):
     random = np.random.default_rng(3)
     x = random.normal(size=(60, 4))
