@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..functions.shared import discard, saved
-from . import evolve, gram, metrics
+from . import boost, evolve, gram, metrics
 from .components import PCA
 from .neighbours import nearest, resample, vote
 from .prepare import stratified_folds
@@ -115,6 +115,9 @@ def predictions(kind: str, p: dict, train: DataFrame, test: DataFrame, classes:
         near = nearest(both.withColumnRenamed("row_id", "id"), F.col("t"), int(p.get("k", 5)), donors=~F.col("t"), metric=p.get("metric", "euclidean"))
         said = test.select("row_id", "label").join(vote(near, p.get("weights") == "distance"), F.col("row_id") == F.col("id"), "left")
         return said.select("row_id", "label", F.coalesce("prediction", F.lit(0)).cast("int").alias("prediction"))
+    if kind == "leafwise":
+        known = {"trees": int, "leaves": int, "rate": float, "l1": float, "l2": float, "least": int, "subsample": float, "patience": int}
+        return boost.predicted(train, test, classes, **{n: kind_(p[n]) for n, kind_ in known.items() if n in p})
     if kind == "svm" and p.get("kernel") == "rbf":
         train, test = (fourier(d, width, p.get("gamma")) for d in (train, test))
     if kind == "svm" and p.get("kernel") == "poly":

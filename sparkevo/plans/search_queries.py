@@ -337,13 +337,15 @@ _model("mlp", layer1=16, max_iter=20)
 _model("svm", binary, 2, C=1.0)
 _model("svm_poly", binary, 2, "svm", C=1.0, kernel="poly", degree=2)
 _model("gbt", binary, 2, trees=3, max_depth=3)
+_model("leafwise", binary, 2, trees=5, leaves=8, l1=0.1, l2=1.0, patience=2)
+_model("network", binary, 2, layer1=8, activation="tanh", max_iter=15)
 _model("knn", k=5, weights="distance")
 
 
 @query()
 def model_search(t):
     """A search over every kind of model, in the smaller spaces: the last individuals, their fitness and values."""
-    return learn.tune(binary(t), list(space.QUICK), size=4, settings={"generations": 2}, spaces=space.QUICK)
+    return learn.tune(binary(t), list(space.QUICK), size=4, settings={"generations": 2}, spaces=space.QUICK, folds=2)
 
 
 @query()
