@@ -35,6 +35,7 @@ from ..functions.shared import discard, saved
 from . import boost, evolve, gram, metrics
 from .components import PCA
 from .neighbours import nearest, resample, vote
+from .network import Network
 from .prepare import stratified_folds
 from .space import PRESETS, SPACES, Space, decode
 
@@ -115,6 +116,10 @@ def predictions(kind: str, p: dict, train: DataFrame, test: DataFrame, classes:
         near = nearest(both.withColumnRenamed("row_id", "id"), F.col("t"), int(p.get("k", 5)), donors=~F.col("t"), metric=p.get("metric", "euclidean"))
         said = test.select("row_id", "label").join(vote(near, p.get("weights") == "distance"), F.col("row_id") == F.col("id"), "left")
         return said.select("row_id", "label", F.coalesce("prediction", F.lit(0)).cast("int").alias("prediction"))
+    if kind == "network":
+        hidden = [int(p[k]) for k in ("layer1", "layer2", "layer3") if int(p.get(k, 0) or 0) > 0] or [100]
+        net = Network(hidden, p.get("activation", "relu"), int(p.get("max_iter", 200)), float(p.get("step", 0.05)), float(p.get("alpha", 1e-4)))
+        return net.fit(train, classes).predict(test, "row_id", "label").withColumn("label", F.col("label").cast("int"))
     if kind == "leafwise":
         known = {"trees": int, "leaves": int, "rate": float, "l1": float, "l2": float, "least": int, "subsample": float, "patience": int}
         return boost.predicted(train, test, classes, **{n: kind_(p[n]) for n, kind_ in known.items() if n in p})

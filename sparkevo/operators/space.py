@@ -97,6 +97,7 @@ SPACES: dict[str, Space] = {
     "gbt": PREPARATION | {"max_depth": Gene("categorical", values=(3, 5, 7, 9, 11)), "rate": Gene("continuous", 0.01, 0.3), "subsample": Gene("continuous", 0.6, 1.0), "trees": Gene("categorical", values=(50, 100, 200, 300, 500))},
     "leafwise": PREPARATION | {"leaves": Gene("categorical", values=(15, 31, 63, 127)), "l1": Gene("continuous", 0.0, 1.0), "l2": Gene("continuous", 0.0, 2.0), "least": Gene("categorical", values=(5, 10, 20, 50)), "rate": Gene("continuous", 0.01, 0.3), "subsample": Gene("continuous", 0.6, 1.0), "trees": Gene("categorical", values=(50, 100, 200, 300, 500))},
     "mlp": PREPARATION | {"layer1": Gene("categorical", values=(16, 32, 64, 128, 256)), "layer2": Gene("categorical", values=(0, 16, 32, 64, 128)), "layer3": Gene("categorical", values=(0, 16, 32, 64)), "max_iter": Gene("categorical", values=(200, 300, 500))},
+    "network": PREPARATION | {"activation": Gene("categorical", values=("relu", "tanh", "logistic")), "alpha": Gene("continuous", 0.0001, 0.1, "log10"), "layer1": Gene("categorical", values=(16, 32, 64, 128, 256)), "layer2": Gene("categorical", values=(0, 16, 32, 64, 128)), "layer3": Gene("categorical", values=(0, 16, 32, 64)), "max_iter": Gene("categorical", values=(200, 300, 500))},
     "logistic": PREPARATION | {"C": Gene("continuous", 0.001, 10.0, "log10"), "penalty": Gene("categorical", values=("l1", "l2"))},
 }
 #: Population and generations of the usual settings (fixed values that users know).
@@ -114,6 +115,7 @@ def narrowed(space: Space, values: dict[str, tuple[Any, ...]]) -> Space:
 QUICK: dict[str, Space] = SPACES | {
     "random_forest": narrowed(SPACES["random_forest"], {"trees": (10, 20, 50), "max_depth": (5, 10)}),
     "gbt": narrowed(SPACES["gbt"], {"trees": (5, 10, 20), "max_depth": (3, 5)}),
+    "network": narrowed(SPACES["network"], {"max_iter": (10, 20), "layer1": (16, 32), "layer2": (0, 16), "layer3": (0,)}),
     "leafwise": narrowed(SPACES["leafwise"], {"trees": (3, 5), "leaves": (7, 15)}),
     "mlp": narrowed(SPACES["mlp"], {"max_iter": (20, 50), "layer1": (16, 32), "layer2": (0, 16), "layer3": (0,)}),
 }
