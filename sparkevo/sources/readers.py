@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import datetime
-import io
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.frame import onehot_class
+from .arrays import ArraySource
 
 #: Column names that mark a target, and the readers of file endings.
 TARGETS = ("label", "target", "class", "y", "output", "category")
@@ -145,21 +143,12 @@ def read_union(spark: SparkSession, paths: Sequence[str], shift: int = 0, **opti
     return replace(parts[0], frame=frame.withColumn("label", F.col("label") + shift))
 
 
-def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for content in batch["content"]:
-            stored = np.load(io.BytesIO(content))
-            for part in ("train", "test"):
-                if f"X_{part}" in stored:
-                    x, y = stored[f"X_{part}"], stored[f"y_{part}"].ravel()
-                    x = x.reshape(len(x), -1).astype(float)
-                    for a in range(0, len(x), 1000):
-                        yield pd.DataFrame({"part": part, "row": np.arange(a, a + len(x[a : a + 1000])), "features": list(x[a : a + 1000]), "label": y[a : a + 1000].astype(int)})
-
-
-def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """part (train, test), row, features (flattened) and label of archives of X_train, y_train, X_test and y_test; a task a file."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_arrays, "part string, row bigint, features array<double>, label bigint")
+def read_npz(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """part (train, test), row, features (flattened) and label of archives of X_train, y_train, X_test and y_test; a partition a range of rows."""
+    spark.dataSource.register(ArraySource)
+    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]  # a name a file; contents are not read
+    options = {"paths": "\n".join(sorted(files))} | ({"range": str(range_bytes)} if range_bytes else {})
+    return spark.read.format("npz_rows").options(**options).load().select("part", "row", "features", "label")
 
 
 def read(spark: SparkSession, path: str | Sequence[str], kind: str | None = None, **options) -> Dataset | DataFrame:
