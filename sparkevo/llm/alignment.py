@@ -386,7 +386,11 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     partial = _partial(docs, a, b)
     pairs = _pairs(partial)
     judged = pairs.join(_merged(pairs), ["a", "b"]).select(F.col("portion").alias("of_pair"), "at", "count", "best")
-    documents = partial.filter(F.col("a").isNull()).select(F.col("portion").alias("of_document"), "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "links")
+    documents = partial.filter(F.col("a").isNull())
+    documents = documents.select(F.col("portion").alias("of_document"), "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "links")
     schema = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, n_best bigint, count_sum bigint"
+    n = common.shuffle_partitions(docs.sparkSession, docs)
+    if n > common.shuffle_partitions(docs.sparkSession):  # a task is meant for a portion or two, however many there are
+        documents, judged = documents.repartition(n, "of_document"), judged.repartition(n, "of_pair")
     out = documents.groupBy("of_document").cogroup(judged.groupBy("of_pair")).applyInArrow(_judge, schema)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
