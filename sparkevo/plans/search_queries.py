@@ -290,6 +290,14 @@ def pca_explained_variance(t):
     return t("embeddings").sparkSession.createDataFrame(rows, "component int, variance double, ratio double, cumulative double")
 
 
+@query()
+def pca_random(t):
+    """Variances of all components from a random subspace."""
+    pca = PCA(64, random=True).fit(vectors(t))
+    rows = [(i, float(v), float(r)) for i, (v, r) in enumerate(zip(pca.variance, pca.ratio))]
+    return t("embeddings").sparkSession.createDataFrame(rows, "component int, variance double, ratio double")
+
+
 @query()
 def pca_project(t):
     """Components that hold nine tenths of the variance."""

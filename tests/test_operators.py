@@ -512,6 +512,24 @@ def test_every_gene_may_mutate(spark):
     assert all(list(r.genes) == [0.5] * 3 for r in evolve.children(pop, pop.select("ind_id"), 0, s).collect())
 
 
+def test_random_subspace_finds_the_components(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
+    whole, part = components.PCA(5).fit(rows), components.PCA(5, random=True)
+    part.fit(rows)
+    assert np.abs(whole.axes - part.axes).max() < 1e-6 if len(whole.axes[0]) <= 25 else np.allclose(whole.variance, part.variance, rtol=1e-3)
+    full = components.PCA(64, random=True).fit(rows)
+    assert np.allclose(components.PCA(64).fit(rows).variance, full.variance, atol=1e-9)
+    random = np.random.default_rng(0)
+    x = random.normal(size=(300, 4)) * [9, 6, 4, 2] @ random.normal(size=(4, 1500)) + random.normal(size=(300, 1500)) * 0.01
+    wide = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, features array<double>").repartition(4)
+    got = components.PCA(4, random=True).fit(wide)
+    values, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)[1:]
+    assert np.abs(np.abs((got.axes * axes[:4]).sum(1)) - 1).max() < 1e-6 and np.allclose(got.variance, values[:4] ** 2 / 299, rtol=1e-6)
+    assert np.isclose(got.ratio.sum(), (values[:4] ** 2).sum() / (values**2).sum(), rtol=1e-6)
+    with pytest.raises(ValueError):
+        components.PCA(0.9, random=True).fit(wide)
+
+
 def test_apply_pca(numbers):
     df = numbers.filter("id < 1000").select("id", F.array("x", F.col("x") * 2, F.coalesce("y", F.lit(0.0))).alias("features"))
     out, pca = components.apply_pca(df, 0.99)
