@@ -150,10 +150,14 @@ def together(spark: SparkSession, calls: Sequence[Callable[[], Any]], parallel:
         return [f.result() for f in [threads.submit(inheritable_thread_target(spark)(own), c, i % width) for i, c in enumerate(calls)]]
 
 
+#: What Spark says where executors or shuffle files went, and not the model.
+LOST = ("ExecutorLostFailure", "FetchFailed", "Lost executor", "SparkContext was shut down", "No space left")
+
+
 def lost(error: BaseException) -> bool:
-    """Whether Spark failed, and not the model: executors or the job were lost, or the JVM did not answer."""
+    """Whether Spark failed, and not the model: executors or their files were lost, or the JVM did not answer."""
     if isinstance(error, Py4JJavaError):
-        return "org.apache.spark.SparkException" in str(error.java_exception) and "ML" not in type(error).__name__
+        return any(mark in str(error.java_exception) for mark in LOST)
     return isinstance(error, (Py4JError, ConnectionError, OSError))
 
 
@@ -382,7 +386,7 @@ def compare_kinds(frame: DataFrame, kinds: Sequence[str], judged: Sequence[str]
         if r.kind not in best or (-r.fitness, r.ind_id) < (-best[r.kind].fitness, best[r.kind].ind_id):
             best[r.kind] = r
     shared = Folds(frame, folds, options.get("seed", 42))
-    chosen = {k: dict(eval_values(best[k]["values"])) for k in kinds}
+    chosen = {k: dict(named_values(best[k]["values"])) for k in kinds}
     try:
         scores = together(spark, [partial(SearchTask(frame, k, folds=shared, metrics=tuple(judged)).score, chosen[k]) for k in kinds])
     finally:
@@ -392,7 +396,7 @@ def compare_kinds(frame: DataFrame, kinds: Sequence[str], judged: Sequence[str]
     return spark.createDataFrame(rows, "kind string, place int, fitness double, metric string, score double, `values` string")
 
 
-def eval_values(text: str) -> list[tuple[str, Any]]:
+def named_values(text: str) -> list[tuple[str, Any]]:
     """Names and values of an individual, from the text that tune gives."""
     import ast
 

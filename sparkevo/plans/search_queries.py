@@ -353,7 +353,7 @@ _model("knn", k=5, weights="distance")
 @query()
 def model_search(t):
     """A search over every kind of model, in the smaller spaces: the last individuals, their fitness and values."""
-    return learn.tune(binary(t), list(space.QUICK), size=4, settings={"generations": 2}, spaces=space.QUICK, folds=2)
+    return learn.tune(binary(t), list(space.QUICK), size=3, settings={"generations": 2}, spaces=space.QUICK, folds=2)
 
 
 @query()
