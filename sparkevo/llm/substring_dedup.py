@@ -33,7 +33,7 @@ from . import common
 
 WIDTH = 20
 #: Windows that a task sorts and sends at a time, and windows that a bucket holds on average at most.
-CHUNK, BUCKET = 1 << 20, 1 << 19
+CHUNK, BUCKET = 1 << 19, 1 << 19
 
 _PACKED = "part int, kind tinyint, doc_id bigint, sub bigint, body binary, docs binary, subs binary, counts binary, starts binary"
 _SCHEMA = pa.schema(
@@ -101,6 +101,7 @@ def _shipped(buckets: int) -> list[int]:
 def _hash_windows(width: int, buckets: int, parts: int):
     def send(chunk: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, check, doc, sub, start = (np.concatenate(x) for x in zip(*chunk))
+        chunk.clear()
         later = _later(h, check, doc, sub, start)
         if later.any():
             yield _starts([(doc[later], sub[later], start[later])], parts)
