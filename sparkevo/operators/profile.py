@@ -20,6 +20,10 @@ from . import gram
 from .frame import clean, unpivoted
 
 
+#: Columns whose means one aggregate takes; more are counted as cells.
+PLAIN = 40
+
+
 def quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, q25, median, q75: one row a column."""
     found = quantiles(df, columns, (0.25, 0.5, 0.75))
@@ -77,7 +81,11 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     names, p = list(columns), len(columns)
     known = df.select(F.transform(F.array(*[F.col(c).cast("double") for c in names]), lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)).alias("x"))
-    stats = gram.column_stats(known)
+    if p <= PLAIN:
+        got = clean(df, names).agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("lo", F.min), ("hi", F.max))]).first()
+        stats = {i: (got[f"m{i}"], None, got[f"lo{i}"], got[f"hi{i}"]) for i in range(p) if got[f"m{i}"] is not None}
+    else:
+        stats = gram.column_stats(known)
     means = gram.literal([stats[i][0] if i in stats else 0.0 for i in range(p)])
     constant = np.array([i not in stats or stats[i][2] == stats[i][3] for i in range(p)])
     tiles = saved(gram.tiles(known.select(F.zip_with("x", means, lambda x, m: F.coalesce(x - m, F.lit(0.0))).alias("x")), p), "tiles")
