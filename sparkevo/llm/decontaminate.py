@@ -17,8 +17,11 @@ Candidates are windows of the item's length; from where they begin, the distance
 Only windows near a shared run of words are embedded: n words with k edits keep a run of (n - k) / (k + 1)
 words, so this leaves out no window within the limit.
 
-Items are broadcast in blocks of at most ``BLOCK`` bytes; a larger benchmark takes more passes. Texts are not
-shuffled. Defined cases: null and empty texts and items have no words and match nothing; items too short for an
+A benchmark of at most ``BLOCK`` bytes is one index, broadcast; texts are then not shuffled. A larger one is cut into
+blocks of about that size, and texts go to the blocks that they share a run of words with: a bitmap of all items' runs,
+of ``MOST_BITS`` bits at most, is broadcast and tells the texts that may; their runs join those of the items by shuffle;
+and tasks of a block and a portion of its texts build the block's index and stream the texts past it. The driver sees
+the bitmap alone, texts are read as often for ten blocks as for two, and equal texts are looked at once. Defined cases: null and empty texts and items have no words and match nothing; items too short for an
 edit match exactly, so an item of one word meets every text that has it; repeated rows give a row each.
 """
 
@@ -32,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from . import common
 
@@ -40,6 +44,8 @@ ROUNDS, SAMPLES, SEED = 16, 3, 42
 #: Share of windows exactly at the limit that must become candidates, and the made pairs of each kind that it is measured on.
 TARGET, TRIALS = 0.995, 300
 BLOCK = 8 << 20
+#: Bits a run of the items' bitmap, its bits at most and the bits looked up for each run; bytes of texts that one build of a block's index serves.
+SEED_BITS, MOST_BITS, PROBES, PORTION = 16, 1 << 28, 5, 128 << 20
 _OTHER = re.compile(r"\W+")
 
 
@@ -55,6 +61,11 @@ def limit(n: int, rate: float = RATE) -> int:
     return int(rate * n + 1e-9)
 
 
+def seed_run(n: int, most: int) -> int:
+    """Words of a run that any window within the limit of an item of n words must share with it (five are enough)."""
+    return min(5, (n - most) // (most + 1))
+
+
 def cgk_keys(windows: np.ndarray, rounds: int = ROUNDS, samples: int = SAMPLES, seed: int = SEED, sets: int = 1) -> np.ndarray:
     """A key for each row of words, each round and each of its sets of samples: the hash of the outputs there of the round's walk."""
     rows, n = windows.shape
@@ -176,7 +187,7 @@ class Index:
         by_run: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for k, w in enumerate(self.words):
             if len(w) >= LEAST:
-                run = min(5, (len(w) - int(self.most[k])) // (int(self.most[k]) + 1))
+                run = seed_run(len(w), int(self.most[k]))
                 h = common.rolling(w, run, "window")
                 by_run.setdefault(run, []).append((h, np.full(len(h), k), np.arange(len(h))))
         self.seeds = {}
@@ -283,23 +294,25 @@ def _portions(texts: list[str | None]) -> Iterator[tuple[list[str | None], int]]
             lo, size = i + 1, 0
 
 
-def _indexes(benchmark: DataFrame, rate: float, rounds: int, samples: int, seed: int):
-    """Broadcast indexes of blocks of at most BLOCK bytes of items (an item longer than that has one of its own)."""
-    sized = benchmark.agg(F.sum(F.octet_length("text") + 64).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-sized // BLOCK))
-    for b in range(blocks):
-        rows = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in rows], rate, rounds, samples, seed))
+def _size(benchmark: DataFrame) -> int:
+    return benchmark.agg(F.sum(F.octet_length("text") + 64).alias("b")).first()["b"] or 0
+
+
+def _index(benchmark: DataFrame, rate: float, rounds: int, samples: int, seed: int):
+    """The broadcast index of a benchmark of at most BLOCK bytes."""
+    rows = benchmark.select("item_id", "text").collect()
+    return benchmark.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in rows], rate, rounds, samples, seed))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, rounds: int = ROUNDS, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """doc_id, item_id, start_word, n_words and distance: the best window of each text for each item within the limit."""
     common.prepare(docs.sparkSession)
-    found = None
-    for index in _indexes(benchmark, rate, rounds, samples, seed):
-        part = docs.select("doc_id", "text").mapInArrow(_find(index), "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, distance bigint")
-        found = part if found is None else found.unionByName(part)
-    return found
+    if _size(benchmark) > BLOCK:
+        blocks = _Blocks(benchmark, rate, rounds, samples, seed)
+        near = blocks.suspects(docs)
+        return near.select("doc_id", "key").join(blocks.find(near), "key").select(*_FOUND.names)
+    index = _index(benchmark, rate, rounds, samples, seed)
+    return docs.select("doc_id", "text").mapInArrow(_find(index), "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, distance bigint")
 
 
 def _clean(held):
@@ -318,6 +331,168 @@ def _clean(held):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, rounds: int = ROUNDS, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """Rows of docs, all columns, with no window within the limit of any item."""
     common.prepare(docs.sparkSession)
-    for index in _indexes(benchmark, rate, rounds, samples, seed):
-        docs = docs.mapInArrow(_clean(index), docs.schema)
-    return docs
+    if _size(benchmark) > BLOCK:
+        blocks = _Blocks(benchmark, rate, rounds, samples, seed)
+        texts = docs.select(F.lit(None).cast("bigint").alias("doc_id"), "text")
+        bad = common.saved(blocks.find(blocks.suspects(texts)).select("key").distinct(), "contaminated")
+        mark, key = common.free(docs, "marked"), common.free(docs, "key")
+        marked = docs.mapInArrow(_mark(blocks.near, mark, False), StructType([*docs.schema, StructField(mark, BooleanType())]))
+        kept = marked.filter(mark).withColumn(key, F.md5("text")).join(bad.withColumnRenamed("key", key), key, "left_anti")
+        return marked.filter(~F.col(mark)).select(*docs.columns).unionByName(kept.select(*docs.columns))
+    return docs.mapInArrow(_clean(_index(benchmark, rate, rounds, samples, seed)), docs.schema)
+
+
+# --- benchmarks over one block ---------------------------------------------------------------
+
+
+def _runs(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of width words inside texts, and the text of each."""
+    h = common.rolling(words, width, "window")
+    row = np.searchsorted(first, np.arange(len(h)), "right") - 1
+    whole = np.arange(len(h)) + width <= first[row + 1]
+    return common.mix(h[whole], width), row[whole]
+
+
+def _item_runs(rate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_pylist()
+            for rows, lo in _portions(batch.column("text").to_pylist()):
+                words, first = _texts(rows)
+                for k, n in enumerate(np.diff(first)):
+                    if n >= LEAST:
+                        width = seed_run(int(n), limit(int(n), rate))
+                        h = np.unique(_runs(words[first[k] : first[k + 1]], np.array([0, n]), width)[0])
+                        yield pa.RecordBatch.from_pydict({"run": np.full(len(h), width, np.int32), "seed": h.view(np.int64), "block": np.full(len(h), block[lo + k], np.int64)})
+
+    return run
+
+
+def _place(seeds: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """A place of each seed in a bitmap of bits, a power of two."""
+    return common.mix(seeds, probe + 1) & np.uint64(bits - 1)
+
+
+def _bits(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds = batch.column("seed").to_numpy().view(np.uint64)
+            at = np.concatenate([_place(seeds, i, bits) for i in range(PROBES)])
+            yield pa.RecordBatch.from_pydict({"place": (at >> np.uint64(6)).view(np.int64), "bits": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+
+    return run
+
+
+class _Near:
+    """A broadcast bitmap of the items' runs; tells, for texts, the runs that items may have."""
+
+    def __init__(self, held, widths: list[int], bits: int) -> None:
+        self.held, self.widths, self.bits = held, widths, bits
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Seeds that may be an item's, and the text of each."""
+        words, first = _texts(texts)
+        found = []
+        for width in self.widths:
+            seeds, row = _runs(words, first, width)
+            for i in range(PROBES):
+                at = _place(seeds, i, self.bits)
+                held = (self.held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                seeds, row = seeds[held], row[held]
+            found.append((seeds, row))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _mark(near: _Near, name: str, only: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marked = np.zeros(batch.num_rows, bool)
+            for rows, lo in _portions(batch.column("text").to_pylist()):
+                marked[lo + near(rows)[1]] = True
+            yield batch.filter(pa.array(marked)) if only else batch.append_column(name, pa.array(marked))
+
+    return run
+
+
+def _text_runs(near: _Near):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key")
+            for rows, lo in _portions(batch.column("text").to_pylist()):
+                seeds, row = near(rows)
+                once = np.unique(np.stack([row, seeds.view(np.int64)]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
+                yield pa.RecordBatch.from_pydict({"key": key.take(pa.array(lo + once[0])), "seed": once[1]})
+
+    return run
+
+
+def _verify(rate: float, rounds: int, samples: int, seed: int):
+    """Streams rows of (block, portion), items before texts, and looks for the items in the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, items, index = None, [], None
+        for batch in batches:
+            out = []
+            block, portion, key, item, copies, text = (batch.column(c).to_pylist() for c in ("block", "portion", "key", "item_id", "copies", "text"))
+            held: list[int] = []
+            for i in range(batch.num_rows + 1):
+                here = (block[i], portion[i]) if i < batch.num_rows else None
+                if held and (here != at or key[i] is None):  # the texts of a portion end
+                    index = index or Index(items, rate, rounds, samples, seed)
+                    for rows, lo in _portions([text[h] for h in held]):
+                        for (row, k), (d, start, length) in sorted(index.matches(*_texts(rows)).items()):
+                            own, times = index.ids[k]
+                            out += [(key[held[lo + row]], own, start, length, d)] * times
+                    held = []
+                if here is None:
+                    break
+                if here != at:
+                    at, items, index = here, [], None
+                if key[i] is None:
+                    items.append(((item[i], copies[i]), text[i]))
+                else:
+                    held.append(i)
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip(_FOUND_BY_KEY.names, map(list, zip(*out)))), schema=_FOUND_BY_KEY)
+
+    return run
+
+
+_FOUND_BY_KEY = _FOUND.set(0, pa.field("key", pa.string()))
+
+
+class _Blocks:
+    """The items of a benchmark in blocks of about BLOCK bytes, their runs, and the bitmap of these."""
+
+    def __init__(self, benchmark: DataFrame, rate: float, rounds: int, samples: int, seed: int) -> None:
+        self.settings = rate, rounds, samples, seed
+        spark = benchmark.sparkSession
+        items = benchmark.filter("text is not null").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+        blocks = -(-_size(items) // BLOCK)
+        self.items = common.saved(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))), "items")
+        runs = self.items.select("block", "text").mapInArrow(_item_runs(rate), "run int, seed bigint, block bigint")
+        self.runs = common.saved(runs.groupBy("run", "seed").agg(F.collect_set("block").alias("blocks")), "runs")
+        bits = min(MOST_BITS, common.power_of_two(SEED_BITS * max(4096, self.runs.count())))
+        places = self.runs.select("seed").mapInArrow(_bits(bits), "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+        bitmap = np.zeros(bits >> 6, np.uint64)
+        bitmap[places["place"].to_numpy()] = places["bits"].to_numpy().view(np.uint64)
+        widths = sorted(r.run for r in self.runs.select("run").distinct().collect())  # five at most
+        self.near = _Near(spark.sparkContext.broadcast(bitmap), widths, bits)
+
+    def suspects(self, docs: DataFrame) -> DataFrame:
+        """doc_id, key and text of the texts that may share a run with an item; equal texts have one key."""
+        found = docs.select("doc_id", "text").mapInArrow(_mark(self.near, "", True), docs.select("doc_id", "text").schema)
+        return common.saved(found.withColumn("key", F.md5("text")), "suspects")
+
+    def find(self, suspects: DataFrame) -> DataFrame:
+        """key, item_id, start_word, n_words and distance."""
+        texts = suspects.groupBy("key").agg(F.first("text").alias("text"))
+        seeds = suspects.select("key", "text").dropDuplicates(["key"]).mapInArrow(_text_runs(self.near), "key string, seed bigint")
+        routes = seeds.join(self.runs, "seed").select("key", F.explode("blocks").alias("block")).distinct()
+        routed = common.saved(texts.join(routes, "key"), "routed")
+        portions = routed.groupBy("block").agg(F.ceil(F.sum(F.octet_length("text")) / PORTION).alias("portions"))  # a row a block
+        to = self.items.join(portions, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("portions").cast("int") - 1)).alias("portion"), F.lit(None).cast("string").alias("key"), F.col("item_id").cast("bigint").alias("item_id"), "copies", "text")
+        own = routed.join(portions, "block").select("block", F.pmod(F.xxhash64("key"), F.col("portions")).cast("int").alias("portion"), "key", F.lit(None).cast("bigint").alias("item_id"), F.lit(None).cast("bigint").alias("copies"), "text")
+        n = max(int(suspects.sparkSession.conf.get("spark.sql.shuffle.partitions")), portions.agg(F.sum("portions")).first()[0] or 0)
+        met = to.unionByName(own).repartition(n, "block", "portion").sortWithinPartitions("block", "portion", F.asc_nulls_first("key"))
+        return met.mapInArrow(_verify(*self.settings), "key string, item_id bigint, start_word bigint, n_words bigint, distance bigint")

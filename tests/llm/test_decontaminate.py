@@ -141,3 +141,46 @@ def test_odd(spark, odd_docs, no_docs):
     assert clean.columns == odd_docs.columns and {r.doc_id for r in clean.collect()} == {2, 3, 4, 5, 6, 7, 8, 9}
     assert D.find_contamination(no_docs, bench).count() == 0
     assert D.decontaminate(odd_docs, bench.filter("false")).count() == odd_docs.count()
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    """Blocks and portions so small that a benchmark takes many."""
+    monkeypatch.setattr(D, "BLOCK", 3000)
+    monkeypatch.setattr(D, "PORTION", 20_000)
+
+
+def rows(df):
+    return sorted(tuple(map(str, r)) for r in df.collect())
+
+
+def test_blocks_find_what_one_index_finds(spark, sf, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.unionByName(docs.filter("doc_id % 7 = 0"))  # repeated rows
+    items = items.unionByName(items.filter("item_id % 5 = 0"))
+    want, clean = rows(D.find_contamination(docs, items)), rows(D.decontaminate(docs, items))
+    monkeypatch.setattr(D, "BLOCK", 3000)
+    monkeypatch.setattr(D, "PORTION", 20_000)
+    assert -(-D._size(items) // D.BLOCK) > 3
+    assert rows(D.find_contamination(docs, items)) == want != []
+    assert rows(D.decontaminate(docs, items)) == clean != []
+
+
+def test_blocks_odd(spark, odd_docs, no_docs, small_blocks):
+    item = " ".join(f"common{i}" for i in range(45))
+    filler = [(10 + i, " ".join(f"f{i}x{j}" for j in range(40))) for i in range(60)]
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "and"), (None, "also an item with six words"), *filler], "item_id bigint, text string")
+    found = D.find_contamination(odd_docs, bench).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.distance) for r in found if r.item_id == 1 and r.doc_id == 1)[:2] == [("1", 1, 0)] * 2
+    assert sorted({(str(r.doc_id), r.item_id, r.distance) for r in found}) == [("1", 1, 0), ("2", 1, 0), ("None", 1, 0)]
+    clean = D.decontaminate(odd_docs, bench)
+    assert clean.columns == odd_docs.columns and {r.doc_id for r in clean.collect()} == {2, 3, 4, 5, 6, 7, 8, 9}
+    assert D.find_contamination(no_docs, bench).count() == 0 and D.decontaminate(no_docs, bench).count() == 0
+
+
+def test_bitmap_lets_every_run_through(spark, small_blocks):
+    bench = spark.createDataFrame([(i, " ".join(f"w{i * 7 + j}" for j in range(3 + i % 40))) for i in range(200)], "item_id bigint, text string")
+    blocks = D._Blocks(bench, D.RATE, D.ROUNDS, D.SAMPLES, D.SEED)
+    texts = [r.text for r in bench.collect()]
+    assert set(blocks.near(texts)[1]) == set(range(200))
+    assert len(blocks.near([" ".join(f"other{i}" for i in range(5000))])[1]) < 5
