@@ -38,16 +38,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def file_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that df reads; None where it reads other sources too, whose sizes are guesses."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    if any(leaf.getClass().getSimpleName() != "LogicalRelation" for leaf in leaves):
+        return None
+    return sum(int(str(leaf.stats().sizeInBytes())) for leaf in leaves)
+
+
 def shuffle_partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
     """spark.sql.shuffle.partitions, or more where the files that df reads hold over PARTITION_BYTES for each of them."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if df is None:
-        return n
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    leaves = [leaves.apply(i) for i in range(leaves.size())]
-    if any(leaf.getClass().getSimpleName() != "LogicalRelation" for leaf in leaves):  # sizes of other sources are guesses
-        return n
-    return max(n, min(MOST_PARTITIONS, -(-sum(int(str(leaf.stats().sizeInBytes())) for leaf in leaves) // PARTITION_BYTES)))
+    size = None if df is None else file_bytes(df)
+    return n if size is None else max(n, min(MOST_PARTITIONS, -(-size // PARTITION_BYTES)))
 
 
 def power_of_two(n: float) -> int:

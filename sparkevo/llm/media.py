@@ -1,11 +1,13 @@
 """Media columns: payloads kept as 8-bit images in archives, read through a data source of byte ranges.
 
-Writing: tasks turn payloads into grey PNG images (lossless, compressed) and append them to ZIP archives of
-about ``ARCHIVE`` bytes in a folder all executors share. An archive is named by its partition and number and
+Writing: tasks turn payloads into grey PNG images (lossless, compressed) and append them to ZIP archives in a
+folder all executors share. An archive has about ``ARCHIVE`` bytes, or up to ``MOST_ARCHIVE`` where the input's files
+would else fill more than ``ARCHIVES`` of them; one archive is held in memory. An archive is named by its partition and number and
 appears by a rename when it is complete, so a task that runs again puts the same archive in the same place.
 
 Reading: the data source ``sparkevo_media`` plans partitions from the folder's list of files alone, as byte
-ranges of archives; a task reads the directory at the end of its archive, takes the members that begin in its
+ranges of archives: parts of one archive, or, where these would be more than ``PARTITIONS``, whole archives in a row
+up to the size that keeps to that number. A task reads the directory at the end of its archive, takes the members that begin in its
 range, reads them through one handle in runs of about ``BATCH`` bytes and streams their payloads as Arrow batches. A
 member that fails is read again by itself at its offset, through a new file handle, up to ``retries`` times, and so is
 the directory; what fails then still fails the task, with the archive and offset in the error.
@@ -35,7 +37,10 @@ from . import common
 #: Payloads are padded with PAD to a multiple of WIDTH, the pixels of an image's row.
 WIDTH, PAD = 576, b"\xff"
 ARCHIVE, MEMBERS = 32 << 20, 30_000
+MOST_ARCHIVE, ARCHIVES = 128 << 20, 1 << 20
 RANGE, RETRIES, BATCH = 16 << 20, 3, 4 << 20
+#: Partitions of a read that are planned for; more bytes make each of them larger.
+PARTITIONS = 100_000
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -115,9 +120,15 @@ def _write(folder: str, archive: int):
     return run
 
 
-def write_media(docs: DataFrame, folder: str, archive: int = ARCHIVE) -> tuple[int, int]:
+def archive_bytes(size: int | None) -> int:
+    """Bytes of an archive for an input of size bytes."""
+    return min(MOST_ARCHIVE, max(ARCHIVE, -(-(size or 0) // ARCHIVES)))
+
+
+def write_media(docs: DataFrame, folder: str, archive: int | None = None) -> tuple[int, int]:
     """Store the text of every row of docs (doc_id, text) in archives under folder: members and bytes written."""
     common.prepare(docs.sparkSession)
+    archive = archive or archive_bytes(common.file_bytes(docs))
     store, root = _filesystem(folder)
     store.create_dir(root)
     done = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_write(folder, archive), "members bigint, size bigint")
@@ -125,9 +136,32 @@ def write_media(docs: DataFrame, folder: str, archive: int = ARCHIVE) -> tuple[i
     return n or 0, size or 0
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, begin: int, end: int, size: int) -> None:
-        self.path, self.begin, self.end, self.size = path, begin, end, size
+class _Ranges(InputPartition):
+    """(archive, first byte, end, size of the archive) of each range of a partition."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, int]]) -> None:
+        self.ranges = ranges
+
+
+def plan_ranges(files: list[tuple[str, int]], size: int, most: int = PARTITIONS) -> list[list[tuple[str, int, int, int]]]:
+    """Ranges of size bytes of files (path, bytes), one a partition; if these are more than most, whole files in a row, in larger partitions."""
+    ranges = [(p, a, min(a + size, n), n) for p, n in files for a in range(0, n, size)]
+    if len(ranges) <= most:
+        return [[r] for r in ranges]
+    share, held, out = -(-sum(n for _, n in files) // most), 0, []
+    for p, n in files:
+        if not n:
+            continue
+        if n > share:
+            out += [[(p, a, min(a + share, n), n)] for a in range(0, n, share)]
+            held = share  # the next file begins a partition
+        elif not out or held + n > share:
+            out.append([(p, 0, n, n)])
+            held = n
+        else:
+            out[-1].append((p, 0, n, n))
+            held += n
+    return out
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("payload", pa.binary())])
@@ -142,7 +176,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         store, root = _filesystem(self.folder)
         found = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".zip"))
-        return [_Range(p, a, min(a + self.range, n), n) for p, n in found for a in range(0, n, self.range)] or [_Range("", 0, 0, 0)]
+        return [_Ranges(r) for r in plan_ranges(found, self.range)] or [_Ranges([])]
 
     def _again(self, what: str, read):
         """read(), tried anew where it fails."""
@@ -211,19 +245,18 @@ class _Reader(DataSourceReader):
             if f is not None:
                 f.close()
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        if not partition.size:
-            return
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
         store, _ = _filesystem(self.folder)
-        members = [m for m in self._directory(store, partition.path) if partition.begin <= m.header_offset < partition.end]
         rows, held = [], 0
-        for m, image in self._members(store, partition.path, members, partition.size):
-            doc = m.filename.split("/")[0]
-            rows.append((None if doc == "null" else int(doc), partition.path, m.header_offset, image, from_png(image)))
-            held += len(image) + len(rows[-1][4])
-            if held >= BATCH:
-                yield pa.RecordBatch.from_pydict(dict(zip(_SCHEMA.names, map(list, zip(*rows)))), schema=_SCHEMA)
-                rows, held = [], 0
+        for path, begin, end, size in partition.ranges:
+            members = [m for m in self._directory(store, path) if begin <= m.header_offset < end]
+            for m, image in self._members(store, path, members, size):
+                doc = m.filename.split("/")[0]
+                rows.append((None if doc == "null" else int(doc), path, m.header_offset, image, from_png(image)))
+                held += len(image) + len(rows[-1][4])
+                if held >= BATCH:
+                    yield pa.RecordBatch.from_pydict(dict(zip(_SCHEMA.names, map(list, zip(*rows)))), schema=_SCHEMA)
+                    rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pydict(dict(zip(_SCHEMA.names, map(list, zip(*rows)))), schema=_SCHEMA)
 

@@ -121,3 +121,23 @@ def test_lasting_damage_is_an_error(archive):
         list(reader._members(Flaky(damage=range(99)), path, members, os.path.getsize(path)))
     with pytest.raises(OSError, match="directory"):
         reader._directory(Flaky(damage=range(99)), path)
+
+
+@pytest.mark.parametrize("sizes, size, most", [([40, 3, 0, 25], 10, 99), ([5] * 30, 2, 8), ([100, 1, 1, 1, 30, 1], 3, 6), ([], 5, 2), ([7], 7, 1)])
+def test_ranges_cover_every_byte_once(sizes, size, most):
+    files = [(f"a{k}", n) for k, n in enumerate(sizes)]
+    found = media.plan_ranges(files, size, most)
+    assert sorted((p, at) for part in found for p, a, b, n in part for at in range(a, b) if n == dict(files)[p]) == sorted((p, at) for p, n in files for at in range(n))
+    assert len(found) <= max(most + len([n for n in sizes if n]), sum(-(-n // size) for n in sizes if sum(-(-m // size) for m in sizes) <= most))
+    if sizes == [5] * 30:
+        assert len(found) <= 8 * 2 and all(b - a == 5 for part in found for _, a, b, _ in part)  # whole archives
+
+
+def test_partitions_of_several_archives(spark, odd_docs, monkeypatch):
+    folder = scratch(spark, "media")
+    media.write_media(odd_docs, folder, archive=2000)
+    monkeypatch.setattr(media, "plan_ranges", lambda files, size: [[(p, 0, n, n) for p, n in files[k::2]] for k in range(2)])
+    reader = media._Reader({"path": folder})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert sum(b.num_rows for b in batches) == odd_docs.count()
+    assert media.archive_bytes(None) == media.archive_bytes(10**11) == media.ARCHIVE < media.archive_bytes(10**14) <= media.MOST_ARCHIVE
