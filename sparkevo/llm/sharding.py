@@ -44,7 +44,7 @@ def interleaved_shards(docs: DataFrame, shards: int = 16, seed: int = SEED) -> D
     u = seeded(seed, "doc_id")
     df = docs.select(
         "doc_id",
-        F.coalesce(F.col("source"), F.lit("\0none")).alias("source"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"),  # no name is the null source's
         size.alias("size"),
         F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("text_crc32"),
         u.alias("u"),
@@ -60,5 +60,5 @@ def interleaved_shards(docs: DataFrame, shards: int = 16, seed: int = SEED) -> D
     # The first row of shard s is the least p with p * shards >= s * rows.
     first = F.ceil(F.col("shard").cast("bigint") * F.lit(rows) / F.lit(shards))
     return df.withColumn("shard", shard).select(
-        "doc_id", F.when(F.col("source") != "\0none", F.col("source")).alias("source"), "size", "text_crc32", "shard", (place - first).cast("bigint").alias("slot")
+        "doc_id", F.when(F.col("source") != "", F.substring("source", 2, 2**31 - 1)).alias("source"), "size", "text_crc32", "shard", (place - first).cast("bigint").alias("slot")
     )

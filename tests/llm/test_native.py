@@ -113,3 +113,12 @@ def test_sharding_follows_definition(spark, sf):
 def test_sharding_odd(odd_docs, no_docs):
     check_shards(interleaved_shards(odd_docs, 3).collect(), [r.asDict() for r in odd_docs.collect()], 3)
     assert interleaved_shards(no_docs).count() == 0
+
+
+def test_a_source_named_like_nothing_is_no_null(spark):
+    docs = spark.createDataFrame([(k, "x", (None, "\0none", "", "=")[k % 4]) for k in range(40)], "doc_id bigint, text string, source string")
+    got = interleaved_shards(docs, 4).collect()
+    want = {r.doc_id: r.source for r in docs.collect()}
+    assert {r.doc_id: r.source for r in got} == want and len(got) == 40
+    for shard in range(4):
+        assert all(sum(r.shard == shard and r.source == s for r in got) in (2, 3) for s in want.values())
