@@ -370,6 +370,18 @@ def test_index_of_pivots(spark, monkeypatch, metric):
         assert 0 < counter.value < 0.6 * 600 * 600
 
 
+def test_queries_stay_off_the_driver(spark, monkeypatch):
+    """Beyond few rows only the pivots are brought to the driver, whatever the number of queries."""
+    monkeypatch.setattr(order, "FEW", 50)
+    df = spark.range(400).select("id", (F.col("id") % 2).alias("label"), F.array(F.rand(1), F.rand(2)).alias("features"))
+    taken, frame = [], type(df)
+    for name in ("toPandas", "toArrow", "collect"):
+        monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name): [taken.append(len(got := f(self))), got][1])
+    near = neighbours.nearest(df, F.lit(True), 3)
+    assert max(taken) <= 20
+    assert near.count() == 1200
+
+
 def test_knn_imputer(spark):
     random = np.random.default_rng(3)
     x = random.normal(size=(60, 4))
