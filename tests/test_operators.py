@@ -382,6 +382,15 @@ def test_queries_stay_off_the_driver(spark, monkeypatch):
     assert near.count() == 1200
 
 
+def test_adasyn_searches_once_for_all_classes(spark, monkeypatch):
+    rows = [(i, max(0, i % 10 - 6), [float(i % 7), float(i)]) for i in range(60)]
+    df, calls, search = spark.createDataFrame(rows, "id bigint, label bigint, features array<double>"), [], neighbours.nearest
+    monkeypatch.setattr(neighbours, "nearest", lambda *a, **b: [calls.append(1), search(*a, **b)][1])
+    got = neighbours.resample(df, "adasyn").groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in got} == {0: 42, 1: 42, 2: 42, 3: 42}
+    assert len(calls) == 2  # densities, then neighbours of the class
+
+
 def test_knn_imputer(spark):
     random = np.random.default_rng(3)
     x = random.normal(size=(60, 4))
