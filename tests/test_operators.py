@@ -248,6 +248,47 @@ def test_crowding_of_few_values(spark, monkeypatch):
     assert got == {r.ind_id: r.crowding for r in pareto.crowding(df, 2, "ind_id").collect()} and len(got) == 400
 
 
+def broadcast_rows(spark, run):
+    """What run gives, and the rows of the largest table that it broadcast."""
+    listed = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    seen = {e.executionId() for e in listed(store.executionsList())}
+    got, most = run(), 0
+    bus.waitUntilEmpty()
+    for e in listed(store.executionsList()):
+        if e.executionId() in seen:
+            continue
+        values = listed(store.executionMetrics(e.executionId()))
+        for node in listed(store.planGraph(e.executionId()).allNodes()):
+            for m in listed(node.metrics()) if node.name() == "BroadcastExchange" else ():
+                if m.name() == "number of output rows":
+                    most = max(most, int((values.get(m.accumulatorId()) or "0").replace(",", "")))
+    return got, most
+
+
+def test_nsga2_broadcasts_no_population(spark, monkeypatch):
+    from sparkevo.functions.hashing import uniform
+
+    start = spark.range(600).select(F.col("id").alias("ind_id"), F.array(*[F.round(uniform(3, F.col("id"), F.lit(i)), 2) for i in range(4)]).alias("genes"))
+    aims = lambda d: d.withColumns({"obj_0": F.col("genes")[0] + F.col("genes")[1], "obj_1": -F.col("genes")[0] - F.col("genes")[2]})
+    search = lambda: {r.ind_id: tuple(r) for r in evolve.nsga2(start, aims, 2, evolve.Settings(generations=1)).collect()}
+    want = search()
+    monkeypatch.setattr(order, "FEW", 60)
+    got, most = broadcast_rows(spark, search)
+    assert got == want and len(got) == 600
+    assert most <= 60  # a row a front at most, not one an individual
+
+
+def test_neighbours_over_blocks(spark, monkeypatch):
+    df = spark.range(400).select(F.col("id").alias("ind_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), (F.col("id") * 37 % 50).cast("double").alias("x"))
+    want = sorted(map(str, order.neighbours(df, "x", "ind_id", ["k"], "a", "b").collect()))
+    for few in (1, 2, 7, 134):
+        monkeypatch.setattr(order, "FEW", few)
+        got = order.neighbours(df, "x", "ind_id", ["k"], "a", "b")
+        assert got.columns == ["ind_id", "k", "x", "a", "b"] and sorted(map(str, got.collect())) == want
+
+
 def test_draws_of_one_dominant_individual(spark, monkeypatch):
     from sparkevo.operators import select
 
