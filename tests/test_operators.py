@@ -431,6 +431,8 @@ def test_coarse_distances_leave_none_out(monkeypatch, manhattan, offset, scale):
     x, y = (np.round(random.normal(size=(n, 20)), 2) * scale + offset for n in (70, 3000))
     y[:40] = y[40:80]  # ties
     y[100:130], y[200] = x[:30], 1e3 * scale + offset
+    x[60, 3] = y[300, 5] = np.nan  # these two have no neighbours, and are none
+    y[301, 2] = np.inf
     labels, own = random.integers(0, 3, 3000), np.arange(3000) + 60
     full = neighbours.distances(x, y, True) if manhattan else ((x[:, None] - y[None]) ** 2).sum(-1)
     monkeypatch.setattr(neighbours, "distances", None)
@@ -440,12 +442,28 @@ def test_coarse_distances_leave_none_out(monkeypatch, manhattan, offset, scale):
         top._merge = lambda at, *rest: [judged.append(len(at)), merge(at, *rest)]
         for part in (slice(0, 3000), slice(500, 900)):
             top.see(np.arange(70), top.tell(y[part], own[part], labels[part]))
-        d = np.where((np.arange(70)[:, None] == own[None]) | (same & (labels[:70, None] != labels[None])), np.inf, full)
+        assert np.isinf(top.d[60]).all()
+        d = np.where(~np.isfinite(full) | (np.arange(70)[:, None] == own[None]) | (same & (labels[:70, None] != labels[None])), np.inf, full)
         best = np.stack([np.lexsort((own, row))[:4] for row in d])
-        assert (top.i == own[best]).all() and np.allclose(top.d, np.take_along_axis(d, best, 1), rtol=1e-9, atol=0)
+        finite = np.arange(70) != 60
+        assert (top.i == own[best])[finite].all() and np.allclose(top.d[finite], np.take_along_axis(d, best, 1)[finite], rtol=1e-9, atol=0)
         assert sum(judged) < 0.75 * 70 * 3000
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_index_that_rules_nothing_out(spark, monkeypatch, metric):
+    """Even rows of many dimensions: queries see all rows in large tiles, those seen before again, and the result stays exact."""
+    monkeypatch.setattr(order, "FEW", 50)
+    x = np.random.default_rng(5).normal(size=(2000, 24))
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id bigint, label bigint, features array<double>").repartition(3)
+    counter = spark.sparkContext.accumulator(0)
+    got = {(r.id, r.place): r.nb for r in neighbours.nearest(df, F.lit(True), 3, metric=metric, counter=counter).collect()}
+    d = np.stack([(np.abs(x - v) if metric == "manhattan" else (x - v) ** 2).sum(1) for v in x])
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, p): int(j) for i in range(2000) for p, j in enumerate(np.argsort(d[i])[:3], 1)}
+    assert counter.value > 2000 * 2000
+
+
 def test_many_queries_have_few_candidates(spark):
     """Queries as many as the rows are split, not the rows, whose blocks each have k candidates a query."""
     df = spark.range(400).select("id", F.lit(0).cast("bigint").alias("label"), F.array(F.rand(1), F.rand(2)).alias("features"))
